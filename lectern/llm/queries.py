@@ -70,14 +70,14 @@ SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 OP2_SQL = f"""
 WITH split AS (
-  SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), {SPACE}, repeat(chr(32), 6)), chr(32)), x -> x <> '') AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS p FROM split WHERE len(w) >= 13),
-win AS (SELECT doc_id, p, array_to_string(w[p:p+12], chr(32)) AS s FROM at),
+  SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), {SPACE}, repeat(chr(32), 6)), chr(32)), lambda x: x <> '') AS w FROM documents),
+place AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS p FROM split WHERE len(w) >= 13),
+win AS (SELECT doc_id, p, array_to_string(w[p:p+12], chr(32)) AS s FROM place),
 least AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s),
 gone AS (SELECT DISTINCT doc_id, p + k.k AS i FROM win JOIN least USING (s), (SELECT unnest(generate_series(0, 12)) AS k) k WHERE least.d < doc_id),
 lost AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
 SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(g, i)) END, chr(32)), '')) AS kept_sha256
+  sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, chr(32)), '')) AS kept_sha256
 FROM split s LEFT JOIN lost USING (doc_id)
 """
 
@@ -95,10 +95,10 @@ FROM flagged GROUP BY doc_id
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, x.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, x.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
