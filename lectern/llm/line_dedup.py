@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as A
 
 from .common import checkpointed
 
@@ -83,7 +84,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, partitions: int | None =
     return gone.select("doc_id", _bitmap(F.col("gone")).alias("keep"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(A.BinaryType())
 def _bitmap(gone: pd.Series) -> pd.Series:
     def pack(positions) -> bytes:
         bits = np.ones((int(positions[-1]) // 8 + 1) * 8, np.uint8)
@@ -114,7 +115,7 @@ def apply_bitmaps(docs: DataFrame, keep: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("n long, text string")
+@F.pandas_udf(A.StructType([A.StructField("n", A.LongType()), A.StructField("text", A.StringType())]))
 def _cut(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
     counts, kept = [], []
     for t, k in zip(text, keep, strict=True):
