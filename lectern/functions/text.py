@@ -133,7 +133,7 @@ def strip_html(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>|</p>", "\n"), r"<[^>]*>", "")
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.btrim(out)
+    return F.btrim(out, F.lit(" \n\t"))
 
 
 def ellipsize(text: Column, limit: int) -> Column:
