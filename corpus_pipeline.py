@@ -41,9 +41,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Five-word shingles; a text of fewer words is one shingle, and wordless texts are one group.
+    Five-word shingles and a similarity of 0.8; a text of fewer words is one shingle, wordless texts are one group.
     """
-    groups = simhash.near_duplicates(docs, size=5, radius=4).where("doc_id <> component_id").select("doc_id").distinct()
+    groups = simhash.near_copies(docs, size=5, least=0.8).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, checkpointed
+from .common import binary_column, checkpointed, mix, stored
 from .components import components
 
 BITS = 64
@@ -32,25 +32,33 @@ TILE = 16_384
 STRIP = 1_024
 
 
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of ``size`` words, repeats included; of all words if there are fewer."""
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    line = b" ".join(words)
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lens) - 1
+    starts = (ends - lens + 1)[: len(words) - size + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit, from the highest."""
+    counts = np.zeros(BITS, np.int64)
+    values = hashes.astype(">u8")
+    for at in range(0, len(values), 65_536):
+        counts += np.unpackbits(values[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return counts
+
+
 def simhash(words: list[bytes], size: int) -> int:
     """Bit i is 1 if it is set in over half the XXH64 (seed 42) values of the ``size``-word shingles."""
     if not words:
         return 0
-    if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lens) - 1
-        starts = (ends - lens + 1)[: len(words) - size + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
-    counts = np.zeros(BITS, np.int64)
-    values = np.array(hashes, ">u8")
-    for at in range(0, len(values), 65_536):
-        some = values[at : at + 65_536]
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(values)).tobytes(), "big")
+    hashes = shingle_hashes(words, size)
+    return int.from_bytes(np.packbits(2 * bit_counts(hashes) > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -72,8 +80,11 @@ def band_scheme(n: int, radius: int, tile: int = TILE) -> tuple[int, int]:
     return radius + 1, 1
 
 
-def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (i, j) among fingerprints; with ``split``, only between the first ``split`` and the rest."""
+def forest(fps: np.ndarray, radius: int, split: int | None = None, sketches: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (i, j) among fingerprints; with ``split``, only between the first ``split`` and the rest.
+
+    With ``sketches``, near fingerprints are linked only if their sketches' similarity is ``least`` or more.
+    """
     count = np.bitwise_count(fps).astype(np.int16)
     sides = [np.arange(len(fps))] if split is None else [np.arange(split), np.arange(split, len(fps))]
     sides = [s[np.argsort(count[s], kind="stable")] for s in sides]
@@ -100,6 +111,9 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.n
             if not apart.any():
                 continue
             i, j = i[apart], j[apart]
+            if sketches is not None:
+                like = np.concatenate([similarity(sketches[i[k : k + 65_536]], sketches[j[k : k + 65_536]]) for k in range(0, len(i), 65_536)]) >= least
+                i, j = i[like], j[like]
             _, one = np.unique(np.minimum(root[i], root[j]) * len(fps) + np.maximum(root[i], root[j]), return_index=True)
             for x, y in zip(i[one].tolist(), j[one].tolist(), strict=True):
                 rx, ry = find(x), find(y)
@@ -115,7 +129,13 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.n
     return links[:, 0], links[:, 1]
 
 
-def _tile_links(radius: int):
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles of each pair of sketches; bins empty in both say nothing."""
+    used = (a != 0) | (b != 0)
+    return ((a == b) & used).sum(1) / np.maximum(used.sum(1), 1)
+
+
+def _tile_links(radius: int, least: float = 0.0):
     """Compare runs of equal keys in partitions sorted by key; a run may go on over several batches."""
     keys = ["k1", "k2"]
 
@@ -128,7 +148,8 @@ def _tile_links(radius: int):
             split = int((run["side"] == 0).sum())
             if not 0 < split < len(run):
                 return None
-        i, j = forest(run["fp"].to_numpy().view(np.uint64), radius, split)
+        sketches = np.frombuffer(b"".join(run["sketch"]), np.uint8).reshape(len(run), -1) if "sketch" in run else None
+        i, j = forest(run["fp"].to_numpy().view(np.uint64), radius, split, sketches, least)
         node = run["node"].to_numpy()
         return pd.DataFrame({"a": node[i], "b": node[j]}) if len(i) else None
 
@@ -172,9 +193,15 @@ def link_forest(nodes: DataFrame, n: int, radius: int, tile: int = TILE) -> Data
     routed = nodes.select(
         "node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)])).alias("r")
     ).select("node", "fp", F.xxhash64("r.band", "r.value").alias("k1"))
+    return tile_forest(routed, radius, tile)
+
+
+def tile_forest(routed: DataFrame, radius: int, tile: int, least: float = 0.0) -> DataFrame:
+    """Links (a, b) among rows (node, fp, k1, further columns) of equal k1, tile by tile."""
+    more = [c for c in routed.columns if c not in ("node", "fp", "k1")]
     crowds = routed.groupBy("k1").agg(F.count("*").alias("crowd")).where(F.col("crowd") > tile)
     placed = routed.join(crowds, "k1", "left")
-    small = placed.where("crowd is null").select("k1", F.lit(0).cast("long").alias("k2"), F.lit(0).alias("side"), F.lit(0).alias("cross"), "node", "fp")
+    small = placed.where("crowd is null").select("k1", F.lit(0).cast("long").alias("k2"), F.lit(0).alias("side"), F.lit(0).alias("cross"), "node", "fp", *more)
     # A crowd's tile is (population count, salt); its row goes to every tile pair that it takes part in.
     salts = F.ceil(F.col("crowd") / tile).cast("int")
     own = placed.where("crowd is not null").withColumns({"pc": F.bit_count("fp"), "salts": salts, "salt": F.pmod(F.xxhash64("fp", F.lit(3)), salts).cast("int")})
@@ -187,10 +214,11 @@ def link_forest(nodes: DataFrame, n: int, radius: int, tile: int = TILE) -> Data
         F.when(here == there, 0).otherwise(1).alias("cross"),
         "node",
         "fp",
+        *more,
     )
     tiles = small.unionByName(large)
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(_tile_links(radius), "a long, b long")
+    parts = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(_tile_links(radius, least), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4, tile: int = TILE) -> DataFrame:
@@ -207,3 +235,59 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4, tile: int =
     found = components(link_forest(nodes, nodes.count(), radius, tile))
     named = nodes.join(found, nodes["node"] == found["vertex"], "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marks.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+# -- near copies by a share of common shingles ----------------------------------
+
+#: Bins of a text's sketch; bands of minimum hashes that bring texts into one tile, and hashes in a band.
+BINS, ROUTES, ROUTE_HASHES = 128, 10, 3
+MULTIPLIERS = (mix(np.arange(1, ROUTES * ROUTE_HASHES + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).reshape(1, -1)
+
+
+def sketch(words: list[bytes], size: int) -> tuple[int, bytes, list[int]]:
+    """(fingerprint, sketch, routes) of a text: a byte of the least hash in each bin, and hashed minimum hashes."""
+    if not words:
+        return 0, bytes(BINS), [0] * ROUTES
+    hashes = shingle_hashes(words, size)
+    counts = bit_counts(hashes)
+    mark = int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    order = np.sort(mix(hashes))[::-1]
+    bins = np.zeros(BINS, np.uint8)
+    bins[(order >> np.uint64(57)).astype(np.int64)] = (order & np.uint64(0xFF)).astype(np.uint8) % np.uint8(255) + np.uint8(1)  # the last write is the least hash
+    least = np.full((1, ROUTES * ROUTE_HASHES), np.iinfo(np.uint64).max)
+    for at in range(0, len(order), 65_536):
+        least = np.minimum(least, (order[at : at + 65_536, None] * MULTIPLIERS).min(0, keepdims=True))
+    rows = least.reshape(ROUTES, ROUTE_HASHES)
+    routes = mix(rows[:, 0] + mix(rows[:, 1] + mix(rows[:, 2] + np.arange(ROUTES, dtype=np.uint64))))
+    return mark, bins.tobytes(), routes.view(np.int64).tolist()
+
+
+def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 16, tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts with a share of ``least`` common shingles.
+
+    At that share fingerprints differ in more bits than whole bands can route, so minimum hashes bring texts
+    together (a pair at 0.8 meets with probability 0.999); in the tiles, fingerprints within ``radius`` bits (a pair
+    at 0.8 differs in 10 on average) are linked if their sketches agree on ``least`` of their bins.  Texts of equal shingles are one vertex.  Null,
+    empty and wordless texts are one group; rows without a doc_id form no component.
+    """
+
+    def run(batches):
+        for batch in batches:
+            made = [sketch((t or b"").lower().split(), size) for t in binary_column(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)),
+                    pa.array([m[1] for m in made], pa.binary()),
+                    pa.array([m[2] for m in made], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "fp", "sketch", "routes"],
+            )
+
+    made = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long, sketch binary, routes array<long>")
+    marks = stored(made.withColumn("shape", F.xxhash64("fp", "sketch", "routes")), "sketches")
+    nodes = marks.where("doc_id is not null").groupBy("shape").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("fp", "sketch", "routes"), "doc_id").alias("of"))
+    routed = nodes.select("node", "of.fp", "of.sketch", F.explode("of.routes").alias("k1"))
+    found = components(tile_forest(routed, radius, tile, least))
+    shapes = nodes.select("shape", "node").join(found, F.col("node") == F.col("vertex"), "left").select("shape", F.coalesce("component", "node").alias("component_id"))
+    return marks.select("doc_id", "shape").join(shapes, "shape", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

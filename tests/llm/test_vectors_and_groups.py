@@ -160,6 +160,38 @@ def test_forest_joins_what_links_join():
     assert {k: find(k) for k in marks} == brute_groups(marks, 4)
 
 
+def shingles(text, size=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+def share(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies(spark):
+    """Texts with many common shingles meet, texts with few never do, by chains of links too."""
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(400)] for _ in range(15)]
+    rows = []
+    for d in range(200):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 60])):
+            words[rng.randrange(400)] = f"v{d}"
+        rows.append((d, " ".join(words)))
+    rows += [(200, None), (201, ""), (202, "three short words"), (203, "Three short WORDS"), (None, "three short words"), (203, "three short words")]
+    df = spark.createDataFrame([(*r, b"x") for r in rows], TEXT + ", sketch binary").repartition(3)
+    for tile in (simhash.TILE, 8):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, tile=tile).collect()}
+        grams = {d: shingles(t) for d, t in rows if d is not None}
+        for a in range(200):
+            for b in range(a):
+                like = share(grams[a], grams[b])
+                assert got[a] == got[b] if like >= 0.93 else like > 0.3 or got[a] != got[b]
+        assert (got[200], got[201], got[202], got[203], got[None]) == (200, 200, 202, 202, None)
+    assert simhash.near_copies(df.limit(0)).collect() == []
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 150), (300, 300)]
     df = spark.createDataFrame(chain, "a long, b long")
@@ -198,8 +230,12 @@ def test_pipeline(spark, sf_dir):
     assert set(rows[0]) - set(rows[1]) <= {d for d, t in rows[0].items() if not re.search(r"[^\W\d_]", t or "")}
     lines = kept_lines(list(rows[1].items()))
     assert rows[2] == {d: (k if n else rows[1][d]) for d, (_, n, k) in lines.items() if not n or k}
-    groups = brute_groups({d: brute_mark(t, 5) for d, t in rows[2].items()}, 4)
-    assert rows[3] == {d: t for d, t in rows[2].items() if groups[d] == d}
+    grams = {d: shingles(t) for d, t in rows[2].items()}
+    assert all(rows[3][d] == rows[2][d] for d in rows[3])
+    for d in set(rows[2]) - set(rows[3]):
+        assert max(share(grams[d], grams[e]) for e in grams if e != d) >= 0.65
+    left = sorted(rows[3])
+    assert all(share(grams[a], grams[b]) < 0.95 for i, a in enumerate(left) for b in left[:i])
     assert set(rows[4]) <= set(rows[3])
     assert set(rows[5]) == set(rows[4])
     whole = corpus_pipeline.run(spark, sf_dir)
