@@ -44,12 +44,12 @@ class BoundedCorpus:
 
     # -- structure ----------------------------------------------------------
 
-    def list_books(self) -> DataFrame:
-        """All books by series and order, with status and, where readable, the current chapter's label."""
-        at = self._progress.select("reader_id", "book_id", "status", "position_chapter_idx")
-        label = self.open_chapters.select("reader_id", "book_id", F.col("chapter_idx").alias("position_chapter_idx"), F.col("label").alias("current_chapter"))
-        readers = self._progress.select("reader_id").distinct()
-        grid = self._book.select("book_id", "title", "author", "series_id", "book_order").join(readers)
+    def list_books(self, reader_id: int = 0) -> DataFrame:
+        """All books of one reader's library, with status and, where readable, the current chapter's label."""
+        mine = F.col("reader_id") == reader_id
+        at = self._progress.where(mine).select("reader_id", "book_id", "status", "position_chapter_idx")
+        label = self.open_chapters.where(mine).select("reader_id", "book_id", F.col("chapter_idx").alias("position_chapter_idx"), F.col("label").alias("current_chapter"))
+        grid = self._book.select(F.lit(reader_id).cast("long").alias("reader_id"), "book_id", "title", "author", "series_id", "book_order")
         out = grid.join(at, ["reader_id", "book_id"], "left").join(label, ["reader_id", "book_id", "position_chapter_idx"], "left")
         return out.select("reader_id", "book_id", "title", "author", "series_id", "book_order", F.coalesce("status", F.lit("unread")).alias("status"), "current_chapter")
 
@@ -125,17 +125,15 @@ class BoundedCorpus:
         centre = ranked.join(cited.select(*keys).distinct(), keys).select("reader_id", "book_id", F.col("global_seq").alias("cited_seq"), F.explode(F.sequence(F.col("_nth") - window, F.col("_nth") + window)).alias("_nth"))
         return ranked.join(centre, ["reader_id", "book_id", "_nth"]).select("reader_id", "book_id", "cited_seq", "global_seq", "text")
 
-    def first_seen(self, entities: DataFrame) -> DataFrame:
-        """First readable paragraph that names each entity as whole words; the same answer for absent and unread.
-
-        ``entities`` has one column, ``entity``; names are matched as folded word phrases.
-        """
+    def first_seen(self, asked: DataFrame) -> DataFrame:
+        """First readable paragraph that names each asked entity (reader_id, entity) as whole words; the same answer
+        for absent and unread ones.  Names are matched as folded word phrases."""
         from .search import find_phrases
 
-        hits = find_phrases(self.readable, entities.select("entity").distinct())
+        asked = asked.select("reader_id", "entity").distinct()
+        hits = find_phrases(self.readable, asked.select("entity").distinct())
         first = hits.groupBy("reader_id", "entity").agg(F.min_by(F.struct("book_id", "chapter_label", "global_seq"), F.struct("global_seq", "book_id")).alias("at"))
-        grid = self._progress.select("reader_id").distinct().join(entities.select("entity").distinct())
-        out = grid.join(first, ["reader_id", "entity"], "left")
+        out = asked.join(first, ["reader_id", "entity"], "left")
         return out.select("reader_id", "entity", F.col("at.book_id").alias("book_id"), F.coalesce("at.chapter_label", F.lit(NOT_YET_SEEN)).alias("chapter"), F.col("at.global_seq").alias("global_seq"))
 
     def search_regex(self, pattern: str, limit: int = SEARCH_LIMIT) -> DataFrame:

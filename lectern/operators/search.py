@@ -6,6 +6,7 @@ scan that Catalyst prunes and fuses; only the statistics and the top hits are sh
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -61,24 +62,25 @@ def near(a: str, b: str, distance: int = 10, toks: Column | str = "toks") -> Col
 def bm25(para: DataFrame, words: list[str], condition: Column | None = None) -> DataFrame:
     """(book_id, global_seq, score) of the paragraphs that meet the condition (default: all words); lower is better.
 
-    Statistics are those of all paragraphs, readable or not, in one partial aggregate.
+    Statistics are those of all paragraphs, readable or not: one aggregate, whose single row is read first.
     """
     t = para.select("book_id", "global_seq", tokens(F.col("text")).alias("toks"))
     times = lambda w: F.size(F.filter("toks", lambda x: x == w))
     tfs = {f"tf{i}": times(w) for i, w in enumerate(words)}
     counted = t.withColumns({"dl": F.size("toks"), **tfs})
-    stats = counted.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(k) > 0).alias(f"df{i}") for i, k in enumerate(tfs)])
+    stats = counted.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(k) > 0).alias(f"df{i}") for i, k in enumerate(tfs)]).collect()[0]
     match = condition
     if match is None:
         match = F.lit(True)
         for w in words:
             match = match & term(w)
-    hits = counted.where(match).drop("toks").join(F.broadcast(stats))  # one row
+    hits = counted.where(match).drop("toks")
+    n_all, avgdl = stats["n_all"], stats["avgdl"] or 1.0
     score = F.lit(0.0)
     for i in range(len(words)):
-        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
-        idf = F.greatest(F.log((F.col("n_all") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        df, tf = stats[f"df{i}"], F.col(f"tf{i}")
+        idf = max(math.log((n_all - df + 0.5) / (df + 0.5)), LEAST_IDF)
+        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     return hits.select("book_id", "global_seq", F.round(score, 9).alias("score"))
 
 

@@ -116,7 +116,7 @@ f AS (SELECT reader_id, entity, arg_min(struct_pack(b := book_id, c := chapter_l
 SELECT 0::BIGINT AS reader_id, e.entity, hit.b AS book_id, coalesce(hit.c, 'not yet seen') AS chapter, hit.s AS global_seq FROM e LEFT JOIN f USING (entity)""")
 def first_seen(spark, d):
     words = search.tokens(F.col("text"))
-    e = D.table(spark, d, "benchmark").where(F.size(words) >= 2).select(F.array_join(F.slice(words, 1, 2), " ").alias("entity"))
+    e = D.table(spark, d, "benchmark").where(F.size(words) >= 2).select(F.lit(0).cast("long").alias("reader_id"), F.array_join(F.slice(words, 1, 2), " ").alias("entity"))
     return corpus(spark, d).first_seen(e)
 
 
@@ -233,10 +233,10 @@ def order_key_decode(spark, d):
     return D.raw_paras(spark, d).select("book_id", "global_seq", *[c.alias(n) for n, c in schema.decode_seq(F.col("global_seq")).items()])
 
 
-@query(f"{CORPUS} SELECT book_id, para_idx, global_seq + (CASE WHEN book_id % 3 = 0 THEN 5 ELSE 0 END) * {schema.BOOK_STRIDE} AS global_seq FROM para1")
+@query(f"{CORPUS} SELECT book_id, para_idx, global_seq + (CASE WHEN book_id % 3 = 0 THEN 5 ELSE 3 END) * {schema.BOOK_STRIDE} AS global_seq FROM para1")
 def rebase_shift(spark, d):
     p = D.raw_paras(spark, d)
-    moves = D.books(spark, d).where("book_id % 3 = 0").select("book_id", F.col("book_order").alias("old_order"), (F.col("book_order") + 5).alias("new_order"))
+    moves = D.books(spark, d).select("book_id", F.col("book_order").alias("old_order"), (F.col("book_order") + F.when(F.col("book_id") % 3 == 0, 5).otherwise(3)).alias("new_order"))
     return progress.rebase(p, moves, ["global_seq"]).select("book_id", "para_idx", "global_seq")
 
 
@@ -342,16 +342,16 @@ def shelf_rating_by_genre(spark, d):
 
 
 FETCH = """fetched AS (SELECT review_id, shelf_book_id, title || ' (rev)' AS title, author, 'read' AS shelf, num_pages + 1 AS num_pages, published_year, user_rating, '2020-01-01' AS date_read, '1999-01-01' AS date_added
-  FROM shelf WHERE review_id % 3 <> 0 AND shelf = 'read' UNION ALL SELECT review_id + 1000000000, shelf_book_id, title, author, 'read', num_pages, published_year, user_rating, date_read, date_added FROM shelf WHERE review_id % 50 = 1)"""
+  FROM shelf WHERE num_pages IS NOT NULL AND shelf = 'read' UNION ALL SELECT review_id + 1000000000, shelf_book_id, title, author, 'read', num_pages, published_year, user_rating, date_read, date_added FROM shelf WHERE published_year IS NULL)"""
 
 
 def _fetch(s: DataFrame) -> DataFrame:
     cols = ["shelf_book_id", "title", "author", "shelf", "num_pages", "published_year", "user_rating", "date_read", "date_added"]
-    old = s.where("review_id % 3 <> 0 and shelf = 'read'").select(
+    old = s.where("num_pages is not null and shelf = 'read'").select(
         "review_id", "shelf_book_id", F.concat("title", F.lit(" (rev)")).alias("title"), "author", F.lit("read").alias("shelf"), (F.col("num_pages") + 1).alias("num_pages"),
         "published_year", "user_rating", F.lit("2020-01-01").alias("date_read"), F.lit("1999-01-01").alias("date_added"),
     )
-    new = s.where("review_id % 50 = 1").withColumn("shelf", F.lit("read")).withColumn("review_id", F.col("review_id") + 1_000_000_000)
+    new = s.where("published_year is null").withColumn("shelf", F.lit("read")).withColumn("review_id", F.col("review_id") + 1_000_000_000)
     return old.unionByName(new.select("review_id", *cols))
 
 
@@ -375,11 +375,11 @@ def shelf_cdc_truncated(spark, d):
     return _cdc(spark, d, truncated=True)
 
 
-@query(f"""{S}, r AS (SELECT review_id, date_started AS s, date_added AS rd, CASE WHEN review_id % 2 = 0 THEN '2001-02-03' END AS a FROM shelf WHERE review_id % 4 = 0)
+@query(f"""{S}, r AS (SELECT review_id, date_started AS s, date_added AS rd, CASE WHEN cover_small = '' THEN '2001-02-03' END AS a FROM shelf WHERE user_rating IS NOT NULL)
 SELECT shelf.review_id, CASE WHEN r.review_id IS NOT NULL THEN s ELSE date_started END AS date_started, coalesce(date_read, rd) AS date_read, coalesce(a, date_added) AS date_added FROM shelf LEFT JOIN r USING (review_id)""")
 def shelf_enrich(spark, d):
     s = D.shelf(spark, d)
-    reviews = s.where("review_id % 4 = 0").select("review_id", "date_started", F.col("date_added").alias("date_read"), F.when(F.col("review_id") % 2 == 0, "2001-02-03").alias("date_added"))
+    reviews = s.where("user_rating is not null").select("review_id", "date_started", F.col("date_added").alias("date_read"), F.when(F.col("cover_small") == "", "2001-02-03").alias("date_added"))
     return shelf.apply_reviews(s, reviews).select("review_id", "date_started", "date_read", "date_added")
 
 
@@ -455,7 +455,7 @@ def series_suggestion(spark, d):
     return shelf.suggest_series(D.books(spark, d), u)
 
 
-@query(f"""{CORPUS}, {D.SHELF_SQL}, lk AS (SELECT doc_id AS book_id, 'b' || (doc_id % 5000) AS shelf_book_id FROM documents WHERE doc_id % 2 = 0), l1 AS (SELECT shelf_book_id, min(book_id) AS book_id FROM lk GROUP BY 1),
+@query(f"""{CORPUS}, {D.SHELF_SQL}, lk AS (SELECT doc_id AS book_id, 'b' || (doc_id % 5000) AS shelf_book_id FROM documents WHERE lang = 'en'), l1 AS (SELECT shelf_book_id, min(book_id) AS book_id FROM lk GROUP BY 1),
 e AS (SELECT CASE shelf WHEN 'to-read' THEN 'tbr' WHEN 'currently-reading' THEN 'reading' ELSE 'completed' END AS bucket, 's' || review_id AS entry_id, {STRIPPED} AS title, {SERIES} AS series,
   try_cast(nullif(regexp_extract(trim(title), '{SERIES_RE}', 3), '') AS DOUBLE) AS number, coalesce(nullif(date_read, ''), date_added, '') AS touched FROM shelf
  UNION ALL SELECT CASE p.status WHEN 'finished' THEN 'completed' WHEN 'reading' THEN 'reading' ELSE 'tbr' END, 'b' || b.book_id, title, NULL, NULL, '' FROM book b LEFT JOIN progress p USING (book_id) WHERE b.book_id NOT IN (SELECT book_id FROM lk)),
@@ -463,7 +463,7 @@ g AS (SELECT *, coalesce('g:' || series, entry_id) AS group_id FROM e)
 SELECT bucket, max(touched) OVER (PARTITION BY bucket, group_id) AS anchor, group_id, row_number() OVER (PARTITION BY bucket, group_id ORDER BY number NULLS LAST, entry_id) AS pos, entry_id, title, series FROM g""")
 def unified_shelves(spark, d):
     para, chapter = D.paras(spark, d)
-    links = D.table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("book_id"), F.concat(F.lit("b"), (F.col("doc_id") % 5000).cast("string")).alias("shelf_book_id"))
+    links = D.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("book_id"), F.concat(F.lit("b"), (F.col("doc_id") % 5000).cast("string")).alias("shelf_book_id"))
     return shelf.unified(D.shelf(spark, d), D.books(spark, d), D.progress(spark, d, chapter), links)
 
 
@@ -492,7 +492,7 @@ def conv_drop_last(spark, d):
 
 # -- causal ---------------------------------------------------------------------------
 
-NODE = "node AS (SELECT book_id, global_seq AS node_id, global_seq AS first_seq, global_seq AS cite_seq FROM para1 WHERE para_idx % 4 = 1), edge AS (SELECT book_id, global_seq AS revealed_at_seq, CASE WHEN para_idx % 2 = 0 THEN global_seq END AS cite_seq FROM para1 WHERE para_idx % 5 < 2)"
+NODE = "node AS (SELECT book_id, global_seq AS node_id, global_seq AS first_seq, global_seq AS cite_seq FROM para1), edge AS (SELECT book_id, global_seq AS revealed_at_seq, CASE WHEN para_idx % 2 = 0 THEN global_seq END AS cite_seq FROM para1)"
 
 
 @query(f"""{CORPUS}, {NODE}, n AS (SELECT node.book_id, first_seq AS k FROM node JOIN para p ON p.book_id = node.book_id AND p.global_seq = cite_seq WHERE kind <> 'excerpt'),
@@ -501,8 +501,8 @@ SELECT book_id, chapter_idx, (SELECT count(*) FROM n WHERE n.book_id = c.book_id
 def causal_registry(spark, d):
     para, chapter = D.paras(spark, d)
     seq = F.col("global_seq")
-    nodes = para.where("para_idx % 4 = 1").select("book_id", seq.alias("node_id"), seq.alias("first_seq"), seq.alias("cite_seq"))
-    edges = para.where("para_idx % 5 < 2").select("book_id", seq.alias("src_node_id"), seq.alias("revealed_at_seq"), F.when(F.col("para_idx") % 2 == 0, seq).alias("cite_seq"))
+    nodes = para.select("book_id", seq.alias("node_id"), seq.alias("first_seq"), seq.alias("cite_seq"))
+    edges = para.select("book_id", seq.alias("src_node_id"), seq.alias("revealed_at_seq"), F.when(F.col("para_idx") % 2 == 0, seq).alias("cite_seq"))
     return causal.registry_asof(chapter, nodes, edges, para)
 
 
@@ -515,11 +515,25 @@ def digest_rollup(spark, d):
     return causal.digest_rollup(c.select("book_id", "chapter_idx", "part_label", F.col("start_seq").alias("lo"), F.col("end_seq").alias("hi"), F.col("label").alias("text")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 10 = o_custkey % 10 AND l_partkey % 7 = 0),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.reach = s.a)
-SELECT node, min(reach) AS component FROM r GROUP BY node""")
+@query()
 def components_asof(spark, d):
+    """Customers and suppliers joined by orders; beyond SQL on whole tables, so tests hold it against union-find."""
     o, li = D.table(spark, d, "orders"), D.table(spark, d, "lineitem")
-    e = o.join(li, o["o_orderkey"] == li["l_orderkey"]).where("l_suppkey % 10 = o_custkey % 10 and l_partkey % 7 = 0")
+    e = o.join(li, o["o_orderkey"] == li["l_orderkey"])
     edges = e.select((F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"), F.col("o_orderkey").alias("revealed_at"))
     return causal.identity_components(edges)
+
+
+@query()
+def page_paragraphs(spark, d):
+    """Paragraphs of every page."""
+    from lectern.sources import markup
+
+    return D.table(spark, d, "pages").select("page_id", F.posexplode(markup.paragraphs("html")).alias("para_idx", "text"))
+
+
+@query()
+def page_first_heading(spark, d):
+    from lectern.sources import markup
+
+    return D.table(spark, d, "pages").select("page_id", markup.first_heading("html").alias("heading"))

@@ -84,8 +84,7 @@ def progress(spark: SparkSession, sf_dir: str, chapter: DataFrame) -> DataFrame:
 def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shelf entry an order."""
     orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
-    n = part.agg(F.count("*").alias("n_parts"))
-    keyed = orders.join(F.broadcast(n)).withColumn("p_partkey", F.col("o_orderkey") % F.col("n_parts"))  # one row
+    keyed = orders.withColumn("p_partkey", F.col("o_orderkey") % max(part.count(), 1))
     k, date = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     suffix = F.concat(F.lit(" ("), F.col("p_brand"), F.lit(", #"), F.col("p_size").cast("string"), F.lit(")"))
     return keyed.join(part, "p_partkey").select(

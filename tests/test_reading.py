@@ -44,7 +44,7 @@ def test_nothing_above_a_ceiling(spark):
     requests = spark.createDataFrame([(r, r, 1, lo, hi) for r in ceilings for lo, hi in ((-5, 10**12), (3, 0))][: len(ceilings)], "request_id long, reader_id long, book_id long, lo_idx long, hi_idx long")
     answers = {
         "read": c.read(), "spans": c.read(requests), "context": c.context(cited, 60), "points": c.points(cited), "regex": c.search_regex("tok[0-9]"),
-        "words": c.search(["fox"]), "marks": c.citation_marks(cited), "first": c.first_seen(spark.createDataFrame([("tok1x4x3",), ("red fox",), ("absent",)], "entity string")),
+        "words": c.search(["fox"]), "marks": c.citation_marks(cited), "first": c.first_seen(spark.createDataFrame([(k, e) for k in ceilings for e in ("tok1x4x3", "red fox", "absent")], "reader_id long, entity string")),
     }
     for name, df in answers.items():
         for r in df.where("global_seq is not null").collect():
@@ -262,3 +262,23 @@ def test_responses(spark):
     assert {x["book_id"]: x["error"] for x in r.collect()} == {1: None, 2: "no digest", 3: "no entities"}
     known = spark.createDataFrame([(1, "Bear")], "book_id long, designator string")
     assert [x["designator"] for x in causal.unresolved_aliases(r, known).collect()] == ["Wolf"]
+
+
+def test_components_by_union_find(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(80), rng.randrange(80), k) for k in range(60)] + [(k, k + 1, 5) for k in range(200, 240)]
+    df = spark.createDataFrame(edges, "a long, b long, revealed_at long")
+    for bound in (None, 30):
+        parent = {}
+
+        def find(x, parent=parent):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b, at in edges:
+            if bound is None or at <= bound:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+        assert {r["node"]: r["component"] for r in causal.identity_components(df, bound).collect()} == {n: find(n) for n in list(parent)}
