@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import schema
 from lectern.functions import text as T
-from lectern.operators import causal, chapters, conversations, progress, search, shelf
+from lectern.operators import causal, chapters, conversations, maintenance, progress, search, shelf
 from lectern.operators.retrieval import BoundedCorpus
 from lectern.sources import driver_tables as D
 
@@ -537,3 +537,77 @@ def page_first_heading(spark, d):
     from lectern.sources import markup
 
     return D.table(spark, d, "pages").select("page_id", markup.first_heading("html").alias("heading"))
+
+
+# -- maintenance ------------------------------------------------------------------------
+
+
+@query(f"{S} SELECT DISTINCT shelf_book_id, title FROM shelf WHERE genres IS NULL")
+def genre_worklist(spark, d):
+    return maintenance.genre_worklist(D.shelf(spark, d))
+
+
+@query(f"""{CORPUS}, l AS (SELECT book_id, max(chapter_idx) AS last_idx FROM chapter WHERE kind = 'body' AND NOT regexp_matches(label, '(?i)^\\s*part\\b') GROUP BY book_id)
+SELECT reader_id, p.book_id, coalesce(position_chapter_idx, CASE WHEN status = 'finished' THEN l.last_idx END) AS chapter_idx FROM progress p LEFT JOIN l USING (book_id)""")
+def session_positions(spark, d):
+    para, chapter = D.paras(spark, d)
+    return maintenance.session_positions(D.progress(spark, d, chapter), chapter)
+
+
+@query(f"""{CORPUS}, {D.SHELF_SQL}, g AS (SELECT author, count(*) AS n FROM shelf GROUP BY author), b AS (SELECT author, coalesce(sum(n) OVER (ORDER BY author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+SELECT review_id, author FROM shelf WHERE author IN (SELECT author FROM b WHERE before < 200)""")
+def shelf_whole_groups(spark, d):
+    return maintenance.whole_groups(D.shelf(spark, d).select("review_id", "author"), "author", "author", 200)
+
+
+@query(f"{CORPUS} SELECT p.reader_id, p.book_id, status, coalesce(position_chapter_idx > 0 OR status = 'finished', false) AS moved_on FROM progress p")
+def conversations_reopened(spark, d):
+    para, chapter = D.paras(spark, d)
+    state = D.progress(spark, d, chapter)
+    c = state.select(F.col("book_id").alias("conv_id"), "book_id", F.lit(0).alias("chapter_idx"))
+    return conversations.reopened(c, state).join(state, "book_id").select("reader_id", "book_id", "status", "moved_on")
+
+
+@query(f"""{CORPUS}, v AS (SELECT book_id, row_number() OVER (PARTITION BY series_id ORDER BY book_order) - 1 AS prior_volumes FROM book),
+n AS (SELECT book_id, count_if(chapter_idx <= 1) AS position, count(*) AS chapters FROM chapter WHERE kind = 'body' AND NOT regexp_matches(label, '(?i)^\\s*part\\b') GROUP BY book_id)
+SELECT book_id AS conv_id, book_id, prior_volumes, position, chapters FROM v LEFT JOIN n USING (book_id)""")
+def conversation_headers(spark, d):
+    book = D.books(spark, d)
+    c = book.select(F.col("book_id").alias("conv_id"), "book_id", F.lit(1).alias("chapter_idx"))
+    return conversations.headers(c, book, D.chapters(D.raw_paras(spark, d)))
+
+
+@query(f"""{CORPUS}, q AS (SELECT p.reader_id, p.book_id, CASE quality WHEN 1 THEN 'unread' ELSE 'finished' END AS st FROM progress p JOIN (SELECT doc_id AS book_id, max(quality) AS quality FROM labels GROUP BY 1) USING (book_id)),
+l AS (SELECT book_id, max(chapter_idx) AS k FROM chapter WHERE kind = 'body' AND NOT regexp_matches(label, '(?i)^\\s*part\\b') GROUP BY book_id)
+SELECT q.reader_id, q.book_id, st AS status, CASE st WHEN 'finished' THEN l.k END AS position_chapter_idx,
+CASE st WHEN 'unread' THEN 0 ELSE greatest(p.ceiling_seq, coalesce(book_end, 0)) END AS ceiling_seq FROM q JOIN progress p USING (book_id) LEFT JOIN l USING (book_id) LEFT JOIN ends USING (book_id)""")
+def set_positions(spark, d):
+    """Finished books become unread and the others finished."""
+    para, chapter = D.paras(spark, d)
+    state = D.progress(spark, d, chapter)
+    asked = state.select("reader_id", "book_id", F.when(F.col("status") == "finished", "unread").otherwise("finished").alias("status"), F.lit(None).cast("long").alias("chapter_idx"))
+    return progress.set_positions(state, chapter, asked)
+
+
+@query(f"""{CORPUS}, t AS (SELECT book_id, series_id, book_order, book_order * {schema.BOOK_STRIDE} + 7 AS ceiling_seq FROM book WHERE standalone)
+SELECT t.book_id AS reader_id, b.book_id, CASE WHEN b.book_id = t.book_id THEN 'reading' ELSE 'finished' END AS status, NULL::BIGINT AS position_chapter_idx,
+CASE WHEN b.book_id = t.book_id THEN t.ceiling_seq ELSE coalesce(book_end, 0) END AS ceiling_seq FROM t JOIN book b ON b.series_id = t.series_id AND b.book_order <= t.book_order LEFT JOIN ends ON ends.book_id = b.book_id""")
+def lens(spark, d):
+    """The from-scratch state of a question about each standalone volume, one reader each."""
+    book = D.books(spark, d)
+    ends = D.chapters(D.raw_paras(spark, d)).where(schema.servable(F.col("kind"))).groupBy("book_id").agg(F.max("end_seq").alias("book_end"))
+    asked = book.where("standalone").select(F.col("book_id").alias("reader_id"), "book_id", (schema.book_floor(F.col("book_order")) + 7).alias("ceiling_seq"))
+    return progress.lens(book, ends, asked)
+
+
+@query(f"""{CORPUS}, b AS (SELECT book_id, max(end_seq) AS bound_seq FROM chapter WHERE chapter_idx <= 2 GROUP BY book_id)
+SELECT book_id, chapter_idx, label, kind, end_seq FROM chapter JOIN b USING (book_id) WHERE kind <> 'excerpt' AND end_seq <= bound_seq""")
+def causal_chapters(spark, d):
+    c = D.chapters(D.raw_paras(spark, d))
+    bounds = c.where("chapter_idx <= 2").groupBy("book_id").agg(F.max("end_seq").alias("bound_seq"))
+    return causal.causal_chapters(c, bounds).select("book_id", "chapter_idx", "label", "kind", "end_seq")
+
+
+@query(f"{CORPUS} SELECT book_id, chapter_idx, coalesce(nullif(lower(regexp_extract(label, '(?i)^\\s*(prologue|epilogue|interlude)\\b', 1)), ''), nullif(regexp_extract(label, '(?i)^\\s*(?:chapter\\s+)?(\\d+)\\b', 1), ''), CAST(chapter_idx + 1 AS VARCHAR)) AS ref FROM chapter")
+def chapter_ref_inverse(spark, d):
+    return D.chapters(D.raw_paras(spark, d)).select("book_id", "chapter_idx", maintenance.chapter_ref_of(F.col("chapter_idx"), F.col("label")).alias("ref"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern import schema
 from lectern.functions import text as T
-from lectern.operators import causal, chapters, conversations, progress, search, shelf
+from lectern.operators import causal, chapters, conversations, maintenance, progress, search, shelf
 from lectern.operators.retrieval import BoundedCorpus
 
 STRIDE, SPINE = schema.BOOK_STRIDE, schema.SPINE_STRIDE
@@ -282,3 +282,48 @@ def test_components_by_union_find(spark):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
         assert {r["node"]: r["component"] for r in causal.identity_components(df, bound).collect()} == {n: find(n) for n in list(parent)}
+
+
+def test_commit_is_idempotent_and_per_book(spark, tmp_path):
+    target = str(tmp_path / "store")
+    row = lambda b, x: spark.createDataFrame([(b, x)], "book_id long, x string")
+    maintenance.commit_books(target, {"para": row(1, "old"), "manifest": row(1, "m")}, spark)
+    maintenance.commit_books(target, {"para": row(2, "two")}, spark)
+    for _ in range(2):
+        maintenance.commit_books(target, {"para": row(1, "new")}, spark)
+    assert {(r["book_id"], r["x"]) for r in spark.read.parquet(f"{target}/para").collect()} == {(1, "new"), (2, "two")}
+
+
+def test_delete_books(spark):
+    c = fixture(spark, [(1, 1, STRIDE)])
+    tables = {
+        "para": c._para, "progress": c._progress, "conversation": spark.createDataFrame([(10, 1), (11, 2)], "conv_id long, book_id long"),
+        "turn": spark.createDataFrame([(10, 0), (11, 0)], "conv_id long, ord long"),
+    }
+    out = maintenance.delete_books(tables, spark.createDataFrame([(1,)], "book_id long"))
+    assert {r["book_id"] for r in out["para"].collect()} == {2, 3}
+    assert out["progress"].collect() == [] and [r["conv_id"] for r in out["turn"].collect()] == [11]
+
+
+def test_small_tables(spark):
+    s = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
+    ch = spark.createDataFrame([("a", None), ("b", "3"), ("c", "4")], "key string, value string")
+    assert {tuple(r) for r in maintenance.put_settings(s, ch).collect()} == {("b", "3"), ("c", "4")}
+    sh = spark.createDataFrame([("x", None), ("y", "old")], "shelf_book_id string, genres string")
+    f = spark.createDataFrame([("x", ["A", "B"])], "shelf_book_id string, genres array<string>")
+    assert {tuple(r) for r in maintenance.apply_genres(sh, f).collect()} == {("x", "A, B"), ("y", "old")}
+    m = spark.createDataFrame([("x", ""), ("y", "own")], "shelf_book_id string, cover string")
+    got = maintenance.month_covers(m, spark.createDataFrame([(1, "x")], "book_id long, shelf_book_id string"), spark.createDataFrame([(1, "c.jpg")], "book_id long, path string"))
+    assert {tuple(r) for r in got.collect()} == {("x", "c.jpg"), ("y", "own")}
+
+
+def test_payloads_know_only_the_past(spark):
+    import json
+
+    c = fixture(spark, [(1, 1, STRIDE)])
+    nodes = spark.createDataFrame([(1, "Fox", STRIDE + 1), (1, "Wolf", STRIDE + 2 * SPINE)], "book_id long, designator string, first_seq long")
+    got = {(r["book_id"], r["chapter_idx"]): json.loads(r["payload"]) for r in maintenance.prompt_payloads(c._para, nodes, c._chapter).collect()}
+    assert got[1, 0]["registry"] == [] and got[1, 2]["registry"] == ["Fox"] and got[1, 4]["registry"] == ["Fox", "Wolf"]
+    assert (1, 3) not in got and [p["text"][8:] for p in got[1, 1]["paragraphs"]][0].startswith("tok1x1x0")
+    m = json.loads(maintenance.manifests(c._book, c._chapter, c._para).where("book_id = 1").collect()[0]["manifest"])
+    assert (m["chapters"], m["excerpt"], m["paragraphs"]) == (5, 1, 20)
