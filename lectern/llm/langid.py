@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -219,7 +220,8 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
+#: The scorer of the model in use, by the model's name: worker processes outlive a job.
+_scorers: dict[str, Scorer] = {}
 
 
 def in_training(doc_id) -> F.Column:
@@ -290,13 +292,14 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, vocabulary: st
     """
     path = vocabulary or default_vocabulary()
     model = docs.sparkSession.sparkContext.broadcast(table)  # pieces x labels, both bounded
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("lang string, score double")
     def classify(text: pd.Series) -> pd.DataFrame:
-        scorer = _scorers.get(id(model))
+        scorer = _scorers.get(name)
         if scorer is None:
             _scorers.clear()
-            scorer = _scorers[id(model)] = Scorer(model.value, path)
+            scorer = _scorers[name] = Scorer(model.value, path)
         names, scores = [], []
         texts = [t or "" for t in text]
         for chunk in chunks(texts, map(len, texts), BATCH_BYTES):
