@@ -64,10 +64,22 @@ def reopened(conversations: DataFrame, progress: DataFrame) -> DataFrame:
     return j.select("conv_id", "book_id", "chapter_idx", moved.alias("moved_on"))
 
 
+def ranked(df: DataFrame, group: str, order: str, width: int = 10_000) -> DataFrame:
+    """``df`` with ``rank``, the rows of its group before it, by a non-negative integer ``order``.
+
+    Ranks are taken in stretches of the order and moved by the counts of the stretches before, so a group of any
+    size spreads over tasks.
+    """
+    cut = df.withColumn("_stretch", F.floor(F.col(order) / width))
+    sizes = cut.groupBy(group, "_stretch").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy(group, "_stretch").orderBy(order))
+    return cut.join(sizes.withColumn("_before", before), [group, "_stretch"]).withColumn("rank", nth - 1 + F.col("_before")).drop("_stretch", "_n", "_before")
+
+
 def headers(conversations: DataFrame, book: DataFrame, chapter: DataFrame) -> DataFrame:
     """Prior volumes of the series, and the place of the conversation's chapter among addressable ones."""
-    order = Window.partitionBy("series_id").orderBy("book_order")
-    prior = book.select("book_id", (F.row_number().over(order) - 1).alias("prior_volumes"))
+    prior = ranked(book.select("book_id", "series_id", "book_order"), "series_id", "book_order").select("book_id", "rank").withColumnRenamed("rank", "prior_volumes")
     spots = chapter.where(F.col("kind").isin(*ADDRESSABLE_KINDS) & ~is_part_divider(F.col("label"))).select("book_id", F.col("chapter_idx").alias("_at"))
     c = conversations.select("conv_id", "book_id", "chapter_idx")
     counts = c.join(spots, "book_id").groupBy("conv_id").agg(F.count_if(F.col("_at") <= F.col("chapter_idx")).alias("position"), F.count("*").alias("chapters"))

@@ -247,6 +247,12 @@ def test_conversation_log(spark):
     assert conversations.citation_counts(t).collect()[0]["times"] == 2
 
 
+def test_ranks_over_stretches(spark):
+    df = spark.createDataFrame([(k % 3, k) for k in range(300)], "g long, o long")
+    got = {(r["g"], r["o"]): r["rank"] for r in conversations.ranked(df, "g", "o", width=7).collect()}
+    assert got == {(k % 3, k): k // 3 for k in range(300)}
+
+
 def test_causal_text_raises_above_its_bound(spark):
     c = fixture(spark, [(1, 1, 1)])
     ask = lambda k, bound: causal.causal_text(c._para, c._chapter, spark.createDataFrame([(1, k, bound)], "book_id long, chapter_idx long, bound_seq long"))
