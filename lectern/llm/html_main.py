@@ -20,7 +20,7 @@ from .common import binary_column, stored
 
 CONTAINERS = {"body", "main", "article", "section", "div", "td", "table", "center", "fieldset", "li", "dd", "blockquote", "figure", "details"}
 #: Subtrees that never hold main text.
-NEVER = {"nav", "footer", "aside", "form", "header", "button", "menu", "dialog", "select", "option", "label", "input", "figcaption"} - {"figcaption", "input", "label"}
+NEVER = {"nav", "footer", "aside", "form", "header", "button", "menu", "dialog", "select", "option"}
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "head", "object", "canvas", "math", "audio", "video"}
 BLOCKS = CONTAINERS | NEVER | {"html", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "dt", "pre", "hr", "tr", "th", "tbody", "thead", "tfoot", "caption", "address", "figcaption", "summary", "hgroup"}
 NESTING = CONTAINERS | NEVER
