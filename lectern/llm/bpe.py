@@ -21,14 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Numbering, binary_column, chunks, ragged
+from .common import Numbering, binary_column, chunks, ragged, small_batches
 
 #: The byte-level pre-tokenisation pattern of the vocabulary's public tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SHORT_WORD = 64
-#: Distinct words that a worker remembers between batches before it starts anew.
-MEMORY = 400_000
+#: Distinct words that a task remembers between batches before it starts anew.
+MEMORY = 200_000
 NO_RANK = np.int64(2**62)
 
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -208,6 +208,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, batch_bytes: i
     repeated rows; other columns are ignored.
     """
     path = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         tool = codec(path)
@@ -226,5 +227,6 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, batch_bytes: i
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        tool.memory.clear()  # the worker process outlives the task
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ENCODED_SCHEMA)

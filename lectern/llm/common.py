@@ -53,6 +53,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Fewer rows an Arrow batch than Spark's default, as these rows are whole texts; a smaller setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -119,6 +126,7 @@ def token_blocks(docs: DataFrame, lower: bool, block_bytes: int = BLOCK_BYTES) -
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     assert id_type in ("bigint", "int", "smallint", "tinyint"), f"doc_id must be an integer, not {id_type}"
+    small_batches(docs.sparkSession)
     spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
 
     def build(batches):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, stored
+from .common import binary_column, small_batches, stored
 
 CONTAINERS = {"body", "main", "article", "section", "div", "td", "table", "center", "fieldset", "li", "dd", "blockquote", "figure", "details"}
 #: Subtrees that never hold main text.
@@ -168,6 +168,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null html and url are empty; rows that repeat a page each give a row; pages without a host share one vote.
     The host table is written first, so that its size is known when the join is planned.
     """
+    small_batches(pages.sparkSession)
     winners = stored(host_paths(pages), "host-paths").select(F.col("host").alias("_host"), F.col("path").alias("_path"))
     names = [c for c in pages.columns if c not in ("html", "text")]
     keyed = pages.select(*[F.col(f"`{c}`") for c in names], "html", host_of(F.col("url")).alias("_key"))

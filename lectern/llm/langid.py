@@ -11,8 +11,8 @@ from __future__ import annotations
 import base64
 import functools
 import re
-import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, binary_column, checkpointed, chunks
+from .common import Numbering, checkpointed, chunks, small_batches
 
 #: Documents per language that fitting expects to read, rounds of EM, and pseudo-count of every piece.
 FIT_DOCS, ROUNDS, PSEUDO = 2_000, 4, 0.01
@@ -28,7 +28,7 @@ FIT_DOCS, ROUNDS, PSEUDO = 2_000, 4, 0.01
 MAX_LABELS = 500
 #: Words up to this many bytes are scored together; probabilities of longer ones are rescaled on the way.
 SHORT_WORD = 48
-MEMORY = 300_000
+MEMORY = 150_000
 BATCH_BYTES = 4 << 20
 
 words_of = re.compile(r"[^\W\d_]+").findall
@@ -56,7 +56,7 @@ def trie(path: str) -> tuple[dict[bytes, int], int]:
 class NodeTable:
     """The trie as an open-addressed table of string hashes, so that numpy looks up many substrings at once."""
 
-    BITS, START, PRIME = 21, 0xCBF29CE484222325, 0x100000001B3
+    BITS, START, PRIME = 19, 0xCBF29CE484222325, 0x100000001B3
 
     def __init__(self, nodes: dict[bytes, int]):
         self.keys = np.zeros(1 << self.BITS, np.uint64)
@@ -220,10 +220,6 @@ class Scorer:
         return out
 
 
-#: The scorer of the model in use, by the model's name: worker processes outlive a job.
-_scorers: dict[str, Scorer] = {}
-
-
 def in_training(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2
 
@@ -292,30 +288,26 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, vocabulary: st
     """
     path = vocabulary or default_vocabulary()
     model = docs.sparkSession.sparkContext.broadcast(table)  # pieces x labels, both bounded
-    name = uuid.uuid4().hex
-
-    @F.pandas_udf("lang string, score double")
-    def classify(text: pd.Series) -> pd.DataFrame:
-        scorer = _scorers.get(name)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[name] = Scorer(model.value, path)
-        names, scores = [], []
-        texts = [t or "" for t in text]
-        for chunk in chunks(texts, map(len, texts), BATCH_BYTES):
+    small_batches(docs.sparkSession)
+
+    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model.value, path)  # of this task: the worker process outlives it
+        for text in batches:
+            texts = [t or "" for t in text]
             if not langs:
-                names += ["und"] * len(chunk)
-                scores += [0.0] * len(chunk)
+                yield pd.DataFrame({"lang": ["und"] * len(texts), "score": [0.0] * len(texts)})
                 continue
-            logs = scorer.texts(chunk)
-            best = logs.argmax(axis=1)
-            odds = np.exp(logs - logs.max(axis=1, keepdims=True))
-            share = odds.max(axis=1) / odds.sum(axis=1)
-            blank = (logs == 0).all(axis=1)
-            names += ["und" if b else langs[i] for i, b in zip(best, blank, strict=True)]
-            scores += [0.0 if b else float(s) for s, b in zip(share, blank, strict=True)]
-        return pd.DataFrame({"lang": names, "score": scores})
-
+            names, scores = [], []
+            for chunk in chunks(texts, map(len, texts), BATCH_BYTES):
+                logs = scorer.texts(chunk)
+                best = logs.argmax(axis=1)
+                share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+                blank = (logs == 0).all(axis=1)
+                names += ["und" if b else langs[i] for i, b in zip(best, blank, strict=True)]
+                scores += [0.0 if b else float(x) for x, b in zip(share, blank, strict=True)]
+            yield pd.DataFrame({"lang": names, "score": scores})
+
+    classify = F.pandas_udf(classify, "lang string, score double")
     out = docs.withColumn("_lang", classify(F.col("text")))
     return out.withColumns({"lang_pred": F.col("_lang.lang"), "lang_score": F.col("_lang.score")}).drop("_lang")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as A
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,6 +103,7 @@ def apply_bitmaps(docs: DataFrame, keep: DataFrame) -> DataFrame:
         while c in taken:
             c = "_" + c
         names[c.lstrip("_")] = c
+    small_batches(docs.sparkSession)
     joined = docs.alias("d").join(keep.select(F.col("doc_id").alias("_keep_id"), F.col("keep").alias("_keep")), F.col("d.doc_id") == F.col("_keep_id"), "left")
     text = F.coalesce(F.col("d.text"), F.lit(""))
     cut = _cut(F.when(F.col("_keep").isNotNull(), text), F.col("_keep"))
