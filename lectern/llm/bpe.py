@@ -21,14 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Numbering, binary_column, chunks, ragged, small_batches
+from .common import Numbering, binary_column, chunks, give_back, ragged, small_batches
 
 #: The byte-level pre-tokenisation pattern of the vocabulary's public tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SHORT_WORD = 64
 #: Distinct words that a task remembers between batches before it starts anew.
-MEMORY = 200_000
+MEMORY = 150_000
 NO_RANK = np.int64(2**62)
 
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -201,7 +201,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str | None = None, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the decoded text of every row of ``docs``.
 
     Rows stay where they were read: there is no shuffle.  Null text is the empty text; repeated rows give
@@ -227,6 +227,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, batch_bytes: i
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
-        tool.memory.clear()  # the worker process outlives the task
+        tool.memory.clear()
+        give_back()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ENCODED_SCHEMA)

@@ -8,6 +8,9 @@ document, and no per-occurrence rows are shuffled.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -70,6 +73,15 @@ def binary_column(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: worker processes are used again and keep what they
+    once took, so the peaks of different operators would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(rows: list, sizes, limit: int):
     """Cut rows into runs of about ``limit`` bytes."""
     start, total = 0, 0

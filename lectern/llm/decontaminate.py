@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, binary_column, checkpointed, chunks, mix, small_batches
+from .common import Numbering, binary_column, checkpointed, chunks, give_back, mix, small_batches
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Plain words that a template window needs, so that placeholders alone match nothing.
 LEAST_PLAIN = 3
 #: Bits of the filter of benchmark windows that documents are held against before the join: 8 MB, whatever the benchmark.
 FILTER_BITS, FILTER_CHUNK = 26, 15
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/-]\d+)*(?:st|nd|rd|th)?")
 NUMBER_UNIT = re.compile(r"(\d+(?:[.,]\d+)*)([^\W\d_]+)")
@@ -48,7 +48,7 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode(), 5)
 
 
-@functools.lru_cache(maxsize=150_000)
+@functools.lru_cache(maxsize=100_000)
 def _describe(word: str) -> tuple[tuple[int, int, bool], ...]:
     """(hash, kind, ends a sentence) of the tokens in a raw word: none, one, or a number and its unit."""
     bare = word.strip(string.punctuation)
@@ -161,7 +161,8 @@ def _window_rows(df: DataFrame, size: int, sieve=None) -> DataFrame:
                 ids = np.array([i for i, _ in chunk], np.int64)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, slots.size + 1, size), pa.int32()), pa.array(slots.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), values], names=["id", "pos", "h", "slots"])
-        _describe.cache_clear()  # the worker process outlives the task
+        _describe.cache_clear()
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, HIT_SCHEMA)

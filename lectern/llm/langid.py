@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, checkpointed, chunks, small_batches
+from .common import Numbering, checkpointed, chunks, give_back, small_batches
 
 #: Documents per language that fitting expects to read, rounds of EM, and pseudo-count of every piece.
 FIT_DOCS, ROUNDS, PSEUDO = 2_000, 4, 0.01
@@ -28,8 +28,8 @@ FIT_DOCS, ROUNDS, PSEUDO = 2_000, 4, 0.01
 MAX_LABELS = 500
 #: Words up to this many bytes are scored together; probabilities of longer ones are rescaled on the way.
 SHORT_WORD = 48
-MEMORY = 150_000
-BATCH_BYTES = 4 << 20
+MEMORY = 100_000
+BATCH_BYTES = 1 << 20
 
 words_of = re.compile(r"[^\W\d_]+").findall
 
@@ -306,6 +306,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, vocabulary: st
                 names += ["und" if b else langs[i] for i, b in zip(best, blank, strict=True)]
                 scores += [0.0 if b else float(x) for x, b in zip(share, blank, strict=True)]
             yield pd.DataFrame({"lang": names, "score": scores})
+        del scorer
+        give_back()
 
     classify = F.pandas_udf(classify, "lang string, score double")
     out = docs.withColumn("_lang", classify(F.col("text")))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, checkpointed, mix, small_batches, stored
+from .common import binary_column, checkpointed, give_back, mix, small_batches, stored
 from .components import components
 
 BITS = 64
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
         for batch in batches:
             marks = [simhash((t or b"").lower().split(), size) for t in binary_column(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -284,6 +285,7 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int
                 ],
                 names=["doc_id", "fp", "sketch", "routes"],
             )
+        give_back()
 
     small_batches(docs.sparkSession)
     made = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long, sketch binary, routes array<long>")
