@@ -82,11 +82,8 @@ def band_scheme(n: int, radius: int, tile: int = TILE) -> tuple[int, int]:
     return radius + 1, 1
 
 
-def forest(fps: np.ndarray, radius: int, split: int | None = None, sketches: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (i, j) among fingerprints; with ``split``, only between the first ``split`` and the rest.
-
-    With ``sketches``, near fingerprints are linked only if their sketches' similarity is ``least`` or more.
-    """
+def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (i, j) among fingerprints; with ``split``, only between the first ``split`` and the rest."""
     count = np.bitwise_count(fps).astype(np.int16)
     sides = [np.arange(len(fps))] if split is None else [np.arange(split), np.arange(split, len(fps))]
     sides = [s[np.argsort(count[s], kind="stable")] for s in sides]
@@ -113,9 +110,6 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None, sketches: np.
             if not apart.any():
                 continue
             i, j = i[apart], j[apart]
-            if sketches is not None:
-                like = np.concatenate([similarity(sketches[i[k : k + 65_536]], sketches[j[k : k + 65_536]]) for k in range(0, len(i), 65_536)]) >= least
-                i, j = i[like], j[like]
             _, one = np.unique(np.minimum(root[i], root[j]) * len(fps) + np.maximum(root[i], root[j]), return_index=True)
             for x, y in zip(i[one].tolist(), j[one].tolist(), strict=True):
                 rx, ry = find(x), find(y)
@@ -131,14 +125,8 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None, sketches: np.
     return links[:, 0], links[:, 1]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common shingles of each pair of sketches; bins empty in both say nothing."""
-    used = (a != 0) | (b != 0)
-    return ((a == b) & used).sum(1) / np.maximum(used.sum(1), 1)
-
-
-def _tile_links(radius: int, least: float = 0.0):
-    """Compare runs of equal keys in partitions sorted by key; a run may go on over several batches."""
+def _tile_links(links):
+    """Compare runs of equal keys in partitions sorted by key with ``links(run, split)``; a run may go on over several batches."""
     keys = ["k1", "k2"]
 
     def compare(run: pd.DataFrame):
@@ -150,8 +138,7 @@ def _tile_links(radius: int, least: float = 0.0):
             split = int((run["side"] == 0).sum())
             if not 0 < split < len(run):
                 return None
-        sketches = np.frombuffer(b"".join(run["sketch"]), np.uint8).reshape(len(run), -1) if "sketch" in run else None
-        i, j = forest(run["fp"].to_numpy().view(np.uint64), radius, split, sketches, least)
+        i, j = links(run, split)
         node = run["node"].to_numpy()
         return pd.DataFrame({"a": node[i], "b": node[j]}) if len(i) else None
 
@@ -198,12 +185,11 @@ def link_forest(nodes: DataFrame, n: int, radius: int, tile: int = TILE) -> Data
     return tile_forest(routed, radius, tile)
 
 
-def tile_forest(routed: DataFrame, radius: int, tile: int, least: float = 0.0) -> DataFrame:
-    """Links (a, b) among rows (node, fp, k1, further columns) of equal k1, tile by tile."""
-    more = [c for c in routed.columns if c not in ("node", "fp", "k1")]
+def tile_forest(routed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Links (a, b) among rows (node, fp, k1) of equal k1, tile by tile."""
     crowds = routed.groupBy("k1").agg(F.count("*").alias("crowd")).where(F.col("crowd") > tile)
     placed = routed.join(crowds, "k1", "left")
-    small = placed.where("crowd is null").select("k1", F.lit(0).cast("long").alias("k2"), F.lit(0).alias("side"), F.lit(0).alias("cross"), "node", "fp", *more)
+    small = placed.where("crowd is null").select("k1", F.lit(0).cast("long").alias("k2"), F.lit(0).alias("side"), F.lit(0).alias("cross"), "node", "fp")
     # A crowd's tile is (population count, salt); its row goes to every tile pair that it takes part in.
     salts = F.ceil(F.col("crowd") / tile).cast("int")
     own = placed.where("crowd is not null").withColumns({"pc": F.bit_count("fp"), "salts": salts, "salt": F.pmod(F.xxhash64("fp", F.lit(3)), salts).cast("int")})
@@ -216,11 +202,10 @@ def tile_forest(routed: DataFrame, radius: int, tile: int, least: float = 0.0) -
         F.when(here == there, 0).otherwise(1).alias("cross"),
         "node",
         "fp",
-        *more,
     )
     tiles = small.unionByName(large)
     parts = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(_tile_links(radius, least), "a long, b long")
+    return tiles.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(_tile_links(lambda run, split: forest(run["fp"].to_numpy().view(np.uint64), radius, split)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4, tile: int = TILE) -> DataFrame:
@@ -242,56 +227,173 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4, tile: int =
 # -- near copies by a share of common shingles ----------------------------------
 
 #: Bins of a text's sketch; bands of minimum hashes that bring texts into one tile, and hashes in a band.
-BINS, ROUTES, ROUTE_HASHES = 128, 10, 3
+BINS, ROUTES, ROUTE_HASHES = 128, 16, 3
+#: How far below the wanted share a sketch's estimate may be for the pair to be compared: over four standard errors.
+SLACK = 0.15
 MULTIPLIERS = (mix(np.arange(1, ROUTES * ROUTE_HASHES + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).reshape(1, -1)
 
 
-def sketch(words: list[bytes], size: int) -> tuple[int, bytes, list[int]]:
-    """(fingerprint, sketch, routes) of a text: a byte of the least hash in each bin, and hashed minimum hashes."""
-    if not words:
-        return 0, bytes(BINS), [0] * ROUTES
-    hashes = shingle_hashes(words, size)
-    counts = bit_counts(hashes)
-    mark = int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
-    order = np.sort(mix(hashes))[::-1]
+def gram_set(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; none without words."""
+    return np.unique(shingle_hashes(words, size)) if words else np.empty(0, np.uint64)
+
+
+def shape_of(grams: np.ndarray) -> int:
+    """A hash of a whole set of shingles."""
+    return xxhash.xxh64_intdigest(grams.tobytes(), 42)
+
+
+def sketch(grams: np.ndarray) -> tuple[bytes, list[int]]:
+    """(sketch, routes) of a set of shingles: a byte of the least hash in each bin, and hashed minimum hashes."""
+    if not len(grams):
+        return bytes(BINS), [0] * ROUTES
+    order = np.sort(mix(grams))[::-1]
     bins = np.zeros(BINS, np.uint8)
     bins[(order >> np.uint64(57)).astype(np.int64)] = (order & np.uint64(0xFF)).astype(np.uint8) % np.uint8(255) + np.uint8(1)  # the last write is the least hash
     least = np.full((1, ROUTES * ROUTE_HASHES), np.iinfo(np.uint64).max)
-    for at in range(0, len(order), 65_536):
-        least = np.minimum(least, (order[at : at + 65_536, None] * MULTIPLIERS).min(0, keepdims=True))
+    for at in range(0, len(order), 8_192):
+        least = np.minimum(least, (order[at : at + 8_192, None] * MULTIPLIERS).min(0, keepdims=True))
     rows = least.reshape(ROUTES, ROUTE_HASHES)
     routes = mix(rows[:, 0] + mix(rows[:, 1] + mix(rows[:, 2] + np.arange(ROUTES, dtype=np.uint64))))
-    return mark, bins.tobytes(), routes.view(np.int64).tolist()
+    return bins.tobytes(), routes.view(np.int64).tolist()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles of each pair of sketches; bins empty in both say nothing."""
+    used = (a != 0) | (b != 0)
+    return ((a == b) & used).sum(1) / np.maximum(used.sum(1), 1)
+
+
+def proposals(sketches: np.ndarray, component: np.ndarray, least: float, every: bool, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of different components whose sketches agree on ``least`` of their bins: every one, or a
+    spanning forest; with ``split``, only between the first ``split`` and the rest."""
+    _, first, of = np.unique(component, return_index=True, return_inverse=True)
+    root = first[of]
+    left, right = (np.arange(len(root)),) * 2 if split is None else (np.arange(split), np.arange(split, len(root)))
+    found = [np.empty((0, 2), np.int64)]
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
+        return x
+
+    for a in range(0, len(left), STRIP // 16):
+        la = left[a : a + STRIP // 16]
+        for b in range(a if split is None else 0, len(right), STRIP):
+            lb = right[b : b + STRIP]
+            i, j = np.nonzero((root[la][:, None] != root[lb][None, :]) & (la[:, None] < lb[None, :]))
+            if not len(i):
+                continue
+            i, j = la[i], lb[j]
+            like = np.concatenate([similarity(sketches[i[k : k + 16_384]], sketches[j[k : k + 16_384]]) for k in range(0, len(i), 16_384)]) >= least
+            i, j = i[like], j[like]
+            if every:
+                found.append(np.stack([i, j], 1))
+                continue
+            _, one = np.unique(np.minimum(root[i], root[j]) * len(root) + np.maximum(root[i], root[j]), return_index=True)
+            for x, y in zip(i[one].tolist(), j[one].tolist(), strict=True):
+                rx, ry = find(x), find(y)
+                if rx != ry:
+                    root[max(rx, ry)] = min(rx, ry)
+                    found.append(np.array([[x, y]]))
+            while (root[root] != root).any():
+                root[:] = root[root]
+    links = np.concatenate(found)
+    return links[:, 0], links[:, 1]
+
+
+def proposed(nodes: DataFrame, least: float, every: bool, tile: int) -> DataFrame:
+    """Pairs (a, b) of shapes (shape, component, sketch, routes) that share a route, see ``proposals``."""
+    keys = nodes.select("shape", "component", F.explode("routes").alias("k1"))
+    crowds = keys.groupBy("k1").agg(F.count("*").alias("crowd"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k1", "crowd")
+    salts = F.ceil(F.col("crowd") / tile).cast("int")
+    placed = keys.join(crowds, "k1").withColumns({"salts": salts, "salt": F.pmod(F.xxhash64("shape", F.lit(3)), salts).cast("int")})
+    # A crowd is cut into ``salts`` tiles; a row goes to every tile pair that its tile takes part in.
+    tiles = placed.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+        "k1",
+        F.xxhash64(F.least("salt", "p"), F.greatest("salt", "p")).alias("k2"),
+        F.when(F.col("salt") <= F.col("p"), 0).otherwise(1).alias("side"),
+        F.when(F.col("salt") == F.col("p"), 0).otherwise(1).alias("cross"),
+        F.col("shape").alias("node"),
+        "component",
+    )
+    full = tiles.join(nodes.select(F.col("shape").alias("node"), "sketch"), "node")
+
+    def links(run: pd.DataFrame, split: int | None):
+        sketches = np.frombuffer(b"".join(run["sketch"]), np.uint8).reshape(len(run), -1)
+        return proposals(sketches, run["component"].to_numpy(), least, every, split)
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = full.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(_tile_links(links), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of shapes with a share of ``least`` common shingles, by comparing the whole sets."""
+
+    def hashed(batches):
+        for batch in batches:
+            grams = [gram_set((t or b"").lower().split(), size) for t in binary_column(batch.column(0))]
+            shapes = np.array([shape_of(g) for g in grams], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shapes), pa.array([g.tobytes() for g in grams], pa.binary())], names=["shape", "grams"])
+        give_back()
+
+    def exact(batches):
+        for batch in batches:
+            a, b, left, right = batch.columns
+            keep = []
+            for x, y in zip(left, right, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common / (len(x) + len(y) - common) >= least)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
+
+    pairs = checkpointed(pairs)
+    used = pairs.select(F.explode(F.array("a", "b")).alias("shape")).distinct().join(nodes.select("shape", "node"), "shape")
+    texts = docs.selectExpr("cast(doc_id as long) node", "text").join(used.select("node").distinct(), "node", "left_semi").select("text")
+    grams = stored(texts.mapInArrow(hashed, "shape long, grams binary").dropDuplicates(["shape"]), "shingles")
+    left, right = grams.select(F.col("shape").alias("a"), F.col("grams").alias("left")), grams.select(F.col("shape").alias("b"), F.col("grams").alias("right"))
+    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(exact, "a long, b long"))
 
 
-def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 16, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts with a share of ``least`` common shingles.
+def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts linked by a share of ``least`` common shingles.
 
-    At that share fingerprints differ in more bits than whole bands can route, so minimum hashes bring texts
-    together (a pair at 0.8 meets with probability 0.999); in the tiles, fingerprints within ``radius`` bits (a pair
-    at 0.8 differs in 10 on average) are linked if their sketches agree on ``least`` of their bins.  Texts of equal shingles are one vertex.  Null,
-    empty and wordless texts are one group; rows without a doc_id form no component.
+    Minimum hashes bring texts together (a pair at 0.8 meets in one of the routes with probability 0.99999) and
+    sketches propose pairs, down to ``SLACK`` below ``least``; a link is what the whole sets of shingles of both texts
+    confirm.  A first round takes a spanning forest of likely pairs, so that groups of many copies are joined before a
+    second compares every pair of different groups.  Texts of equal sets of shingles are one vertex.  Null, empty and
+    wordless texts are one group; rows without a doc_id form no component.
     """
 
     def run(batches):
         for batch in batches:
-            made = [sketch((t or b"").lower().split(), size) for t in binary_column(batch.column(1))]
+            grams = [gram_set((t or b"").lower().split(), size) for t in binary_column(batch.column(1))]
+            made = [sketch(g) for g in grams]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)),
-                    pa.array([m[1] for m in made], pa.binary()),
-                    pa.array([m[2] for m in made], pa.list_(pa.int64())),
+                    pa.array(np.array([shape_of(g) for g in grams], np.uint64).view(np.int64)),
+                    pa.array([m[0] for m in made], pa.binary()),
+                    pa.array([m[1] for m in made], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "fp", "sketch", "routes"],
+                names=["doc_id", "shape", "sketch", "routes"],
             )
         give_back()
 
     small_batches(docs.sparkSession)
-    made = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long, sketch binary, routes array<long>")
-    marks = stored(made.withColumn("shape", F.xxhash64("fp", "sketch", "routes")), "sketches")
-    nodes = marks.where("doc_id is not null").groupBy("shape").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("fp", "sketch", "routes"), "doc_id").alias("of"))
-    routed = nodes.select("node", "of.fp", "of.sketch", F.explode("of.routes").alias("k1"))
-    found = components(tile_forest(routed, radius, tile, least))
-    shapes = nodes.select("shape", "node").join(found, F.col("node") == F.col("vertex"), "left").select("shape", F.coalesce("component", "node").alias("component_id"))
+    made = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, shape long, sketch binary, routes array<long>")
+    marks = stored(made, "sketches")
+    nodes = marks.where("doc_id is not null").groupBy("shape").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("sketch", "routes"), "doc_id").alias("of"))
+    nodes = stored(nodes.select("shape", "node", "of.sketch", "of.routes"), "shapes")
+    likely = confirmed(proposed(nodes.withColumn("component", F.col("shape")), least + SLACK / 3, False, tile), nodes, docs, size, least)
+    found = checkpointed(components(likely))
+    joined = nodes.join(found, F.col("shape") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "shape"))
+    others = confirmed(proposed(joined, least - SLACK, True, tile), nodes, docs, size, least)
+    ends = [nodes.select(F.col("shape").alias(c), F.col("node").alias(f"node_{c}")) for c in "ab"]
+    links = likely.unionByName(others).join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = components(links)
+    shapes = nodes.join(found, F.col("node") == F.col("vertex"), "left").select("shape", F.coalesce("component", "node").alias("component_id"))
     return marks.select("doc_id", "shape").join(shapes, "shape", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -192,6 +192,36 @@ def test_near_copies(spark):
     assert simhash.near_copies(df.limit(0)).collect() == []
 
 
+def test_near_copies_at_the_border(spark):
+    """Groups are those of the exact share 0.8, on both sides of it; chains of links included."""
+    rng = random.Random(16)
+    rows = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 40, 200, 300]))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(3):
+            words = list(base)
+            for _ in range(max(1, round(len(base) * rng.uniform(0.01, 0.03)))):
+                words[rng.randrange(len(words))] = f"v{len(rows)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000, "a b c d e f g h"), (1001, "a b c d e f g h i"), (1002, "a b c d e f g"), (1003, "a b c d e f")]
+    df = spark.createDataFrame(rows, TEXT).repartition(3)
+    grams = {d: shingles(t) for d, t in rows}
+    want = {d: d for d in grams}
+    near = band = 0
+    for a in grams:
+        for b in [b for b in grams if b < a]:
+            like = share(grams[a], grams[b])
+            band += 0.7 <= like < 0.9
+            if like >= 0.8:
+                near += 1
+                lo, hi = sorted((want[a], want[b]))
+                want = {d: lo if c == hi else c for d, c in want.items()}
+    assert near > 40 and band > 60
+    for tile in (simhash.TILE, 8):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, tile=tile).collect()} == want
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 150), (300, 300)]
     df = spark.createDataFrame(chain, "a long, b long")
