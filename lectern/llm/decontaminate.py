@@ -2,9 +2,9 @@
 
 Words are lower-cased and stripped of outer punctuation; numbers, names and units become typed placeholders
 whose values are kept as slots.  Windows of the resulting templates, and of the plain words, are hash-joined
-between documents and benchmark items.  A run of matching windows counts only if its slots are consistent: one
+between documents and benchmark items.  Template windows of a run count only if their slots are consistent: one
 value of the item always stands where one value of the document stands, so re-parameterised copies are caught
-and chance meetings of placeholders are not.
+and chance meetings of placeholders are not.  Windows of equal plain words always count.
 """
 
 from __future__ import annotations
@@ -188,8 +188,8 @@ def _sieve(items: DataFrame) -> bytes:
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, n_reworded, similarity): pairs of a document and an item it holds.
 
-    ``similarity`` is the share of the item's window positions found in the document with consistent slots;
-    ``n_reworded`` of them were found by template only.  An item of fewer words than a window matches only a
+    ``similarity`` is the share of the item's window positions found in the document by plain words, or by templates
+    without a slot value that the run contradicts; ``n_reworded`` of them were found by template only.  An item of fewer words than a window matches only a
     document that consists of its words.  Null and empty texts, and rows without an id, match nothing; rows that
     repeat an id count as one document or item.
     """
@@ -204,8 +204,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sim
     hits = checkpointed(hits)
     run = ["doc_id", "item_id", "shift"]
     pairs = hits.where(F.exists("slots", lambda s: s != 0)).select(*run, F.explode(F.arrays_zip("slots", "doc_slots")).alias("z"))
-    torn = pairs.where("z.slots <> 0").groupBy(*run, "z.slots").agg(F.min("z.doc_slots").alias("lo"), F.max("z.doc_slots").alias("hi")).where("lo <> hi")
-    sound = hits.join(torn.select(*run).distinct(), run, "left_anti")
+    values = pairs.where("z.slots <> 0").groupBy(*run, "z.slots").agg(F.min("z.doc_slots").alias("lo"), F.max("z.doc_slots").alias("hi")).where("lo <> hi")
+    torn = values.groupBy(*run).agg(F.collect_set("slots").alias("torn"))  # values of one item at most
+    sound = hits.join(torn, run, "left").where("torn is null or not arrays_overlap(slots, torn)")
     by_word = F.when(~F.exists("slots", lambda s: s != 0), F.col("pos"))
     found = sound.groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("n_matched"), F.countDistinct(by_word).alias("n_plain"))
     rated = found.join(totals, "item_id").withColumn("similarity", F.col("n_matched") / F.col("n_windows"))

@@ -181,6 +181,16 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in decontaminate.contamination(docs, items).collect()] == [1]
 
 
+def test_contradicted_slot_spares_verbatim_windows(spark):
+    """An item word for word but for one of two equal numbers: only the windows over that number are lost."""
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55)]
+    words[10] = words[40] = "7"
+    changed = [*words[:40], "8", *words[41:]]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame([(1, " ".join(changed))], TEXT), items).collect()
+    assert [(r["n_windows"], r["n_matched"], r["n_reworded"]) for r in got] == [(51, 46, 0)]
+
+
 def test_contamination_query(spark, sf_dir):
     """Against a search for each item's bare words in each document's."""
     import re
