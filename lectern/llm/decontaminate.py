@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Numbering, binary_column, checkpointed, chunks, give_back, mix, small_batches
 
 WINDOW, SIMILARITY = 5, 0.8
-#: Plain words that a template window needs, so that placeholders alone match nothing.
+#: Plain words that the template of a text shorter than a window needs, so that placeholders alone match nothing.
 LEAST_PLAIN = 3
 #: Bits of the filter of benchmark windows that documents are held against before the join: 8 MB, whatever the benchmark.
 FILTER_BITS, FILTER_CHUNK = 26, 15
@@ -74,7 +74,8 @@ def _describe(word: str) -> tuple[tuple[int, int, bool], ...]:
 def windows(texts: list[str], size: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(text index, position, hash, slots) of all plain and template windows; a shorter text is one window.
 
-    With ``bits``, only windows whose hash is in that bitmap.
+    A capitalised word that opens a sentence is read both as a word and as a name, in all combinations.  With
+    ``bits``, only windows whose hash is in that bitmap.
 
     ``slots`` has a row of ``size`` value hashes, 0 where the word is plain.
     """
@@ -104,36 +105,62 @@ def windows(texts: list[str], size: int, bits: np.ndarray | None = None) -> tupl
     after_number = np.zeros(n, bool)
     after_number[1:] = (kind[:-1] == NUM) & (owner[1:] == owner[:-1])
     slot = (kind == NUM) | ((kind == UNIT) & after_number) | ((kind == TITLE) & ~opens)
+    either = (kind == TITLE) & opens  # a name or any word: windows are made with both readings
     plain = mix(value)
-    upto = np.append(0, np.cumsum(slot))
+    typed = kind.astype(np.uint64) + np.uint64(1)
     whole = np.flatnonzero(np.arange(n) - first[owner] + size <= lens[owner])
     out = []
-    for begin, length in ((whole, size), *((first[i : i + 1], int(lens[i])) for i in np.flatnonzero((lens > 0) & (lens < size)))):
-        if not len(begin):
-            continue
-        h = _roll(plain, begin, length, 2 * length)
+
+    def put(begin: np.ndarray, length: int, h: np.ndarray, slots: np.ndarray | None):
         keep = _sifted(h, bits)
-        out.append((owner[begin[keep]], (begin - first[owner[begin]])[keep], h[keep], np.zeros((int(keep.sum()), size), np.uint64)))
-        marks = upto[begin + length] - upto[begin]
-        begin = begin[(marks > 0) & (length - marks >= min(LEAST_PLAIN, length))]
+        begin, h = begin[keep], h[keep]
+        values = np.zeros((len(begin), size), np.uint64)
+        if slots is not None:
+            at = begin[:, None] + np.arange(length)
+            values[:, :length] = np.where(slots[at] if slots.ndim == 1 else slots[keep], value[at], 0)
+        out.append((owner[begin], begin - first[owner[begin]], h, values))
+
+    for begin, length in ((whole, size), *((first[i : i + 1], int(lens[i])) for i in np.flatnonzero((lens > 0) & (lens < size)))):
         if not len(begin):
             continue
-        h = _roll(np.where(slot, kind.astype(np.uint64) + np.uint64(1), plain), begin, length, 2 * length + 1)
-        keep = _sifted(h, bits)
-        begin, h = begin[keep], h[keep]
-        slots = np.zeros((len(begin), size), np.uint64)
-        for k in range(length):
-            slots[:, k] = np.where(slot[begin + k], value[begin + k], 0)
-        out.append((owner[begin], begin - first[owner[begin]], h, slots))
+        put(begin, length, _roll(plain, begin, length, 2 * length), None)
+        least = LEAST_PLAIN if length < size else 0
+        sure, names = _within(slot, begin, length), _within(either, begin, length)
+        some = begin[(sure > 0) & (length - sure >= min(least, length))]
+        put(some, length, _roll(np.where(slot, typed, plain), some, length, 2 * length + 1), slot)
+        some = begin[(names > 0) & (length - sure - names >= min(least, length))]
+        put(some, length, _roll(np.where(slot | either, typed, plain), some, length, 2 * length + 1), slot | either)
+        for count in range(2, int(names.max()) + 1):
+            some = begin[(names == count) & (length - sure >= min(least, length))]
+            at = some[:, None] + np.arange(length)
+            rank = np.cumsum(either[at], axis=1) - 1
+            for mask in range(1, (1 << count) - 1):
+                marked = slot[at] | (either[at] & (mask >> np.maximum(rank, 0) & 1 == 1))
+                fits = length - marked.sum(axis=1) >= min(least, length)
+                words = np.where(marked, typed[at], plain[at])[fits]
+                put(some[fits], length, _mixed(words.T, int(fits.sum()), 2 * length + 1), marked[fits])
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, size), np.uint64)
     return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
 
 
+def _within(flags: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """How many of the ``length`` flags from each begin are set."""
+    upto = np.append(0, np.cumsum(flags, dtype=np.int32))
+    return upto[begin + length] - upto[begin]
+
+
 def _roll(words: np.ndarray, begin: np.ndarray, length: int, seed: int) -> np.ndarray:
-    h = np.full(len(begin), seed, np.uint64)
-    for k in range(length):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[begin + k]
+    every = len(words) - length + 1
+    if 2 * len(begin) > every:  # slices of all positions are faster than most of them one by one
+        return _mixed((words[k : k + every] for k in range(length)), every, seed)[begin]
+    return _mixed((words[begin + k] for k in range(length)), len(begin), seed)
+
+
+def _mixed(columns, count: int, seed: int) -> np.ndarray:
+    h = np.full(count, seed, np.uint64)
+    for column in columns:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + column
         h ^= h >> np.uint64(29)
     return mix(h)
 
@@ -196,12 +223,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sim
     items = benchmark.where("item_id is not null and text is not null").selectExpr("cast(item_id as long) id", "text").distinct()
     theirs = checkpointed(_window_rows(items, size))
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(theirs))
-    ours = _window_rows(docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as long) id", "text"), size, sieve)
+    ours = checkpointed(_window_rows(docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as long) id", "text"), size, sieve))
     totals = theirs.groupBy("id").agg(F.countDistinct("pos").alias("n_windows")).withColumnRenamed("id", "item_id")
-    a = ours.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "h", F.col("slots").alias("doc_slots"))
-    b = theirs.select(F.col("id").alias("item_id"), "pos", "h", "slots")
-    hits = a.join(b, "h").select("doc_id", "item_id", "pos", (F.col("doc_pos") - F.col("pos")).alias("shift"), "slots", "doc_slots")
-    hits = checkpointed(hits)
+    blank = F.forall("slots", lambda s: s != 0)
+    a = ours.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "h", F.col("slots").alias("doc_slots"), blank.alias("blank"))
+    b = theirs.select(F.col("id").alias("item_id"), "pos", "h", "slots", blank.alias("blank"))
+    columns = ["doc_id", "item_id", "pos", (F.col("doc_pos") - F.col("pos")).alias("shift"), "slots", "doc_slots"]
+    worded = checkpointed(a.where("not blank").drop("blank").join(b.where("not blank").drop("blank"), "h").select(*columns))
+    # Windows of placeholders alone would meet every row of numbers: they count in runs that other windows have found.
+    known = worded.select("doc_id", "item_id", "shift").distinct().join(b.where("blank"), "item_id").withColumn("doc_pos", F.col("pos") + F.col("shift"))
+    blanks = known.select("doc_id", "item_id", "doc_pos", "pos", "h", "slots").join(a.where("blank").drop("blank"), ["doc_id", "doc_pos", "h"]).select(*columns)
+    hits = checkpointed(worded.unionByName(blanks))
     run = ["doc_id", "item_id", "shift"]
     pairs = hits.where(F.exists("slots", lambda s: s != 0)).select(*run, F.explode(F.arrays_zip("slots", "doc_slots")).alias("z"))
     values = pairs.where("z.slots <> 0").groupBy(*run, "z.slots").agg(F.min("z.doc_slots").alias("lo"), F.max("z.doc_slots").alias("hi")).where("lo <> hi")

@@ -191,6 +191,24 @@ def test_contradicted_slot_spares_verbatim_windows(spark):
     assert [(r["n_windows"], r["n_matched"], r["n_reworded"]) for r in got] == [(51, 46, 0)]
 
 
+def test_reworded_names_and_dense_windows(spark):
+    """Names that open a sentence, and windows with few or no plain words, are re-parameterised like others."""
+    names = "Tom has 12 red apples and 7 green pears. Anna gives him 5 more apples. How many fruits does Tom have now?"
+    dense = "Add 2 kg 3 kg 5 kg of salt to 7 l 9 l 4 l of water"
+    alone = "1 2 3 4 5 6 7"
+    items = spark.createDataFrame([(1, names), (2, dense), (3, alone)], "item_id long, text string")
+    docs = [
+        (1, "Lena has 31 red apples and 4 green pears. Maria gives him 9 more apples. How many fruits does Lena have now?"),
+        (2, "Well then, Lena has 31 red apples and 4 green pears. Maria gives him 9 more apples. How many fruits does Lena have now? Tell."),
+        (3, "Lena has 31 red apples and 4 green pears. Maria gives him 9 more apples. How many fruits does Berta have now?"),
+        (4, "add 12 lb 13 lb 15 lb of salt to 17 m 19 m 14 m of water"),
+        (5, " ".join(str(k) for k in range(100, 400))),
+        (6, "7 1 2 3 4 5 6 7 8"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["n_windows"]) for r in decontaminate.contamination(spark.createDataFrame(docs, TEXT), items).collect()}
+    assert got == {(1, 1): (18, 18), (2, 1): (18, 18), (4, 2): (14, 14), (6, 3): (3, 3)}
+
+
 def test_contamination_query(spark, sf_dir):
     """Against a search for each item's bare words in each document's."""
     import re
