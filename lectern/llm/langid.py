@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -174,6 +175,41 @@ def long_word(word: bytes, nodes: dict[bytes, int], table: np.ndarray) -> np.nda
     return scale[n]
 
 
+def long_pieces(word: bytes, nodes: dict[bytes, int], table: np.ndarray) -> dict[int, float]:
+    """Expected uses of each piece in a long word, for one language: ``table`` has a probability a piece.
+
+    Forward and backward sums are kept as a scale at each position, as in ``long_word``.
+    """
+    n = len(word)
+    arcs: list[tuple[int, int, int]] = []
+    for s in range(n):
+        for e in range(s + 1, n + 1):
+            piece = nodes.get(word[s:e])
+            if piece is None:
+                break
+            if piece >= 0:
+                arcs.append((s, e, piece))
+    logs = np.log([table[p] for _, _, p in arcs]).tolist()
+    ahead, behind = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
+    for (s, e, _), log in zip(arcs, logs, strict=True):
+        ahead[s].append((e, log))
+        behind[e].append((s, log))
+
+    def total(parts: list[float]) -> float:
+        top = max(parts)
+        return top + math.log(sum(math.exp(x - top) for x in parts))
+
+    alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+    for e in range(1, n + 1):
+        alpha[e] = total([alpha[s] + log for s, log in behind[e]])
+    for s in range(n - 1, -1, -1):
+        beta[s] = total([beta[e] + log for e, log in ahead[s]])
+    used: dict[int, float] = {}
+    for (s, e, piece), log in zip(arcs, logs, strict=True):
+        used[piece] = used.get(piece, 0.0) + math.exp(alpha[s] + log + beta[e] - alpha[n])
+    return used
+
+
 class Scorer:
     """Log probabilities of words in every language, remembered between batches."""
 
@@ -273,6 +309,13 @@ def train(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DO
                     seen, at_ = np.unique(key, return_inverse=True)
                     got = np.bincount(at_, use / whole * n[some][w])
                     yield pd.DataFrame({"lang": (seen // n_pieces).astype(np.int32), "piece": (seen % n_pieces).astype(np.int32), "used": got})
+                long: dict[tuple[int, int], float] = {}
+                for i, c in enumerate(coded):
+                    if len(c) > SHORT_WORD:
+                        for piece, x in long_pieces(c, trie(path)[0], table[:, lang[i]]).items():
+                            long[lang[i], piece] = long.get((lang[i], piece), 0.0) + x * n[i]
+                if long:
+                    yield pd.DataFrame({"lang": np.array([k for k, _ in long], np.int32), "piece": np.array([p for _, p in long], np.int32), "used": list(long.values())})
 
         used = words.mapInPandas(expect, "lang int, piece int, used double").groupBy("lang", "piece").agg(F.sum("used").alias("used")).toPandas()  # pieces x labels at most
         fresh = np.full((n_pieces, len(langs)), PSEUDO)

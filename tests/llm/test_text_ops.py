@@ -107,6 +107,27 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_long_words_are_learned(spark):
+    """Languages without spaces, of long runs only, are told apart; expected pieces agree with the lattice's."""
+    rng = random.Random(4)
+    signs = {"zh": "的一是不了人我在有他这中大来上国", "ja": "のにはをたがでてとしれさある日本"}
+    run = lambda k: "".join(rng.choice(signs[k]) for _ in range(40))
+    rows = [(i, "。".join(run(k) for _ in range(5)), k) for i, k in enumerate(["ja", "zh"] * 20)]
+    langs, table = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(i, run(k), k) for i, k in enumerate(["ja", "zh"] * 10)]
+    got = langid.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), langs, table).collect()
+    assert [r["lang_pred"] for r in got] == [r["lang"] for r in got]
+    nodes, n = langid.trie(langid.default_vocabulary())
+    flat = np.full((n, 1), 1.0 / n)
+    word = " naïvestation".encode()
+    lattice = langid.Lattice([word], langid.node_table(langid.default_vocabulary()))
+    alpha, beta = lattice.forward(flat), lattice.backward(flat)
+    use = alpha[0, lattice.start, 0] * flat[lattice.piece, 0] * beta[0, lattice.end, 0] / alpha[0, len(word), 0]
+    want = np.bincount(lattice.piece, use, n)
+    used = langid.long_pieces(word, nodes, flat[:, 0])
+    assert set(used) == set(lattice.piece.tolist()) and all(v == pytest.approx(want[p]) for p, v in used.items())
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame(
         [(0, "the cat and the dog", "en", "a"), (1, "der Hund und die Katze", "de", "a"), (2, None, "en", None), (3, "123 !?", "de", ""), (4, "und der Hund", None, "a"), (None, "the dog", "en", "a"), (7, "the " * 50_000, "en", "a")],
