@@ -33,6 +33,9 @@ DOUBTFUL = {
     "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "search", "skip", "disclaimer", "form",
 }
 GOOD = {"content", "article", "main", "story", "entry", "text", "body"}
+#: Words that make a class a state of the page or article (has-sidebar, comments-open), not the name of a part.
+STATE = {"has", "no", "not", "with", "without", "open", "closed", "enabled", "disabled"}
+ARTICLES = {"article", "main"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -41,33 +44,79 @@ RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 HEAD_END = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I)
 
 
-def _excluded(tag: str, attributes: dict[str, str], raw: str) -> bool:
+def _hidden(tag: str, attributes: dict[str, str], raw: str) -> bool:
+    """Whether a subtree goes whatever it holds."""
     if tag in NEVER:
         return True
     if attributes.get("role", "").lower() in ROLES or re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", '""', raw)):
         return True
-    if attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    if tag == "body":
-        return False
-    words = set(NAME_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
-    return bool(words & BAD) or bool(words & DOUBTFUL and not words & GOOD)
+    return attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
+def _words(name: str) -> set[str]:
+    return set(NAME_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+
 
+def _marked(attributes: dict[str, str]) -> str:
+    """What the class and id say of a subtree: "bad", "state" (bad in a state only), "doubtful" or nothing."""
+    names = (attributes.get("class", "") + " " + attributes.get("id", "")).split()
+    words = set().union(*map(_words, names))
+    if words & BAD:
+        return "bad" if any(_words(w) & BAD and not _words(w) & STATE for w in names) else "state"
+    return "doubtful" if words & DOUBTFUL and not words & GOOD else ""
 
-def parse(page: str) -> tuple[list[tuple[int, str]], list[int], list[str]]:
-    """Blocks (container, text) in page order outside excluded subtrees; each container's parent and path."""
+
+def parse(page: str) -> tuple[list[tuple[int, str]], list[int], list[str], set[int]]:
+    """Blocks (container, text) in page order outside excluded subtrees; each container's parent and path; and the
+    containers that hold an h1.
+
+    Class and id words exclude no article or main, and nothing that holds the page's article: a container with an
+    article, main or most of the page's text, where no other article or main has more.  Where nothing is left, the
+    doubtful words and then all words are ignored.
+    """
+    marks: list[list] = []
+    out = _parse(page, frozenset(), marks)
+    if not any(m[0] for m in marks):
+        return out
+    total, elsewhere = marks[0][1], marks[0][2]
+    spared = {
+        i
+        for i, (mark, size, _, holds) in enumerate(marks)
+        if mark and size > elsewhere and (2 * size > total if holds and mark == "bad" else holds or mark != "bad" and 2 * size > total)
+    }
+    if spared:
+        out = _parse(page, spared, [])
+    for ignored in ({"doubtful", "state"}, {"doubtful", "state", "bad"}):
+        if not out[0]:
+            out = _parse(page, spared | {i for i, m in enumerate(marks) if m[0] in ignored}, [])
+    return out
+
+
+def _parse(page: str, spared, marks: list[list]) -> tuple[list[tuple[int, str]], list[int], list[str], set[int]]:
+    """One reading of a page in which the nesting tags numbered in ``spared`` are not excluded by their words.
+
+    ``marks`` gets a row (mark, characters, characters of unexcluded articles, holds an article) for each nesting tag,
+    the first for the page, hidden subtrees apart.
+    """
     parents, paths = [-1], [""]
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # (tag, container, inside an excluded subtree)
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # (tag, container, inside an excluded subtree, inside a hidden one, mark)
+    marks.append(["", 0, 0, False])
     blocks: list[tuple[int, str]] = []
+    headings: set[int] = set()
     parts: list[str] = []
     at, n = 0, len(page)
 
     def flush():
         if parts:
-            if not stack[-1][2]:
+            if not stack[-1][3]:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
-                    blocks.append((stack[-1][1], text))
+                    for _, _, _, _, mark in stack:
+                        marks[mark][1] += len(text)
+                    if not stack[-1][2]:
+                        blocks.append((stack[-1][1], text))
+                        if any(tag in ARTICLES for tag, *_ in stack):
+                            marks[0][2] += len(text)
             parts.clear()
 
     while at < n:
@@ -93,6 +142,8 @@ def parse(page: str) -> tuple[list[tuple[int, str]], list[int], list[str]]:
                 parts.append(" ")
             continue
         flush()
+        if tag == "h1" and not closing and not stack[-1][2]:
+            headings.add(stack[-1][1])
         if tag not in NESTING:
             continue
         if closing:
@@ -106,16 +157,24 @@ def parse(page: str) -> tuple[list[tuple[int, str]], list[int], list[str]]:
         if found[3].rstrip().endswith("/"):
             continue
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found[3])}
-        out = stack[-1][2] or _excluded(tag, attributes, found[3])
+        hidden = stack[-1][3] or _hidden(tag, attributes, found[3])
+        mark = "" if hidden or tag == "body" else _marked(attributes)
+        if tag in ARTICLES and not hidden:
+            if mark != "bad":
+                for *_, above in stack:
+                    marks[above][3] = True
+            mark = ""
+        out = stack[-1][2] or hidden or bool(mark) and len(marks) not in spared
         container = stack[-1][1]
         if tag in CONTAINERS and not out:
             names = ".".join(sorted({re.sub(r"\d+", "", w) for w in attributes.get("class", "").split()} - {""}))
             parents.append(container)
             paths.append(f"{paths[container]}/{tag}{'.' + names if names else ''}")
             container = len(parents) - 1
-        stack.append((tag, container, out))
+        stack.append((tag, container, out, hidden, len(marks)))
+        marks.append([mark, 0, 0, False])
     flush()
-    return blocks, parents, paths
+    return blocks, parents, paths, headings
 
 
 def scores(blocks: list[tuple[int, str]], parents: list[int]) -> list[float]:
@@ -148,7 +207,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, paths, votes = [], [], []
             for host, raw in zip(batch.column(0).to_pylist(), binary_column(batch.column(1)), strict=True):
-                blocks, parents, named = parse((raw or b"").decode())
+                blocks, parents, named, headings = parse((raw or b"").decode())
                 if blocks:
                     points = scores(blocks, parents)
                     best = max(range(len(points)), key=lambda c: (points[c], -c))
@@ -178,7 +237,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def read(raw: pd.Series, path: pd.Series) -> pd.Series:
         out = []
         for page, want in zip(raw, path, strict=True):
-            blocks, parents, named = parse(page or "")
+            blocks, parents, named, headings = parse(page or "")
             chosen = {c for c, p in enumerate(named) if p == want} if want is not None else set()
             text = text_of(blocks, parents, chosen) if chosen else ""
             if not text and blocks:

@@ -158,6 +158,29 @@ def test_pages(spark):
     assert votes["a.example"] == "/body/div.wrap/div.p.post-content"
 
 
+def texts_of_hosts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html_main.extract(df).orderBy("page_id").collect()]
+
+
+LONG, MORE = "A long paragraph of the article. " * 9 + "End.", "Another long part of it, of another class. " * 6 + "End."
+
+
+def test_class_words_spare_the_article(spark):
+    """Words of class or id exclude no article and no wrapper of the page."""
+    p = f"<p>{LONG}</p>"
+    pages = [
+        f"<article class='post comments-open'>{p}</article>",
+        f"<div class='post no-comments'>{p}</div>",
+        f"<div id='page' class='has-sidebar'><nav>No</nav>{p}<div class='sidebar'>Side</div></div>",
+        f"<div class='layout with-nav'><article>{p}</article><div id='comments'><p>{MORE * 3}</p></div></div>",
+        f"<main class='sidebar-right'>{p}</main>",
+        f"<div class='widget'>{p}</div>",
+        f"<article>{p}</article><div class='related'><article><p>Card</p></article></div>",
+    ]
+    assert texts_of_hosts(spark, pages) == [LONG] * 7
+
+
 def test_page_query(spark, sf_dir):
     from lectern.llm import queries
 
