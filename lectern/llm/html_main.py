@@ -1,7 +1,7 @@
 """Main-text extraction from HTML by consensus host paths.
 
-Every page's containers are scored by the text they hold; each page votes for the generalised tag-class path of
-its best container (digits and ids removed), and Spark adds the votes up per host.  Pages are then read again
+Every page's containers are scored by the text they hold; the best one is raised to the article around it, each
+page votes for its generalised tag-class path (digits and ids removed), and Spark adds the votes up per host.  Pages are then read again
 and the containers on the winning path of their host give the text; a page without one falls back to its own
 best container.
 """
@@ -188,6 +188,34 @@ def scores(blocks: list[tuple[int, str]], parents: list[int]) -> list[float]:
     return total
 
 
+def main_container(blocks: list[tuple[int, str]], parents: list[int], paths: list[str], headings: set[int]) -> tuple[int, float]:
+    """The article's container and its vote: the container with the best score, raised to what holds all of the article.
+
+    That is the article around it, or a main of which it is most; without those, the smallest container with most of
+    the page's text, or the one that adds the heading to it, if the text is still most of that one.
+    """
+    points = scores(blocks, parents)
+    best = max(range(len(points)), key=lambda c: (points[c], -c))
+    size, headed = [0] * len(parents), [c in headings for c in range(len(parents))]
+    for container, text in blocks:
+        size[container] += len(text)
+    for c in range(len(parents) - 1, 0, -1):
+        size[parents[c]] += size[c]
+        headed[parents[c]] |= headed[c]
+    chain = [best]
+    while parents[chain[-1]] >= 0:
+        chain.append(parents[chain[-1]])
+    tags = [re.split(r"[.]", paths[c].rsplit("/", 1)[-1])[0] for c in chain]
+    if "article" in tags:
+        return chain[tags.index("article")], points[best]
+    most = next((c for c in chain if 2 * size[c] > size[0]), best)
+    if "main" in tags:
+        main = chain[tags.index("main")]
+        return (main if 2 * size[best] > size[main] or most in chain[chain.index(main) :] else most), points[best]
+    titled = next((c for c in chain[chain.index(most) :] if headed[c]), most)
+    return (titled if 2 * size[most] > size[titled] else most), points[best]
+
+
 def text_of(blocks: list[tuple[int, str]], parents: list[int], chosen: set[int]) -> str:
     inside = [False] * len(parents)
     for c in range(len(parents)):
@@ -209,11 +237,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
             for host, raw in zip(batch.column(0).to_pylist(), binary_column(batch.column(1)), strict=True):
                 blocks, parents, named, headings = parse((raw or b"").decode())
                 if blocks:
-                    points = scores(blocks, parents)
-                    best = max(range(len(points)), key=lambda c: (points[c], -c))
+                    best, points = main_container(blocks, parents, named, headings)
                     hosts.append(host)
                     paths.append(named[best])
-                    votes.append(points[best])
+                    votes.append(points)
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "votes": pa.array(votes, pa.float64())})
 
     ballots = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes double")
@@ -241,8 +268,7 @@ def extract(pages: DataFrame) -> DataFrame:
             chosen = {c for c, p in enumerate(named) if p == want} if want is not None else set()
             text = text_of(blocks, parents, chosen) if chosen else ""
             if not text and blocks:
-                points = scores(blocks, parents)
-                text = text_of(blocks, parents, {max(range(len(points)), key=lambda c: (points[c], -c))})
+                text = text_of(blocks, parents, {main_container(blocks, parents, named, headings)[0]})
             out.append(text)
         return pd.Series(out)
 

@@ -166,6 +166,16 @@ def texts_of_hosts(spark, pages):
 LONG, MORE = "A long paragraph of the article. " * 9 + "End.", "Another long part of it, of another class. " * 6 + "End."
 
 
+def test_headline_and_parts_of_an_article(spark):
+    """The choice is the whole article, not the part with most characters; junk beside it stays out."""
+    inner = f"<h1>Head</h1><p class=lead>Lead</p><div class=entry-content><p>{LONG}</p></div><p>Close</p>"
+    cut = f"<h1>Head</h1><section class=a><p>{LONG}</p></section><section class=b><p>{MORE}</p></section>"
+    whole, both = f"Head\nLead\n{LONG}\nClose", f"Head\n{LONG}\n{MORE}"
+    side = "<div class=other><p>Something else</p></div>"
+    pages = [f"<body>{side}<{tag}>{x}</{tag.split()[0]}></body>" for x in (inner, cut) for tag in ("article", "main", "div class=post")]
+    assert texts_of_hosts(spark, pages) == [whole] * 3 + [both] * 3
+
+
 def test_class_words_spare_the_article(spark):
     """Words of class or id exclude no article and no wrapper of the page."""
     p = f"<p>{LONG}</p>"
