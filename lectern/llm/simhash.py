@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, checkpointed, give_back, mix, small_batches, stored
+from .common import binary_column, checkpointed, give_back, mix, ragged, small_batches, stored
 from .components import components
 
 BITS = 64
@@ -125,8 +125,11 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.n
     return links[:, 0], links[:, 1]
 
 
-def _tile_links(links):
-    """Compare runs of equal keys in partitions sorted by key with ``links(run, split)``; a run may go on over several batches."""
+def _by_tile(tiles: DataFrame, work, schema: str) -> DataFrame:
+    """``work(run, split)`` on each run of equal (k1, k2): one tile, or with ``cross`` a tile pair that is split after side 0.
+
+    Partitions are sorted by key and a run may go on over several batches.
+    """
     keys = ["k1", "k2"]
 
     def compare(run: pd.DataFrame):
@@ -138,9 +141,8 @@ def _tile_links(links):
             split = int((run["side"] == 0).sum())
             if not 0 < split < len(run):
                 return None
-        i, j = links(run, split)
-        node = run["node"].to_numpy()
-        return pd.DataFrame({"a": node[i], "b": node[j]}) if len(i) else None
+        out = work(run, split)
+        return out if len(out) else None
 
     def stream(batches):
         held: list[pd.DataFrame] = []
@@ -165,8 +167,10 @@ def _tile_links(links):
                     held.append(run)
         if held and (out := compare(pd.concat(held))) is not None:
             yield out
+        give_back()
 
-    return stream
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
 
 
 def link_forest(nodes: DataFrame, n: int, radius: int, tile: int = TILE) -> DataFrame:
@@ -203,9 +207,13 @@ def tile_forest(routed: DataFrame, radius: int, tile: int) -> DataFrame:
         "node",
         "fp",
     )
-    tiles = small.unionByName(large)
-    parts = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(_tile_links(lambda run, split: forest(run["fp"].to_numpy().view(np.uint64), radius, split)), "a long, b long")
+
+    def links(run: pd.DataFrame, split: int | None) -> pd.DataFrame:
+        i, j = forest(run["fp"].to_numpy().view(np.uint64), radius, split)
+        node = run["node"].to_numpy()
+        return pd.DataFrame({"a": node[i], "b": node[j]})
+
+    return _by_tile(small.unionByName(large), links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4, tile: int = TILE) -> DataFrame:
@@ -226,10 +234,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4, tile: int =
 
 # -- near copies by a share of common shingles ----------------------------------
 
-#: Bins of a text's sketch; bands of minimum hashes that bring texts into one tile, and hashes in a band.
-BINS, ROUTES, ROUTE_HASHES = 128, 16, 3
-#: How far below the wanted share a sketch's estimate may be for the pair to be compared: over four standard errors.
-SLACK = 0.15
+#: Routes (hashes of a few minimum hashes) that bring texts into one tile, and hashes in a route: a pair at 0.8 meets
+#: in one of them with probability 0.99999.
+ROUTES, ROUTE_HASHES = 16, 3
+#: Differing bits up to which a pair in a tile is compared whole: at 0.8 about 10 bits differ, with a deviation of 3.
+WIDE_RADIUS = 20
+#: Shingles in the largest tile, on average: 16 MB of hashes.
+TILE_GRAMS = 2_000_000
 MULTIPLIERS = (mix(np.arange(1, ROUTES * ROUTE_HASHES + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).reshape(1, -1)
 
 
@@ -243,157 +254,183 @@ def shape_of(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), 42)
 
 
-def sketch(grams: np.ndarray) -> tuple[bytes, list[int]]:
-    """(sketch, routes) of a set of shingles: a byte of the least hash in each bin, and hashed minimum hashes."""
+def mark_of(grams: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles."""
+    return int.from_bytes(np.packbits(2 * bit_counts(grams) > len(grams)).tobytes(), "big") if len(grams) else 0
+
+
+def routes_of(grams: np.ndarray) -> list[int]:
     if not len(grams):
-        return bytes(BINS), [0] * ROUTES
-    order = np.sort(mix(grams))[::-1]
-    bins = np.zeros(BINS, np.uint8)
-    bins[(order >> np.uint64(57)).astype(np.int64)] = (order & np.uint64(0xFF)).astype(np.uint8) % np.uint8(255) + np.uint8(1)  # the last write is the least hash
+        return [0] * ROUTES
+    mixed = mix(grams)
     least = np.full((1, ROUTES * ROUTE_HASHES), np.iinfo(np.uint64).max)
-    for at in range(0, len(order), 8_192):
-        least = np.minimum(least, (order[at : at + 8_192, None] * MULTIPLIERS).min(0, keepdims=True))
+    for at in range(0, len(mixed), 8_192):
+        least = np.minimum(least, (mixed[at : at + 8_192, None] * MULTIPLIERS).min(0, keepdims=True))
     rows = least.reshape(ROUTES, ROUTE_HASHES)
-    routes = mix(rows[:, 0] + mix(rows[:, 1] + mix(rows[:, 2] + np.arange(ROUTES, dtype=np.uint64))))
-    return bins.tobytes(), routes.view(np.int64).tolist()
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common shingles of each pair of sketches; bins empty in both say nothing."""
-    used = (a != 0) | (b != 0)
-    return ((a == b) & used).sum(1) / np.maximum(used.sum(1), 1)
-
-
-def proposals(sketches: np.ndarray, component: np.ndarray, least: float, every: bool, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of different components whose sketches agree on ``least`` of their bins: every one, or a
-    spanning forest; with ``split``, only between the first ``split`` and the rest."""
-    _, first, of = np.unique(component, return_index=True, return_inverse=True)
-    root = first[of]
-    left, right = (np.arange(len(root)),) * 2 if split is None else (np.arange(split), np.arange(split, len(root)))
-    found = [np.empty((0, 2), np.int64)]
+    return mix(rows[:, 0] + mix(rows[:, 1] + mix(rows[:, 2] + np.arange(ROUTES, dtype=np.uint64)))).view(np.int64).tolist()
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = int(root[x])
-        return x
 
-    for a in range(0, len(left), STRIP // 16):
-        la = left[a : a + STRIP // 16]
+def with_partner(fps: np.ndarray, sizes: np.ndarray, radius: int, least: float, split: int | None) -> np.ndarray:
+    """Which members have another one within ``radius`` bits whose size allows a share of ``least``."""
+    count = np.bitwise_count(fps).astype(np.int16)
+    sides = [np.arange(len(fps))] if split is None else [np.arange(split), np.arange(split, len(fps))]
+    sides = [s[np.argsort(count[s], kind="stable")] for s in sides]
+    left, right = sides[0], sides[-1]
+    has = np.zeros(len(fps), bool)
+    for a in range(0, len(left), STRIP):
+        la = left[a : a + STRIP]
         for b in range(a if split is None else 0, len(right), STRIP):
             lb = right[b : b + STRIP]
-            i, j = np.nonzero((root[la][:, None] != root[lb][None, :]) & (la[:, None] < lb[None, :]))
-            if not len(i):
-                continue
-            i, j = la[i], lb[j]
-            like = np.concatenate([similarity(sketches[i[k : k + 16_384]], sketches[j[k : k + 16_384]]) for k in range(0, len(i), 16_384)]) >= least
-            i, j = i[like], j[like]
-            if every:
-                found.append(np.stack([i, j], 1))
+            if count[lb[0]] - count[la[-1]] > radius or count[la[0]] - count[lb[-1]] > radius:
                 continue
-            _, one = np.unique(np.minimum(root[i], root[j]) * len(root) + np.maximum(root[i], root[j]), return_index=True)
-            for x, y in zip(i[one].tolist(), j[one].tolist(), strict=True):
-                rx, ry = find(x), find(y)
-                if rx != ry:
-                    root[max(rx, ry)] = min(rx, ry)
-                    found.append(np.array([[x, y]]))
-            while (root[root] != root).any():
-                root[:] = root[root]
-    links = np.concatenate(found)
+            near = np.bitwise_count(fps[la][:, None] ^ fps[lb][None, :]) <= radius
+            near &= np.minimum(sizes[la][:, None], sizes[lb][None, :]) >= least * np.maximum(sizes[la][:, None], sizes[lb][None, :])
+            if split is None and a == b:
+                np.fill_diagonal(near, False)
+            has[la] |= near.any(1)
+            has[lb] |= near.any(0)
+    return has
+
+
+def exact_forest(fps: np.ndarray, grams: list[np.ndarray], component: np.ndarray, radius: int, least: float, split: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (i, j) between different components: pairs within ``radius`` bits whose whole sets of shingles share ``least``."""
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    _, flat = np.unique(np.concatenate(grams), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    _, first, of = np.unique(component, return_index=True, return_inverse=True)
+    root = first[of]
+    held = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    found: list[tuple[int, int]] = []
+    n = len(grams)
+    for i in range(n if split is None else split):
+        low = i + 1 if split is None else split
+        near = (root[low:] != root[i]) & (np.bitwise_count(fps[low:] ^ fps[i]) <= radius)
+        near &= np.minimum(sizes[low:], sizes[i]) >= least * np.maximum(sizes[low:], sizes[i])
+        some = np.flatnonzero(near) + low
+        if not len(some):
+            continue
+        own = flat[starts[i] : ends[i]]
+        held[own] = True
+        hits = held[flat[ragged(starts[some], sizes[some])]]
+        common = np.add.reduceat(hits, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+        held[own] = False
+        like = some[common / (sizes[some] + sizes[i] - common) >= least]
+        roots, one = np.unique(root[like], return_index=True)
+        if len(one):
+            found += [(i, j) for j in like[one].tolist()]
+            root[np.isin(root, roots)] = root[i]
+    links = np.array(found, np.int64).reshape(-1, 2)
     return links[:, 0], links[:, 1]
 
 
-def proposed(nodes: DataFrame, least: float, every: bool, tile: int) -> DataFrame:
-    """Pairs (a, b) of shapes (shape, component, sketch, routes) that share a route, see ``proposals``."""
-    keys = nodes.select("shape", "component", F.explode("routes").alias("k1"))
-    crowds = keys.groupBy("k1").agg(F.count("*").alias("crowd"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k1", "crowd")
-    salts = F.ceil(F.col("crowd") / tile).cast("int")
-    placed = keys.join(crowds, "k1").withColumns({"salts": salts, "salt": F.pmod(F.xxhash64("shape", F.lit(3)), salts).cast("int")})
-    # A crowd is cut into ``salts`` tiles; a row goes to every tile pair that its tile takes part in.
-    tiles = placed.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+def tiles_of(routed: DataFrame, tile: int) -> DataFrame:
+    """Rows (k1, k2, side, cross, node, ...) of every tile and tile pair, from rows (node, k1, n, ...) that share k1.
+
+    A crowd is cut by a hash of the node; a row goes to every tile pair that its tile takes part in.  Values of k1 with
+    one row are left out.
+    """
+    crowds = routed.groupBy("k1").agg(F.count("*").alias("crowd"), F.sum("n").alias("weight")).where("crowd > 1")
+    salts = F.ceil(F.greatest(F.col("crowd") / tile, F.col("weight") / TILE_GRAMS)).cast("int")
+    placed = routed.join(crowds, "k1").withColumns({"salts": salts, "salt": F.pmod(F.xxhash64("node", F.lit(3)), salts).cast("int")})
+    rest = [c for c in routed.columns if c != "k1"]
+    return placed.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
         "k1",
         F.xxhash64(F.least("salt", "p"), F.greatest("salt", "p")).alias("k2"),
         F.when(F.col("salt") <= F.col("p"), 0).otherwise(1).alias("side"),
         F.when(F.col("salt") == F.col("p"), 0).otherwise(1).alias("cross"),
-        F.col("shape").alias("node"),
-        "component",
+        *rest,
     )
-    full = tiles.join(nodes.select(F.col("shape").alias("node"), "sketch"), "node")
-
-    def links(run: pd.DataFrame, split: int | None):
-        sketches = np.frombuffer(b"".join(run["sketch"]), np.uint8).reshape(len(run), -1)
-        return proposals(sketches, run["component"].to_numpy(), least, every, split)
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = full.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(_tile_links(links), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def _compared(members: DataFrame, grams: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links (a, b) confirmed by whole sets of shingles, a spanning forest a tile; ``members`` has (k1, k2, side, cross, node, component)."""
+    full = members.join(grams, "node")
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of shapes with a share of ``least`` common shingles, by comparing the whole sets."""
-
-    def hashed(batches):
-        for batch in batches:
-            grams = [gram_set((t or b"").lower().split(), size) for t in binary_column(batch.column(0))]
-            shapes = np.array([shape_of(g) for g in grams], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shapes), pa.array([g.tobytes() for g in grams], pa.binary())], names=["shape", "grams"])
-        give_back()
+    def links(run: pd.DataFrame, split: int | None) -> pd.DataFrame:
+        fps = run["fp"].to_numpy().view(np.uint64)
+        sets = [np.frombuffer(g, np.uint64) for g in run["grams"]]
+        i, j = exact_forest(fps, sets, run["component"].to_numpy(), radius, least, split)
+        node = run["node"].to_numpy()
+        return pd.DataFrame({"a": node[i], "b": node[j]})
 
-    def exact(batches):
-        for batch in batches:
-            a, b, left, right = batch.columns
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common / (len(x) + len(y) - common) >= least)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        give_back()
+    return _by_tile(full, links, "a long, b long")
 
-    pairs = checkpointed(pairs)
-    used = pairs.select(F.explode(F.array("a", "b")).alias("shape")).distinct().join(nodes.select("shape", "node"), "shape")
-    texts = docs.selectExpr("cast(doc_id as long) node", "text").join(used.select("node").distinct(), "node", "left_semi").select("text")
-    grams = stored(texts.mapInArrow(hashed, "shape long, grams binary").dropDuplicates(["shape"]), "shingles")
-    left, right = grams.select(F.col("shape").alias("a"), F.col("grams").alias("left")), grams.select(F.col("shape").alias("b"), F.col("grams").alias("right"))
-    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(exact, "a long, b long"))
 
+def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = WIDE_RADIUS, tile: int = TILE // 4) -> DataFrame:
+    """(doc_id, text_key, component_id) of every row: groups of texts linked by a share of ``least`` common shingles.
 
-def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts linked by a share of ``least`` common shingles.
+    Minimum hashes choose the tiles; inside a tile, SimHash fingerprints of the sets of shingles are compared by
+    exclusive-or and bit counts, and every pair within ``radius`` bits is decided by the whole sets of both texts.
+    Tiles return members or spanning forests, never pairs: a first pass says which members have a partner at all, a
+    second compares each of those in one of its tiles, which joins large groups of copies, and a third compares the
+    tiles that still hold more than one group.
 
-    Minimum hashes bring texts together (a pair at 0.8 meets in one of the routes with probability 0.99999) and
-    sketches propose pairs, down to ``SLACK`` below ``least``; a link is what the whole sets of shingles of both texts
-    confirm.  A first round takes a spanning forest of likely pairs, so that groups of many copies are joined before a
-    second compares every pair of different groups.  Texts of equal sets of shingles are one vertex.  Null, empty and
-    wordless texts are one group; rows without a doc_id form no component.
+    Texts of equal sets of shingles are one vertex, whatever rows they stand in, so rows that repeat a doc_id with
+    different texts are judged each by its own; ``text_key`` (xxhash64 of the text) tells them apart.  ``component_id``
+    is the smallest doc_id of the group.  Null, empty and wordless texts are one group; a text of fewer than ``size``
+    words is one shingle; rows without a doc_id form no component (null).
     """
 
     def run(batches):
         for batch in batches:
-            grams = [gram_set((t or b"").lower().split(), size) for t in binary_column(batch.column(1))]
-            made = [sketch(g) for g in grams]
+            sets = [gram_set((t or b"").lower().split(), size) for t in binary_column(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.array([shape_of(g) for g in grams], np.uint64).view(np.int64)),
-                    pa.array([m[0] for m in made], pa.binary()),
-                    pa.array([m[1] for m in made], pa.list_(pa.int64())),
+                    batch.column(1),
+                    pa.array(np.array([shape_of(g) for g in sets], np.uint64).view(np.int64)),
+                    pa.array(np.array([mark_of(g) for g in sets], np.uint64).view(np.int64)),
+                    pa.array([len(g) for g in sets], pa.int64()),
+                    pa.array([routes_of(g) for g in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "shape", "sketch", "routes"],
+                names=["doc_id", "text_key", "shape", "fp", "n", "routes"],
             )
         give_back()
 
+    def hashed(batches):
+        for batch in batches:
+            sets = [gram_set((t or b"").lower().split(), size) for t in binary_column(batch.column(0))]
+            shapes = np.array([shape_of(g) for g in sets], np.uint64).view(np.int64)
+            marks = np.array([mark_of(g) for g in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shapes), pa.array(marks), pa.array([g.tobytes() for g in sets], pa.binary())], names=["node", "fp", "grams"])
+        give_back()
+
+    def partnered(run: pd.DataFrame, split: int | None) -> pd.DataFrame:
+        has = with_partner(run["fp"].to_numpy().view(np.uint64), run["n"].to_numpy(), radius, least, split)
+        return run.loc[has, ["k1", "k2", "side", "cross", "node"]]
+
     small_batches(docs.sparkSession)
-    made = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, shape long, sketch binary, routes array<long>")
-    marks = stored(made, "sketches")
-    nodes = marks.where("doc_id is not null").groupBy("shape").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("sketch", "routes"), "doc_id").alias("of"))
-    nodes = stored(nodes.select("shape", "node", "of.sketch", "of.routes"), "shapes")
-    likely = confirmed(proposed(nodes.withColumn("component", F.col("shape")), least + SLACK / 3, False, tile), nodes, docs, size, least)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    marks = stored(keyed.mapInArrow(run, "doc_id long, text_key long, shape long, fp long, n long, routes array<long>"), "routes")
+    nodes = marks.where("doc_id is not null").groupBy("shape").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.min_by(F.struct("fp", "n", "routes"), "doc_id").alias("of"))
+    nodes = stored(nodes.select(F.col("shape").alias("node"), "at.doc_id", "at.text_key", "of.fp", "of.n", "of.routes"), "shapes")
+    tiles = tiles_of(nodes.select(F.explode("routes").alias("k1"), "node", "fp", "n"), tile)
+    members = checkpointed(_by_tile(tiles, partnered, "k1 long, k2 long, side int, cross int, node long"))
+    used = stored(members.select("node").distinct().join(nodes.select("node", "doc_id", "text_key"), "node").select("doc_id", "text_key"), "partnered")
+    texts = keyed.join(used, ["doc_id", "text_key"], "left_semi").select("text")
+    grams = stored(texts.mapInArrow(hashed, "node long, fp long, grams binary").dropDuplicates(["node"]), "shingles")
+    place = F.struct("cross", "k1", "k2", "side")  # the member's own tiles first
+    once = members.groupBy("node").agg(F.min(place).alias("at")).select("at.*", "node", F.col("node").alias("component"))
+    likely = checkpointed(_compared(once, grams, radius, least))
     found = checkpointed(components(likely))
-    joined = nodes.join(found, F.col("shape") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "shape"))
-    others = confirmed(proposed(joined, least - SLACK, True, tile), nodes, docs, size, least)
-    ends = [nodes.select(F.col("shape").alias(c), F.col("node").alias(f"node_{c}")) for c in "ab"]
-    links = likely.unionByName(others).join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    found = components(links)
-    shapes = nodes.join(found, F.col("node") == F.col("vertex"), "left").select("shape", F.coalesce("component", "node").alias("component_id"))
-    return marks.select("doc_id", "shape").join(shapes, "shape", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = members.join(found, F.col("node") == F.col("vertex"), "left").select(*members.columns, F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k1", "k2")
+    others = _compared(named.join(mixed, ["k1", "k2"], "left_semi"), grams, radius, least)
+    joined = components(likely.unionByName(others)).withColumnRenamed("vertex", "node")
+    linked = checkpointed(joined.join(nodes.select("node", "doc_id"), "node"))
+    least_id = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    shapes = nodes.select("node", F.col("doc_id").alias("first_id")).join(linked.join(least_id, "component").select("node", "component_id"), "node", "left")
+    rows = marks.select("doc_id", "text_key", F.col("shape").alias("node")).join(shapes, "node", "left")
+    return rows.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id")).alias("component_id"))
+
+
+def without_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is the smallest of the group of their text, see ``near_copies``.
+
+    All columns are kept as they are; rows without a doc_id stay.  The rows that go are written first, so the planner
+    knows their size when it joins them.
+    """
+    gone = stored(near_copies(docs.select("doc_id", "text"), size, least).where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "copies")
+    same = (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_key"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
