@@ -43,8 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Five-word shingles and a similarity of 0.8; a text of fewer words is one shingle, wordless texts are one group.
     """
-    groups = simhash.near_copies(docs, size=5, least=0.8).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return simhash.without_copies(docs, size=5, least=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
