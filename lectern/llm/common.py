@@ -27,7 +27,7 @@ BLOCK_SCHEMA = "block_id long, doc_ids binary, lens binary, tokens binary, words
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests, local mode)."""
+    """The cluster's checkpoint folder; in local mode a temporary one where none is configured."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = tempfile.mkdtemp(prefix="lectern-shared-")
     context.setCheckpointDir(root)
     return root
@@ -63,6 +65,21 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Each name with underscores before it until no column of ``df`` has it; Spark compares names without case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[F.Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

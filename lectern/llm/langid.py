@@ -11,28 +11,29 @@ from __future__ import annotations
 import base64
 import functools
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, checkpointed, chunks, give_back, small_batches
+from .common import Numbering, checkpointed, chunks, free_names, give_back, own_columns, small_batches, stored
 
 #: Documents per language that fitting expects to read, rounds of EM, and pseudo-count of every piece.
 FIT_DOCS, ROUNDS, PSEUDO = 2_000, 4, 0.01
-#: Labels that a model may have: with the vocabulary this bounds what the driver holds.
-MAX_LABELS = 500
-#: Words up to this many bytes are scored together; probabilities of longer ones are rescaled on the way.
+#: Labels of one table: with the vocabulary this bounds what the driver and a task hold.  More labels make more tables.
+TABLE_LABELS = 500
+#: Words up to this many bytes are swept together, longer ones one by one; both keep a scale, so sums never vanish.
 SHORT_WORD = 48
 MEMORY = 100_000
 BATCH_BYTES = 1 << 20
 
-words_of = re.compile(r"[^\W\d_]+").findall
+#: A word is a letter (Unicode category L) and the letters and marks after it.
+words_of = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 def default_vocabulary() -> str:
@@ -153,6 +154,27 @@ class Lattice:
         return self._sweep(self.start, table, beta, self.end, backward=True)
 
 
+@functools.lru_cache(maxsize=2)
+def piece_bytes(path: str) -> np.ndarray:
+    """Bytes of each piece; those of pieces longer than a short word count as one more."""
+    nodes, n = trie(path)
+    lens = np.zeros(n)
+    for piece, number in nodes.items():
+        if number >= 0:
+            lens[number] = min(len(piece), SHORT_WORD + 1)
+    return lens
+
+
+def scaled(table: np.ndarray, path: str) -> tuple[np.ndarray, float]:
+    """(table, log scale): probabilities times a scale for each byte of the piece.
+
+    Every segmentation of a word has all its bytes, so sums of ``n`` bytes are too large by n scales exactly.  The scale
+    is the inverse root of the smallest probability: sums of short words stay between its powers of 24 and -24.
+    """
+    log = -math.log(table.min()) / 2
+    return table * np.exp(np.minimum(log * piece_bytes(path), 690.0))[:, None], log
+
+
 def long_word(word: bytes, nodes: dict[bytes, int], table: np.ndarray) -> np.ndarray:
     """Log probability of a long word: the forward pass with a running scale at each position."""
     n, langs = len(word), table.shape[1]
@@ -215,6 +237,7 @@ class Scorer:
 
     def __init__(self, table: np.ndarray, path: str):
         self.table, self.path = table, path
+        self.swept, self.scale = scaled(table, path)
         self.known: dict[str, int] = {}
         self.logs = np.zeros((0, table.shape[1]))
 
@@ -231,8 +254,8 @@ class Scorer:
             for at in range(0, len(short), 10_000):
                 some = short[at : at + 10_000]
                 lattice = Lattice([coded[i] for i in some], node_table(self.path))
-                alpha = lattice.forward(self.table)
-                logs[some] = np.log(np.maximum(alpha[np.arange(len(some)), lattice.lens], 1e-300))
+                alpha = lattice.forward(self.swept)
+                logs[some] = np.log(alpha[np.arange(len(some)), lattice.lens]) - self.scale * lattice.lens[:, None]
             for i, c in enumerate(coded):
                 if len(c) > SHORT_WORD:
                     logs[i] = long_word(c, trie(self.path)[0], self.table)
@@ -260,25 +283,30 @@ def in_training(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2
 
 
-def train(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages and a table (piece, language) of probabilities, from the labelled rows of ``docs``.
+#: A table (piece, language) of probabilities with its languages in order.
+Table = tuple[list[str], np.ndarray]
+
+
+def train(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS) -> list[Table]:
+    """Tables of probabilities, ``TABLE_LABELS`` languages each, from the labelled rows of ``docs``.
 
     Fitting reads about ``fit_docs`` documents of each language, chosen by a hash of doc_id and text, whatever the
-    size of the input; a language with fewer gives all of them.
+    size of the input; a language with fewer gives all of them.  All words of those documents count, whatever their
+    length.  Rows without a text or a label teach nothing; without any there is no table.
     """
-    path = vocabulary or default_vocabulary()
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LABELS + 1).collect()}
-    if len(sizes) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
-    langs = sorted(sizes)
+    sizes = [(r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect()]  # a row a language
+    sizes.sort()
+    path = vocabulary or default_vocabulary()
+    return [_train_table(labelled, dict(sizes[at : at + TABLE_LABELS]), path, fit_docs, rounds) for at in range(0, len(sizes), TABLE_LABELS)]
+
+
+def _train_table(labelled: DataFrame, sizes: dict[str, int], path: str, fit_docs: int, rounds: int) -> Table:
+    langs = list(sizes)
     _, n_pieces = trie(path)
-    if not langs:
-        return langs, np.zeros((n_pieces, 0))
-    spark = docs.sparkSession
-    share = spark.createDataFrame([(k, min(1.0, fit_docs / n)) for k, n in sizes.items()], "lang string, share double")
+    share = labelled.sparkSession.createDataFrame([(k, min(1.0, fit_docs / n)) for k, n in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")  # a row a language, MAX_LABELS at most
+    chosen = labelled.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")  # a row a language, TABLE_LABELS at most
 
     def count(batches):
         for batch in batches:
@@ -294,6 +322,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DO
     for _ in range(rounds):
 
         def expect(batches, table=table):
+            swept, _ = scaled(table, path)  # the scales of a word cancel in its shares
             for pdf in batches:
                 coded = [b" " + w.encode() for w in pdf["word"]]
                 lang, n = pdf["lang"].map(column).to_numpy(), pdf["n"].to_numpy(float)
@@ -301,13 +330,13 @@ def train(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DO
                 for at in range(0, len(short), 5_000):
                     some = short[at : at + 5_000]
                     lattice = Lattice([coded[i] for i in some], node_table(path))
-                    alpha, beta = lattice.forward(table), lattice.backward(table)
+                    alpha, beta = lattice.forward(swept), lattice.backward(swept)
                     k, w = lang[some][lattice.word], lattice.word
-                    use = alpha[w, lattice.start, k] * table[lattice.piece, k] * beta[w, lattice.end, k]
-                    whole = np.maximum(alpha[w, lattice.lens[w], k], 1e-300)
+                    whole = alpha[w, lattice.lens[w], k]
+                    use = alpha[w, lattice.start, k] / whole * swept[lattice.piece, k] * beta[w, lattice.end, k]
                     key = k.astype(np.int64) * n_pieces + lattice.piece
                     seen, at_ = np.unique(key, return_inverse=True)
-                    got = np.bincount(at_, use / whole * n[some][w])
+                    got = np.bincount(at_, use * n[some][w])
                     yield pd.DataFrame({"lang": (seen // n_pieces).astype(np.int32), "piece": (seen % n_pieces).astype(np.int32), "used": got})
                 long: dict[tuple[int, int], float] = {}
                 for i, c in enumerate(coded):
@@ -324,37 +353,56 @@ def train(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DO
     return langs, table
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (posterior under equal priors), without a shuffle.
+JUDGED = "lang string, top double, total double"
 
-    A text that is null or has no letter is ``und`` with score 0, and so is every text when nothing was learned.
-    """
-    path = vocabulary or default_vocabulary()
-    model = docs.sparkSession.sparkContext.broadcast(table)  # pieces x labels, both bounded
-    small_batches(docs.sparkSession)
+
+def _judge(table: Table, path: str, spark):
+    """The best language of a text in one table, its log probability, and the sum of all languages' beside it."""
+    langs = table[0]
+    model = spark.sparkContext.broadcast(table[1])  # pieces x labels, both bounded
 
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.value, path)  # of this task: the worker process outlives it
         for text in batches:
-            texts = [t or "" for t in text]
-            if not langs:
-                yield pd.DataFrame({"lang": ["und"] * len(texts), "score": [0.0] * len(texts)})
-                continue
-            names, scores = [], []
-            for chunk in chunks(texts, map(len, texts), BATCH_BYTES):
+            names, tops, totals = [], [], []
+            for chunk in chunks([t or "" for t in text], [len(t or "") for t in text], BATCH_BYTES):
                 logs = scorer.texts(chunk)
-                best = logs.argmax(axis=1)
-                share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+                best, top = logs.argmax(axis=1), logs.max(axis=1)
                 blank = (logs == 0).all(axis=1)
-                names += ["und" if b else langs[i] for i, b in zip(best, blank, strict=True)]
-                scores += [0.0 if b else float(x) for x, b in zip(share, blank, strict=True)]
-            yield pd.DataFrame({"lang": names, "score": scores})
+                names += [None if b else langs[i] for i, b in zip(best, blank, strict=True)]
+                tops += top.tolist()
+                totals += np.exp(logs - top[:, None]).sum(axis=1).tolist()
+            yield pd.DataFrame({"lang": pd.Series(names, dtype=object), "top": tops, "total": totals})
         del scorer
         give_back()
 
-    classify = F.pandas_udf(classify, "lang string, score double")
-    out = docs.withColumn("_lang", classify(F.col("text")))
-    return out.withColumns({"lang_pred": F.col("_lang.lang"), "lang_score": F.col("_lang.score")}).drop("_lang")
+    return F.pandas_udf(classify, JUDGED)
+
+
+def predict(docs: DataFrame, tables: list[Table], vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score`` (posterior under equal priors), without a shuffle.
+
+    A text that is null or has no letter is ``und`` with score 0, and so is every text when nothing was learned.  Ties
+    go to the first language in sorted order.  Columns of ``docs`` are kept as they are: where one has the name of a
+    result, the result gets underscores before its own, see ``free_names``.  Beyond the first table, each costs one more
+    pass over the texts, written between passes.
+    """
+    path, spark = vocabulary or default_vocabulary(), docs.sparkSession
+    best, more, pred, score = free_names(docs, "lang_best", "lang_more", "lang_pred", "lang_score")
+    small_batches(spark)
+    out = docs.withColumn(best, F.lit(None).cast("struct<lang: string, top: double, total: double>"))
+    for i, table in enumerate(tables):
+        judged = _judge(table, path, spark)("text")
+        if not i:
+            out = docs.withColumn(best, judged)
+            continue
+        out = stored(out, "judged").withColumn(more, judged)
+        a, b = F.col(best), F.col(more)
+        top = F.greatest(a["top"], b["top"])
+        total = a["total"] * F.exp(a["top"] - top) + b["total"] * F.exp(b["top"] - top)
+        out = out.withColumn(best, F.struct(F.when(b["top"] > a["top"], b["lang"]).otherwise(a["lang"]).alias("lang"), top.alias("top"), total.alias("total"))).drop(more)
+    lang = F.col(best)["lang"]
+    return out.select(*own_columns(docs), F.coalesce(lang, F.lit("und")).alias(pred), F.when(lang.isNull(), 0.0).otherwise(1 / F.col(best)["total"]).alias(score))
 
 
 def identify(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT_DOCS) -> DataFrame:
@@ -364,6 +412,6 @@ def identify(docs: DataFrame, vocabulary: str | None = None, fit_docs: int = FIT
     """
     narrow = docs.select("doc_id", "text", "lang")
     used = F.coalesce(in_training(F.col("doc_id")), F.lit(True))
-    langs, table = train(narrow.where(used), vocabulary, fit_docs)
-    out = predict(narrow.select("doc_id", "text"), langs, table, vocabulary)
+    tables = train(narrow.where(used), vocabulary, fit_docs)
+    out = predict(narrow.select("doc_id", "text"), tables, vocabulary)
     return out.select(F.col("doc_id"), (~F.coalesce(in_training(F.col("doc_id")), F.lit(True))).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
