@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, small_batches, stored
+from .common import binary_column, free_names, small_batches, stored
 
 CONTAINERS = {"body", "main", "article", "section", "div", "td", "table", "center", "fieldset", "li", "dd", "blockquote", "figure", "details"}
 #: Subtrees that never hold main text.
@@ -37,11 +39,13 @@ GOOD = {"content", "article", "main", "story", "entry", "text", "body"}
 STATE = {"has", "no", "not", "with", "without", "open", "closed", "enabled", "disabled"}
 ARTICLES = {"article", "main"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag ends at the first ``>`` outside quotes, or at the first one where a quote is never closed; an unquoted ``<``
+#: gives it up, so that a page of unclosed tags takes time in proportion to its length.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>|<[!?][^<>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_WORDS = re.compile(r"[a-z]+")
-RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
-HEAD_END = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\b[^<>]*+>?", re.I) for tag in RAW}
+HEAD_END = re.compile(r"</head\b[^<>]*+>?|(?=<body\b)", re.I)
 
 
 def _hidden(tag: str, attributes: dict[str, str], raw: str) -> bool:
@@ -53,70 +57,112 @@ def _hidden(tag: str, attributes: dict[str, str], raw: str) -> bool:
     return attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
 
 
-def _words(name: str) -> set[str]:
-    return set(NAME_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+def _words(name: str) -> list[str]:
+    return NAME_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+
+
+def _doubtful(name: list[str]) -> bool:
+    """Whether a name is of a doubtful part: cookie-content is, entry-header, a part of the article, is not."""
+    return next((w in DOUBTFUL for w in name if w in DOUBTFUL or w in GOOD), False)
 
 
 def _marked(attributes: dict[str, str]) -> str:
     """What the class and id say of a subtree: "bad", "state" (bad in a state only), "doubtful" or nothing."""
-    names = (attributes.get("class", "") + " " + attributes.get("id", "")).split()
-    words = set().union(*map(_words, names))
-    if words & BAD:
-        return "bad" if any(_words(w) & BAD and not _words(w) & STATE for w in names) else "state"
-    return "doubtful" if words & DOUBTFUL and not words & GOOD else ""
+    names = [_words(w) for w in (attributes.get("class", "") + " " + attributes.get("id", "")).split()]
+    bad = [w for w in names if not BAD.isdisjoint(w)]
+    if bad:
+        return "bad" if any(STATE.isdisjoint(w) for w in bad) else "state"
+    good = any(not GOOD.isdisjoint(w) and DOUBTFUL.isdisjoint(w) for w in names)
+    return "doubtful" if not good and any(map(_doubtful, names)) else ""
+
+
+class Page:
+    """What one reading of a page found: blocks (container, text) in page order, and of each container its parent, its
+    name (tag and classes), a hash of its path, and whether it holds an h1.  Container 0 is the page."""
+
+    def __init__(self):
+        self.blocks: list[tuple[int, str]] = []
+        self.parents, self.names, self.hashes = [-1], [""], [path_hash("")]
+        self.headings: set[int] = set()
+
+    def add(self, parent: int, name: str) -> int:
+        self.parents.append(parent)
+        self.names.append(name)
+        self.hashes.append(_step(self.hashes[parent], name))
+        return len(self.parents) - 1
+
+    def path(self, container: int) -> str:
+        """The generalised path; only that of the voted container is ever written out."""
+        parts = []
+        while container > 0:
+            parts.append(self.names[container])
+            container = self.parents[container]
+        return "".join("/" + x for x in reversed(parts))
+
+
+def _step(above: int, name: str) -> int:
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), above)
+
+
+def path_hash(path: str) -> int:
+    out = 0
+    for name in path.split("/")[1:]:
+        out = _step(out, name)
+    return out
 
 
-def parse(page: str) -> tuple[list[tuple[int, str]], list[int], list[str], set[int]]:
-    """Blocks (container, text) in page order outside excluded subtrees; each container's parent and path; and the
-    containers that hold an h1.
+def parse(page: str) -> Page:
+    """The page outside excluded subtrees.
 
     Class and id words exclude no article or main, and nothing that holds the page's article: a container with an
     article, main or most of the page's text, where no other article or main has more.  Where nothing is left, the
     doubtful words and then all words are ignored.
     """
-    marks: list[list] = []
-    out = _parse(page, frozenset(), marks)
-    if not any(m[0] for m in marks):
+    out, marks = _parse(page, frozenset())
+    if not any(m[1] for m in marks):
         return out
-    total, elsewhere = marks[0][1], marks[0][2]
+    size, holds = [m[2] for m in marks], [m[3] for m in marks]
+    for i in range(len(marks) - 1, 0, -1):
+        size[marks[i][0]] += size[i]
+        holds[marks[i][0]] |= holds[i]
+    total, elsewhere = size[0], marks[0][4]
     spared = {
         i
-        for i, (mark, size, _, holds) in enumerate(marks)
-        if mark and size > elsewhere and (2 * size > total if holds and mark == "bad" else holds or mark != "bad" and 2 * size > total)
+        for i, (_, mark, *_) in enumerate(marks)
+        if mark and size[i] > elsewhere and (2 * size[i] > total if holds[i] and mark == "bad" else holds[i] or mark != "bad" and 2 * size[i] > total)
     }
     if spared:
-        out = _parse(page, spared, [])
+        out, _ = _parse(page, spared)
     for ignored in ({"doubtful", "state"}, {"doubtful", "state", "bad"}):
-        if not out[0]:
-            out = _parse(page, spared | {i for i, m in enumerate(marks) if m[0] in ignored}, [])
+        if not out.blocks:
+            out, _ = _parse(page, spared | {i for i, m in enumerate(marks) if m[1] in ignored})
     return out
 
 
-def _parse(page: str, spared, marks: list[list]) -> tuple[list[tuple[int, str]], list[int], list[str], set[int]]:
+def _parse(page: str, spared) -> tuple[Page, list[list]]:
     """One reading of a page in which the nesting tags numbered in ``spared`` are not excluded by their words.
 
-    ``marks`` gets a row (mark, characters, characters of unexcluded articles, holds an article) for each nesting tag,
-    the first for the page, hidden subtrees apart.
+    The marks have a row (parent, mark, own characters, is an article that words do not exclude, characters of
+    unexcluded articles) for each nesting tag, the first for the page, hidden subtrees apart.
     """
-    parents, paths = [-1], [""]
-    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # (tag, container, inside an excluded subtree, inside a hidden one, mark)
-    marks.append(["", 0, 0, False])
-    blocks: list[tuple[int, str]] = []
-    headings: set[int] = set()
+    out = Page()
+    stack: list[tuple[str, int, bool, bool, int, bool]] = [("", 0, False, False, 0, False)]  # (tag, container, inside an excluded subtree, inside a hidden one, mark, inside an article)
+    marks: list[list] = [[-1, "", 0, False, 0]]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    at, n = 0, len(page)
+    at, n, headless = 0, len(page), False
 
     def flush():
         if parts:
-            if not stack[-1][3]:
+            _, container, excluded, hidden, mark, in_article = stack[-1]
+            if not hidden:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
-                    for _, _, _, _, mark in stack:
-                        marks[mark][1] += len(text)
-                    if not stack[-1][2]:
-                        blocks.append((stack[-1][1], text))
-                        if any(tag in ARTICLES for tag, *_ in stack):
-                            marks[0][2] += len(text)
+                    marks[mark][2] += len(text)
+                    if not excluded:
+                        out.blocks.append((container, text))
+                        if in_article:
+                            marks[0][4] += len(text)
             parts.clear()
 
     while at < n:
@@ -133,8 +179,9 @@ def _parse(page: str, spared, marks: list[list]) -> tuple[list[tuple[int, str]],
         tag = tag.lower()
         closing = bool(found[1])
         if tag in RAW:
-            if not closing and not found[3].rstrip().endswith("/"):
+            if not closing and not found[3].rstrip().endswith("/") and not (tag == "head" and headless):
                 end = (HEAD_END if tag == "head" else RAW_END[tag]).search(page, at)
+                headless |= tag == "head" and end is None
                 at = end.end() if end else (at if tag == "head" else n)
             continue
         if tag not in BLOCKS:
@@ -143,38 +190,36 @@ def _parse(page: str, spared, marks: list[list]) -> tuple[list[tuple[int, str]],
             continue
         flush()
         if tag == "h1" and not closing and not stack[-1][2]:
-            headings.add(stack[-1][1])
+            out.headings.add(stack[-1][1])
         if tag not in NESTING:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                while True:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
+                        break
             continue
         if tag == "li" and stack[-1][0] == "li":
             stack.pop()
+            opened["li"] -= 1
         if found[3].rstrip().endswith("/"):
             continue
+        _, container, excluded, hidden, above, in_article = stack[-1]
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found[3])}
-        hidden = stack[-1][3] or _hidden(tag, attributes, found[3])
+        hidden = hidden or _hidden(tag, attributes, found[3])
         mark = "" if hidden or tag == "body" else _marked(attributes)
-        if tag in ARTICLES and not hidden:
-            if mark != "bad":
-                for *_, above in stack:
-                    marks[above][3] = True
-            mark = ""
-        out = stack[-1][2] or hidden or bool(mark) and len(marks) not in spared
-        container = stack[-1][1]
-        if tag in CONTAINERS and not out:
-            names = ".".join(sorted({re.sub(r"\d+", "", w) for w in attributes.get("class", "").split()} - {""}))
-            parents.append(container)
-            paths.append(f"{paths[container]}/{tag}{'.' + names if names else ''}")
-            container = len(parents) - 1
-        stack.append((tag, container, out, hidden, len(marks)))
-        marks.append([mark, 0, 0, False])
+        article = tag in ARTICLES and not hidden
+        marks.append([above, "" if article else mark, 0, article and mark != "bad", 0])
+        excluded = excluded or hidden or bool(marks[-1][1]) and len(marks) - 1 not in spared
+        if tag in CONTAINERS and not excluded:
+            names = ".".join(sorted({re.sub(r"[\d/]+", "", w) for w in attributes.get("class", "").split()} - {""}))
+            container = out.add(container, f"{tag}{'.' + names if names else ''}")
+        stack.append((tag, container, excluded, hidden, len(marks) - 1, in_article or tag in ARTICLES))
+        opened[tag] += 1
     flush()
-    return blocks, parents, paths, headings
+    return out, marks
 
 
 def scores(blocks: list[tuple[int, str]], parents: list[int]) -> list[float]:
@@ -188,16 +233,17 @@ def scores(blocks: list[tuple[int, str]], parents: list[int]) -> list[float]:
     return total
 
 
-def main_container(blocks: list[tuple[int, str]], parents: list[int], paths: list[str], headings: set[int]) -> tuple[int, float]:
+def main_container(page: Page) -> tuple[int, float]:
     """The article's container and its vote: the container with the best score, raised to what holds all of the article.
 
     That is the article around it, or a main of which it is most; without those, the smallest container with most of
     the page's text, or the one that adds the heading to it, if the text is still most of that one.
     """
-    points = scores(blocks, parents)
+    parents = page.parents
+    points = scores(page.blocks, parents)
     best = max(range(len(points)), key=lambda c: (points[c], -c))
-    size, headed = [0] * len(parents), [c in headings for c in range(len(parents))]
-    for container, text in blocks:
+    size, headed = [0] * len(parents), [c in page.headings for c in range(len(parents))]
+    for container, text in page.blocks:
         size[container] += len(text)
     for c in range(len(parents) - 1, 0, -1):
         size[parents[c]] += size[c]
@@ -205,7 +251,7 @@ def main_container(blocks: list[tuple[int, str]], parents: list[int], paths: lis
     chain = [best]
     while parents[chain[-1]] >= 0:
         chain.append(parents[chain[-1]])
-    tags = [re.split(r"[.]", paths[c].rsplit("/", 1)[-1])[0] for c in chain]
+    tags = [page.names[c].split(".")[0] for c in chain]
     if "article" in tags:
         return chain[tags.index("article")], points[best]
     most = next((c for c in chain if 2 * size[c] > size[0]), best)
@@ -216,11 +262,11 @@ def main_container(blocks: list[tuple[int, str]], parents: list[int], paths: lis
     return (titled if 2 * size[most] > size[titled] else most), points[best]
 
 
-def text_of(blocks: list[tuple[int, str]], parents: list[int], chosen: set[int]) -> str:
-    inside = [False] * len(parents)
-    for c in range(len(parents)):
-        inside[c] = c in chosen or (parents[c] >= 0 and inside[parents[c]])
-    return "\n".join(text for container, text in blocks if inside[container])
+def text_of(page: Page, chosen: set[int]) -> str:
+    inside = [False] * len(page.parents)
+    for c, parent in enumerate(page.parents):
+        inside[c] = c in chosen or (parent >= 0 and inside[parent])
+    return "\n".join(text for container, text in page.blocks if inside[container])
 
 
 def host_of(url) -> F.Column:
@@ -235,11 +281,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, paths, votes = [], [], []
             for host, raw in zip(batch.column(0).to_pylist(), binary_column(batch.column(1)), strict=True):
-                blocks, parents, named, headings = parse((raw or b"").decode())
-                if blocks:
-                    best, points = main_container(blocks, parents, named, headings)
+                page = parse((raw or b"").decode())
+                if page.blocks:
+                    best, points = main_container(page)
                     hosts.append(host)
-                    paths.append(named[best])
+                    paths.append(page.path(best))
                     votes.append(points)
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "votes": pa.array(votes, pa.float64())})
 
@@ -251,25 +297,28 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` without html, with ``text`` (empty if there is none) of every row.
 
-    Null html and url are empty; rows that repeat a page each give a row; pages without a host share one vote.
+    Null html and url are empty; rows that repeat a page each give a row; pages without a host share one vote.  Ties of
+    votes go to the path that sorts last.  A column of ``pages`` that is called text gives way; all others stay.
     The host table is written first, so that its size is known when the join is planned.
     """
     small_batches(pages.sparkSession)
-    winners = stored(host_paths(pages), "host-paths").select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    names = [c for c in pages.columns if c not in ("html", "text")]
-    keyed = pages.select(*[F.col(f"`{c}`") for c in names], "html", host_of(F.col("url")).alias("_key"))
-    joined = keyed.join(winners, F.col("_key") == F.col("_host"), "left")
+    won, path, key = free_names(pages, "won_host", "won_path", "page_host")
+    winners = stored(host_paths(pages), "host-paths").select(F.col("host").alias(won), F.col("path").alias(path))
+    names = [c for c in pages.columns if c.lower() not in ("html", "text")]
+    keyed = pages.select(*[F.col(f"`{c}`") for c in names], "html", host_of(F.col("url")).alias(key))
+    joined = keyed.join(winners, F.col(key) == F.col(won), "left")
 
     @F.pandas_udf("string")
     def read(raw: pd.Series, path: pd.Series) -> pd.Series:
         out = []
-        for page, want in zip(raw, path, strict=True):
-            blocks, parents, named, headings = parse(page or "")
-            chosen = {c for c, p in enumerate(named) if p == want} if want is not None else set()
-            text = text_of(blocks, parents, chosen) if chosen else ""
-            if not text and blocks:
-                text = text_of(blocks, parents, {main_container(blocks, parents, named, headings)[0]})
+        for source, want in zip(raw, path, strict=True):
+            page = parse(source or "")
+            wanted = path_hash(want) if want is not None else None
+            chosen = {c for c, h in enumerate(page.hashes) if h == wanted}
+            text = text_of(page, chosen) if chosen else ""
+            if not text and page.blocks:
+                text = text_of(page, {main_container(page)[0]})
             out.append(text)
         return pd.Series(out)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], read("html", "_path").alias("text"))
+    return joined.select(*[F.col(f"`{c}`") for c in names], read("html", path).alias("text"))
