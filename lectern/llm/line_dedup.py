@@ -18,29 +18,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as A
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, free_names, own_columns, small_batches, stored
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row (h1, h2, doc_id, pos) for each line whose key is long enough."""
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """One row (h1, h2, doc_id, text_key, pos) for each line whose key is long enough."""
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    lines = known.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     key = F.translate(F.btrim("line", F.lit(SPACE)), UPPER, LOWER)
-    keyed = lines.select("doc_id", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos")
+    keyed = lines.select("doc_id", "text_key", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_key", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10, partitions: int | None = None) -> DataFrame:
-    """(doc_id, keep): a compressed bitmap for each document that loses lines.
+    """(doc_id, text_key, keep): a compressed bitmap for each text of a document that loses lines.
 
     ``keep`` holds one bit a line, little-endian within bytes, 1 for lines that stay, up to the last line that
-    goes; lines beyond its end stay.
+    goes; lines beyond its end stay.  ``text_key`` (xxhash64 of the text) tells rows of one doc_id apart.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["h1", "h2", "doc_id", "pos"]
+    order = ["h1", "h2", "doc_id", "text_key", "pos"]
     ranged = line_keys(docs, min_chars).repartitionByRange(n, *order).sortWithinPartitions(*order)
     ranged = checkpointed(ranged.withColumn("part", F.spark_partition_id()))
 
@@ -64,7 +65,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, partitions: int | None =
         for pdf in batches:
             if not len(pdf):
                 continue
-            h1, h2, doc, pos = (pdf[c].to_numpy() for c in order)
+            h1, h2, doc, text_key, pos = (pdf[c].to_numpy() for c in order)
             part = int(pdf["part"].iloc[0])
             new = np.ones(len(h1), bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -77,11 +78,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, partitions: int | None =
                 owners[first_at == 0] = owner
             held, owner = (int(h1[-1]), int(h2[-1])), int(owners[-1])
             lost = doc != owners
-            yield pd.DataFrame({"doc_id": doc[lost], "pos": pos[lost]})
+            yield pd.DataFrame({"doc_id": doc[lost], "text_key": text_key[lost], "pos": pos[lost]})
 
-    dropped = ranged.mapInPandas(stream, "doc_id long, pos int")
-    gone = dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    return gone.select("doc_id", _bitmap(F.col("gone")).alias("keep"))
+    dropped = ranged.mapInPandas(stream, "doc_id long, text_key long, pos int")
+    gone = dropped.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    return gone.select("doc_id", "text_key", _bitmap(F.col("gone")).alias("keep"))
 
 
 @F.pandas_udf(A.BinaryType())
@@ -94,25 +95,26 @@ def _bitmap(gone: pd.Series) -> pd.Series:
     return gone.map(pack)
 
 
+RESULTS = ("n_lines", "n_dropped", "kept_text")
+
+
 def apply_bitmaps(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Documents with ``n_lines``, ``n_dropped`` and the kept text; columns of ``docs`` are kept as they are."""
-    own = [f.name for f in docs.schema]
-    taken = set(own)
-    names = {}
-    for c in ("n_lines", "n_dropped", "kept_text"):
-        while c in taken:
-            c = "_" + c
-        names[c.lstrip("_")] = c
+    """Documents with ``n_lines``, ``n_dropped`` and the kept text; columns of ``docs`` are kept as they are.
+
+    Where ``docs`` has the name of a result, the result gets underscores before its own: ``free_names(docs, *RESULTS)``.
+    The bitmaps are written first, so the planner knows their size when it joins them.
+    """
+    n_lines, n_dropped, kept_text, keep_id, keep_key, bits, whole, cut = free_names(docs, *RESULTS, "keep_id", "keep_key", "keep_bits", "whole_text", "cut_text")
     small_batches(docs.sparkSession)
-    joined = docs.alias("d").join(keep.select(F.col("doc_id").alias("_keep_id"), F.col("keep").alias("_keep")), F.col("d.doc_id") == F.col("_keep_id"), "left")
-    text = F.coalesce(F.col("d.text"), F.lit(""))
-    cut = _cut(F.when(F.col("_keep").isNotNull(), text), F.col("_keep"))
-    out = joined.select(*[F.col(f"d.`{c}`") for c in own], text.alias("_text"), cut.alias("_cut"))
+    bitmaps = stored(keep, "bitmaps").select(F.col("doc_id").alias(keep_id), F.col("text_key").alias(keep_key), F.col("keep").alias(bits))
+    joined = docs.join(bitmaps, (F.col("doc_id") == F.col(keep_id)) & (F.xxhash64("text") == F.col(keep_key)), "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = joined.select(*own_columns(docs), text.alias(whole), _cut(F.when(F.col(bits).isNotNull(), text), F.col(bits)).alias(cut))
     return out.select(
-        *[F.col(f"`{c}`") for c in own],
-        (F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias(names["n_lines"]),
-        F.coalesce(F.col("_cut.n"), F.lit(0).cast("long")).alias(names["n_dropped"]),
-        F.coalesce(F.col("_cut.text"), F.col("_text")).alias(names["kept_text"]),
+        *own_columns(docs),
+        (F.length(whole) - F.length(F.replace(F.col(whole), F.lit("\n"), F.lit(""))) + 1).cast("long").alias(n_lines),
+        F.coalesce(F.col(cut)["n"], F.lit(0).cast("long")).alias(n_dropped),
+        F.coalesce(F.col(cut)["text"], F.col(whole)).alias(kept_text),
     )
 
 
@@ -134,7 +136,10 @@ def _cut(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, partitions: int | None = None) -> DataFrame:
     """Drop every line whose key (ASCII-stripped, A-Z lower-cased, ``min_chars`` or more code points) is also in a
-    document with a smaller doc_id.  Null and empty texts are one empty line; rows that repeat a doc_id count as
-    one document and each loses the lines that the document loses at the same position; rows without a doc_id keep
-    their text."""
+    document with a smaller doc_id.
+
+    Null and empty texts are one empty line.  Rows that repeat a doc_id are one document: none of them loses a line to
+    another, and each loses its own lines that a smaller doc_id holds.  Rows without a doc_id keep their text.  An empty
+    table gives an empty result; names are as in ``apply_bitmaps``.
+    """
     return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars, partitions))
