@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, binary_column, checkpointed, chunks, give_back, mix, small_batches
+from .common import Numbering, binary_column, checkpointed, chunks, give_back, mix, small_batches, stored
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Plain words that the template of a text shorter than a window needs, so that placeholders alone match nothing.
@@ -246,6 +246,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sim
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item."""
-    found = contamination(docs, benchmark, size, similarity).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` that hold no benchmark item, all columns as they are.
+
+    The ids that go are written first, so the planner knows their size when it joins them.
+    """
+    found = stored(contamination(docs, benchmark, size, similarity).select("doc_id").distinct(), "contaminated")
+    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id") == F.col("f.doc_id"), "left_anti")

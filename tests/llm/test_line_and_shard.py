@@ -61,6 +61,31 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_lines_of_repeated_ids(spark):
+    """Rows of one doc_id with different texts lose their own lines only, at whatever position."""
+    rows = [(1, "a line of the first\nanother line here"), (2, "a line of the first\nkept one of row one"), (2, "an own line of the second row\nanother line here"), (2, "an own line of the second row\nx")]
+    got = sorted(r["kept_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([rows[0][1], "kept one of row one", "an own line of the second row", "an own line of the second row\nx"])
+
+
+def test_line_columns_do_not_clash(spark):
+    names = ["N_dropped", "keep_id", "keep_key", "Keep_Bits", "whole_text", "cut_text", "_text", "_keep"]
+    df = spark.createDataFrame([(1, "the shared line\nx", *names), (2, "the shared line", *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "_n_dropped", "kept_text"]
+    assert sorted(tuple(r)[10:] for r in out.collect()) == [(1, 1, ""), (2, 0, "the shared line\nx")]
+
+
+def test_stage_reads_its_own_results(spark):
+    import corpus_pipeline
+
+    rows = [(d, "a line that all share\nown text %d" % d, "mine", 5, 18) for d in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_text string, n_dropped int, n_chars long")
+    out = corpus_pipeline.dedup_lines(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], (1, "own text 1", "mine", 5, 10), (2, "own text 2", "mine", 5, 10)]
+
+
 def test_bitmaps_are_small(spark):
     keep = line_dedup.keep_bitmaps(spark.createDataFrame([(1, "a line that repeats"), (2, "\n" * 50_000 + "a line that repeats")], "doc_id long, text string")).collect()
     assert [r["doc_id"] for r in keep] == [2]

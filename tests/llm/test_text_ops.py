@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -113,9 +114,9 @@ def test_long_words_are_learned(spark):
     signs = {"zh": "的一是不了人我在有他这中大来上国", "ja": "のにはをたがでてとしれさある日本"}
     run = lambda k: "".join(rng.choice(signs[k]) for _ in range(40))
     rows = [(i, "。".join(run(k) for _ in range(5)), k) for i, k in enumerate(["ja", "zh"] * 20)]
-    langs, table = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tables = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     asked = [(i, run(k), k) for i, k in enumerate(["ja", "zh"] * 10)]
-    got = langid.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), langs, table).collect()
+    got = langid.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), tables).collect()
     assert [r["lang_pred"] for r in got] == [r["lang"] for r in got]
     nodes, n = langid.trie(langid.default_vocabulary())
     flat = np.full((n, 1), 1.0 / n)
@@ -140,6 +141,46 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0)).collect() == []
 
 
+def test_words_of_all_lengths_are_summed_alike():
+    """Neither floors nor lengths decide: words around the limit of short ones score as long ones do, and differ by language."""
+    path = langid.default_vocabulary()
+    nodes, n = langid.trie(path)
+    table = np.full((n, 2), 1e-10)
+    for piece, number in nodes.items():
+        if number >= 0 and len(piece) == 1:
+            table[number, 1] = 2e-10
+    scorer = langid.Scorer(table, path)
+    words = ["ꙮ" * k for k in range(9, 19)] + ["漢" * 14, "x" * 47, "x" * 48]
+    for word, logs in zip(words, scorer.words(words), strict=True):
+        want = langid.long_word(b" " + word.encode(), nodes, table)
+        assert logs == pytest.approx(want) and logs[0] < logs[1]
+
+
+def test_letters_are_letters(spark):
+    df = spark.createDataFrame([(0, "the cat sat on the mat", "en"), (1, "²½①", None), (2, "́ ⅷ 7", None), (3, "हिन्दी", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+    assert got == {0: ("en", 1.0), 1: ("und", 0.0), 2: ("und", 0.0), 3: ("en", 1.0)}
+    assert langid.words_of("हिन्दी a1b") == ["हिन्दी", "a", "b"]
+
+
+def test_many_labels(spark, monkeypatch):
+    """Labels beyond one table give the results of one large table."""
+    rows = [(i, t, k) for i, (t, k) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), (None, None), ("42", None)] * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+    assert all(want[i][0] == (k or "und") for i, _, k in rows)
+    monkeypatch.setattr(langid, "TABLE_LABELS", 2)
+    for r in langid.identify(df).collect():
+        assert (r["lang_pred"], r["score"]) == (want[r["doc_id"]][0], pytest.approx(want[r["doc_id"]][1]))
+
+
+def test_language_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "the cat", "en", "mine", 7, "x")], "doc_id long, text string, lang string, lang_pred string, lang_score int, Lang_Best string")
+    out = langid.predict(df, langid.train(df))
+    assert out.columns == [*df.columns, "_lang_pred", "_lang_score"]
+    assert tuple(out.collect()[0]) == (1, "the cat", "en", "mine", 7, "x", "en", 1.0)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="ad">Buy</div><div class="wrap"><div class="post-content p12"><h1>Head &amp; line</h1><p><b>One<br>
 two.<p>Three &eacute;<script>var t="</p>";</script> four</p><div class="share">Share</div><form><p>Your mail</p></form><blockquote>Quote</blockquote></div>
@@ -191,6 +232,62 @@ def test_class_words_spare_the_article(spark):
     assert texts_of_hosts(spark, pages) == [LONG] * 7
 
 
+def test_parts_named_by_doubtful_words_first(spark):
+    """cookie-content and footer-content are no article text, an entry-header is."""
+    junk = "<div class='cookie-content'><p>We use cookies</p></div><div class='footer-content'><p>Imprint</p></div><div id='sidebarText'>Side</div>"
+    page = f"<body><div class=post><div class='entry-header'><h1>Head</h1></div><p>{LONG}</p>{junk}</div></body>"
+    assert texts_of_hosts(spark, [page]) == [f"Head\n{LONG}"]
+
+
+def test_page_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>", "a", "b", "c")], "page_id long, url string, html string, won_host string, Won_Path string, page_host string")
+    assert [tuple(r) for r in html_main.extract(df).collect()] == [(1, "http://a.example/", "a", "b", "c", "x")]
+
+
+@pytest.mark.parametrize("part", ["<a", "<!x", "<a '", '<a x="', "<div>", "<div>x", "</article>", "<head>", "<title", "<div><article>y", "<i>'\"", "<script>", "</script", "<a\"\""])
+def test_time_grows_with_the_page(part):
+    """Unclosed tags, quotes and raw parts, deep nesting, and ends of what was never opened."""
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        begin = time.process_time()
+        page = html_main.parse("<div>" * (n if part == "</article>" else 0) + part * n)
+        if page.blocks:
+            html_main.main_container(page)
+        took.append(time.process_time() - begin)
+    assert took[1] < 9 * took[0] + 1
+
+
+def labelled_page(rng, i):
+    """A page of one of three layouts, with the text that a reader would call the article."""
+    words = lambda n: " ".join(rng.choice(["stone", "river", "Haus", "bleu", "tree", "walk", "light", "&amp;", "naïve"]) for _ in range(n))
+    head, paras = words(6), [words(rng.randint(8, 90)) for _ in range(rng.randint(1, 9))]
+    junk = f"<nav><a href=/>{words(3)}</a></nav>"
+    ad, foot, side, notes = f"<div class=ad>{words(9)}</div>", f"<footer>{words(5)}</footer>", f"<div class='sidebar'>{words(30)}</div>", f"<section id=comments><p>{words(rng.randint(5, 200))}</p></section>"
+    body = "".join(f"<p>{p}</p>" for p in paras)
+    page = [
+        f"<body>{junk}{ad}<article><h1>{head}</h1>{body}</article>{notes}{foot}</body>",
+        f"<body>{junk}<div id=wrap{i}><div class='post p{i}'><h1>{head}</h1><div class=entry>{body}</div>{ad}</div>{side}</div>{foot}</body>",
+        f"<body><table><tr><td class=menu>{words(9)}</td><td class=story><h1>{head}</h1>{body}</td></tr></table>{foot}</body>",
+    ][i % 3]
+    return page, "\n".join(x.replace("&amp;", "&") for x in [head, *paras])
+
+
+def test_labelled_pages(spark):
+    """F1 of words over labelled pages of three hosts with menus, adverts, sidebars, comments and footers."""
+    rng = random.Random(9)
+    made = [labelled_page(rng, i) for i in range(150)]
+    df = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_main.extract(df).collect()}
+    both = want = found = 0
+    for i, (_, text) in enumerate(made):
+        a, b = Counter(got[i].split()), Counter(text.split())
+        both, found, want = both + (a & b).total(), found + a.total(), want + b.total()
+    assert 2 * both / (found + want) >= 0.99
+    assert sum(got[i] == text for i, (_, text) in enumerate(made)) >= 145
+
+
 def test_page_query(spark, sf_dir):
     from lectern.llm import queries
 
