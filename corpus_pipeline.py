@@ -12,29 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, langid, line_dedup, simhash
-from lectern.llm.common import read_table, shared_dir
+from lectern.llm.common import free_names, own_columns, read_table, shared_dir
 
 #: Documents whose language is less certain than this are rejected, as are those without letters.
 LEAST_CERTAIN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a recognised language; learned from the labelled rows of this stage's input."""
+    """Keeps documents with a recognised language; learned from the labelled rows of this stage's input.
+
+    Null texts and texts without letters go.  Rows that repeat a doc_id are judged each by its own text, rows without one
+    too; where nothing is labelled, nothing is recognised and nothing stays.
+    """
     used = F.coalesce(langid.in_training(F.col("doc_id")), F.lit(True))
-    langs, table = langid.train(docs.select("doc_id", "text", "lang").where(used))
-    judged = langid.predict(docs, langs, table)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_CERTAIN))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    tables = langid.train(docs.select("doc_id", "text", "lang").where(used))
+    lang, score = free_names(docs, "lang_pred", "lang_score")
+    kept = langid.predict(docs, tables).where((F.col(lang) != "und") & (F.col(score) >= LEAST_CERTAIN))
+    return kept.select(*own_columns(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that a document with a smaller doc_id holds; a document that loses every line goes."""
-    found = line_dedup.dedup_lines(docs)
-    kept = found.where((F.col("n_dropped") == 0) | (F.col("kept_text") != ""))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    columns = {"text": text.alias("text")}
+    """Removes lines that a document with a smaller doc_id holds; a document that loses every line goes.
+
+    Nulls, repeated rows and rows without a doc_id are as in ``line_dedup.dedup_lines``; ``n_chars`` follows the text.
+    """
+    n_lines, n_dropped, kept_text = (F.col(c) for c in free_names(docs, *line_dedup.RESULTS))
+    kept = line_dedup.dedup_lines(docs).where((n_dropped == 0) | (kept_text != ""))
+    columns = {"text": F.when(n_dropped > 0, kept_text).otherwise(F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
+        columns["n_chars"] = F.when(n_dropped > 0, F.char_length(kept_text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
     return kept.select(*[columns.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
@@ -47,12 +53,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Null and empty texts and rows without a doc_id stay, as they hold none; rows that repeat a doc_id are one document
+    and go together.  An empty benchmark drops nothing.
+    """
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with digests of the ids and of the decoded text."""
+    """Token ids of what is left, with digests of the ids and of the decoded text: a row for each row, null texts as empty."""
     coded = bpe.encode_decode(docs)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
