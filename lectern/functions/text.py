@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 NOT_GENRES = ["audiobook", "audiobooks", "ebook", "ebooks", "book club", "owned", "currently reading", "to read", "favorites"]
 SERIES_SUFFIX = r"^(.*)\s\(([^,()]+),\s*#(\d+(?:\.\d+)?)\)\s*$"
-
-CITATION = r"\[([^\s\[\]:]+:\d+:p\d+)\]"
+# A citation in an answer, and a whole citation id.
+CITATION = r"\[([^\[\]\s:]+:\d+:p\d+)\]"
+CITATION_ID = r"^([^:]+):(\d+):p(\d+)$"
 
 
 def squeeze(text: Column) -> Column:
@@ -18,6 +19,11 @@ def squeeze(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """White space away at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -85,8 +91,7 @@ def citation_id(book_id: Column, spine_idx: Column, para_idx: Column) -> Column:
 
 def parse_citation(text: Column) -> dict[str, Column]:
     """book, spine_idx, para_idx of a strict citation id; nulls if it is malformed."""
-    pattern = r"^([^:]+):(\d+):p(\d+)$"
-    part = lambda i: blank_to_null(F.regexp_extract(text, pattern, i))
+    part = lambda i: blank_to_null(F.regexp_extract(text, CITATION_ID, i))
     return {"book": part(1), "spine_idx": part(2).try_cast("long"), "para_idx": part(3).try_cast("long")}
 
 
@@ -96,8 +101,16 @@ def code_fence_body(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)^\s*```"), inner).otherwise(text)
 
 
-def safe_file_name(name: Column) -> Column:
-    return F.coalesce(blank_to_null(F.btrim(F.regexp_replace(name, r"[^A-Za-z0-9._ -]+", "_"), F.lit(" ."))), F.lit("book"))
+# Fixed value: characters that a stored file name does not keep.
+UNSAFE_IN_FILE_NAME = r"[^A-Za-z0-9 ._()\[\]-]+"
+
+
+def safe_file_name(name: Column, book_id: Column) -> Column:
+    """Last part of an upload's path in safe characters, as an EPUB; the book's id where nothing is left."""
+    base = F.element_at(F.split(F.rtrim(F.coalesce(name, F.lit("")), F.lit("/")), "/"), -1)
+    safe = F.btrim(F.regexp_replace(base, UNSAFE_IN_FILE_NAME, "_"), F.lit(" ._"))
+    named = F.when(F.lower(safe).endswith(".epub"), safe).otherwise(F.concat(safe, F.lit(".epub")))
+    return F.when(safe != "", named).otherwise(F.concat(book_id.cast("string"), F.lit(".epub")))
 
 
 def custom_shelves(raw: Column, shelf: Column) -> Column:

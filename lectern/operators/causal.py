@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.components import components
+from lectern.tables import stored
+
 
 def causal_chapters(chapter: DataFrame, bounds: DataFrame) -> DataFrame:
     """Chapters, excerpts aside, that end at or before each book's bound (book_id, bound_seq)."""
@@ -20,23 +23,40 @@ def causal_text(para: DataFrame, chapter: DataFrame, asked: DataFrame) -> DataFr
     return para.join(ok.select("book_id", "chapter_idx"), ["book_id", "chapter_idx"])
 
 
-def registry_asof(chapter: DataFrame, nodes: DataFrame, edges: DataFrame, para: DataFrame) -> DataFrame:
-    """(book_id, chapter_idx, n_nodes, n_edges): what the registry knows at each chapter's end.
+def causal_range(para: DataFrame, asked: DataFrame) -> DataFrame:
+    """Paragraphs, excerpts aside, of asked spans (book_id, start_seq, end_seq, bound_seq); a span that ends above its
+    bound raises instead of being cut."""
+    bad = F.col("_end") > F.col("_bound")
+    spans = asked.select("book_id", F.col("start_seq").alias("_start"), F.col("end_seq").alias("_end"), F.col("bound_seq").alias("_bound"))
+    ok = spans.where(F.when(bad, F.raise_error(F.lit("span above its bound")).cast("boolean")).otherwise(F.lit(True)))
+    return para.where("kind <> 'excerpt'").join(ok, "book_id").where(F.col("global_seq").between(F.col("_start"), F.col("_end"))).select(*para.columns)
+
 
-    Nodes (node_id, book_id, first_seq, cite_seq) need a cited paragraph that is no excerpt; an edge
-    (src_node_id, book_id, revealed_at_seq, cite_seq?) may lack one.  Facts are counted per chapter of their
-    revelation and summed up in order, so no fact meets all later chapters.
+def registry_asof(chapter: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame, para: DataFrame) -> DataFrame:
+    """(book_id, chapter_idx, n_nodes, n_edges, n_attrs): what the registry knows at each chapter's end.
+
+    Nodes (node_id, book_id, first_seq, cite_seq) need a cited paragraph that is no excerpt.  Edges (src_node_id,
+    revealed_at_seq, cite_seq?) and attributes (node_id, first_seq, cite_seq?) belong to the book of their node, whether
+    or not that node itself counts; those of no node count nowhere, and a citation may be missing but not an excerpt.
+    Facts are counted per chapter of their revelation and summed up in order, so no fact meets all later chapters.
     """
     from pyspark.sql import Window
 
     cites = para.select("book_id", F.col("global_seq").alias("cite_seq"), F.col("kind").alias("_kind"))
-    n = nodes.join(cites, ["book_id", "cite_seq"]).where("_kind <> 'excerpt'").select("book_id", F.col("first_seq").alias("at"), F.lit(1).alias("node"), F.lit(0).alias("edge"))
-    e = edges.join(cites, ["book_id", "cite_seq"], "left").where("_kind is null or _kind <> 'excerpt'").select("book_id", F.col("revealed_at_seq").alias("at"), F.lit(0).alias("node"), F.lit(1).alias("edge"))
-    marks = chapter.select("book_id", F.col("end_seq").alias("at"), F.lit(0).alias("node"), F.lit(0).alias("edge"), "chapter_idx")
-    rows = n.unionByName(e).withColumn("chapter_idx", F.lit(None).cast("long")).unionByName(marks)
+    zero = {c: F.lit(0) for c in ("n_nodes", "n_edges", "n_attrs")}
+
+    def facts(df: DataFrame, at: str, what: str) -> DataFrame:
+        counted = df.join(cites, ["book_id", "cite_seq"], "left").where("_kind <> 'excerpt'" + ("" if what == "n_nodes" else " or _kind is null and cite_seq is null"))
+        return counted.select("book_id", F.col(at).alias("at"), F.lit(None).cast("long").alias("chapter_idx"), *[(F.lit(1) if c == what else v).alias(c) for c, v in zero.items()])
+
+    owner = nodes.select("node_id", "book_id")
+    e = edges.select(F.col("src_node_id").alias("node_id"), "revealed_at_seq", "cite_seq").join(owner, "node_id")
+    a = attrs.select("node_id", "first_seq", "cite_seq").join(owner, "node_id")
+    marks = chapter.select("book_id", F.col("end_seq").alias("at"), F.col("chapter_idx").cast("long").alias("chapter_idx"), *[v.alias(c) for c, v in zero.items()])
+    rows = facts(nodes, "first_seq", "n_nodes").unionByName(facts(e, "revealed_at_seq", "n_edges")).unionByName(facts(a, "first_seq", "n_attrs")).unionByName(marks)
     upto = Window.partitionBy("book_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = rows.withColumns({"n_nodes": F.sum("node").over(upto), "n_edges": F.sum("edge").over(upto)})
-    return summed.where("chapter_idx is not null").select("book_id", "chapter_idx", "n_nodes", "n_edges")
+    summed = rows.withColumns({c: F.sum(c).over(upto) for c in zero})
+    return summed.where("chapter_idx is not null").select("book_id", "chapter_idx", *zero)
 
 
 def digest_rollup(digests: DataFrame) -> DataFrame:
@@ -94,26 +114,10 @@ def unresolved_aliases(parsed: DataFrame, registry: DataFrame) -> DataFrame:
     return alias.join(known, ["book_id", "designator"], "left_anti")
 
 
-def identity_components(edges: DataFrame, bound: int | None = None, max_rounds: int = 50) -> DataFrame:
-    """(node, component): components over edges (a, b, revealed_at) revealed by the bound; least node as the name.
-
-    Rounds of neighbour minimum and pointer jump; each is checkpointed, and only a count of changes is collected.
-    """
+def identity_components(edges: DataFrame, bound: int | None = None) -> DataFrame:
+    """(node, component): components over edges (a, b, revealed_at) revealed by the bound; least node as the name."""
     e = edges if bound is None else edges.where(F.col("revealed_at") <= bound)
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
-    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(max_rounds):
-        least = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_m"))
-        stepped = label.join(least, "node").select("node", F.least("component", "_m").alias("component"))
-        hop = stepped.select(F.col("node").alias("component"), F.col("component").alias("_next"))
-        jumped = stepped.join(hop, "component", "left").select("node", F.coalesce("_next", "component").alias("now")).checkpoint()
-        changed = jumped.join(label, "node").where("now <> component").limit(1).count()
-        label = jumped.withColumnRenamed("now", "component")
-        if not changed:
-            return label
-    raise RuntimeError(f"no fixed point in {max_rounds} rounds")
+    e = stored(e.select("a", "b").distinct(), "edges")
+    nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
+    found = components(e).withColumnRenamed("vertex", "node")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

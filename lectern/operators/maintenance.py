@@ -56,11 +56,12 @@ def apply_genres(shelf: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def session_positions(progress: DataFrame, chapter: DataFrame) -> DataFrame:
-    """Chapter to talk from: the stored position, else the last one of a finished book, else null."""
+    """Chapter to talk from: the stored position, else the last one of a finished book, else null; an unread book has none."""
     spot = F.col("kind").isin(*schema.ADDRESSABLE_KINDS) & ~schema.is_part_divider(F.col("label"))
     last = chapter.where(spot).groupBy("book_id").agg(F.max("chapter_idx").alias("last_idx"))
     j = progress.join(last, "book_id", "left")
-    return j.select("reader_id", "book_id", F.coalesce("position_chapter_idx", F.when(F.col("status") == "finished", F.col("last_idx"))).alias("chapter_idx"))
+    spot = F.coalesce("position_chapter_idx", F.when(F.col("status") == "finished", F.col("last_idx")))
+    return j.select("reader_id", "book_id", F.when(F.col("status") != "unread", spot).alias("chapter_idx"))
 
 
 def whole_groups(items: DataFrame, group: str, order: str, most: int) -> DataFrame:
@@ -83,11 +84,11 @@ def prompt_payloads(para: DataFrame, nodes: DataFrame, chapter: DataFrame) -> Da
     return j.select("book_id", "chapter_idx", F.to_json(F.struct(F.coalesce("registry", empty).alias("registry"), "paragraphs")).alias("payload"))
 
 
-def chapter_ref_of(chapter_idx: Column, label: Column) -> Column:
-    """Printed reference of a chapter, or its number from 1 where its label prints none."""
+def chapter_ref_of(kind: Column, label: Column) -> Column:
+    """Printed reference of an addressable chapter; null where its label prints none."""
     from .retrieval import printed_identity
 
-    return F.coalesce(printed_identity(label), (chapter_idx + 1).cast("string"))
+    return F.when(kind.isin(*schema.ADDRESSABLE_KINDS), printed_identity(label))
 
 
 def month_covers(months: DataFrame, links: DataFrame, covers: DataFrame) -> DataFrame:

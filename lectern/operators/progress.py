@@ -52,7 +52,8 @@ def set_positions(progress: DataFrame, chapter: DataFrame, requests: DataFrame)
 
 
 def series_cascade(progress: DataFrame, book: DataFrame, book_ends: DataFrame) -> DataFrame:
-    """Every volume before one that a reader reads or has finished becomes finished; ceilings only rise.
+    """Every volume before one that a reader reads or has finished becomes finished, at its last addressable chapter;
+    ceilings only rise.  ``book_ends`` has (book_id, book_end, last_idx).
 
     The latest touched volume of each (reader, series) is one aggregate, so no volume meets another in a join.
     """
@@ -65,7 +66,15 @@ def series_cascade(progress: DataFrame, book: DataFrame, book_ends: DataFrame) -
     end = F.coalesce("book_end", F.lit(0))
     ceiling = F.when(earlier, F.greatest(F.coalesce("ceiling_seq", F.lit(0)), end)).otherwise(F.coalesce("ceiling_seq", F.lit(0)))
     status = F.when(earlier, "finished").otherwise(F.coalesce("status", F.lit("unread")))
-    return state.select("reader_id", "book_id", status.alias("status"), ceiling.cast("long").alias("ceiling_seq"))
+    position = F.when(earlier, F.col("last_idx")).otherwise(F.col("position_chapter_idx"))
+    return state.select("reader_id", "book_id", status.alias("status"), position.cast("long").alias("position_chapter_idx"), ceiling.cast("long").alias("ceiling_seq"))
+
+
+def book_ends(chapter: DataFrame) -> DataFrame:
+    """(book_id, book_end, last_idx): end of the servable text and last addressable chapter of each book."""
+    spot = F.col("kind").isin(*schema.ADDRESSABLE_KINDS) & ~schema.is_part_divider(F.col("label"))
+    served = schema.servable(F.col("kind"))
+    return chapter.groupBy("book_id").agg(F.max(F.when(served, F.col("end_seq"))).alias("book_end"), F.max(F.when(spot, F.col("chapter_idx"))).alias("last_idx"))
 
 
 def global_ceiling(progress: DataFrame) -> DataFrame:

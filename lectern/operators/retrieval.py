@@ -17,6 +17,11 @@ MAX_SPAN, MAX_PARAS, MAX_WINDOW, SEARCH_LIMIT, SNIPPET_CHARS = 2_000, 800, 50, 4
 NOT_YET_SEEN = "not yet seen"
 
 
+def _spans(requests: DataFrame) -> DataFrame:
+    low = F.greatest(F.least("lo_idx", "hi_idx"), F.lit(0))
+    return requests.select("request_id", "reader_id", "book_id", low.alias("_lo"), F.least(F.greatest("lo_idx", "hi_idx"), low + MAX_SPAN).alias("_hi"))
+
+
 class BoundedCorpus:
     def __init__(self, book: DataFrame, chapter: DataFrame, para: DataFrame, progress: DataFrame):
         self._book, self._chapter, self._para, self._progress = book, chapter, para, progress
@@ -94,18 +99,28 @@ class BoundedCorpus:
     def read(self, requests: DataFrame | None = None) -> DataFrame:
         """Readable paragraphs in order; with requests (request_id, reader_id, book_id, lo_idx, hi_idx) only their spans.
 
-        A span is in paragraphs of the book; inverted spans are swapped, negative ends clamped, spans longer than
-        MAX_SPAN cut, and each request gets its first MAX_PARAS paragraphs.
+        A span is in chapters; an inverted span is swapped, a negative begin is 0, a span longer than MAX_SPAN is cut,
+        and each request gets its first MAX_PARAS paragraphs.
         """
         columns = ["book_id", "chapter_idx", "chapter_label", "global_seq", "text"]
         if requests is None:
             return self.readable.select("reader_id", *columns)
-        low, high = F.greatest(F.least("lo_idx", "hi_idx"), F.lit(0)), F.greatest(F.greatest("lo_idx", "hi_idx"), F.lit(0))
-        span = requests.select("request_id", "reader_id", "book_id", low.alias("_lo"), F.least(high, low + MAX_SPAN).alias("_hi"))
-        hits = self.readable.join(span, ["reader_id", "book_id"]).where(F.col("para_idx").between(F.col("_lo"), F.col("_hi")))
+        hits = self.readable.join(_spans(requests), ["reader_id", "book_id"]).where(F.col("chapter_idx").between(F.col("_lo"), F.col("_hi")))
         nth = F.row_number().over(Window.partitionBy("request_id").orderBy("global_seq"))
         return hits.withColumn("_nth", nth).where(F.col("_nth") <= MAX_PARAS).select("request_id", "reader_id", *columns)
 
+    def read_notes(self, requests: DataFrame) -> DataFrame:
+        """(request_id, reader_id, book_id, capped, marker): whether a request of ``read`` has more than MAX_PARAS
+        paragraphs, and, where its span goes on above the ceiling, the label of the last chapter begun."""
+        served = self._para.where(schema.servable(F.col("kind"))).select("book_id", "chapter_idx", "global_seq")
+        asked = _spans(requests).join(self.ranges, ["reader_id", "book_id"], "left")
+        inside = F.coalesce(F.col("global_seq").between(F.col("lo"), F.col("hi")), F.lit(False))
+        hits = asked.join(served, "book_id").where(F.col("chapter_idx").between(F.col("_lo"), F.col("_hi")))
+        counts = hits.groupBy("request_id").agg(F.count_if(inside).alias("n"), F.bool_or(~inside).alias("more"))
+        begun = self.open_chapters.groupBy("reader_id", "book_id").agg(F.max_by("label", "start_seq").alias("last_label"))
+        out = requests.select("request_id", "reader_id", "book_id").join(counts, "request_id", "left").join(begun, ["reader_id", "book_id"], "left")
+        return out.select("request_id", "reader_id", "book_id", (F.coalesce("n", F.lit(0)) > MAX_PARAS).alias("capped"), F.when(F.col("more"), F.col("last_label")).alias("marker"))
+
     def clamped(self) -> DataFrame:
         """Books with servable text that their reader can't read: a flag, never a count."""
         served = self._para.where(schema.servable(F.col("kind"))).join(self._progress.select("reader_id", "book_id"), "book_id")
@@ -152,8 +167,8 @@ class BoundedCorpus:
         """Best readable matches of each reader by BM25 over the statistics of all paragraphs."""
         from .search import bm25
 
-        scored = bm25(self._para, words, condition)
-        hits = self._within(self._para.where(schema.servable(F.col("kind"))).select("book_id", "global_seq", "chapter_label").join(scored, ["book_id", "global_seq"]), "global_seq")
+        scored = bm25(self._para, words, condition, ["chapter_label", "kind"])
+        hits = self._within(scored.where(schema.servable(F.col("kind"))), "global_seq")
         nth = F.row_number().over(Window.partitionBy("reader_id").orderBy("score", "global_seq", "book_id"))
         return hits.withColumn("_nth", nth).where(F.col("_nth") <= limit).select("reader_id", "book_id", "global_seq", "chapter_label", "score")
 
@@ -195,8 +210,13 @@ class BoundedCorpus:
         return p.select("reader_id", "book_id", "global_seq", fraction.alias("fraction"))
 
 
+# Labels of named divisions, and of numbered chapters.
+NAMED_DIVISION = r"(?i)^\s*(prologue|epilogue|interlude\w*)\b"
+PRINTED_NUMBER = r"(?i)^\s*(?:chapter\s+)?(\d+)\b"
+
+
 def printed_identity(label: Column) -> Column:
-    """What a reader calls a chapter: a named division, else the leading number, else null."""
-    named = F.lower(F.regexp_extract(label, r"(?i)^\s*(prologue|epilogue|interlude)\b", 1))
-    number = F.regexp_extract(label, r"(?i)^\s*(?:chapter\s+)?(\d+)\b", 1)
-    return F.coalesce(T.blank_to_null(named), T.blank_to_null(number))
+    """What a reader calls a chapter: the whole lower-cased label of a named division, else the leading number without
+    leading zeros, else null."""
+    number = F.regexp_replace(F.regexp_extract(label, PRINTED_NUMBER, 1), "^0+(?=.)", "")
+    return F.when(label.rlike(NAMED_DIVISION), F.lower(T.strip(label))).otherwise(T.blank_to_null(number))

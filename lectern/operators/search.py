@@ -59,12 +59,14 @@ def near(a: str, b: str, distance: int = 10, toks: Column | str = "toks") -> Col
     return F.exists(at(a), lambda i: F.exists(at(b), lambda j: F.abs(i - j) <= distance + 1))
 
 
-def bm25(para: DataFrame, words: list[str], condition: Column | None = None) -> DataFrame:
+def bm25(para: DataFrame, words: list[str], condition: Column | None = None, carry: list[str] | None = None) -> DataFrame:
     """(book_id, global_seq, score) of the paragraphs that meet the condition (default: all words); lower is better.
 
-    Statistics are those of all paragraphs, readable or not: one aggregate, whose single row is read first.
+    Statistics are those of all paragraphs, readable or not: one aggregate, whose single row is read first.  Columns of
+    ``carry`` go through, so that hits need no join back.
     """
-    t = para.select("book_id", "global_seq", tokens(F.col("text")).alias("toks"))
+    carry = carry or []
+    t = para.select("book_id", "global_seq", *carry, tokens(F.col("text")).alias("toks"))
     times = lambda w: F.size(F.filter("toks", lambda x: x == w))
     tfs = {f"tf{i}": times(w) for i, w in enumerate(words)}
     counted = t.withColumns({"dl": F.size("toks"), **tfs})
@@ -81,7 +83,7 @@ def bm25(para: DataFrame, words: list[str], condition: Column | None = None) ->
         df, tf = stats[f"df{i}"], F.col(f"tf{i}")
         idf = max(math.log((n_all - df + 0.5) / (df + 0.5)), LEAST_IDF)
         score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hits.select("book_id", "global_seq", F.round(score, 9).alias("score"))
+    return hits.select("book_id", "global_seq", *carry, F.round(score, 9).alias("score"))
 
 
 def postings(para: DataFrame) -> DataFrame:
@@ -95,12 +97,16 @@ def document_lengths(para: DataFrame) -> DataFrame:
 
 
 def find_phrases(para: DataFrame, entities: DataFrame) -> DataFrame:
-    """Paragraphs with each entity they name: an equi-join on the entity's first word, then the phrase."""
+    """Paragraphs with each entity they name: an equi-join on the entity's first word, then the phrase.
+
+    Words are joined by the paragraph's key alone; text is read again only for paragraphs with a first word in them.
+    """
     named = entities.select("entity", tokens(F.col("entity")).alias("words")).where(F.size("words") > 0)
     named = named.select("entity", F.array_join("words", " ").alias("phrase"), F.get("words", 0).alias("word"))
-    t = para.withColumn("toks", tokens(F.col("text")))
-    flat = t.select("*", F.explode(F.array_distinct("toks")).alias("word"))
-    return flat.join(named, "word").where(phrase(F.col("phrase"))).drop("word", "toks", "phrase")
+    key = [c for c in ("reader_id", "book_id", "global_seq") if c in para.columns]
+    words = para.select(*key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    found = words.join(named, "word").select(*key, "entity", "phrase")
+    return para.join(found, key).where(phrase(F.col("phrase"), tokens(F.col("text")))).select(*para.columns, "entity")
 
 
 def snippet(text: Column, words: list[str], around: int = 5) -> Column:

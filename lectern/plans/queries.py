@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import schema
 from lectern.functions import text as T
-from lectern.operators import causal, chapters, conversations, maintenance, progress, search, shelf
+from lectern.operators import causal, chapters, conversations, maintenance, progress, retrieval, search, shelf
 from lectern.operators.retrieval import BoundedCorpus
 from lectern.sources import driver_tables as D
 
@@ -185,8 +185,16 @@ def assemble_hash(spark, d):
     return corpus(spark, d).assemble().drop("context")
 
 
-@query(f"""{CORPUS}, r AS (SELECT book_id, chapter_idx, coalesce(nullif(lower(regexp_extract(label, '(?i)^\\s*(prologue|epilogue|interlude)\\b', 1)), ''),
-  nullif(regexp_extract(label, '(?i)^\\s*(?:chapter\\s+)?(\\d+)\\b', 1), '')) AS ref FROM chapter WHERE kind = 'body' AND NOT regexp_matches(label, '(?i)^\\s*part\\b'))
+def identity_sql(label: str) -> str:
+    name, number = _lit(retrieval.NAMED_DIVISION), _lit(retrieval.PRINTED_NUMBER)
+    return f"CASE WHEN regexp_matches({label}, {name}) THEN lower(trim({label})) ELSE nullif(CAST(try_cast(nullif(regexp_extract({label}, {number}, 1), '') AS BIGINT) AS VARCHAR), '') END"
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"""{CORPUS}, r AS (SELECT book_id, chapter_idx, {identity_sql('label')} AS ref FROM chapter WHERE kind = 'body' AND NOT regexp_matches(label, '(?i)^\\s*part\\b'))
 SELECT book_id, ref, min(chapter_idx) AS chapter_idx FROM r WHERE ref IS NOT NULL GROUP BY ALL""")
 def chapter_refs(spark, d):
     return corpus(spark, d).chapter_refs()
@@ -256,14 +264,15 @@ def watermark_final(spark, d):
     return progress.watermark_final(D.events(spark, d))
 
 
-@query(f"""{CORPUS}, o AS (SELECT p.*, series_id, book_order FROM progress p JOIN book USING (book_id)), latest AS (SELECT reader_id, series_id, max(book_order) AS latest FROM o WHERE status IN ('reading', 'finished') GROUP BY ALL)
+@query(f"""{CORPUS}, o AS (SELECT p.*, series_id, book_order FROM progress p JOIN book USING (book_id)),
+spot AS (SELECT book_id, max(chapter_idx) AS k FROM chapter WHERE kind = 'body' AND NOT regexp_matches(label, '(?i)^\\s*part\\b') GROUP BY book_id), latest AS (SELECT reader_id, series_id, max(book_order) AS latest FROM o WHERE status IN ('reading', 'finished') GROUP BY ALL)
 SELECT l.reader_id, b.book_id, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.series_id = b.series_id AND o.reader_id = l.reader_id AND o.status <> 'unread' AND o.book_order > b.book_order) THEN 'finished' ELSE coalesce(p.status, 'unread') END AS status,
+CASE WHEN b.book_order < l.latest THEN spot.k ELSE p.position_chapter_idx END AS position_chapter_idx,
 CASE WHEN b.book_order < l.latest THEN greatest(coalesce(p.ceiling_seq, 0), coalesce(e.book_end, 0)) ELSE coalesce(p.ceiling_seq, 0) END AS ceiling_seq
-FROM latest l JOIN book b USING (series_id) LEFT JOIN progress p ON p.book_id = b.book_id LEFT JOIN ends e ON e.book_id = b.book_id""")
+FROM latest l JOIN book b USING (series_id) LEFT JOIN progress p ON p.book_id = b.book_id LEFT JOIN ends e ON e.book_id = b.book_id LEFT JOIN spot ON spot.book_id = b.book_id""")
 def series_cascade(spark, d):
     para, chapter = D.paras(spark, d)
-    ends = chapter.where(schema.servable(F.col("kind"))).groupBy("book_id").agg(F.max("end_seq").alias("book_end"))
-    return progress.series_cascade(D.progress(spark, d, chapter), D.books(spark, d), ends)
+    return progress.series_cascade(D.progress(spark, d, chapter), D.books(spark, d), progress.book_ends(chapter))
 
 
 # -- shelf ------------------------------------------------------------------------
@@ -492,18 +501,24 @@ def conv_drop_last(spark, d):
 
 # -- causal ---------------------------------------------------------------------------
 
-NODE = "node AS (SELECT book_id, global_seq AS node_id, global_seq AS first_seq, global_seq AS cite_seq FROM para1), edge AS (SELECT book_id, global_seq AS revealed_at_seq, CASE WHEN para_idx % 2 = 0 THEN global_seq END AS cite_seq FROM para1)"
+NODE = """node AS (SELECT book_id, global_seq AS node_id, global_seq AS first_seq, global_seq AS cite_seq FROM para1),
+edge AS (SELECT node.book_id, global_seq AS k, CASE WHEN para_idx % 2 = 0 THEN global_seq END AS cite_seq FROM para1 JOIN node ON node_id = CASE WHEN para_idx % 5 = 0 THEN -1 ELSE global_seq END),
+attr AS (SELECT book_id, global_seq + 1 AS k, CASE WHEN para_idx % 3 = 0 THEN global_seq END AS cite_seq FROM para1)"""
 
 
 @query(f"""{CORPUS}, {NODE}, n AS (SELECT node.book_id, first_seq AS k FROM node JOIN para p ON p.book_id = node.book_id AND p.global_seq = cite_seq WHERE kind <> 'excerpt'),
-e AS (SELECT edge.book_id, revealed_at_seq AS k FROM edge LEFT JOIN para p ON p.book_id = edge.book_id AND p.global_seq = cite_seq WHERE kind IS NULL OR kind <> 'excerpt')
-SELECT book_id, chapter_idx, (SELECT count(*) FROM n WHERE n.book_id = c.book_id AND k <= c.end_seq) AS n_nodes, (SELECT count(*) FROM e WHERE e.book_id = c.book_id AND k <= c.end_seq) AS n_edges FROM chapter c""")
+e AS (SELECT edge.book_id, k FROM edge LEFT JOIN para p ON p.book_id = edge.book_id AND p.global_seq = cite_seq WHERE cite_seq IS NULL OR kind <> 'excerpt'),
+a AS (SELECT attr.book_id, k FROM attr LEFT JOIN para p ON p.book_id = attr.book_id AND p.global_seq = cite_seq WHERE cite_seq IS NULL OR kind <> 'excerpt')
+SELECT book_id, chapter_idx, (SELECT count(*) FROM n WHERE n.book_id = c.book_id AND k <= c.end_seq) AS n_nodes, (SELECT count(*) FROM e WHERE e.book_id = c.book_id AND k <= c.end_seq) AS n_edges,
+(SELECT count(*) FROM a WHERE a.book_id = c.book_id AND k <= c.end_seq) AS n_attrs FROM chapter c""")
 def causal_registry(spark, d):
     para, chapter = D.paras(spark, d)
     seq = F.col("global_seq")
     nodes = para.select("book_id", seq.alias("node_id"), seq.alias("first_seq"), seq.alias("cite_seq"))
-    edges = para.select("book_id", seq.alias("src_node_id"), seq.alias("revealed_at_seq"), F.when(F.col("para_idx") % 2 == 0, seq).alias("cite_seq"))
-    return causal.registry_asof(chapter, nodes, edges, para)
+    at = F.col("para_idx")
+    edges = para.select(F.when(at % 5 == 0, -1).otherwise(seq).alias("src_node_id"), seq.alias("revealed_at_seq"), F.when(at % 2 == 0, seq).alias("cite_seq"))
+    attrs = para.select(seq.alias("node_id"), (seq + 1).alias("first_seq"), F.when(at % 3 == 0, seq).alias("cite_seq"))
+    return causal.registry_asof(chapter, nodes, edges, attrs, para)
 
 
 @query(f"""{CORPUS}, c AS (SELECT book_id, chapter_idx, part_label, start_seq AS lo, end_seq AS hi, label AS text FROM chapter WHERE kind = 'body'),
@@ -548,10 +563,13 @@ def genre_worklist(spark, d):
 
 
 @query(f"""{CORPUS}, l AS (SELECT book_id, max(chapter_idx) AS last_idx FROM chapter WHERE kind = 'body' AND NOT regexp_matches(label, '(?i)^\\s*part\\b') GROUP BY book_id)
-SELECT reader_id, p.book_id, coalesce(position_chapter_idx, CASE WHEN status = 'finished' THEN l.last_idx END) AS chapter_idx FROM progress p LEFT JOIN l USING (book_id)""")
+SELECT reader_id, p.book_id, CASE WHEN p.book_id % 3 > 0 THEN CASE WHEN p.book_id % 2 = 0 AND status = 'finished' THEN l.last_idx WHEN p.book_id % 2 = 1 THEN position_chapter_idx END END AS chapter_idx FROM progress p LEFT JOIN l USING (book_id)""")
 def session_positions(spark, d):
+    """Every third book is unread with a position left over, every other one has no position."""
     para, chapter = D.paras(spark, d)
-    return maintenance.session_positions(D.progress(spark, d, chapter), chapter)
+    k = F.col("book_id")
+    state = D.progress(spark, d, chapter).withColumns({"status": F.when(k % 3 == 0, "unread").otherwise(F.col("status")), "position_chapter_idx": F.when((k % 2 == 1) | (k % 3 == 0), F.col("position_chapter_idx"))})
+    return maintenance.session_positions(state, chapter)
 
 
 @query(f"""{CORPUS}, {D.SHELF_SQL}, g AS (SELECT author, count(*) AS n FROM shelf GROUP BY author), b AS (SELECT author, coalesce(sum(n) OVER (ORDER BY author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
@@ -608,6 +626,6 @@ def causal_chapters(spark, d):
     return causal.causal_chapters(c, bounds).select("book_id", "chapter_idx", "label", "kind", "end_seq")
 
 
-@query(f"{CORPUS} SELECT book_id, chapter_idx, coalesce(nullif(lower(regexp_extract(label, '(?i)^\\s*(prologue|epilogue|interlude)\\b', 1)), ''), nullif(regexp_extract(label, '(?i)^\\s*(?:chapter\\s+)?(\\d+)\\b', 1), ''), CAST(chapter_idx + 1 AS VARCHAR)) AS ref FROM chapter")
+@query(f"{CORPUS} SELECT book_id, chapter_idx, CASE WHEN kind = 'body' THEN {identity_sql('label')} END AS ref FROM chapter")
 def chapter_ref_inverse(spark, d):
-    return D.chapters(D.raw_paras(spark, d)).select("book_id", "chapter_idx", maintenance.chapter_ref_of(F.col("chapter_idx"), F.col("label")).alias("ref"))
+    return D.chapters(D.raw_paras(spark, d)).select("book_id", "chapter_idx", maintenance.chapter_ref_of(F.col("kind"), F.col("label")).alias("ref"))

@@ -160,7 +160,8 @@ ranges AS (SELECT reader_id, book_id, book_order * {schema.BOOK_STRIDE} AS lo, c
 readable AS (SELECT r.reader_id, p.* FROM para p JOIN ranges r ON p.book_id = r.book_id AND p.global_seq BETWEEN r.lo AND r.hi WHERE kind IN ('body', 'reference'))"""
 
 
-SHELF_SQL = """shelf AS (SELECT o_orderkey AS review_id, 'b' || (o_orderkey % 5000) AS shelf_book_id,
+SHELF_SQL = """shelf_order AS (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS o_partkey FROM orders),
+shelf AS (SELECT o_orderkey AS review_id, 'b' || (o_orderkey % 5000) AS shelf_book_id,
   p_name || CASE WHEN o_orderkey % 3 < 2 THEN ' (' || p_brand || ', #' || p_size || ')' ELSE '' END AS title, p_brand AS author,
   CASE o_orderstatus WHEN 'F' THEN 'read' WHEN 'O' THEN 'to-read' ELSE 'currently-reading' END AS shelf,
   CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 900 + 50 END AS num_pages, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 124 + 1900 END AS published_year,
@@ -171,7 +172,7 @@ SHELF_SQL = """shelf AS (SELECT o_orderkey AS review_id, 'b' || (o_orderkey % 50
   CASE WHEN o_orderkey % 6 <> 0 THEN strftime(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 60 - 10 AS INTEGER), '%Y-%m-%d') END AS date_started,
   strftime(o_orderdate, '%Y-%m-%d') AS date_added,
   CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'https://covers.example/s' END AS cover_small
-  FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part))"""
+  FROM shelf_order JOIN part ON p_partkey = o_partkey)"""
 EVENT_SQL = """event AS (SELECT user_id AS reader_id, user_id % 3 AS book_id, ts, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'set' ELSE 'reset' END AS action,
   CAST(floor(value * 100) AS BIGINT) AS seq FROM events WHERE event_type IN ('view', 'click', 'signup'))"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern import schema
 from lectern.functions import text as T
 from lectern.operators import causal, chapters, conversations, maintenance, progress, search, shelf
-from lectern.operators.retrieval import BoundedCorpus
+from lectern.operators.retrieval import BoundedCorpus, printed_identity
 
 STRIDE, SPINE = schema.BOOK_STRIDE, schema.SPINE_STRIDE
 
@@ -127,7 +127,59 @@ def test_lens_and_cascade(spark):
     ends = c._chapter.groupBy("book_id").agg(F.max("end_seq").alias("book_end"))
     t = spark.createDataFrame([(9, 2, 2 * STRIDE + 5)], "reader_id long, book_id long, ceiling_seq long")
     assert {(r["book_id"], r["status"], r["ceiling_seq"]) for r in progress.lens(c._book, ends, t).collect()} == {(1, "finished", STRIDE + 4 * SPINE + 3), (2, "reading", 2 * STRIDE + 5)}
-    assert {(r["book_id"], r["status"]) for r in progress.series_cascade(c._progress, c._book, ends).collect()} == {(1, "finished"), (2, "reading")}
+    got = {(r["book_id"], r["status"], r["position_chapter_idx"]) for r in progress.series_cascade(c._progress, c._book, progress.book_ends(c._chapter)).collect()}
+    assert got == {(1, "finished", 4), (2, "reading", 0)}
+
+
+def test_printed_names_of_chapters(spark):
+    labels = ["20: The House", "Chapter 007", "  Prologue ", "Interlude: A", "Interlude: B", "Interludes I", "EPILOGUE", "Part 3", "Copyright", "3rd", "0", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i long, label string")
+    got = [r["ref"] for r in df.select("i", printed_identity(F.col("label")).alias("ref")).orderBy("i").collect()]
+    assert got == ["20", "7", "prologue", "interlude: a", "interlude: b", "interludes i", "epilogue", None, None, None, "0", None]
+    kinds = spark.createDataFrame([("body", "Chapter 2"), ("reference", "Chapter 2"), ("body", "Part 1")], "kind string, label string")
+    assert [r["r"] for r in kinds.select(maintenance.chapter_ref_of(F.col("kind"), F.col("label")).alias("r")).collect()] == ["2", None, None]
+
+
+def test_unread_books_have_no_position(spark):
+    c = fixture(spark, [])
+    state = spark.createDataFrame([(1, 1, "unread", 3, 0), (1, 2, "finished", None, 5), (1, 3, "reading", 2, 5)], schema.PROGRESS)
+    assert {r["book_id"]: r["chapter_idx"] for r in maintenance.session_positions(state, c._chapter).collect()} == {1: None, 2: 4, 3: 2}
+
+
+def test_registry_knows_facts_of_known_nodes(spark):
+    """Facts of a missing node count nowhere, excerpt citations hide a fact, missing citations do not."""
+    c = fixture(spark, [])
+    at = lambda k, p=0: STRIDE + k * SPINE + p
+    nodes = spark.createDataFrame([(10, 1, at(0), at(0)), (11, 1, at(3), at(3)), (12, 2, 2 * STRIDE, 2 * STRIDE)], "node_id long, book_id long, first_seq long, cite_seq long")
+    edges = spark.createDataFrame([(10, at(1), None), (99, at(1), None), (11, at(2), at(2)), (10, at(2), at(3))], "src_node_id long, revealed_at_seq long, cite_seq long")
+    attrs = spark.createDataFrame([(10, at(0), at(0)), (98, at(0), None), (10, at(4), None)], "node_id long, first_seq long, cite_seq long")
+    got = {r["chapter_idx"]: (r["n_nodes"], r["n_edges"], r["n_attrs"]) for r in causal.registry_asof(c._chapter, nodes, edges, attrs, c._para).where("book_id = 1").collect()}
+    assert got == {0: (1, 0, 1), 1: (1, 1, 1), 2: (1, 2, 1), 3: (1, 2, 1), 4: (1, 2, 2)}
+
+
+def test_spans_are_in_chapters(spark):
+    c = fixture(spark, [(1, 1, STRIDE + 2 * SPINE + 1)])
+    asked = [(1, 1, 1, 1, 0), (2, 1, 1, -7, 0), (3, 1, 1, 2, 9), (4, 1, 1, -5, -1), (5, 1, 2, 0, 9), (6, 1, 1, 3, 3)]
+    req = spark.createDataFrame(asked, "request_id long, reader_id long, book_id long, lo_idx long, hi_idx long")
+    got = {}
+    for r in c.read(req).collect():
+        got.setdefault(r["request_id"], []).append(r["chapter_idx"])
+    assert {k: sorted(v) for k, v in got.items()} == {1: [0] * 4 + [1] * 4, 2: [0] * 4, 3: [2] * 2}
+    notes = {r["request_id"]: (r["capped"], r["marker"]) for r in c.read_notes(req).collect()}
+    assert notes == {1: (False, None), 2: (False, None), 3: (False, "Chapter 3"), 4: (False, None), 5: (False, None), 6: (False, None)}
+
+
+def test_causal_range_raises_above_its_bound(spark):
+    c = fixture(spark, [])
+    ask = lambda lo, hi, bound: causal.causal_range(c._para, spark.createDataFrame([(1, lo, hi, bound)], "book_id long, start_seq long, end_seq long, bound_seq long"))
+    assert ask(STRIDE, STRIDE + 5 * SPINE, 2 * STRIDE).count() == 16
+    with pytest.raises(Exception, match="above its bound"):
+        ask(STRIDE, STRIDE + 5 * SPINE, STRIDE).collect()
+
+
+def test_file_names(spark):
+    got = [one(spark, T.safe_file_name(F.col("a"), F.col("b")), a=a, b=7) for a in ("x/My Book (v1) [a].epub", "a:b?c", "..", None, "Ünï.EPUB", "dir/")]
+    assert got == ["My Book (v1) [a].epub", "a_b_c.epub", "7.epub", "7.epub", "n_.EPUB", "dir.epub"]
 
 
 def test_order_key(spark):
@@ -290,6 +342,15 @@ def test_components_by_union_find(spark):
         assert {r["node"]: r["component"] for r in causal.identity_components(df, bound).collect()} == {n: find(n) for n in list(parent)}
 
 
+def test_components_of_a_long_chain(spark):
+    """Many more steps than rounds; a node that only meets itself is a component."""
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    chain = [(a, b, 1) for a, b in zip(order[:-1], order[1:], strict=True)]
+    df = spark.createDataFrame([*chain, (999, 999, 1)], "a long, b long, revealed_at long")
+    assert {r["node"]: r["component"] for r in causal.identity_components(df).collect()} == {k: 0 for k in order} | {999: 999}
+
+
 def test_commit_is_idempotent_and_per_book(spark, tmp_path):
     target = str(tmp_path / "store")
     row = lambda b, x: spark.createDataFrame([(b, x)], "book_id long, x string")
