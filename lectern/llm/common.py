@@ -11,8 +11,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,44 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.tables import checkpointed, shared_dir, stored  # noqa: F401 - the operators' one source of helpers
+
 #: Bytes of text that one block holds (the last document may go over).
 BLOCK_BYTES = 8 << 20
 
 BLOCK_SCHEMA = "block_id long, doc_ids binary, lens binary, tokens binary, words binary, word_lens binary, n_tokens long"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; in local mode a temporary one where none is configured."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(root)
-        return root
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="lectern-shared-")
-    context.setCheckpointDir(root)
-    return root
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise narrow rows in the shared folder and cut the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Materialise wide rows as a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Fewer rows an Arrow batch than Spark's default, as these rows are whole texts; a smaller setting is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from lectern.llm import components, simhash, topk
+from lectern.llm import simhash, topk
+from lectern.operators import components
 
 TEXT = "doc_id long, text string"
 
