@@ -85,6 +85,21 @@ def citations(answer: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)))
 
 
+def citations_json(cited: Column) -> Column:
+    """Cited ids as a conversation stores them: a JSON array."""
+    return F.to_json(cited)
+
+
+def citations_from_json(stored: Column) -> Column:
+    """Cited ids of a stored JSON array; none for an empty or broken one."""
+    return F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>"))
+
+
+def prompt_hash(template: Column) -> Column:
+    """Sixteen hexadecimal digits that name a prompt template."""
+    return F.substring(F.sha2(template, 256), 1, 16)
+
+
 def citation_id(book_id: Column, spine_idx: Column, para_idx: Column) -> Column:
     return F.format_string("%s:%s:p%s", book_id.cast("string"), spine_idx.cast("string"), para_idx.cast("string"))
 

@@ -64,6 +64,15 @@ def reopened(conversations: DataFrame, progress: DataFrame) -> DataFrame:
     return j.select("conv_id", "book_id", "chapter_idx", moved.alias("moved_on"))
 
 
+def position_labels(positions: DataFrame, chapter: DataFrame) -> DataFrame:
+    """(conv_id, book_id, chapter_idx, label): how a saved position reads: its chapter's label, or "Finished" from the
+    last addressable chapter on."""
+    spot = F.col("kind").isin(*ADDRESSABLE_KINDS) & ~is_part_divider(F.col("label"))
+    last = chapter.where(spot).groupBy("book_id").agg(F.max("chapter_idx").alias("_last"))
+    j = positions.join(last, "book_id", "left").join(chapter.select("book_id", "chapter_idx", "label"), ["book_id", "chapter_idx"], "left")
+    return j.select("conv_id", "book_id", "chapter_idx", F.when(F.col("chapter_idx") >= F.col("_last"), "Finished").otherwise(F.col("label")).alias("label"))
+
+
 def ranked(df: DataFrame, group: str, order: str, width: int = 10_000) -> DataFrame:
     """``df`` with ``rank``, the rows of its group before it, by a non-negative integer ``order``.
 

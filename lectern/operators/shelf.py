@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.conversations import ranked
 
 
 def _filled(c: str) -> Column:
@@ -150,6 +151,58 @@ def propose_links(book: DataFrame, shelf: DataFrame, links: DataFrame | None = N
     return out.select("book_id", F.when(n == 1, "link").when(n == 0, "no_match").otherwise("ambiguous").alias("status"), n.alias("n_candidates"), F.when(n == 1, F.col("one")).alias("candidate"))
 
 
+def link_candidates(book: DataFrame, shelf: DataFrame) -> DataFrame:
+    """(book_id, candidates): all shelf books, in order, that share a title key with a book that has more than one."""
+    keys = _keyed(shelf.select("shelf_book_id", "title"), "shelf_book_id").distinct()
+    mates = _keyed(book, "book_id").join(keys, "key").select("book_id", "shelf_book_id").distinct()
+    return mates.groupBy("book_id").agg(F.sort_array(F.collect_list("shelf_book_id")).alias("candidates")).where(F.size("candidates") > 1)
+
+
+def link_report(book: DataFrame, links: DataFrame, proposed: DataFrame) -> DataFrame:
+    """One row (linked, already_linked, ambiguous, unmatched) of an automatic round over books without a link."""
+    before = book.select("book_id").join(links.select("book_id"), "book_id", "left_semi").agg(F.count("*").alias("already_linked"))
+    kinds = proposed.agg(*[F.count_if(F.col("status") == k).alias(n) for n, k in (("linked", "link"), ("ambiguous", "ambiguous"), ("unmatched", "no_match"))])
+    return kinds.join(before, how="cross").select("linked", "already_linked", "ambiguous", "unmatched")  # two single rows
+
+
+def unlink(links: DataFrame, gone: DataFrame) -> DataFrame:
+    """Links without those of the given books, manual or automatic."""
+    return links.join(gone.select("book_id"), "book_id", "left_anti").select(*links.columns)
+
+
+def slot_conflicts(book: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked places (book_id, series_id, book_order) that another book holds, with its id."""
+    held = book.select("series_id", "book_order", F.col("book_id").alias("occupant"))
+    return asked.join(held, ["series_id", "book_order"]).where("occupant <> book_id").select("book_id", "series_id", "book_order", "occupant")
+
+
+def library_tree(book: DataFrame, progress: DataFrame, read: DataFrame) -> DataFrame:
+    """(series_id, pos, book_id, title, status, percent, standalone): volumes of each series in order with the reader's
+    standing; a series is standalone if its only book is.  ``read`` has (book_id, pct)."""
+    sizes = book.groupBy("series_id").agg((F.count("*") == 1).alias("_one"))
+    state = book.join(progress.select("book_id", "status"), "book_id", "left").join(read.select("book_id", "pct"), "book_id", "left").join(sizes, "series_id")
+    placed = ranked(state, "series_id", "book_order")
+    return placed.select("series_id", F.col("rank").alias("pos"), "book_id", "title", F.coalesce("status", F.lit("unread")).alias("status"), F.coalesce("pct", F.lit(0)).alias("percent"), (F.col("_one") & F.col("standalone")).alias("standalone"))
+
+
+def pace(shelf: DataFrame) -> DataFrame:
+    """One row (months, pace, horizon, kind): pages a month over the months from the first dated read to the last, and
+    the months that the unread shelf lasts; null where there is no history or nothing waits."""
+    read = F.col("shelf") == "read"
+    month = F.when(read, T.month_key(F.col("date_read")))
+    ordinal = F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int")
+    t = shelf.agg(
+        F.coalesce(F.max(ordinal) - F.min(ordinal) + 1, F.lit(0)).cast("long").alias("months"),
+        F.coalesce(F.sum(F.when(read, F.col("num_pages"))), F.lit(0)).alias("pages"),
+        F.coalesce(F.sum(F.when(F.col("shelf") == "to-read", F.col("num_pages"))), F.lit(0)).alias("backlog"),
+    )
+    known = (F.col("months") > 0) & (F.col("pages") > 0)
+    t = t.withColumn("pace", F.when(known, F.col("pages") / F.col("months")))
+    t = t.withColumn("horizon", F.when(F.col("backlog") > 0, F.col("backlog") / F.col("pace")))
+    kind = F.when(~known, "no history").when(F.col("backlog") == 0, "caught up").when(F.col("horizon") < 1.5, "weeks").when(F.col("horizon") < 20, "months").otherwise("years")
+    return t.select("months", F.round("pace", 6).alias("pace"), F.round("horizon", 6).alias("horizon"), kind.alias("kind"))
+
+
 def apply_links(links: DataFrame, proposed: DataFrame) -> DataFrame:
     """Links after proposals (book_id, candidate): a manual link always stays."""
     p = proposed.where("candidate is not null").select("book_id", F.col("candidate").alias("_c"))

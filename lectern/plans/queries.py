@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +9,12 @@ from lectern import schema
 from lectern.functions import text as T
 from lectern.operators import causal, chapters, conversations, maintenance, progress, retrieval, search, shelf
 from lectern.operators.retrieval import BoundedCorpus
+from lectern.plans.registry import query
 from lectern.sources import driver_tables as D
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 CORPUS = D.corpus_sql()
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def corpus(spark: SparkSession, d: str) -> BoundedCorpus:
     para, chapter = D.paras(spark, d)
     return BoundedCorpus(D.books(spark, d), chapter, para, D.progress(spark, d, chapter))

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from lectern.plans.queries import QUERIES, SQL
+from lectern.plans.catalogue import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
