@@ -25,8 +25,9 @@ from .common import BLOCK_BYTES, mix, parts_for, stored, token_blocks, unpack_wo
 
 DEPTH = 4
 END, SPACE = b"\n", b" "
-#: Blocks whose counts of a subtree are added up in one group; distinct words that a reducer holds.
-FOLD, WORDS_PER_PART = 64, 400_000
+#: Blocks whose counts of a subtree are added up in one group, or answered from one reading of its model; distinct
+#: words that a reducer holds.
+FOLD, ANSWER, WORDS_PER_PART = 64, 256, 400_000
 LN2 = np.log(2.0)
 
 
@@ -270,16 +271,17 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
 
     model = stored(counts.mapInPandas(weigh, "suffix int, model_rems binary, logs binary"), "string-logs")
 
-    def answer(batches):
-        for pdf in batches:
-            out = []
-            for rems, all_rems, logs in zip(pdf["rems"], pdf["model_rems"], pdf["logs"], strict=True):
-                at = np.searchsorted(np.frombuffer(all_rems, np.uint64), np.frombuffer(rems, np.uint64))
-                out.append(np.frombuffer(logs)[at].astype(np.float32).tobytes())
-            yield pd.DataFrame({"block_id": pdf["block_id"], "kind": 1, "part": pdf["suffix"], "keys": pdf["rems"], "got": out, "n": 0, "v": 0})
+    def answer(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        all_rems, logs = np.frombuffer(known["model_rems"].iloc[0], np.uint64), np.frombuffer(known["logs"].iloc[0])
+        out = [logs[np.searchsorted(all_rems, np.frombuffer(rems, np.uint64))].tobytes() for rems in pdf["rems"]]
+        return pd.DataFrame({"block_id": pdf["block_id"], "kind": 1, "part": int(key[0]), "keys": pdf["rems"], "got": out, "n": 0, "v": 0})
 
     reply_schema = "block_id long, kind int, part int, keys binary, got binary, n long, v long"
-    string_replies = asked.select("suffix", "block_id", "rems").join(model, "suffix").mapInPandas(answer, reply_schema)
+    # A subtree's blocks are answered ANSWER at a time, each time from one copy of its model.
+    groups = -(-max(known["blocks"], 1) // ANSWER)
+    by = asked.select("suffix", F.pmod("nth", F.lit(groups)).alias("salt"), "block_id", "rems").groupBy("suffix", "salt")
+    copies = by.agg(F.lit(1)).select("suffix", "salt").join(model, "suffix") if groups > 1 else model.withColumn("salt", F.lit(0).cast("long"))
+    string_replies = by.cogroup(copies.groupBy("suffix", "salt")).applyInPandas(answer, reply_schema)
 
     def ask_words(batches):
         for batch in batches:
@@ -289,11 +291,10 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
                 part = np.array([zlib.crc32(w) % parts for w in texts.words], np.int64)
                 by = np.argsort(part, kind="stable")
                 bounds = np.searchsorted(part[by], np.arange(parts + 1))
-                for p in range(parts):
+                for p in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
                     some = by[bounds[p] : bounds[p + 1]]
-                    if len(some):
-                        words = b"\n".join(texts.words[i] for i in some.tolist())
-                        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block_id": [row["block_id"]], "words": [words], "counts": [learned[some].astype(np.int64).tobytes()]})
+                    words = b"\n".join(texts.words[i] for i in some.tolist())
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block_id": [row["block_id"]], "words": [words], "counts": [learned[some].astype(np.int64).tobytes()]})
 
     def meet_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [w.split(b"\n") for w in pdf["words"]]
@@ -324,7 +325,7 @@ def _score_block(texts: Texts, reply: pd.DataFrame, parts: int, n_train: int, n_
     rems = [np.frombuffer(k, np.uint64) for k in strings["keys"]]
     suffix = np.repeat(strings["part"].to_numpy(np.int64), [len(r) for r in rems])
     keys = _join_code(suffix, np.concatenate(rems), texts.depth)
-    logs = np.concatenate([np.frombuffer(g, np.float32) for g in strings["got"]]).astype(np.float64)
+    logs = np.concatenate([np.frombuffer(g) for g in strings["got"]])
     code, n = texts.strings()
     per = logs[HashIndex(keys).find(code)]
     score_ = np.add.reduceat(per, np.cumsum(n) - n)

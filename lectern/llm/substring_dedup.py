@@ -137,10 +137,9 @@ def _ask(block_id: int, keys: np.ndarray, docs: np.ndarray, parts: int):
     part = (keys % np.uint64(parts)).astype(np.int32)
     by = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[by], np.arange(parts + 1))
-    for p in range(parts):
+    for p in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
         some = by[bounds[p] : bounds[p + 1]]
-        if len(some):
-            yield p, block_id, keys[some], least[some], most[some]
+        yield p, block_id, keys[some], least[some], most[some]
 
 
 def _answers(reply: pd.DataFrame, keys: np.ndarray, parts: int) -> np.ndarray:

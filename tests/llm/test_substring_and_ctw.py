@@ -109,14 +109,17 @@ def brute_tree(texts, depth):
     return score
 
 
-def test_scores(spark):
+@pytest.mark.parametrize(("depth", "answer"), [(3, 256), (ctw.DEPTH, 2)])
+def test_scores(spark, monkeypatch, depth, answer):
+    """Against the tree by its definition, at the depth of the query too, and with subtrees answered a few blocks at a time."""
+    monkeypatch.setattr(ctw, "ANSWER", answer)
     rng = random.Random(5)
     rows = [(d, rng.choice([None, "", "The cat  SAT on\nthe mat É", " ".join(rng.choice(["the", "a", "Cat", "of", "x%d" % d]) for _ in range(rng.randint(1, 30)))])) for d in range(60)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, score string").repartition(3)
-    got = {r["doc_id"]: r for r in ctw.score(df, depth=3, block_bytes=400).collect()}
+    got = {r["doc_id"]: r for r in ctw.score(df, depth=depth, block_bytes=400).collect()}
     words = {d: (t or "").encode().lower().split() for d, t in rows}
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in words}
-    tree = brute_tree([b" ".join(w) + b"\n" for d, w in words.items() if not held[d]], 3)
+    tree = brute_tree([b" ".join(w) + b"\n" for d, w in words.items() if not held[d]], depth)
     c = collections.Counter(x for d, w in words.items() if not held[d] for x in [*w, None])
     n, v = sum(c.values()), len(c)
     for d, w in words.items():
@@ -124,7 +127,7 @@ def test_scores(spark):
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None])
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert r["score"] == pytest.approx(tree(b" ".join(w) + b"\n"), rel=1e-5)
+        assert r["score"] == pytest.approx(tree(b" ".join(w) + b"\n"), rel=1e-9)
 
 
 def test_scores_of_nothing_and_of_no_training(spark):
