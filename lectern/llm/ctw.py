@@ -37,7 +37,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         shift = shift * (x + k)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(shift)
 
 
 def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
