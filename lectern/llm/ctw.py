@@ -280,7 +280,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     # A subtree's blocks are answered ANSWER at a time, each time from one copy of its model.
     groups = -(-max(known["blocks"], 1) // ANSWER)
     by = asked.select("suffix", F.pmod("nth", F.lit(groups)).alias("salt"), "block_id", "rems").groupBy("suffix", "salt")
-    copies = by.agg(F.lit(1)).select("suffix", "salt").join(model, "suffix") if groups > 1 else model.withColumn("salt", F.lit(0).cast("long"))
+    copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     string_replies = by.cogroup(copies.groupBy("suffix", "salt")).applyInPandas(answer, reply_schema)
 
     def ask_words(batches):
