@@ -160,9 +160,9 @@ def link_candidates(book: DataFrame, shelf: DataFrame) -> DataFrame:
 
 def link_report(book: DataFrame, links: DataFrame, proposed: DataFrame) -> DataFrame:
     """One row (linked, already_linked, ambiguous, unmatched) of an automatic round over books without a link."""
-    before = book.select("book_id").join(links.select("book_id"), "book_id", "left_semi").agg(F.count("*").alias("already_linked"))
-    kinds = proposed.agg(*[F.count_if(F.col("status") == k).alias(n) for n, k in (("linked", "link"), ("ambiguous", "ambiguous"), ("unmatched", "no_match"))])
-    return kinds.join(before, how="cross").select("linked", "already_linked", "ambiguous", "unmatched")  # two single rows
+    before = book.select("book_id").join(links.select("book_id"), "book_id", "left_semi").select(F.lit("already").alias("status"))
+    kinds = (("linked", "link"), ("already_linked", "already"), ("ambiguous", "ambiguous"), ("unmatched", "no_match"))
+    return proposed.select("status").unionByName(before).agg(*[F.count_if(F.col("status") == k).alias(n) for n, k in kinds])
 
 
 def unlink(links: DataFrame, gone: DataFrame) -> DataFrame:
