@@ -1,51 +1,85 @@
-"""EPUB books as rows: ``binaryFile`` in, nested book rows out, one file per task row.
+"""EPUB books as Spark jobs: archives become rows of entries, and packages, reading orders, contents and covers are
+joins and windows over those rows.
 
-``read_epubs`` yields one row a file with metadata, the documents in reading order and the table of contents;
-``documents`` and ``paragraphs`` flatten it.  Malformed books give a row with ``error`` set, never a failed job.
+A Python task only unzips, or reads one small XML entry or one HTML document at a time.  Malformed books give a row with
+``error`` set, never a failed job.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import posixpath
-import re
 import zipfile
+from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as A
 
 from lectern import schema
+from lectern.functions.text import slug
+from lectern.tables import stored
 
-from .markup import first_heading_of, paragraphs_of
+from . import markup
 
 # Content media types and extensions, smallest image that counts as a cover.
-CONTENT_TYPES = {"application/xhtml+xml", "text/html", "application/x-dtbook+xml"}
-CONTENT_EXTENSIONS = (".xhtml", ".html", ".htm")
+CONTENT_TYPES = ["application/xhtml+xml", "text/html", "application/x-dtbook+xml"]
+CONTENT_EXTENSIONS = r"(?i)\.(xhtml|html|htm)$"
+NCX_TYPE = "application/x-dtbncx+xml"
 MIN_COVER_BYTES = 100
 
-BOOK_ROW = (
-    "path string, sha256 string, title string, author string, sequence_tier string, error string, "
-    "documents array<struct<spine_idx:long,href:string,heading:string,first_block:string,paragraphs:array<string>>>, "
-    "toc array<struct<entry_idx:long,spine_idx:long,label:string>>, series struct<name:string,position:double>, cover struct<tier:string,href:string,content:binary>"
+CONTAINER, ENCRYPTION = "META-INF/container.xml", "META-INF/encryption.xml"
+INLINE_IMAGE = r"(?i)<(?:img\b[^>]*\bsrc|image\b[^>]*\bhref)\s*=\s*[\"']([^\"']+)"
+ENTRY_ROW = "path string, sha256 string, name string, content binary, error string"
+_STRING = A.StringType()
+_ITEM = A.StructType([A.StructField(c, _STRING) for c in ("id", "name", "kind", "props")])
+_TARGET = A.StructType([A.StructField(c, _STRING) for c in ("name", "label")])
+_SERIES = A.StructType([A.StructField("name", _STRING), A.StructField("position", A.DoubleType())])
+PACKAGE_ROW = A.StructType(
+    [A.StructField("title", _STRING), A.StructField("author", _STRING), A.StructField("items", A.ArrayType(_ITEM)), A.StructField("spine", A.ArrayType(_STRING)), A.StructField("cover_id", _STRING), A.StructField("series", _SERIES)]
 )
+#: Bytes of entries that an unzipping task gathers before it hands them on.
+CHUNK = 16 << 20
 
 
-class BadBook(Exception):
-    """Why a file gives no book."""
+@dataclass(frozen=True)
+class Library:
+    """Tables of parsed archives, keyed by ``path``.
+
+    ``book``: (path, sha256, title, author, sequence_tier, error, series, cover), a row for each file; ``document``: (path,
+    spine_idx, name, heading, first_block, n_paras); ``para``: (path, spine_idx, para_idx, text); ``toc``: (path, entry_idx,
+    spine_idx, label).  Books with an error have no rows but that of ``book``.
+    """
+
+    book: DataFrame
+    document: DataFrame
+    para: DataFrame
+    toc: DataFrame
 
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def _find(root, name: str):
+def _find(root, name: str) -> list:
     return [e for e in root.iter() if _local(e.tag) == name]
 
 
+def _words(element) -> str:
+    return " ".join("".join(element.itertext()).split())
+
+
+def _root(content) -> ElementTree.Element | None:
+    try:
+        return None if content is None else ElementTree.fromstring(bytes(content))
+    except ElementTree.ParseError:
+        return None
+
+
 def resolve_href(base: str, href: str) -> str:
     """Zip path of a reference: no fragment, unquoted, dots resolved, never above the root."""
     path = posixpath.normpath(posixpath.join(base, unquote(href.split("#", 1)[0])))
@@ -54,64 +88,56 @@ def resolve_href(base: str, href: str) -> str:
     return path.lstrip("/")
 
 
-def natural_key(name: str) -> list:
-    return [int(x) if x.isdigit() else x.lower() for x in re.split(r"(\d+)", name)]
+def natural_key(name: Column) -> Column:
+    """Sort key: lower-cased text and whole numbers of any length, in turn."""
+    part = lambda i: F.regexp_extract_all(F.lower(name), F.lit(r"(\D*)(\d*)"), F.lit(i))
+    digits = lambda d: F.regexp_replace(d, "^0+", "")
+    return F.zip_with(part(1), part(2), lambda t, d: F.struct(t.alias("t"), F.length(digits(d)).alias("n"), digits(d).alias("d")))
+
+
+def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of ENTRY_ROW; a file that is no archive, or an entry that can't be read, gives a row with an error."""
+    columns = ["path", "sha256", "name", "content", "error"]
+    for pdf in batches:
+        rows, size = [], 0
+        for path, sha, content in zip(pdf["path"], pdf["sha256"], pdf["content"], strict=True):
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
+            except zipfile.BadZipFile:
+                rows.append((path, sha, None, None, "not a zip file"))
+                continue
+            for name in dict.fromkeys(archive.namelist()):
+                try:
+                    data, error = archive.read(name), None
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, EOFError, ValueError) as e:
+                    data, error = None, f"unreadable entry: {e}"
+                rows.append((path, sha, name, data, error))
+                size += len(data or b"")
+                if size >= CHUNK:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+
+@F.pandas_udf(_STRING)
+def _rootfile(container: pd.Series) -> pd.Series:
+    def one(content):
+        root = _root(content)
+        return None if root is None else next((e.get("full-path") for e in _find(root, "rootfile") if e.get("full-path")), None)
 
+    return container.map(one)
 
-def _package(archive: zipfile.ZipFile) -> tuple[str, ElementTree.Element]:
+
+def _number(text: str | None) -> float | None:
     try:
-        container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
-        path = next(e.get("full-path") for e in _find(container, "rootfile") if e.get("full-path"))
-        return path, ElementTree.fromstring(archive.read(path))
-    except (KeyError, StopIteration, ElementTree.ParseError) as e:
-        raise BadBook(f"no package document: {e}") from e
-
-
-def reading_order(spine: list[str], manifest: dict[str, tuple[str, str, str]], names: list[str]) -> tuple[str, list[str]]:
-    """(tier, paths): the spine, else content of the manifest, else content files by natural order."""
-    tiers = (
-        ("S1", [manifest[i][0] for i in spine if i in manifest and manifest[i][0] in names]),
-        ("S2", [p for p, kind, _ in manifest.values() if kind in CONTENT_TYPES and p in names]),
-        ("S3", sorted((n for n in names if n.lower().endswith(CONTENT_EXTENSIONS) and not n.startswith("META-INF/")), key=natural_key)),
-    )
-    for tier, paths in tiers:
-        if paths:
-            return tier, paths
-    raise BadBook("no reading order")
-
-
-def _toc(archive, manifest, opf, base: str, at: dict[str, int]) -> list[dict]:
-    """Entries of the navigation document or the NCX; targets outside the reading order are dropped."""
-    out = []
-    nav = next((p for p, _, props in manifest.values() if "nav" in props.split()), None)
-    ncx = next((p for p, kind, _ in manifest.values() if kind == "application/x-dtbncx+xml"), None)
-    pairs: list[tuple[str, str]] = []
-    for path in filter(None, (nav, ncx)):
-        try:
-            root = ElementTree.fromstring(archive.read(path))
-        except (KeyError, ElementTree.ParseError):
-            continue
-        folder = posixpath.dirname(path)
-        if path == nav:
-            for n in _find(root, "nav"):
-                if any(_local(k) == "type" and "toc" in v.split() for k, v in n.attrib.items()):
-                    pairs = [(resolve_href(folder, a.get("href", "")), " ".join("".join(a.itertext()).split())) for a in _find(n, "a")]
-        else:
-            for point in _find(root, "navPoint"):
-                text = next((" ".join("".join(t.itertext()).split()) for t in _find(point, "text")), "")
-                src = next((c.get("src", "") for c in _find(point, "content")), "")
-                pairs.append((resolve_href(folder, src), text))
-        if pairs:
-            break
-    for path, label in pairs:
-        if path in at and label:
-            out.append({"entry_idx": len(out), "spine_idx": at[path], "label": label})
-    return out
-
-
-def _series(opf) -> dict | None:
+        return float(text) if text is not None else None
+    except ValueError:
+        return None
+
+
+def _series(metas: list) -> dict | None:
     """Series of a collection refinement, else of the catalogue tool's meta tags."""
-    metas = _find(opf, "meta")
     for m in metas:
         if m.get("property") == "belongs-to-collection" and (m.text or "").strip():
             number = next((x.text for x in metas if x.get("refines") == f"#{m.get('id')}" and x.get("property") == "group-position"), None)
@@ -122,91 +148,166 @@ def _series(opf) -> dict | None:
     return None
 
 
-def _number(text: str | None) -> float | None:
-    try:
-        return float(text) if text is not None else None
-    except ValueError:
-        return None
+@F.pandas_udf(PACKAGE_ROW)
+def _package(name: pd.Series, content: pd.Series) -> pd.DataFrame:
+    """Metadata, items and spine of package documents; all null where one can't be parsed."""
+    columns = ["title", "author", "items", "spine", "cover_id", "series"]
+
+    def one(path, data):
+        opf = _root(data)
+        if opf is None:
+            return [None] * len(columns)
+        text = lambda tag: next((t for t in map(_words, _find(opf, tag)) if t), None)
+        metas, base = _find(opf, "meta"), posixpath.dirname(path)
+        whole = [e for e in _find(opf, "item") if e.get("id") and e.get("href") and e.get("media-type")]
+        items = [{"id": e.get("id"), "name": resolve_href(base, e.get("href")), "kind": e.get("media-type"), "props": e.get("properties") or ""} for e in whole]
+        cover = next((m.get("content") for m in metas if m.get("name") == "cover"), None)
+        return [text("title"), text("creator"), items, [e.get("idref", "") for e in _find(opf, "itemref")], cover, _series(metas)]
+
+    return pd.DataFrame([one(*x) for x in zip(name, content, strict=True)], columns=columns, dtype=object)
+
+
+@F.pandas_udf(A.ArrayType(_TARGET))
+def _contents(name: pd.Series, content: pd.Series) -> pd.Series:
+    """Targets and labels of a navigation document or an NCX, in order."""
+
+    def one(path, data):
+        root, folder = _root(data), posixpath.dirname(path)
+        if root is None:
+            return []
+        if _local(root.tag) == "ncx":
+            text = lambda p: next(map(_words, _find(p, "text")), "")
+            pairs = [(next((c.get("src", "") for c in _find(p, "content")), ""), text(p)) for p in _find(root, "navPoint")]
+        else:
+            navs = [n for n in _find(root, "nav") if any(_local(k) == "type" and "toc" in v.split() for k, v in n.attrib.items())]
+            pairs = [(a.get("href", ""), _words(a)) for n in navs[-1:] for a in _find(n, "a")]
+        return [{"name": resolve_href(folder, href), "label": label} for href, label in pairs]
+
+    return pd.Series([one(*x) for x in zip(name, content, strict=True)])
+
+
+@F.pandas_udf(A.ArrayType(_STRING))
+def _locked(content: pd.Series) -> pd.Series:
+    """Names that an encryption list refers to; an unreadable list locks nothing by name (null)."""
+
+    def one(data):
+        root = _root(data)
+        return None if root is None else [resolve_href("", e.get("URI", "")) for e in _find(root, "CipherReference")]
+
+    return content.map(one)
+
+
+@F.pandas_udf(_STRING)
+def _resolved(name: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([None if not h else resolve_href(posixpath.dirname(n), h) for n, h in zip(name, href, strict=True)])
+
+
+def _text(content: Column) -> Column:
+    return F.make_valid_utf8(content.cast("string"))
 
 
-def _cover(archive, manifest, opf, first: str) -> dict | None:
-    """Cover by EPUB 3 property, by meta tag, by name, else the first image of the first document."""
-    images = {i: p for i, (p, kind, _) in manifest.items() if kind.startswith("image/")}
-    named = next((m.get("content") for m in _find(opf, "meta") if m.get("name") == "cover"), None)
-    like = sorted((("cover" not in i.lower(), len(p), p) for i, p in images.items() if "cover" in i.lower() or "cover" in p.lower()))
-    text = archive.read(first).decode("utf-8", "replace") if first in archive.namelist() else ""
-    inline = re.search(r"<(?:img\b[^>]*\bsrc|image\b[^>]*\bhref)\s*=\s*[\"']([^\"']+)", text, re.I)
+def _reading_order(names: DataFrame, items: DataFrame, spine: DataFrame) -> DataFrame:
+    """(path, sequence_tier, spine_idx, name): the spine, else content of the manifest, else content files by natural order."""
+    by_id = items.groupBy("path", "id").agg(F.max_by("name", "pos").alias("name"))
+    blank = F.lit(None).cast(names.select(natural_key(F.col("name")).alias("k")).schema["k"].dataType)
+    first = spine.join(by_id, ["path", "id"]).select("path", F.lit("S1").alias("sequence_tier"), "pos", blank.alias("key"), "name")
+    second = items.where(F.col("kind").isin(CONTENT_TYPES)).select("path", F.lit("S2"), "pos", blank, "name")
+    there = first.union(second).join(names, ["path", "name"], "left_semi").select("path", "sequence_tier", "pos", "key", "name")
+    files = names.where(F.col("name").rlike(CONTENT_EXTENSIONS) & ~F.startswith("name", F.lit("META-INF/")))
+    third = files.select("path", F.lit("S3"), F.lit(0), natural_key(F.col("name")), "name")
+    book = Window.partitionBy("path")
+    ranked = there.union(third).withColumn("_best", F.min("sequence_tier").over(book)).where("sequence_tier = _best")
+    nth = F.row_number().over(book.orderBy("pos", "key", "name")) - 1
+    return ranked.select("path", "sequence_tier", nth.cast("long").alias("spine_idx"), "name")
+
+
+def _covers(entries: DataFrame, items: DataFrame, packages: DataFrame, order: DataFrame) -> DataFrame:
+    """(path, cover): by EPUB 3 property, by meta tag, by name, else the first image of the first document."""
+    images = items.where(F.startswith("kind", F.lit("image/")))
+    in_id, in_name = (F.contains(F.lower(c), F.lit("cover")) for c in ("id", "name"))
+    rank = F.struct((~in_id).alias("a"), F.length("name").alias("b"), F.col("name").alias("c"))
+    first = order.where("spine_idx = 0").join(entries.select("path", "name", "content"), ["path", "name"])
+    inline = first.select("path", "name", F.regexp_extract(_text(F.col("content")), INLINE_IMAGE, 1).alias("href"))
     ladder = (
-        ("C1", next((p for p, _, props in manifest.values() if "cover-image" in props.split()), None)),
-        ("C2", images.get(named)),
-        ("C3", like[0][2] if like else None),
-        ("C4", resolve_href(posixpath.dirname(first), inline[1]) if inline else None),
+        items.where(F.array_contains(F.split("props", r"\s+"), "cover-image")).groupBy("path").agg(F.lit("C1").alias("tier"), F.min_by("name", "pos").alias("name"))
+        .union(images.join(packages.select("path", F.col("cover_id").alias("id")), ["path", "id"]).groupBy("path").agg(F.lit("C2"), F.max_by("name", "pos")))
+        .union(images.where(in_id | in_name).groupBy("path").agg(F.lit("C3"), F.min_by("name", rank)))
+        .union(inline.select("path", F.lit("C4"), _resolved(F.col("name"), F.col("href"))))
+    )
+    found = ladder.join(entries.where(F.length("content") >= MIN_COVER_BYTES).select("path", "name"), ["path", "name"])
+    best = found.groupBy("path").agg(F.min(F.struct("tier", "name")).alias("c")).select("path", "c.*")
+    picture = best.join(entries.select("path", "name", "content"), ["path", "name"])
+    return picture.select("path", F.struct("tier", F.col("name").alias("href"), "content").alias("cover"))
+
+
+def parse_books(files: DataFrame) -> Library:
+    """Tables of the archives in ``files`` (path, content, sha256), paths being unique."""
+    packed = files.select("path", "content", "sha256")
+    rows = stored(packed.mapInPandas(_unzip, ENTRY_ROW), "epub-entries")
+    entries = rows.where("name is not null")
+    names = entries.select("path", "name")
+    container = entries.where(F.col("name") == CONTAINER).select("path", _rootfile(F.col("content")).alias("name"))
+    package = entries.join(container.where("name is not null"), ["path", "name"]).select("path", _package("name", "content").alias("p")).select("path", "p.*")
+    packages = stored(package.where("items is not null"), "epub-packages")
+    items = packages.select("path", F.posexplode("items").alias("pos", "i")).select("path", "pos", "i.*")
+    spine = packages.select("path", F.posexplode("spine").alias("pos", "id"))
+    whole = names.join(packages.select("path"), "path", "left_semi")
+    order = stored(_reading_order(whole, items, spine), "epub-order")
+
+    locks = entries.where(F.col("name") == ENCRYPTION).select("path", F.explode(F.coalesce(_locked(F.col("content")), F.array())).alias("name"))
+    locked = locks.join(order, ["path", "name"], "left_semi").select("path").distinct()
+
+    pages = order.join(entries.select("path", "name", "content"), ["path", "name"])
+    html = pages.select("path", "sequence_tier", "spine_idx", "name", _text(F.col("content")).alias("html"))
+    parsed = html.select("path", "sequence_tier", "spine_idx", "name", markup.first_heading("html").alias("heading"), markup.paragraphs("html").alias("paras"))
+    parsed = stored(parsed, "epub-documents")
+
+    size = parsed.groupBy("path").agg(F.first("sequence_tier").alias("sequence_tier"), F.max("spine_idx").alias("_last"), F.max(F.size("paras")).alias("_paras"))
+    broken = rows.groupBy("path", "sha256").agg(F.min(F.when(F.col("name").isNull(), F.col("error"))).alias("_zip"))
+    unread = rows.where("name is not null and error is not null").join(order, ["path", "name"], "left_semi").groupBy("path").agg(F.min("error").alias("_entry"))
+    has = lambda df, c: df.select("path", F.lit(True).alias(c))
+    state = files.select("path", "sha256").join(broken.drop("sha256"), "path", "left").join(has(packages, "_package"), "path", "left")
+    state = state.join(size, "path", "left").join(has(locked, "_locked"), "path", "left").join(unread, "path", "left")
+    error = (
+        F.when(F.col("_zip").isNotNull(), F.col("_zip"))
+        .when(F.col("_package").isNull(), "no package document")
+        .when(F.col("_last").isNull(), "no reading order")
+        .when(F.col("_locked"), "encrypted content")
+        .when(F.col("_entry").isNotNull(), F.col("_entry"))
+        .when((F.col("_last") >= schema.MAX_SPINE) | (F.col("_paras") >= schema.SPINE_STRIDE), "too many documents or paragraphs")
+    )
+    state = stored(state.select("path", "sha256", F.when(error.isNull(), F.col("sequence_tier")).alias("sequence_tier"), error.alias("error")), "epub-state")
+    good = state.where("error is null").select("path")
+
+    about = packages.select("path", F.coalesce("title", F.lit("Untitled")).alias("title"), "author", "series").join(good, "path", "left_semi")
+    book = state.join(about, "path", "left").join(_covers(entries, items, packages, order).join(good, "path", "left_semi"), "path", "left")
+    document = parsed.join(good, "path", "left_semi")
+    nav, ncx = F.array_contains(F.split("props", r"\s+"), "nav"), F.col("kind") == NCX_TYPE
+    guide = items.where(nav | ncx).select("path", "name", F.when(nav, 0).otherwise(1).alias("rank"), "pos")
+    listed = guide.join(entries.select("path", "name", "content"), ["path", "name"]).select("path", "rank", "pos", _contents("name", "content").alias("e")).where(F.size("e") > 0)
+    lists = listed.groupBy("path").agg(F.min_by("e", F.struct("rank", "pos")).alias("e")).select("path", F.posexplode("e").alias("pos", "e"))
+    at = document.groupBy("path", "name").agg(F.min("spine_idx").alias("spine_idx"))
+    targets = lists.select("path", "pos", "e.name", "e.label").where("label <> ''").join(at, ["path", "name"])
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1
+    return Library(
+        book.select("path", "sha256", "title", "author", "sequence_tier", "error", "series", "cover"),
+        document.select("path", "spine_idx", "name", "heading", F.get("paras", 0).alias("first_block"), F.size("paras").cast("long").alias("n_paras")),
+        document.select("path", "spine_idx", F.posexplode("paras").alias("para_idx", "text")).withColumn("para_idx", F.col("para_idx").cast("long")),
+        targets.select("path", nth.cast("long").alias("entry_idx"), "spine_idx", "label"),
     )
-    for tier, path in ladder:
-        if path and path in archive.namelist() and len(content := archive.read(path)) >= MIN_COVER_BYTES:
-            return {"tier": tier, "href": path, "content": content}
-    return None
 
 
-def parse_epub(content: bytes) -> dict:
-    """One book of an EPUB's bytes, as in BOOK_ROW."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as e:
-        raise BadBook("not a zip file") from e
-    path, opf = _package(archive)
-    base, names = posixpath.dirname(path), archive.namelist()
-    manifest = {e.get("id"): (resolve_href(base, e.get("href")), e.get("media-type"), e.get("properties") or "") for e in _find(opf, "item") if e.get("id") and e.get("href") and e.get("media-type")}
-    tier, order = reading_order([e.get("idref", "") for e in _find(opf, "itemref")], manifest, names)
-    if "META-INF/encryption.xml" in names:
-        locked = {resolve_href("", e.get("URI", "")) for e in _find(ElementTree.fromstring(archive.read("META-INF/encryption.xml")), "CipherReference")}
-        if locked & set(order):
-            raise BadBook("encrypted content")
-    meta = lambda name: next((" ".join("".join(e.itertext()).split()) for e in _find(opf, name) if "".join(e.itertext()).strip()), None)
-    documents = []
-    for i, p in enumerate(order):
-        text = archive.read(p).decode("utf-8", "replace")
-        blocks = paragraphs_of(text)
-        if i >= schema.MAX_SPINE or len(blocks) >= schema.SPINE_STRIDE:
-            raise BadBook("too many documents or paragraphs")
-        documents.append({"spine_idx": i, "href": p, "heading": first_heading_of(text), "first_block": blocks[0] if blocks else None, "paragraphs": blocks})
-    at: dict[str, int] = {}
-    for i, p in enumerate(order):
-        at.setdefault(p, i)
-    return {
-        "title": meta("title") or "Untitled", "author": meta("creator"), "sequence_tier": tier, "error": None, "documents": documents,
-        "toc": _toc(archive, manifest, opf, base, at), "series": _series(opf), "cover": _cover(archive, manifest, opf, order[0]),
-    }
-
-
-def read_epubs(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """Rows of BOOK_ROW for each file under ``path``; files whose sha256 is in ``known`` are skipped before parsing."""
+def read_epubs(spark: SparkSession, path: str, known: DataFrame | None = None) -> Library:
+    """Tables of each file under ``path``; files whose sha256 is in ``known`` are skipped before they are unzipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(path)
     files = files.select("path", "content", F.sha2("content", 256).alias("sha256"))
     if known is not None:
         files = files.join(known.select("sha256").distinct(), "sha256", "left_anti")
-
-    def parse(batches):
-        for pdf in batches:
-            rows = []
-            for p, content, sha in zip(pdf["path"], pdf["content"], pdf["sha256"], strict=True):
-                try:
-                    row = parse_epub(bytes(content))
-                except (BadBook, KeyError, ElementTree.ParseError, zipfile.BadZipFile) as e:
-                    row = dict.fromkeys(("title", "author", "sequence_tier", "documents", "toc", "series", "cover"), None) | {"error": str(e)}
-                rows.append({"path": p, "sha256": sha} | row)
-            columns = ["path", "sha256", "title", "author", "sequence_tier", "error", "documents", "toc", "series", "cover"]
-            yield pd.DataFrame(rows, columns=columns)
-
-    return files.select("path", "content", "sha256").mapInPandas(parse, BOOK_ROW)
+    return parse_books(files)
 
 
 def book_ids(books: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``books`` with a ``slug`` from the title, made unique by suffixes -2, -3 ... in path order."""
-    from pyspark.sql import Window
-
-    from lectern.functions.text import slug
-
     named = books.withColumn("_slug", slug(F.col("title")))
     nth = F.row_number().over(Window.partitionBy("_slug").orderBy("path"))
     if taken is not None:
@@ -217,13 +318,14 @@ def book_ids(books: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     return named.withColumn("slug", F.when(n == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), n.cast("string")))).drop("_slug", "_used")
 
 
-def paragraphs(books: DataFrame) -> DataFrame:
-    """(sha256, spine_idx, para_idx, text) of good books, numbered from 0 in each document."""
-    docs = books.where("error is null").select("sha256", F.explode("documents").alias("d"))
-    return docs.select("sha256", F.col("d.spine_idx").alias("spine_idx"), F.posexplode("d.paragraphs").alias("para_idx", "text")).withColumn("para_idx", F.col("para_idx").cast("long"))
-
+def ingest(library: Library, target: str, buckets: int = 64) -> None:
+    """Append good books and their paragraphs under ``target``; ``known`` on reading makes it idempotent.
 
-def ingest(books: DataFrame, target: str) -> None:
-    """Append good books, documents and paragraphs under ``target``; ``known`` on reading makes it idempotent."""
-    books.where("error is null").drop("documents").write.mode("append").parquet(f"{target}/book")
-    paragraphs(books).write.mode("append").partitionBy("sha256").parquet(f"{target}/para")
+    Paragraphs lie in ``buckets`` folders by a hash of the book, whatever the number of books; the book rows, by which readers
+    and ``known`` go, are written last.
+    """
+    good = library.book.where("error is null")
+    key = good.select("path", "sha256")
+    bucket = F.pmod(F.xxhash64("sha256"), F.lit(buckets)).cast("int")
+    library.para.join(key, "path").drop("path").withColumn("bucket", bucket).repartition("bucket", "sha256").write.mode("append").partitionBy("bucket").parquet(f"{target}/para")
+    good.write.mode("append").parquet(f"{target}/book")

@@ -37,26 +37,57 @@ def test_book(spark, tmp_path):
     locked = '<encryption><CipherReference URI="OEBPS/text/ch%200.xhtml"/></encryption>'
     (tmp_path / "c.epub").write_bytes(make_epub(extra=locked))
     (tmp_path / "d.epub").write_bytes(make_epub(spine=False))
-    books = epub.read_epubs(spark, str(tmp_path)).cache()
+    library = epub.read_epubs(spark, str(tmp_path))
+    books = library.book
     got = {r["path"][-6:]: r for r in books.collect()}
     assert got["b.epub"]["error"] == "not a zip file"
     assert got["c.epub"]["error"] == "encrypted content"
     assert (got["a.epub"]["sequence_tier"], got["d.epub"]["sequence_tier"]) == ("S1", "S2")
-    assert [(t["spine_idx"], t["label"]) for t in got["a.epub"]["toc"]] == [(0, "Prologue"), (1, "Chapter 1")]
-    paras = [(r["spine_idx"], r["para_idx"], r["text"]) for r in epub.paragraphs(books).where(F.col("sha256") == got["a.epub"]["sha256"]).orderBy("spine_idx", "para_idx").collect()]
+    mine = F.col("path") == got["a.epub"]["path"]
+    assert [(t["entry_idx"], t["spine_idx"], t["label"]) for t in library.toc.where(mine).orderBy("entry_idx").collect()] == [(0, 0, "Prologue"), (1, 1, "Chapter 1")]
+    paras = [(r["spine_idx"], r["para_idx"], r["text"]) for r in library.para.where(mine).orderBy("spine_idx", "para_idx").collect()]
     assert paras == [(0, 0, "Prologue"), (0, 1, "pqr"), (1, 0, "Chapter 1"), (1, 1, "x y")]
-    assert epub.read_epubs(spark, str(tmp_path), known=books).count() == 0
+    assert {r["path"][-6:] for r in library.para.select("path").distinct().collect()} == {"a.epub", "d.epub"}
+    epub.ingest(library, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/para")).count() == 4 + 3
+    assert epub.read_epubs(spark, str(tmp_path), known=books).book.count() == 0
     named = {(r["path"][-6:], r["slug"]) for r in epub.book_ids(books.where("error is null")).collect()}
     assert named == {("a.epub", "a-book"), ("d.epub", "a-book-2")}
 
 
-def test_cover_and_series():
+def test_cover_and_series(spark, tmp_path):
     picture = b"x" * 200
     item = '<item id="pic" href="i/cover.png" media-type="image/png" properties="cover-image"/>'
-    row = epub.parse_epub(make_epub(items=item, files=[("OEBPS/i/cover.png", picture)], meta='<meta name="calibre:series" content="Fox"/><meta name="calibre:series_index" content="2"/>'))
-    assert (row["cover"]["tier"], row["series"]) == ("C1", {"name": "Fox", "position": 2.0})
-    small = epub.parse_epub(make_epub(items=item, files=[("OEBPS/i/cover.png", b"x")]))
-    assert small["cover"] is None
+    meta = '<meta name="calibre:series" content="Fox"/><meta name="calibre:series_index" content="2"/>'
+    (tmp_path / "a.epub").write_bytes(make_epub(items=item, files=[("OEBPS/i/cover.png", picture)], meta=meta))
+    (tmp_path / "b.epub").write_bytes(make_epub(items=item, files=[("OEBPS/i/cover.png", b"x")]))
+    plain = item.replace(' properties="cover-image"', "")
+    (tmp_path / "c.epub").write_bytes(make_epub(items=plain, meta='<meta name="cover" content="pic"/>', files=[("OEBPS/i/cover.png", picture)]))
+    (tmp_path / "d.epub").write_bytes(make_epub(items=plain, files=[("OEBPS/i/cover.png", picture)]))
+    (tmp_path / "e.epub").write_bytes(make_epub(docs=(("One", ["<img src='../i/x.png'/>"]),), files=[("OEBPS/i/x.png", picture)]))
+    got = {r["path"][-6]: r for r in epub.read_epubs(spark, str(tmp_path)).book.collect()}
+    assert (got["a"]["series"].asDict(), got["b"]["series"]) == ({"name": "Fox", "position": 2.0}, None)
+    assert [got[k]["cover"] and got[k]["cover"]["tier"] for k in "abcde"] == ["C1", None, "C2", "C3", "C4"]
+    assert bytes(got["e"]["cover"]["content"]) == picture
+
+
+def test_reading_order(spark, tmp_path):
+    """Files alone are read by whole numbers, case aside; names of the package that no entry has do not count."""
+    with zipfile.ZipFile(tmp_path / "a.epub", "w") as z:
+        z.writestr("META-INF/container.xml", '<c><rootfile full-path="p.opf"/></c>')
+        z.writestr("p.opf", '<package><manifest><item id="x" href="gone.xhtml" media-type="text/html"/></manifest><spine><itemref idref="x"/></spine></package>')
+        for n in ("ch10.html", "Ch2.html", "ch1.HTM", "META-INF/no.html", "ch010b.xhtml", "note.txt"):
+            z.writestr(n, f"<p>{n}</p>")
+    with zipfile.ZipFile(tmp_path / "b.epub", "w") as z:
+        z.writestr("META-INF/container.xml", '<c><rootfile full-path="p.opf"/></c>')
+    with zipfile.ZipFile(tmp_path / "c.epub", "w") as z:
+        z.writestr("META-INF/container.xml", '<c><rootfile full-path="p.opf"/></c>')
+        z.writestr("p.opf", "<package><manifest/></package>")
+    library = epub.read_epubs(spark, str(tmp_path))
+    assert [r["name"] for r in library.document.orderBy("spine_idx").collect()] == ["ch1.HTM", "Ch2.html", "ch10.html", "ch010b.xhtml"]
+    assert {r["path"][-6]: (r["sequence_tier"], r["error"], r["title"]) for r in library.book.collect()} == {
+        "a": ("S3", None, "Untitled"), "b": (None, "no package document", None), "c": (None, "no reading order", None),
+    }
 
 
 @pytest.mark.parametrize(("base", "href", "path"), [("OEBPS", "a%20b.html#x", "OEBPS/a b.html"), ("", "../../x", "x"), ("a/b", "./../c", "a/c")])
