@@ -6,7 +6,7 @@ Every view has a Spark form here and a SQL twin in ``SQL``; the twins are what t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schema
@@ -30,10 +30,14 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_lines() -> Column:
+    """Non-empty lines of ``text`` with single spaces."""
+    return F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(F.regexp_replace(x, "[ \\t\\n\\x0B\\f\\r]+", " "))), lambda x: x != "")
+
+
 def raw_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs: non-empty lines with single spaces, numbered in their document without a shuffle."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(F.regexp_replace(x, "[ \\t\\n\\x0B\\f\\r]+", " "))), lambda x: x != "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("n", "text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text_lines()).alias("n", "text"))
     chapter = F.floor(F.col("n") / PARAS_PER_CHAPTER)
     seq = schema.global_seq(F.col("doc_id"), chapter, F.col("n").cast("long"))
     return rows.select(F.col("doc_id").alias("book_id"), chapter.alias("spine_idx"), F.col("n").cast("long").alias("para_idx"), seq.alias("global_seq"), chapter.alias("chapter_idx"), "text")
