@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import schema
+from lectern.tables import stored
 
 
-def commit_books(target: str, tables: dict[str, DataFrame], spark: SparkSession) -> None:
+def commit_books(target: str, tables: dict[str, DataFrame], spark: SparkSession, buckets: int = 64) -> None:
     """Replace the rows of the books in ``tables`` (each with book_id) under ``target``, table by table.
 
-    A table is partitioned by book; dynamic overwrite swaps whole partitions, so other books are untouched and a
-    repeated commit changes nothing.  Tables are not committed together: readers go by ``manifest``, written last.
+    Books lie in ``buckets`` folders by a hash of their id, a number to be kept for the life of the tables.  Dynamic
+    overwrite swaps the folders of the books at hand, other books of those folders are carried over, and a repeated commit
+    changes nothing.  Tables are not committed together: readers go by ``manifest``, written last.
     """
+    bucket = F.pmod(F.xxhash64("book_id"), F.lit(buckets)).cast("int")
     for name in sorted(tables, key=lambda n: n == "manifest"):
-        tables[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(f"{target}/{name}")
+        rows = stored(tables[name].withColumn("bucket", bucket), f"commit-{name}")
+        ids = rows.select("bucket", "book_id").distinct()
+        path = f"{target}/{name}"
+        if _exists(spark, path):
+            old = spark.read.schema(rows.schema).parquet(path)
+            beside = old.join(ids.select("bucket").distinct(), "bucket", "left_semi").join(ids, ["bucket", "book_id"], "left_anti")
+            rows = rows.unionByName(stored(beside.select(*rows.columns), f"beside-{name}"))
+        rows.repartition("bucket", "book_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def manifests(book: DataFrame, chapter: DataFrame, para: DataFrame) -> DataFrame:

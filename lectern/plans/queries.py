@@ -594,15 +594,20 @@ def set_positions(spark, d):
     return progress.set_positions(state, chapter, asked)
 
 
-@query(f"""{CORPUS}, t AS (SELECT book_id, series_id, book_order, book_order * {schema.BOOK_STRIDE} + 7 AS ceiling_seq FROM book WHERE standalone)
-SELECT t.book_id AS reader_id, b.book_id, CASE WHEN b.book_id = t.book_id THEN 'reading' ELSE 'finished' END AS status, NULL::BIGINT AS position_chapter_idx,
+@query(f"""{CORPUS}, m AS (SELECT series_id, max(book_order) AS newest, (min(book_order) + max(book_order)) // 2 AS middle FROM book GROUP BY series_id),
+q AS (SELECT series_id, 0::BIGINT AS reader_id, newest AS at FROM m UNION ALL SELECT series_id, 1::BIGINT, max(book_order) FROM book JOIN m USING (series_id) WHERE book_order <= middle GROUP BY series_id),
+t AS (SELECT reader_id, book_id, b.series_id, book_order, book_order * {schema.BOOK_STRIDE} + 7 AS ceiling_seq FROM q JOIN book b ON b.series_id = q.series_id AND b.book_order = q.at)
+SELECT reader_id, b.book_id, CASE WHEN b.book_id = t.book_id THEN 'reading' ELSE 'finished' END AS status, NULL::BIGINT AS position_chapter_idx,
 CASE WHEN b.book_id = t.book_id THEN t.ceiling_seq ELSE coalesce(book_end, 0) END AS ceiling_seq FROM t JOIN book b ON b.series_id = t.series_id AND b.book_order <= t.book_order LEFT JOIN ends ON ends.book_id = b.book_id""")
 def lens(spark, d):
-    """The from-scratch state of a question about each standalone volume, one reader each."""
+    """The from-scratch state of two questions about each series: its newest volume and the one half way, one reader each."""
     book = D.books(spark, d)
     ends = D.chapters(D.raw_paras(spark, d)).where(schema.servable(F.col("kind"))).groupBy("book_id").agg(F.max("end_seq").alias("book_end"))
-    asked = book.where("standalone").select(F.col("book_id").alias("reader_id"), "book_id", (schema.book_floor(F.col("book_order")) + 7).alias("ceiling_seq"))
-    return progress.lens(book, ends, asked)
+    half = book.groupBy("series_id").agg(F.max("book_order").alias("newest"), F.floor((F.min("book_order") + F.max("book_order")) / 2).alias("middle"))
+    halves = book.join(half, "series_id").groupBy("series_id").agg(F.max("book_order").alias("newest"), F.max(F.when(F.col("book_order") <= F.col("middle"), F.col("book_order"))).alias("middle"))
+    places = halves.select("series_id", F.posexplode(F.array("newest", "middle")).alias("reader_id", "book_order"))
+    asked = book.join(places, ["series_id", "book_order"])
+    return progress.lens(book, ends, asked.select(F.col("reader_id").cast("long").alias("reader_id"), "book_id", (schema.book_floor(F.col("book_order")) + 7).alias("ceiling_seq")))
 
 
 @query(f"""{CORPUS}, b AS (SELECT book_id, max(end_seq) AS bound_seq FROM chapter WHERE chapter_idx <= 2 GROUP BY book_id)

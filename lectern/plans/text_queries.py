@@ -69,7 +69,7 @@ def citation_counts(spark, d):
     return C.citation_counts(answers(spark, d))
 
 
-@query("""WITH f AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN '...' WHEN 3 THEN p_name || '.EPUB' ELSE p_type || ': ' || p_name || ' (' || p_brand || ') [' || p_size || ']' END AS base FROM part),
+@query(r"""WITH f AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN '...' WHEN 3 THEN p_name || '.EPUB' ELSE p_type || ': ' || p_name || ' (' || p_brand || ') [' || p_size || ']' END AS base FROM part),
 g AS (SELECT *, trim(regexp_replace(base, '[^A-Za-z0-9 ._()\[\]-]+', '_', 'g'), ' ._') AS safe FROM f)
 SELECT p_partkey, CASE WHEN safe = '' THEN p_partkey || '.epub' WHEN ends_with(lower(safe), '.epub') THEN safe ELSE safe || '.epub' END AS name FROM g""")
 def file_names(spark, d):
@@ -120,7 +120,7 @@ def text_sizes(spark, d):
     return D.table(spark, d, "documents").select("doc_id", T.ellipsize(t, 80).alias("short"), T.token_estimate(t).alias("tokens"), T.word_count(t).alias("words"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
 SELECT page_id, sha256(trim(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), ' ' || chr(10) || chr(9))) AS sha FROM p""")
 def stripped_pages(spark, d):
     return D.table(spark, d, "pages").select("page_id", F.sha2(T.strip_html(F.col("html")), 256).alias("sha"))

@@ -306,16 +306,25 @@ def read_epubs(spark: SparkSession, path: str, known: DataFrame | None = None) -
     return parse_books(files)
 
 
+def _ranked(df: DataFrame, group: str, order: str) -> DataFrame:
+    """``df`` with ``_rank``, the place from 1 in its group: places are taken in range partitions, written first, and moved by
+    the counts of the partitions before, so a group of any size spreads over tasks."""
+    cut = stored(df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()), "epub-ranks")
+    sizes = cut.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order))
+    return cut.join(sizes.withColumn("_before", before), [group, "_part"]).withColumn("_rank", nth + F.col("_before")).drop("_part", "_n", "_before")
+
+
 def book_ids(books: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``books`` with a ``slug`` from the title, made unique by suffixes -2, -3 ... in path order."""
-    named = books.withColumn("_slug", slug(F.col("title")))
-    nth = F.row_number().over(Window.partitionBy("_slug").orderBy("path"))
+    named = _ranked(books.withColumn("_slug", slug(F.col("title"))), "_slug", "path")
     if taken is not None:
         named = named.join(taken.groupBy(F.regexp_replace("slug", r"-\d+$", "").alias("_slug")).agg(F.count("*").alias("_used")), "_slug", "left")
     else:
         named = named.withColumn("_used", F.lit(0))
-    n = nth + F.coalesce("_used", F.lit(0))
-    return named.withColumn("slug", F.when(n == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), n.cast("string")))).drop("_slug", "_used")
+    n = F.col("_rank") + F.coalesce("_used", F.lit(0))
+    return named.withColumn("slug", F.when(n == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), n.cast("string")))).drop("_slug", "_used", "_rank")
 
 
 def ingest(library: Library, target: str, buckets: int = 64) -> None:

@@ -359,6 +359,9 @@ def test_commit_is_idempotent_and_per_book(spark, tmp_path):
     for _ in range(2):
         maintenance.commit_books(target, {"para": row(1, "new")}, spark)
     assert {(r["book_id"], r["x"]) for r in spark.read.parquet(f"{target}/para").collect()} == {(1, "new"), (2, "two")}
+    for b in (1, 2, 1):
+        maintenance.commit_books(f"{target}-1", {"para": row(b, "one folder")}, spark, buckets=1)
+    assert sorted(r["book_id"] for r in spark.read.parquet(f"{target}-1/para").collect()) == [1, 2]
 
 
 def test_delete_books(spark):
