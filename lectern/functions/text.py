@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 NOT_GENRES = ["audiobook", "audiobooks", "ebook", "ebooks", "book club", "owned", "currently reading", "to read", "favorites"]
 SERIES_SUFFIX = r"^(.*)\s\(([^,()]+),\s*#(\d+(?:\.\d+)?)\)\s*$"
+# Cover colours of series; pages and heights of a book's spine.
+SERIES_COLOURS = ["#1e3a5f", "#3d1f1f", "#1a2e1a", "#2e2410", "#1f1f3a", "#2a1f0e", "#0e2a2a"]
+MIN_PAGES, MAX_PAGES, DEFAULT_PAGES, MIN_HEIGHT, MAX_HEIGHT = 96, 1088, 466, 150, 166
 # A citation in an answer, and a whole citation id.
-CITATION = r"\[([^\[\]\s:]+:\d+:p\d+)\]"
+CITATION = r"\[([^\[\]:\s]+:\d+:p\d+)\]"
 CITATION_ID = r"^([^:]+):(\d+):p(\d+)$"
 
 
@@ -227,3 +230,38 @@ def token_estimate(text: Column, chars_per_token: int = 4) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """Rounded half to even; 0 for an empty whole."""
     return F.when(whole > 0, F.bround(part * 100.0 / whole, 0)).otherwise(F.lit(0.0)).cast("long")
+
+
+def series_colour(series_id: Column) -> Column:
+    """Cover colour by a 32-bit polynomial hash of the id's UTF-16 units."""
+    points = F.transform(F.filter(F.split(series_id, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    pair = lambda p: F.array(F.floor((p - 0x10000) / 0x400) + 0xD800, (p - 0x10000) % 0x400 + 0xDC00)
+    units = F.flatten(F.transform(points, lambda p: F.when(p < 0x10000, F.array(p)).otherwise(pair(p))))
+    hashed = F.aggregate(units, F.lit(0).cast("long"), lambda h, u: (h * 31 + u) % (1 << 32))
+    return F.get(F.array(*[F.lit(c) for c in SERIES_COLOURS]), (hashed % len(SERIES_COLOURS)).cast("int"))
+
+
+def spine_height(num_pages: Column) -> Column:
+    """Height of a book's spine on the shelf by its pages."""
+    pages = F.least(F.greatest(F.coalesce(num_pages, F.lit(DEFAULT_PAGES)), F.lit(MIN_PAGES)), F.lit(MAX_PAGES))
+    return F.floor(MIN_HEIGHT + (pages - MIN_PAGES) / (MAX_PAGES - MIN_PAGES) * (MAX_HEIGHT - MIN_HEIGHT) + 0.5).cast("long")
+
+
+def long_date(day: Column) -> Column:
+    """A date as "4 August 2026"."""
+    return F.date_format(day, "d MMMM yyyy")
+
+
+def relative_date(then: Column, now: Column) -> Column:
+    """How long ago, by minutes, hours and days, each rounded from the one before; a date from a week on."""
+    rounded = lambda x: F.floor(x + 0.5).cast("long")
+    minutes = rounded((F.unix_millis(now) - F.unix_millis(then)) / 60_000)
+    hours = rounded(minutes / 60)
+    days = rounded(hours / 24)
+    return (
+        F.when(minutes < 1, "just now")
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min ago")))
+        .when(hours < 24, F.concat(hours.cast("string"), F.lit(" hr ago")))
+        .when(days < 7, F.concat(days.cast("string"), F.when(days == 1, " day ago").otherwise(" days ago")))
+        .otherwise(F.date_format(then, "d MMM yyyy"))
+    )

@@ -100,6 +100,30 @@ def tier_labels(docs: DataFrame, toc: DataFrame) -> DataFrame:
     return shaped.select("book_id", "spine_idx", marker.alias("marker"), "label_tier")
 
 
+def toc_parts(toc: DataFrame) -> DataFrame:
+    """(book_id, start_spine, part_label): parts that a table of contents names, whatever tier labels the chapters.
+
+    Only books with two such entries or more, in reading order; the first entry of a document counts.
+    """
+    marker = parse_marker(F.col("label"))
+    parts = toc.where(marker["kind"] == "part").select("book_id", "entry_idx", "spine_idx", marker["label"].alias("label"))
+    fit = parts.groupBy("book_id").agg(F.count("*").alias("n")).where("n >= 2").join(is_monotonic(parts).where("monotonic"), "book_id").select("book_id")
+    return parts.join(fit, "book_id").groupBy("book_id", F.col("spine_idx").alias("start_spine")).agg(F.min_by("label", "entry_idx").alias("part_label"))
+
+
+def label_ladder(docs: DataFrame, toc: DataFrame) -> DataFrame:
+    """(book_id, label_tier): the tier of ``choose_tier``, as L1+L2 and so on where the contents give parts to another tier's chapters."""
+    with_parts = toc_parts(toc).select("book_id").distinct().withColumn("_parts", F.lit(True))
+    both = F.col("_parts") & (F.col("label_tier") != "L1")
+    tier = F.when(both, F.concat(F.lit("L1+"), F.col("label_tier"))).otherwise(F.col("label_tier"))
+    return choose_tier(docs, toc).join(with_parts, "book_id", "left").select("book_id", tier.alias("label_tier"))
+
+
+def body_checks(chapters: DataFrame) -> DataFrame:
+    """(book_id, has_body): whether the classifier left a book anything to read; a book without is an error to report."""
+    return chapters.groupBy("book_id").agg(F.bool_or(F.col("kind") == "body").alias("has_body"))
+
+
 def compose_parts(chapters: DataFrame) -> DataFrame:
     """Absorb bare part-title chapters into the chapter that follows (else precedes) them as its part label.
 

@@ -32,6 +32,21 @@ def append_turns(turns: DataFrame, new: DataFrame) -> DataFrame:
     return turns.select("conv_id", "ord", "question", "answer").unionByName(placed)
 
 
+def turn_results(turns: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(conv_id, ord, n_messages, prompt_chars, citations): what each turn sends and what its answer cites.
+
+    A request is the conversation's prefix (conv_id, text), which never changes, then all earlier questions and answers, then
+    the question; it is given by its size, as the messages themselves would repeat the history in every row.
+    """
+    chars = lambda c: F.coalesce(F.char_length(c), F.lit(0))
+    before = Window.partitionBy("conv_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum(chars("question") + chars("answer")).over(before), F.lit(0))
+    t = turns.select("conv_id", "ord", chars("question").alias("_own"), earlier.alias("_earlier"), F.count("*").over(before).alias("_n"), T.citations(F.col("answer")).alias("citations"))
+    j = t.join(prefix.select("conv_id", chars("text").alias("_prefix")), "conv_id", "left")
+    size = F.coalesce("_prefix", F.lit(0)) + F.col("_earlier") + F.col("_own")
+    return j.select("conv_id", "ord", (2 + 2 * F.col("_n")).alias("n_messages"), size.cast("long").alias("prompt_chars"), "citations")
+
+
 def drop_last(turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     """Turns without the last one of each (or of the given) conversation, by one aggregate."""
     last = turns.groupBy("conv_id").agg(F.max("ord").alias("ord"))

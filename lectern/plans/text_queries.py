@@ -8,7 +8,7 @@ from lectern.functions import text as T
 from lectern.operators import chapters
 from lectern.operators import conversations as C
 from lectern.operators.retrieval import printed_identity
-from lectern.plans.queries import S
+from lectern.plans.queries import PAIR, S
 from lectern.plans.registry import query
 from lectern.sources import driver_tables as D
 from lectern.sources import feeds
@@ -210,6 +210,77 @@ def coverage_errors(spark, d):
     return chapters.coverage_errors(docs.select("book_id", start.alias("start_spine"), (start + F.col("spine_idx") % 3).alias("end_spine")), docs)
 
 
+# -- parts, shelves, dates -------------------------------------------------------------
+
+PART_TOC = f"""WITH {D.PARA0_SQL}, doc AS (SELECT DISTINCT book_id, spine_idx FROM para1), n AS (SELECT book_id, count(*) AS n FROM doc GROUP BY book_id),
+fit AS (SELECT book_id FROM n WHERE n > 2 AND book_id % 3 = 0 OR n > 1 AND book_id % 3 = 1)"""
+
+
+def _part_contents(spark, d):
+    """Contents that name a part twice for each document but the first two, a part for each, or parts out of order."""
+    k, i = F.col("book_id"), F.col("spine_idx")
+    docs = D.raw_paras(spark, d).select("book_id", "spine_idx").distinct()
+    label = F.when((k % 3 == 0) & (i < 1), concat("'Chapter ", "spine_idx")).otherwise(concat("'PART ", "spine_idx", "': x"))
+    one = docs.select("book_id", F.when(k % 3 == 2, -i).otherwise(2 * i).alias("entry_idx"), "spine_idx", label.alias("label"))
+    again = one.where(k % 3 == 0).select("book_id", (F.col("entry_idx") + 1).alias("entry_idx"), "spine_idx", F.when(i > 0, "Part Nine").otherwise("x").alias("label"))
+    return docs, one.unionByName(again)
+
+
+@query(f"""{PART_TOC} SELECT book_id, spine_idx AS start_spine, 'Part ' || spine_idx AS part_label FROM doc JOIN n USING (book_id)
+WHERE book_id % 3 = 0 AND n > 1 AND spine_idx > 0 OR book_id % 3 = 1 AND n > 1""")
+def toc_parts(spark, d):
+    return chapters.toc_parts(_part_contents(spark, d)[1])
+
+
+@query(f"""{PART_TOC} SELECT book_id, CASE WHEN book_id % 3 < 2 AND n > 1 THEN 'L1+L4' WHEN book_id % 3 = 2 AND n > 1 THEN 'L4' ELSE 'L1' END AS label_tier FROM n""")
+def label_ladder(spark, d):
+    """Contents are kept from covering the books by further documents without entries."""
+    docs, toc = _part_contents(spark, d)
+    many = docs.groupBy("book_id").agg(F.count("*").alias("n"))
+    more = docs.join(many.where("n > 1"), "book_id").select("book_id", F.explode(F.array("spine_idx", F.col("spine_idx") + 10_000, F.col("spine_idx") + 20_000)).alias("spine_idx"))
+    all_docs = more.unionByName(docs.join(many.where("n = 1"), "book_id").select("book_id", "spine_idx"))
+    return chapters.label_ladder(all_docs.withColumns({"heading": F.lit(None).cast("string"), "first_block": F.lit("text")}), toc)
+
+
+@query(f"{D.corpus_sql()} SELECT book_id, bool_or(kind = 'body') AS has_body FROM chapter GROUP BY book_id")
+def body_checks(spark, d):
+    return chapters.body_checks(D.chapters(D.raw_paras(spark, d)))
+
+
+@query("""WITH h AS (SELECT s_suppkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(s_name, ''), lambda c: unicode(c)::BIGINT)), lambda a, b: (a * 31 + b) % 4294967296) % 7 AS h FROM supplier)
+SELECT s_suppkey, (['#1e3a5f', '#3d1f1f', '#1a2e1a', '#2e2410', '#1f1f3a', '#2a1f0e', '#0e2a2a'])[h + 1] AS colour FROM h""")
+def series_colours(spark, d):
+    return D.table(spark, d, "supplier").select("s_suppkey", T.series_colour(F.col("s_name")).alias("colour"))
+
+
+@query("SELECT p_partkey, floor(150.5 + 16 * (greatest(96, least(1088, CASE WHEN p_partkey % 9 = 0 THEN 466 ELSE p_size * 25 END)) - 96) / 992)::BIGINT AS height FROM part")
+def spine_heights(spark, d):
+    pages = F.when(F.col("p_partkey") % 9 != 0, F.col("p_size") * 25)
+    return D.table(spark, d, "part").select("p_partkey", T.spine_height(pages).alias("height"))
+
+
+@query("""WITH e AS (SELECT event_id, ts, (CASE event_id % 3 WHEN 0 THEN event_id % 70 WHEN 1 THEN event_id % 1500 ELSE event_id % 20000 END)::BIGINT AS m FROM events),
+f AS (SELECT *, floor(m / 60 + 0.5)::BIGINT AS h FROM e), g AS (SELECT *, floor(h / 24 + 0.5)::BIGINT AS dd FROM f)
+SELECT event_id, strftime(ts, '%-d %B %Y') AS day, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN h < 24 THEN h || ' hr ago' WHEN dd = 1 THEN '1 day ago' WHEN dd < 7 THEN dd || ' days ago' ELSE strftime(ts, '%-d %b %Y') END AS ago FROM g""")
+def dates_shown(spark, d):
+    k = F.col("event_id")
+    minutes = F.when(k % 3 == 0, k % 70).when(k % 3 == 1, k % 1500).otherwise(k % 20000)
+    now = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + minutes.cast("long") * 60_000_000)
+    return D.table(spark, d, "events").select("event_id", T.long_date(F.col("ts")).alias("day"), T.relative_date(F.col("ts").cast("timestamp"), now).alias("ago"))
+
+
+@query(f"""WITH {PAIR}, u AS (SELECT conv_id, ord, question, 'See [b' || conv_id || ':1:p' || ord || '] and [x:2:p3], [b' || conv_id || ':1:p' || ord || '].' AS answer FROM t)
+SELECT conv_id, ord, 2 + 2 * (row_number() OVER w - 1) AS n_messages, (length('Text of ' || conv_id) + length(question) + coalesce(sum(length(question) + length(answer)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS prompt_chars,
+'b' || conv_id || ':1:p' || ord || ' x:2:p3' AS cited FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY ord)""")
+def turn_results(spark, d):
+    """Answers are replaced by ones that cite."""
+    talk = D.table(spark, d, "conversations")
+    cite = concat("'[b", "conv_id", "':1:p", "ord", "']")
+    turns = C.turn_pairs(talk).withColumn("answer", F.concat(F.lit("See "), cite, F.lit(" and [x:2:p3], "), cite, F.lit(".")))
+    prefix = talk.select("conv_id").distinct().select("conv_id", concat("'Text of ", "conv_id").alias("text"))
+    return C.turn_results(turns, prefix).withColumn("cited", F.array_join("citations", " ")).drop("citations")
+
+
 # -- sources --------------------------------------------------------------------------
 
 

@@ -169,19 +169,24 @@ def _package(name: pd.Series, content: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(A.ArrayType(_TARGET))
 def _contents(name: pd.Series, content: pd.Series) -> pd.Series:
-    """Targets and labels of a navigation document or an NCX, in order."""
+    """Targets and labels of an NCX or of a navigation document's first list of contents, in order."""
 
     def one(path, data):
         root, folder = _root(data), posixpath.dirname(path)
         if root is None:
             return []
         if _local(root.tag) == "ncx":
-            text = lambda p: next(map(_words, _find(p, "text")), "")
-            pairs = [(next((c.get("src", "") for c in _find(p, "content")), ""), text(p)) for p in _find(root, "navPoint")]
+            child = lambda e, name: next((c for c in e if _local(c.tag) == name), None)
+            pairs = []
+            for point in _find(root, "navPoint"):
+                target, label = child(point, "content"), child(point, "navLabel")
+                text = None if label is None else child(label, "text")
+                if target is not None and text is not None:
+                    pairs.append((target.get("src"), (text.text or "").strip()))
         else:
             navs = [n for n in _find(root, "nav") if any(_local(k) == "type" and "toc" in v.split() for k, v in n.attrib.items())]
-            pairs = [(a.get("href", ""), _words(a)) for n in navs[-1:] for a in _find(n, "a")]
-        return [{"name": resolve_href(folder, href), "label": label} for href, label in pairs]
+            pairs = [(a.get("href"), "".join(a.itertext()).strip()) for n in navs[:1] for a in _find(n, "a")]
+        return [{"name": resolve_href(folder, href), "label": label} for href, label in pairs if href]
 
     return pd.Series([one(*x) for x in zip(name, content, strict=True)])
 
@@ -282,8 +287,9 @@ def parse_books(files: DataFrame) -> Library:
     about = packages.select("path", F.coalesce("title", F.lit("Untitled")).alias("title"), "author", "series").join(good, "path", "left_semi")
     book = state.join(about, "path", "left").join(_covers(entries, items, packages, order).join(good, "path", "left_semi"), "path", "left")
     document = parsed.join(good, "path", "left_semi")
-    nav, ncx = F.array_contains(F.split("props", r"\s+"), "nav"), F.col("kind") == NCX_TYPE
-    guide = items.where(nav | ncx).select("path", "name", F.when(nav, 0).otherwise(1).alias("rank"), "pos")
+    ncx = F.col("kind") == NCX_TYPE
+    nav = F.array_contains(F.split("props", r"\s+"), "nav") | ((F.col("kind") == CONTENT_TYPES[0]) & F.endswith(F.lower("name"), F.lit("nav.xhtml")))
+    guide = items.where(nav | ncx).select("path", "name", F.when(ncx, 0).otherwise(1).alias("rank"), "pos")
     listed = guide.join(entries.select("path", "name", "content"), ["path", "name"]).select("path", "rank", "pos", _contents("name", "content").alias("e")).where(F.size("e") > 0)
     lists = listed.groupBy("path").agg(F.min_by("e", F.struct("rank", "pos")).alias("e")).select("path", F.posexplode("e").alias("pos", "e"))
     at = document.groupBy("path", "name").agg(F.min("spine_idx").alias("spine_idx"))

@@ -397,3 +397,42 @@ def test_payloads_know_only_the_past(spark):
     assert (1, 3) not in got and [p["text"][8:] for p in got[1, 1]["paragraphs"]][0].startswith("tok1x1x0")
     m = json.loads(maintenance.manifests(c._book, c._chapter, c._para).where("book_id = 1").collect()[0]["manifest"])
     assert (m["chapters"], m["excerpt"], m["paragraphs"]) == (5, 1, 20)
+
+
+def test_parts_of_contents(spark):
+    """Two part entries at least, in reading order; other entries and repeated ones of a document do not count."""
+    toc = spark.createDataFrame(
+        [(1, 0, 0, "Part One"), (1, 1, 0, "PART 2"), (1, 2, 1, "Chapter 1"), (1, 3, 4, "Part III: x"), (2, 0, 0, "Part 1"), (2, 1, 1, "Chapter 1"), (3, 0, 4, "Part 1"), (3, 1, 0, "Part 2")],
+        "book_id long, entry_idx long, spine_idx long, label string",
+    )
+    assert sorted(tuple(r) for r in chapters.toc_parts(toc).collect()) == [(1, 0, "Part 1"), (1, 4, "Part III")]
+    docs = spark.createDataFrame([(b, i, f"h{i}", "x") for b in (1, 2, 3) for i in range(9)], "book_id long, spine_idx long, heading string, first_block string")
+    assert {r["book_id"]: r["label_tier"] for r in chapters.label_ladder(docs, toc).collect()} == {1: "L1+L2", 2: "L2", 3: "L2"}
+    kinds = spark.createDataFrame([(1, "body"), (1, "excerpt"), (2, "boilerplate"), (2, None), (3, "body")], "book_id long, kind string")
+    assert {r["book_id"]: r["has_body"] for r in chapters.body_checks(kinds).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_colours_heights_and_dates(spark):
+    def colour(text):
+        h = 0
+        units = text.encode("utf-16-le")
+        for i in range(0, len(units), 2):
+            h = (h * 31 + int.from_bytes(units[i : i + 2], "little")) % 2**32
+        return T.SERIES_COLOURS[h % 7]
+
+    for text in ("", "a", "mistborn-era-one", "Ünï 😀 long " * 9):
+        assert one(spark, T.series_colour(F.col("a")), a=text) == colour(text)
+    assert [one(spark, T.spine_height(F.col("a").cast("long")), a=n) for n in (None, 0, 96, 592, 1088, 5000)] == [156, 150, 150, 158, 166, 166]
+    minute, hour = 60, 3600
+    cases = {29: "just now", 30: "1 min ago", 59 * minute + 29: "59 min ago", 59 * minute + 30: "1 hr ago", 23 * hour + 29 * minute: "23 hr ago", 23 * hour + 30 * minute: "1 day ago", 6 * 24 * hour: "6 days ago", 7 * 24 * hour: "8 Aug 2026"}
+    now = F.timestamp_seconds(F.lit(1786752000))  # 2026-08-15
+    for past, shown in cases.items():
+        assert one(spark, T.relative_date(F.timestamp_seconds(F.lit(1786752000) - F.col("a")), now), a=past) == shown
+    assert one(spark, T.long_date(F.to_date("a")), a="2026-08-04") == "4 August 2026"
+
+
+def test_turn_results(spark):
+    turns = spark.createDataFrame([(1, 0, "abc", "de [x:1:p2] [x:1:p2]"), (1, 1, "f", None), (2, 0, "g", "h")], "conv_id long, ord long, question string, answer string")
+    prefix = spark.createDataFrame([(1, "0123456789")], "conv_id long, text string")
+    got = {(r["conv_id"], r["ord"]): (r["n_messages"], r["prompt_chars"], r["citations"]) for r in conversations.turn_results(turns, prefix).collect()}
+    assert got == {(1, 0): (2, 13, ["x:1:p2"]), (1, 1): (4, 10 + 23 + 1, None), (2, 0): (2, 1, [])}
