@@ -33,6 +33,19 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what is written inside the block; then the caller's setting again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Each name with underscores before it until no column of ``df`` has it; Spark compares names without case."""
     taken, out = {c.lower() for c in df.columns}, []
