@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, hard_negatives, html_main, langid, line_dedup, sharding, simhash, substring_dedup, topk, turn_trie
+from . import bpe, ctw, decontaminate, hard_negatives, html_main, langid, line_dedup, sharding, simhash, substring_dedup, topk, toxicity, turn_trie
 from .common import read_table
 
 
@@ -61,6 +61,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -72,7 +76,7 @@ def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_sharding, op2_substring_dedup, op3_line_dedup, op4_context_tree, op5_bpe, op6_html_main, op7_decontaminate, op8_language_id, op9_top_k, op10_simhash, op12_hard_negatives, op13_turn_trie]
+    ops = [op1_sharding, op2_substring_dedup, op3_line_dedup, op4_context_tree, op5_bpe, op6_html_main, op7_decontaminate, op8_language_id, op9_top_k, op10_simhash, op11_toxicity, op12_hard_negatives, op13_turn_trie]
     return {f.__name__: f for f in ops}
 
 
