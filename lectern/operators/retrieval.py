@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lectern import schema
 from lectern.functions import text as T
+from lectern.tables import stored
+
+from .lexical import LexicalIndex, Near, Phrase, snippet
 
 # Limits of a read, of a context window and of a search.
 MAX_SPAN, MAX_PARAS, MAX_WINDOW, SEARCH_LIMIT, SNIPPET_CHARS = 2_000, 800, 50, 40, 60
@@ -140,16 +143,16 @@ class BoundedCorpus:
         centre = ranked.join(cited.select(*keys).distinct(), keys).select("reader_id", "book_id", F.col("global_seq").alias("cited_seq"), F.explode(F.sequence(F.col("_nth") - window, F.col("_nth") + window)).alias("_nth"))
         return ranked.join(centre, ["reader_id", "book_id", "_nth"]).select("reader_id", "book_id", "cited_seq", "global_seq", "text")
 
-    def first_seen(self, asked: DataFrame) -> DataFrame:
+    def first_seen(self, asked: DataFrame, index: LexicalIndex | None = None) -> DataFrame:
         """First readable paragraph that names each asked entity (reader_id, entity) as whole words; the same answer
-        for absent and unread ones.  Names are matched as folded word phrases."""
-        from .search import find_phrases
-
+        for absent and unread ones.  Names are matched as folded word phrases, in the index of all paragraphs."""
         asked = asked.select("reader_id", "entity").distinct()
-        hits = find_phrases(self.readable, asked.select("entity").distinct())
-        first = hits.groupBy("reader_id", "entity").agg(F.min_by(F.struct("book_id", "chapter_label", "global_seq"), F.struct("global_seq", "book_id")).alias("at"))
-        out = asked.join(first, ["reader_id", "entity"], "left")
-        return out.select("reader_id", "entity", F.col("at.book_id").alias("book_id"), F.coalesce("at.chapter_label", F.lit(NOT_YET_SEEN)).alias("chapter"), F.col("at.global_seq").alias("global_seq"))
+        hits = (index or LexicalIndex.build(self._para)).first_mentions(asked.select("entity")).where(schema.servable(F.col("kind")))
+        first = self._within(hits, "global_seq").groupBy("reader_id", "entity").agg(F.min(F.struct("global_seq", "book_id")).alias("at"))
+        found = stored(asked.join(first, ["reader_id", "entity"]).select("reader_id", "entity", "at.book_id", "at.global_seq"), "first-mentions")
+        labels = self._para.select("book_id", "global_seq", F.col("chapter_label").alias("chapter"))
+        out = asked.join(found.join(labels, ["book_id", "global_seq"]), ["reader_id", "entity"], "left")
+        return out.select("reader_id", "entity", "book_id", F.coalesce("chapter", F.lit(NOT_YET_SEEN)).alias("chapter"), "global_seq")
 
     def search_regex(self, pattern: str, limit: int = SEARCH_LIMIT) -> DataFrame:
         """First ``limit`` readable matches of each reader in order, with a snippet around the match."""
@@ -163,14 +166,27 @@ class BoundedCorpus:
         ranked = hits.select("reader_id", "book_id", "global_seq", "chapter_label", snippet.alias("snippet"), nth.alias("_nth"))
         return ranked.where(F.col("_nth") <= limit).drop("_nth")
 
-    def search(self, words: list[str], condition: Column | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
-        """Best readable matches of each reader by BM25 over the statistics of all paragraphs."""
-        from .search import bm25
+    def search(
+        self, phrases: list[Phrase | str], condition: Column | None = None, near: tuple[Near, ...] = (), limit: int = SEARCH_LIMIT, scope: str = "all", index: LexicalIndex | None = None
+    ) -> DataFrame:
+        """Best readable matches of each reader by BM25, with the best window of each one's text.
 
-        scored = bm25(self._para, words, condition, ["chapter_label", "kind"])
-        hits = self._within(scored.where(schema.servable(F.col("kind"))), "global_seq")
+        ``condition`` (default: all phrases) is made of ``lexical.has``.  Statistics are those of all paragraphs, read or
+        not (``all``), or those of what the reader can read (``readable``).  Only texts of the best hits are read.
+        """
+        phrases = [Phrase.of(p) if isinstance(p, str) else p for p in phrases]
+        index = index or LexicalIndex.build(self._para)
+        if scope == "readable":
+            hits = index.scored_as_read(self.ranges, phrases, condition, near)
+        elif scope == "all":
+            hits = self._within(index.scored(phrases, condition, near).where(schema.servable(F.col("kind"))), "global_seq")
+        else:
+            raise ValueError(f"no such scope: {scope}")
         nth = F.row_number().over(Window.partitionBy("reader_id").orderBy("score", "global_seq", "book_id"))
-        return hits.withColumn("_nth", nth).where(F.col("_nth") <= limit).select("reader_id", "book_id", "global_seq", "chapter_label", "score")
+        best = stored(hits.withColumn("_nth", nth).where(F.col("_nth") <= limit), "search-hits")
+        texts = self._para.select("book_id", "global_seq", "chapter_label", "text")
+        shown = snippet(F.col("text"), phrases).of(best.join(texts, ["book_id", "global_seq"]), "snippet")
+        return shown.select("reader_id", "book_id", "global_seq", "chapter_label", "score", "snippet")
 
     # -- chapter references -------------------------------------------------
 

@@ -1,15 +1,15 @@
-"""Lexical search over paragraphs: folded tokens, boolean, phrase, prefix and proximity conditions, BM25.
+"""Folded tokens, and boolean, phrase, prefix and proximity conditions over a paragraph's token array.
 
-Conditions are columns over a paragraph's token array, combined with ``&``, ``|`` and ``~``, so a search is one
-scan that Catalyst prunes and fuses; only the statistics and the top hits are shuffled.
+Conditions are columns, combined with ``&``, ``|`` and ``~``, for filters over texts that are at hand; searches over whole
+tables go through the stored index (``lexical``).
 """
 
 from __future__ import annotations
 
-import math
+import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -17,17 +17,28 @@ LEAST_IDF = 1e-6
 
 
 def _accents() -> tuple[str, str]:
-    """Latin letters with marks and their bases, by decomposition."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b]
+    """Characters of the basic plane that decompose into one character and marks, and what is left without the marks."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0xAC00), *range(0xF900, 0xFFFE))):  # between them lie Hangul syllables, which have no marks
+        base, *marks = unicodedata.normalize("NFD", c)
+        if base != c and all(unicodedata.category(m) == "Mn" for m in marks):
+            pairs.append((c, base))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 ACCENTED, PLAIN = _accents()
+_PLAIN = str.maketrans(ACCENTED, PLAIN)
 
 
 def fold(text: Column) -> Column:
-    return F.lower(F.translate(text, ACCENTED, PLAIN))
+    """Lower case without marks, whether they are part of a character or stand after it."""
+    return F.lower(F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), ACCENTED, PLAIN))
+
+
+def folded(text: str) -> list[str]:
+    """What ``tokens`` gives, for words of a query."""
+    bare = "".join(c for c in text if unicodedata.category(c) != "Mn").translate(_PLAIN).lower()
+    return re.findall(r"[^\W_]+", bare)
 
 
 def tokens(text: Column) -> Column:
@@ -57,63 +68,3 @@ def near(a: str, b: str, distance: int = 10, toks: Column | str = "toks") -> Col
     """Both words with at most ``distance`` words between them."""
     at = lambda w: F.filter(F.transform(toks, lambda t, i: F.when(t == w, i)), lambda i: i.isNotNull())
     return F.exists(at(a), lambda i: F.exists(at(b), lambda j: F.abs(i - j) <= distance + 1))
-
-
-def bm25(para: DataFrame, words: list[str], condition: Column | None = None, carry: list[str] | None = None) -> DataFrame:
-    """(book_id, global_seq, score) of the paragraphs that meet the condition (default: all words); lower is better.
-
-    Statistics are those of all paragraphs, readable or not: one aggregate, whose single row is read first.  Columns of
-    ``carry`` go through, so that hits need no join back.
-    """
-    carry = carry or []
-    t = para.select("book_id", "global_seq", *carry, tokens(F.col("text")).alias("toks"))
-    times = lambda w: F.size(F.filter("toks", lambda x: x == w))
-    tfs = {f"tf{i}": times(w) for i, w in enumerate(words)}
-    counted = t.withColumns({"dl": F.size("toks"), **tfs})
-    stats = counted.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(k) > 0).alias(f"df{i}") for i, k in enumerate(tfs)]).collect()[0]
-    match = condition
-    if match is None:
-        match = F.lit(True)
-        for w in words:
-            match = match & term(w)
-    hits = counted.where(match).drop("toks")
-    n_all, avgdl = stats["n_all"], stats["avgdl"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        df, tf = stats[f"df{i}"], F.col(f"tf{i}")
-        idf = max(math.log((n_all - df + 0.5) / (df + 0.5)), LEAST_IDF)
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hits.select("book_id", "global_seq", *carry, F.round(score, 9).alias("score"))
-
-
-def postings(para: DataFrame) -> DataFrame:
-    """(term, book_id, global_seq, tf, positions): the inverted index, to be written bucketed by term."""
-    flat = para.select("book_id", "global_seq", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return flat.groupBy("term", "book_id", "global_seq").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-def document_lengths(para: DataFrame) -> DataFrame:
-    return para.select("book_id", "global_seq", F.size(tokens(F.col("text"))).alias("dl"))
-
-
-def find_phrases(para: DataFrame, entities: DataFrame) -> DataFrame:
-    """Paragraphs with each entity they name: an equi-join on the entity's first word, then the phrase.
-
-    Words are joined by the paragraph's key alone; text is read again only for paragraphs with a first word in them.
-    """
-    named = entities.select("entity", tokens(F.col("entity")).alias("words")).where(F.size("words") > 0)
-    named = named.select("entity", F.array_join("words", " ").alias("phrase"), F.get("words", 0).alias("word"))
-    key = [c for c in ("reader_id", "book_id", "global_seq") if c in para.columns]
-    words = para.select(*key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    found = words.join(named, "word").select(*key, "entity", "phrase")
-    return para.join(found, key).where(phrase(F.col("phrase"), tokens(F.col("text")))).select(*para.columns, "entity")
-
-
-def snippet(text: Column, words: list[str], around: int = 5) -> Column:
-    """About ``2 * around`` words around the first hit, hits in brackets, dots where it was cut."""
-    parts = F.split(text, " ")
-    hit = lambda w: F.array_contains(F.array(*[F.lit(x) for x in words]), F.regexp_replace(fold(w), r"[^\p{L}\p{N}]", ""))
-    at = F.array_position(F.transform(parts, hit), True)
-    begin = F.greatest(at - around, F.lit(1)).cast("int")
-    some = F.transform(F.slice(parts, begin, 2 * around), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    return F.concat(F.when(begin > 1, "...").otherwise(""), F.array_join(some, " "), F.when(F.size(parts) > begin + 2 * around - 1, "...").otherwise(""))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern import schema
 from lectern.functions import text as T
 from lectern.operators import causal, chapters, conversations, maintenance, progress, retrieval, search, shelf
+from lectern.operators.lexical import LexicalIndex, Near, Phrase, has
 from lectern.operators.retrieval import BoundedCorpus
 from lectern.plans.registry import query
 from lectern.sources import driver_tables as D
@@ -104,55 +105,133 @@ SELECT 0::BIGINT AS reader_id, e.entity, hit.b AS book_id, coalesce(hit.c, 'not
 def first_seen(spark, d):
     words = search.tokens(F.col("text"))
     e = D.table(spark, d, "benchmark").where(F.size(words) >= 2).select(F.lit(0).cast("long").alias("reader_id"), F.array_join(F.slice(words, 1, 2), " ").alias("entity"))
-    return corpus(spark, d).first_seen(e)
+    return corpus(spark, d).first_seen(e, index(spark, d))
 
 
-def bm25_sql(words: list[str], condition: str) -> str:
-    tf = ", ".join(f"len(list_filter(toks, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(words))
-    df = ", ".join(f"count_if(tf{i} > 0) AS df{i}" for i in range(len(words)))
-    score = " ".join(
-        f"- greatest(ln((n_all - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * {search.K1 + 1} / (tf{i} + {search.K1} * (1 - {search.B} + {search.B} * dl / avgdl))" for i in range(len(words))
+_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+
+
+def index(spark: SparkSession, d: str) -> LexicalIndex:
+    """The stored index of a folder's paragraphs, built once in an application."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        _INDEXES[key] = LexicalIndex.build(D.paras(spark, d)[0])
+    return _INDEXES[key]
+
+
+def at_sql(words: str, prefix: bool = False) -> str:
+    """Where a phrase begins in ``toks``, by comparing slices."""
+    w = words.split()
+    same = [f"toks[i + {j}] = '{x}'" for j, x in enumerate(w)]
+    if prefix:
+        same[-1] = f"starts_with(toks[i + {len(w) - 1}], '{w[-1]}')"
+    return f"list_filter(range(1, len(toks) + 1), lambda i: coalesce({' AND '.join(same)}, false))"
+
+
+def score_sql(n: int, n_all: str = "n_all", words: str = "n_words") -> str:
+    return "0.0 " + " ".join(
+        f"- greatest(ln(({n_all} - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * len(at{i}) * {search.K1 + 1} / (len(at{i}) + {search.K1} * (1 - {search.B} + {search.B} * dl * {n_all} / {words}))" for i in range(n)
     )
-    return f"""{CORPUS}, t AS (SELECT book_id, global_seq, chapter_label, kind, {TOKENS} AS toks FROM para), c AS (SELECT *, len(toks) AS dl, {tf} FROM t),
-s AS (SELECT count(*) AS n_all, avg(dl) AS avgdl, {df} FROM c), h AS (SELECT c.*, 0.0 {score} AS score FROM c, s WHERE {condition}),
-r AS (SELECT reader_id, h.book_id, global_seq, chapter_label, score, row_number() OVER (PARTITION BY reader_id ORDER BY round(score, 9), global_seq, h.book_id) AS nth
-  FROM h JOIN ranges g ON h.book_id = g.book_id AND global_seq BETWEEN lo AND hi WHERE kind IN ('body', 'reference'))
-SELECT reader_id, book_id, global_seq, chapter_label, round(score, 9) AS score FROM r WHERE nth <= 40"""
 
 
-def _search(spark, d, words, condition=None):
-    return corpus(spark, d).search(words, condition)
+def bm25_sql(phrases: list[str], condition: str, kept: dict[int, str] | None = None) -> str:
+    """The 40 best of each reader: phrases as lists of beginnings; ``kept`` narrows them after they were counted."""
+    n = len(phrases)
+    at = ", ".join(f"{p} AS all{i}" for i, p in enumerate(phrases))
+    near = ", ".join(f"{(kept or {}).get(i, f'all{i}')} AS at{i}" for i in range(n))
+    df = ", ".join(f"count_if(len(all{i}) > 0) AS df{i}" for i in range(n))
+    return f"""{CORPUS}, t AS (SELECT book_id, global_seq, chapter_label, kind, text, {TOKENS} AS toks FROM para), c AS (SELECT *, len(toks) AS dl, {at} FROM t), b AS (SELECT *, {near} FROM c),
+s AS (SELECT count(*) AS n_all, sum(dl) AS n_words, {df} FROM c), h AS (SELECT b.*, {score_sql(n)} AS score FROM b, s WHERE {condition}),
+r AS (SELECT reader_id, h.* EXCLUDE (score), round(score, 9) AS score, row_number() OVER (PARTITION BY reader_id ORDER BY round(score, 9), global_seq, h.book_id) AS nth
+  FROM h JOIN ranges g ON h.book_id = g.book_id AND global_seq BETWEEN lo AND hi WHERE kind IN ('body', 'reference')),
+best AS (SELECT * FROM r WHERE nth <= 40)
+SELECT reader_id, book_id, global_seq, chapter_label, score FROM best"""
+
+
+def _search(spark, d, phrases, condition=None, near=(), scope="all"):
+    return corpus(spark, d).search(phrases, condition, near, scope=scope, index=index(spark, d)).drop("snippet")
 
 
-@query(bm25_sql(["the", "that"], "list_contains(toks, 'the') AND list_contains(toks, 'that')"))
+@query(bm25_sql([at_sql("the"), at_sql("that")], "len(at0) > 0 AND len(at1) > 0"))
 def search_all(spark, d):
     return _search(spark, d, ["the", "that"])
 
 
-@query(bm25_sql(["von", "pour"], "list_contains(toks, 'von') OR list_contains(toks, 'pour')"))
+@query(bm25_sql([at_sql("von"), at_sql("pour")], "len(at0) > 0 OR len(at1) > 0"))
 def search_any(spark, d):
-    return _search(spark, d, ["von", "pour"], search.term("von") | search.term("pour"))
+    return _search(spark, d, ["von", "pour"], has(0) | has(1))
 
 
-@query(bm25_sql(["with"], "list_contains(toks, 'with') AND NOT list_contains(toks, 'the')"))
+@query(bm25_sql([at_sql("with"), at_sql("the")], "len(at0) > 0 AND len(at1) = 0"))
 def search_not(spark, d):
-    return _search(spark, d, ["with"], search.term("with") & ~search.term("the"))
+    return _search(spark, d, ["with", "the"], has(0) & ~has(1))
 
 
-@query(bm25_sql(["of", "the"], "contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ')"))
+@query(bm25_sql([at_sql("of the")], "len(at0) > 0"))
 def search_phrase(spark, d):
-    return _search(spark, d, ["of", "the"], search.phrase("of the"))
+    return _search(spark, d, ["of the"])
 
 
-@query(bm25_sql(["tion"], "len(list_filter(toks, lambda x: starts_with(x, 'tionst'))) > 0"))
+@query(bm25_sql([at_sql("tionst", prefix=True)], "len(at0) > 0"))
 def search_prefix(spark, d):
-    return _search(spark, d, ["tion"], search.prefix("tionst"))
+    return _search(spark, d, [Phrase.of("tionst", prefix=True)])
+
+
+NEAR_SQL = {i: f"list_filter(all{i}, lambda x: len(list_filter(all{1 - i}, lambda y: abs(x - y) <= 6)) > 0)" for i in (0, 1)}
 
 
-@query(bm25_sql(["heat", "with"], """len(list_filter(list_transform(toks, lambda x, i: CASE WHEN x = 'heat' THEN i END), lambda i: i IS NOT NULL
-  AND len(list_filter(list_transform(toks, lambda y, j: CASE WHEN y = 'with' THEN j END), lambda j: j IS NOT NULL AND abs(i - j) <= 6)) > 0)) > 0"""))
+@query(bm25_sql([at_sql("heat"), at_sql("with")], "len(at0) > 0 AND len(at1) > 0", NEAR_SQL))
 def search_near(spark, d):
-    return _search(spark, d, ["heat", "with"], search.near("heat", "with", 5))
+    return _search(spark, d, ["heat", "with"], near=(Near(0, 1, 5),))
+
+
+@query(bm25_sql([f"list_filter({at_sql('the')}, lambda i: i = 1)", at_sql("of th", prefix=True)], "len(at0) > 0 AND len(at1) > 0"))
+def search_first(spark, d):
+    """Paragraphs that begin with a word and hold a phrase whose last word goes on."""
+    return _search(spark, d, [Phrase.of("the", first=True), Phrase.of("of th", prefix=True)])
+
+
+@query(f"""{CORPUS}, t AS (SELECT reader_id, book_id, global_seq, chapter_label, {TOKENS} AS toks FROM readable), c AS (SELECT *, len(toks) AS dl, {at_sql('of the')} AS at0, {at_sql('and')} AS at1 FROM t),
+s AS (SELECT reader_id, count(*) AS n_all, sum(dl) AS n_words, count_if(len(at0) > 0) AS df0, count_if(len(at1) > 0) AS df1 FROM c GROUP BY reader_id),
+h AS (SELECT c.*, round({score_sql(2)}, 9) AS score FROM c JOIN s USING (reader_id) WHERE len(at0) > 0 OR len(at1) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY score, global_seq, book_id) AS nth FROM h)
+SELECT reader_id, book_id, global_seq, chapter_label, score FROM r WHERE nth <= 40""")
+def search_as_read(spark, d):
+    """Ranked by what the reader can read: unread paragraphs have no influence."""
+    return _search(spark, d, ["of the", "and"], has(0) | has(1), scope="readable")
+
+
+PIECES = "regexp_extract_all(text, '[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{Mn}]*|[^\\p{L}\\p{N}]+')"
+
+
+def snippet_sql(found: str, sizes: list[int]) -> str:
+    """The best window of ten words of each row of ``best``, hit by hit and word by word."""
+    hits = " UNION ALL ".join(f"SELECT reader_id, book_id, global_seq, {i} AS ip, unnest(at{i}) - 1 AS a, {n} AS size FROM best" for i, n in enumerate(sizes))
+    key = "reader_id, book_id, global_seq"
+    worth = lambda begin: f"SELECT {key}, cand, begin0, moved, 999 * count(DISTINCT ip) + count(ip) + any_value(bonus) AS worth, arg_min(a, (a, ip)) AS fa, arg_max(z, (a, ip)) AS la FROM {begin}"
+    return f"""{found.rsplit('SELECT', 1)[0]}, hit AS (SELECT *, a + size AS z, row_number() OVER (PARTITION BY {key} ORDER BY a, ip) AS nth FROM ({hits})),
+part AS (SELECT {key}, dl, {PIECES} AS pieces, CASE WHEN regexp_matches(text, '^[\p{{L}}\p{{N}}]') THEN 0 ELSE 1 END AS odd, text FROM best),
+word AS (SELECT {key}, t, pieces[odd + 2 * t + 1] AS w, coalesce(CASE WHEN odd + 2 * t > 0 THEN pieces[odd + 2 * t] END, '') AS gap FROM (SELECT *, unnest(range(dl)) AS t FROM part)),
+sentence AS (SELECT {key}, t FROM word WHERE t = 0 OR regexp_matches(gap, '[.:][ \t\n\r]+$')),
+begins AS (SELECT h.{key.replace(', ', ', h.')}, 2 * nth AS cand, a AS begin0, 0 AS bonus, true AS moved FROM hit h
+  UNION ALL SELECT h.{key.replace(', ', ', h.')}, 2 * nth + 1, max(t), CASE WHEN max(t) = 0 THEN 120 ELSE 100 END, false FROM hit h JOIN sentence s ON h.book_id = s.book_id AND h.global_seq = s.global_seq AND h.reader_id = s.reader_id AND t <= a
+    JOIN part p ON p.book_id = h.book_id AND p.global_seq = h.global_seq AND p.reader_id = h.reader_id WHERE dl > 10 GROUP BY h.{key.replace(', ', ', h.')}, nth, a HAVING max(t) < a),
+judged AS ({worth(f"begins b LEFT JOIN hit h USING ({key}) WHERE h.a >= begin0 AND h.a < begin0 + 10 GROUP BY {key}, cand, begin0, moved")}
+  UNION ALL SELECT {key}, cand, begin0, moved, bonus, NULL, NULL FROM begins b WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.book_id = b.book_id AND h.global_seq = b.global_seq AND h.reader_id = b.reader_id AND a >= begin0 AND a < begin0 + 10)),
+chosen AS (SELECT {key}, arg_max(struct_pack(b := begin0, m := moved, f := fa, l := la), (worth, -cand)) AS c FROM judged GROUP BY ALL),
+placed AS (SELECT {key}, dl, CASE WHEN c.m THEN greatest(least(c.f - CAST(trunc((10 - (c.l - c.f)) / 2.0) AS BIGINT), dl - 10), 0) ELSE c.b END AS b FROM chosen JOIN part USING ({key})),
+seen AS (SELECT w.*, b, dl, b + 9 AS e FROM word w JOIN placed USING ({key}) WHERE t BETWEEN b AND b + 9),
+marked AS (SELECT s.*, coalesce(bool_or(a = t), false) AND NOT coalesce(bool_or(a < t AND z > t), false) AS opens, coalesce(bool_or(a <= t AND z > t AND t = e), false) OR coalesce(bool_or(a <= t AND z > t) AND NOT bool_or(a <= t AND z > t + 1), false) AS ends FROM seen s LEFT JOIN hit h USING ({key}) GROUP BY ALL),
+told AS (SELECT *, bool_or(opens) OVER (PARTITION BY {key} ORDER BY t) AS opened FROM marked),
+joined AS (SELECT {key}, min(b) AS b, min(dl) AS dl, string_agg(CASE WHEN t = b AND b > 0 THEN '' ELSE gap END || CASE WHEN opens THEN '[' ELSE '' END || w || CASE WHEN ends AND opened THEN ']' ELSE '' END, '' ORDER BY t) AS body FROM told GROUP BY {key})
+SELECT {key}, chapter_label, CASE WHEN b > 0 THEN '...' ELSE '' END || body || CASE WHEN b + 9 >= j.dl - 1 THEN coalesce(pieces[odd + 2 * j.dl], '') ELSE '...' END AS snippet
+FROM joined j JOIN part USING ({key}) JOIN (SELECT {key}, chapter_label FROM best) USING ({key})"""
+
+
+@query(snippet_sql(bm25_sql([at_sql("of the"), at_sql("th", prefix=True)], "len(at0) > 0 AND len(at1) > 0"), [2, 1]))
+def search_snippet(spark, d):
+    found = corpus(spark, d).search(["of the", Phrase.of("th", prefix=True)], index=index(spark, d))
+    return found.drop("score")
 
 
 @query(f"""{CORPUS}, h AS (SELECT reader_id, book_id, global_seq, chapter_label, text, regexp_extract(text, 'th[a-z]+tion') AS m FROM readable WHERE regexp_matches(text, 'th[a-z]+tion')),
