@@ -24,17 +24,29 @@ CONTAINERS = {"body", "main", "article", "section", "div", "td", "table", "cente
 #: Subtrees that never hold main text.
 NEVER = {"nav", "footer", "aside", "form", "header", "button", "menu", "dialog", "select", "option"}
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "head", "object", "canvas", "math", "audio", "video"}
+#: Of these the rest of the page is content where the end is missing.
+PLAIN = {"script", "style", "textarea", "title", "iframe"}
 BLOCKS = CONTAINERS | NEVER | {"html", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "dt", "pre", "hr", "tr", "th", "tbody", "thead", "tfoot", "caption", "address", "figcaption", "summary", "hgroup"}
 NESTING = CONTAINERS | NEVER
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 #: Words of class and id names: what they mark goes, unless a word of GOOD marks it too; BAD always goes.
-BAD = {"comment", "comments", "disqus", "reply", "replies", "respond", "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "sponsor", "sponsored", "promo"}
+BAD = {
+    "comment", "comments", "disqus", "reply", "replies", "respond", "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "sponsor", "sponsored", "promo",
+    "kommentar", "kommentare", "commentaire", "commentaires", "comentario", "comentarios", "commenti", "reacties", "werbung", "anzeige", "anzeigen", "publicité", "publicite", "publicidad", "pubblicità", "reklame",
+}
 DOUBTFUL = {
     "nav", "navbar", "navigation", "menu", "menus", "footer", "header", "masthead", "sidebar", "aside", "widget", "widgets", "cookie", "cookies", "consent", "gdpr",
     "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related",
     "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "search", "skip", "disclaimer", "form",
+    "menü", "menú", "suche", "seitenleiste", "fußzeile", "kopfzeile", "hinweis", "teilen", "anmelden", "recherche", "partager", "connexion", "entête", "buscar", "compartir", "suscribirse", "relacionados",
 }
 GOOD = {"content", "article", "main", "story", "entry", "text", "body"}
+#: Words that say nothing of what a part holds; a name with any other word beside a telling one is about that word as well.
+PART = {
+    "box", "block", "container", "wrapper", "wrap", "list", "item", "items", "area", "section", "panel", "row", "col", "column", "grid", "slot", "unit", "zone", "left", "right", "top", "bottom", "inner", "outer",
+    "inline", "middle", "side", "page", "site", "post", "posts", "articles", "stories", "group", "bar", "link", "links", "button", "buttons", "icon", "icons", "module", "region", "holder", "title", "heading", "wide",
+    "thread", "count", "media", "primary", "secondary", "global", "sticky", "fixed", "mobile", "desktop", "dropdown", "toggle", "results", "leave", "user", "reader", "readers", "third", "party", "google", "label",
+}
 #: Words that make a class a state of the page or article (has-sidebar, comments-open), not the name of a part.
 STATE = {"has", "no", "not", "with", "without", "open", "closed", "enabled", "disabled"}
 ARTICLES = {"article", "main"}
@@ -42,15 +54,15 @@ ARTICLES = {"article", "main"}
 #: A tag ends at the first ``>`` outside quotes, or at the first one where a quote is never closed; an unquoted ``<``
 #: gives it up, so that a page of unclosed tags takes time in proportion to its length.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>|<[!?][^<>]*+>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-NAME_WORDS = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME_WORDS = re.compile(r"[^\W\d_]+")
 RAW_END = {tag: re.compile(rf"</{tag}\b[^<>]*+>?", re.I) for tag in RAW}
 HEAD_END = re.compile(r"</head\b[^<>]*+>?|(?=<body\b)", re.I)
 
 
-def _hidden(tag: str, attributes: dict[str, str], raw: str) -> bool:
-    """Whether a subtree goes whatever it holds."""
-    if tag in NEVER:
+def _hidden(tag: str, attributes: dict[str, str], raw: str, in_article: bool) -> bool:
+    """Whether a subtree goes whatever it holds; an article's own header stays."""
+    if tag in NEVER and not (tag == "header" and in_article):
         return True
     if attributes.get("role", "").lower() in ROLES or re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", '""', raw)):
         return True
@@ -66,9 +78,22 @@ def _doubtful(name: list[str]) -> bool:
     return next((w in DOUBTFUL for w in name if w in DOUBTFUL or w in GOOD), False)
 
 
+def _unsure(name: list[str]) -> bool:
+    """Whether a telling word stands beside words of another subject: ad-hoc-committee, share-price."""
+    telling = BAD | DOUBTFUL
+    return not telling.isdisjoint(name) and any(len(w) > 2 and w not in telling and w not in PART and w not in GOOD and w not in STATE for w in name)
+
+
 def _marked(attributes: dict[str, str]) -> str:
-    """What the class and id say of a subtree: "bad", "state" (bad in a state only), "doubtful" or nothing."""
-    names = [_words(w) for w in (attributes.get("class", "") + " " + attributes.get("id", "")).split()]
+    """What the class and id say of a subtree: "bad", "state" (bad in a state only), "doubtful", "unsure" (links decide) or
+    nothing."""
+    every = [_words(w) for w in (attributes.get("class", "") + " " + attributes.get("id", "")).split()]
+    names = [w for w in every if not _unsure(w)]
+    mark = _sure_mark(names)
+    return mark or ("unsure" if len(names) < len(every) else "")
+
+
+def _sure_mark(names: list[list[str]]) -> str:
     bad = [w for w in names if not BAD.isdisjoint(w)]
     if bad:
         return "bad" if any(STATE.isdisjoint(w) for w in bad) else "state"
@@ -115,8 +140,9 @@ def parse(page: str) -> Page:
     """The page outside excluded subtrees.
 
     Class and id words exclude no article or main, and nothing that holds the page's article: a container with an
-    article, main or most of the page's text, where no other article or main has more.  Where nothing is left, the
-    doubtful words and then all words are ignored.
+    article, main or most of the page's text, where no other article or main has more.  A name that joins such a word
+    with another subject counts only where most of the text is links.  Where nothing is left, the doubtful words and then
+    all words are ignored.
     """
     out, marks = _parse(page, frozenset())
     if not any(m[1] for m in marks):
@@ -126,14 +152,18 @@ def parse(page: str) -> Page:
         size[marks[i][0]] += size[i]
         holds[marks[i][0]] |= holds[i]
     total, elsewhere = size[0], marks[0][4]
-    spared = {
+    links = [m[5] for m in marks]
+    for i in range(len(marks) - 1, 0, -1):
+        links[marks[i][0]] += links[i]
+    spared = {i for i, m in enumerate(marks) if m[1] == "unsure" and 2 * links[i] < size[i]}
+    spared |= {
         i
         for i, (_, mark, *_) in enumerate(marks)
         if mark and size[i] > elsewhere and (2 * size[i] > total if holds[i] and mark == "bad" else holds[i] or mark != "bad" and 2 * size[i] > total)
     }
     if spared:
         out, _ = _parse(page, spared)
-    for ignored in ({"doubtful", "state"}, {"doubtful", "state", "bad"}):
+    for ignored in ({"doubtful", "state", "unsure"}, {"doubtful", "state", "unsure", "bad"}):
         if not out.blocks:
             out, _ = _parse(page, spared | {i for i, m in enumerate(marks) if m[1] in ignored})
     return out
@@ -143,35 +173,50 @@ def _parse(page: str, spared) -> tuple[Page, list[list]]:
     """One reading of a page in which the nesting tags numbered in ``spared`` are not excluded by their words.
 
     The marks have a row (parent, mark, own characters, is an article that words do not exclude, characters of
-    unexcluded articles) for each nesting tag, the first for the page, hidden subtrees apart.
+    unexcluded articles, own characters in links) for each nesting tag, the first for the page, hidden subtrees apart.
+    A tag whose content has no markup is void where its end is missing; a script or style then takes the rest.
     """
     out = Page()
     stack: list[tuple[str, int, bool, bool, int, bool]] = [("", 0, False, False, 0, False)]  # (tag, container, inside an excluded subtree, inside a hidden one, mark, inside an article)
-    marks: list[list] = [[-1, "", 0, False, 0]]
+    marks: list[list] = [[-1, "", 0, False, 0, 0.0]]
     opened: Counter[str] = Counter()
     parts: list[str] = []
-    at, n, headless = 0, len(page), False
+    endless: set[str] = set()
+    at, n = 0, len(page)
+    length, linked, link_at = 0, 0, -1  # characters of the parts, those in links, where an open link began
+
+    def end_link(again: bool):
+        nonlocal linked, link_at
+        if link_at >= 0:
+            linked += length - link_at
+            link_at = length if again else -1
 
     def flush():
+        nonlocal length, linked, link_at
+        end_link(again=True)
         if parts:
             _, container, excluded, hidden, mark, in_article = stack[-1]
             if not hidden:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
                     marks[mark][2] += len(text)
+                    marks[mark][5] += len(text) * linked / max(length, 1)
                     if not excluded:
                         out.blocks.append((container, text))
                         if in_article:
                             marks[0][4] += len(text)
             parts.clear()
+        length, linked, link_at = 0, 0, min(link_at, 0)
 
     while at < n:
         found = TOKEN.search(page, at)
         if found is None:
             parts.append(page[at:])
+            length += n - at
             break
         if found.start() > at:
             parts.append(page[at : found.start()])
+            length += found.start() - at
         at = found.end()
         tag = found[2]
         if tag is None:
@@ -179,14 +224,22 @@ def _parse(page: str, spared) -> tuple[Page, list[list]]:
         tag = tag.lower()
         closing = bool(found[1])
         if tag in RAW:
-            if not closing and not found[3].rstrip().endswith("/") and not (tag == "head" and headless):
+            if not closing and tag not in endless and not found[3].rstrip().endswith("/"):
                 end = (HEAD_END if tag == "head" else RAW_END[tag]).search(page, at)
-                headless |= tag == "head" and end is None
-                at = end.end() if end else (at if tag == "head" else n)
+                if end:
+                    at = end.end()
+                elif tag in PLAIN:
+                    at = n
+                else:
+                    endless.add(tag)
             continue
         if tag not in BLOCKS:
             if tag == "br":
                 parts.append(" ")
+                length += 1
+            elif tag == "a":
+                end_link(again=False)
+                link_at = -1 if closing else length
             continue
         flush()
         if tag == "h1" and not closing and not stack[-1][2]:
@@ -208,10 +261,10 @@ def _parse(page: str, spared) -> tuple[Page, list[list]]:
             continue
         _, container, excluded, hidden, above, in_article = stack[-1]
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found[3])}
-        hidden = hidden or _hidden(tag, attributes, found[3])
+        hidden = hidden or _hidden(tag, attributes, found[3], in_article)
         mark = "" if hidden or tag == "body" else _marked(attributes)
         article = tag in ARTICLES and not hidden
-        marks.append([above, "" if article else mark, 0, article and mark != "bad", 0])
+        marks.append([above, "" if article else mark, 0, article and mark != "bad", 0, 0.0])
         excluded = excluded or hidden or bool(marks[-1][1]) and len(marks) - 1 not in spared
         if tag in CONTAINERS and not excluded:
             names = ".".join(sorted({re.sub(r"[\d/]+", "", w) for w in attributes.get("class", "").split()} - {""}))

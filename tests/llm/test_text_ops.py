@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -247,8 +248,6 @@ def test_page_columns_do_not_clash(spark):
 @pytest.mark.parametrize("part", ["<a", "<!x", "<a '", '<a x="', "<div>", "<div>x", "</article>", "<head>", "<title", "<div><article>y", "<i>'\"", "<script>", "</script", "<a\"\""])
 def test_time_grows_with_the_page(part):
     """Unclosed tags, quotes and raw parts, deep nesting, and ends of what was never opened."""
-    import time
-
     took = []
     for n in (20_000, 80_000):
         begin = time.process_time()
@@ -274,6 +273,47 @@ def labelled_page(rng, i):
     return page, "\n".join(x.replace("&amp;", "&") for x in [head, *paras])
 
 
+def main_text(page):
+    found = html_main.parse(page)
+    return html_main.text_of(found, {html_main.main_container(found)[0]}) if found.blocks else ""
+
+
+STORY = "The committee met again on Tuesday and heard from the people who live beside the river about the new bridge. " * 3
+
+
+@pytest.mark.parametrize("part", ["a", "a-", "a ", "a =", "a='", "=", "hidden ", "style=a "])
+def test_time_grows_with_a_tag(part):
+    """A tag of a megabyte takes no longer than its letters do."""
+    begin = time.time()
+    assert "told" in main_text(f"<div {part * (1_000_000 // len(part))}>untold</div><p>told</p>")
+    assert time.time() - begin < 5
+
+
+def test_header_of_an_article_stays():
+    page = f"<header><p>Site name</p></header><article><header><h1>Headline</h1><p>Standfirst</p></header><p>{STORY}</p><footer>Tags</footer></article>"
+    assert main_text(page).split("\n")[:2] == ["Headline", "Standfirst"]
+    assert "Site name" not in main_text(page) and "Tags" not in main_text(page)
+
+
+@pytest.mark.parametrize("name", ["ad-hoc-committee", "share-price", "search-results-study", "reply-of-the-minister"])
+def test_names_of_other_subjects_stay(name):
+    assert "Kept words" in main_text(f'<article><p>{STORY}</p><div class="{name}"><p>Kept words of the article.</p></div><p>{STORY}</p></article>')
+
+
+@pytest.mark.parametrize("name", ["kommentare", "werbung", "share-box", "ad top", "publicité", "related-posts-river", "comments-list", "suche"])
+def test_other_parts_go(name):
+    inner = '<a href="/x">Lost words</a>' if "river" in name else "Lost words of others."
+    assert "Lost words" not in main_text(f'<article><p>{STORY}</p><div class="{name}"><p>{inner}</p></div><p>{STORY}</p></article>')
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "noscript", "template", "canvas", "math"])
+def test_raw_tags_without_an_end_are_void(tag):
+    assert main_text(f"<article><h1>Headline</h1><{tag} x=1><p>{STORY}</p></article>").endswith(STORY.strip())
+    begin = time.time()
+    main_text(f"<{tag}>" * 200_000 + f"<p>{STORY}</p>")
+    assert time.time() - begin < 5
+
+
 def test_labelled_pages(spark):
     """F1 of words over labelled pages of three hosts with menus, adverts, sidebars, comments and footers."""
     rng = random.Random(9)
