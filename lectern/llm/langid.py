@@ -131,7 +131,7 @@ class Lattice:
         self.word, self.piece = join(0, np.int64), join(3, np.int64)
         self.start, self.end = (np.repeat(np.array([x[k] for x in arcs], np.int64), sizes) for k in (1, 2))
 
-    def _sweep(self, by: np.ndarray, table: np.ndarray, init: np.ndarray, source: np.ndarray, backward: bool) -> np.ndarray:
+    def _sweep(self, by: np.ndarray, weights, init: np.ndarray, source: np.ndarray, backward: bool) -> np.ndarray:
         order = np.lexsort((self.word, by))
         bounds = np.searchsorted(by[order], np.arange(self.width + 2))
         steps = range(self.width - 1, -1, -1) if backward else range(1, self.width + 1)
@@ -140,18 +140,25 @@ class Lattice:
             if len(some):
                 w = self.word[some]
                 edge = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                init[w[edge], at] += np.add.reduceat(init[w, source[some]] * table[self.piece[some]], edge, axis=0)
+                init[w[edge], at] += np.add.reduceat(init[w, source[some]] * weights(some), edge, axis=0)
         return init
 
     def forward(self, table: np.ndarray) -> np.ndarray:
+        """Sums over the segmentations of each beginning of a word, in every column of the table."""
         alpha = np.zeros((len(self.lens), self.width + 1, table.shape[1]))
         alpha[:, 0] = 1
-        return self._sweep(self.end, table, alpha, self.start, backward=False)
+        return self._sweep(self.end, lambda some: table[self.piece[some]], alpha, self.start, backward=False)
 
-    def backward(self, table: np.ndarray) -> np.ndarray:
-        beta = np.zeros((len(self.lens), self.width + 1, table.shape[1]))
+    def uses(self, table: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Expected uses of each arc in one word, by the one column of the table that is the word's own."""
+        weight = table[self.piece, column[self.word]]
+        alpha, beta = (np.zeros((len(self.lens), self.width + 1)) for _ in range(2))
+        alpha[:, 0] = 1
         beta[np.arange(len(self.lens)), self.lens] = 1
-        return self._sweep(self.start, table, beta, self.end, backward=True)
+        self._sweep(self.end, lambda some: weight[some], alpha, self.start, backward=False)
+        self._sweep(self.start, lambda some: weight[some], beta, self.end, backward=True)
+        w = self.word
+        return alpha[w, self.start] / alpha[w, self.lens[w]] * weight * beta[w, self.end]
 
 
 @functools.lru_cache(maxsize=2)
@@ -165,14 +172,20 @@ def piece_bytes(path: str) -> np.ndarray:
     return lens
 
 
+def per_lattice(labels: int, most: int) -> int:
+    """Words whose sums are held together: 49 positions of each in ``labels`` doubles take 100 MB at most."""
+    return max(1, min(most, 250_000 // labels))
+
+
 def scaled(table: np.ndarray, path: str) -> tuple[np.ndarray, float]:
     """(table, log scale): probabilities times a scale for each byte of the piece.
 
     Every segmentation of a word has all its bytes, so sums of ``n`` bytes are too large by n scales exactly.  The scale
-    is the inverse root of the smallest probability: sums of short words stay between its powers of 24 and -24.
+    is the inverse root of the smallest probability: sums of short words stay between its powers of 24 and -24.  Doubles
+    hold the scale of the longest piece while no probability is below e**-55, and none is: it would take 10**20 words.
     """
     log = -math.log(table.min()) / 2
-    return table * np.exp(np.minimum(log * piece_bytes(path), 690.0))[:, None], log
+    return table * np.exp(log * piece_bytes(path))[:, None], log
 
 
 def long_word(word: bytes, nodes: dict[bytes, int], table: np.ndarray) -> np.ndarray:
@@ -251,8 +264,9 @@ class Scorer:
             logs = np.zeros((len(new), self.table.shape[1]))
             short = [i for i, c in enumerate(coded) if len(c) <= SHORT_WORD]
             short.sort(key=lambda i: len(coded[i]))
-            for at in range(0, len(short), 10_000):
-                some = short[at : at + 10_000]
+            step = per_lattice(self.table.shape[1], 10_000)
+            for at in range(0, len(short), step):
+                some = short[at : at + step]
                 lattice = Lattice([coded[i] for i in some], node_table(self.path))
                 alpha = lattice.forward(self.swept)
                 logs[some] = np.log(alpha[np.arange(len(some)), lattice.lens]) - self.scale * lattice.lens[:, None]
@@ -330,10 +344,7 @@ def _train_table(labelled: DataFrame, sizes: dict[str, int], path: str, fit_docs
                 for at in range(0, len(short), 5_000):
                     some = short[at : at + 5_000]
                     lattice = Lattice([coded[i] for i in some], node_table(path))
-                    alpha, beta = lattice.forward(swept), lattice.backward(swept)
-                    k, w = lang[some][lattice.word], lattice.word
-                    whole = alpha[w, lattice.lens[w], k]
-                    use = alpha[w, lattice.start, k] / whole * swept[lattice.piece, k] * beta[w, lattice.end, k]
+                    use, k, w = lattice.uses(swept, lang[some]), lang[some][lattice.word], lattice.word
                     key = k.astype(np.int64) * n_pieces + lattice.piece
                     seen, at_ = np.unique(key, return_inverse=True)
                     got = np.bincount(at_, use * n[some][w])

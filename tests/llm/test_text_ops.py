@@ -123,13 +123,80 @@ def test_long_words_are_learned(spark):
     flat = np.full((n, 1), 1.0 / n)
     word = " naïvestation".encode()
     lattice = langid.Lattice([word], langid.node_table(langid.default_vocabulary()))
-    alpha, beta = lattice.forward(flat), lattice.backward(flat)
-    use = alpha[0, lattice.start, 0] * flat[lattice.piece, 0] * beta[0, lattice.end, 0] / alpha[0, len(word), 0]
-    want = np.bincount(lattice.piece, use, n)
+    want = np.bincount(lattice.piece, lattice.uses(flat, np.zeros(1, int)), n)
     used = langid.long_pieces(word, nodes, flat[:, 0])
     assert set(used) == set(lattice.piece.tolist()) and all(v == pytest.approx(want[p]) for p, v in used.items())
 
 
+def brute_languages(rows):
+    """(id, language, score) by plain expectation maximisation over dictionaries and a plain forward sum."""
+    nodes, n_pieces = langid.trie(langid.default_vocabulary())
+    pieces = {p: i for p, i in nodes.items() if i >= 0}
+    words = lambda t: [b" " + w.encode() for w in langid.words_of((t or "").lower())]
+    arcs = lambda w: [(s, e, pieces[w[s:e]]) for s in range(len(w)) for e in range(s + 1, len(w) + 1) if w[s:e] in pieces]
+
+    def forward(w, prob):
+        alpha = [1.0] + [0.0] * len(w)
+        for s, e, p in sorted(arcs(w), key=lambda a: a[1]):
+            alpha[e] += alpha[s] * prob.get(p, prob[None])
+        return alpha
+
+    counts = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(words(text))
+    model = {k: {None: 1.0 / n_pieces} for k in sorted(counts)}
+    for _ in range(langid.ROUNDS):
+        for lang, c in counts.items():
+            used = Counter()
+            for w, n in c.items():
+                alpha = forward(w, model[lang])
+                beta = [0.0] * len(w) + [1.0]
+                for s, e, p in sorted(arcs(w), key=lambda a: -a[0]):
+                    beta[s] += model[lang].get(p, model[lang][None]) * beta[e]
+                for s, e, p in arcs(w):
+                    used[p] += n * alpha[s] * model[lang].get(p, model[lang][None]) * beta[e] / alpha[len(w)]
+            total = sum(used.values()) + langid.PSEUDO * n_pieces
+            model[lang] = {p: (langid.PSEUDO + x) / total for p, x in used.items()} | {None: langid.PSEUDO / total}
+    out = {}
+    for i, text, _ in rows:
+        logs = {k: sum(np.log(forward(w, prob)[len(w)]) for w in words(text)) for k, prob in model.items()}
+        if not words(text):
+            out[i] = ("und", 0.0)
+            continue
+        best = max(logs, key=logs.get)
+        out[i] = (best, 1 / sum(np.exp(x - logs[best]) for x in logs.values()))
+    return out
+
+
+def test_query_is_plain_expectation_maximisation(spark, tmp_path):
+    from lectern.llm import queries
+
+    rng = random.Random(8)
+    vocabulary = {"en": "the of stone river and with tree".split(), "de": "der und Stein mit Fluß über Baum".split(), "fr": "la pierre et avec rivière où arbre".split()}
+    shared = "hotel radio naïve wind".split()
+    rows = [(i, " ".join(rng.choice(vocabulary[k] + shared) for _ in range(rng.randint(1, 6))), k) for i, k in enumerate(rng.choices(list(vocabulary), k=60))]
+    rows += [(100, None, "en"), (101, "12 !", "de"), (102, "hotel", None), (103, "", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_languages(rows)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op8_language_id(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    for i, (lang, score) in want.items():
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, rel=1e-6), i
+
+
+def test_chunks_depend_on_labels(monkeypatch):
+    assert langid.per_lattice(4, 10_000) == 10_000 and langid.per_lattice(500, 10_000) == 500
+    path = langid.default_vocabulary()
+    rng = np.random.default_rng(1)
+    _, n = langid.trie(path)
+    table = rng.random((n, 3))
+    words = [f"wort{i}" for i in range(40)]
+    whole = langid.Scorer(table / table.sum(0), path).words(words)
+    monkeypatch.setattr(langid, "per_lattice", lambda labels, most: 7)
+    assert np.allclose(langid.Scorer(table / table.sum(0), path).words(words), whole)
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame(
         [(0, "the cat and the dog", "en", "a"), (1, "der Hund und die Katze", "de", "a"), (2, None, "en", None), (3, "123 !?", "de", ""), (4, "und der Hund", None, "a"), (None, "the dog", "en", "a"), (7, "the " * 50_000, "en", "a")],
