@@ -7,8 +7,8 @@ equal substrings are parsed into equal interior symbols.  With each symbol goes
 its name and its ends; a symbol whose stretch lies inside a window is part of every other occurrence of it.
 
 Spark then works in two exchanges.  *Reveal*: the high-level symbols of all blocks meet, and a window that holds
-a symbol of one document only is settled as unrepeated.  *Verify*: the windows that are left meet by a
-fingerprint of their whole word sequence, and the smallest document of each is found.  Per (block, partition)
+a symbol of one document only is settled as unrepeated.  *Verify*: the windows that are left meet by 128
+bits of fingerprints of their whole word sequence, and the smallest document of each is found.  Per (block, partition)
 one packed row of sorted distinct fingerprints goes out and a bitmap comes back, so a passage that a third of
 all documents share is one entry a block.
 """
@@ -28,7 +28,8 @@ WINDOW, LEVELS = 13, 2
 #: Distinct fingerprints that a reducer's partition holds on average.
 PER_PART = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A second fingerprint beside the first: words, base and mixing of its own.
+CHECK_BASE = np.uint64(0xD1B54A32D192ED03)
 
 ASK_SCHEMA = "part int, block_id long, keys binary, docs binary"
 REPLY_SCHEMA = "block_id long, part int, bits binary"
@@ -43,8 +44,8 @@ class Block:
         self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
         self.lens = np.frombuffer(row["lens"], np.uint32).astype(np.int64)
         digest = xxhash.xxh64_intdigest
-        names = np.array([digest(w, 17) for w in self.words], np.uint64)
-        self.symbols = names[self.tokens] if len(names) else np.empty(0, np.uint64)
+        names, checks = (np.array([digest(w, seed) for w in self.words], np.uint64) for seed in (17, 71))
+        self.symbols, self.checks = (x[self.tokens] if len(x) else np.empty(0, np.uint64) for x in (names, checks))
         self.doc_of = np.repeat(np.arange(len(self.lens)), self.lens)
         self.ends = np.cumsum(self.lens)
 
@@ -56,10 +57,10 @@ class Block:
 class Rolling:
     """Fingerprints of any stretch of a word sequence from prefix sums of a polynomial."""
 
-    def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        powers = np.cumprod(np.append(np.uint64(1), np.full(n, BASE)))
-        self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, BASE_INVERSE)))
+    def __init__(self, symbols: np.ndarray, base: np.uint64 = BASE):
+        self.base, n = base, len(symbols)
+        powers = np.cumprod(np.append(np.uint64(1), np.full(n, base)))
+        self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(pow(int(base), -1, 1 << 64)))))
         self.sums = np.append(np.uint64(0), np.cumsum(mix(symbols) * powers[:n]))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -124,32 +125,40 @@ def _revealing(block: Block, size: int, levels: int):
     return low, high, Rolling(block.symbols).of(low, high)
 
 
-def _ask(block_id: int, keys: np.ndarray, docs: np.ndarray, parts: int):
-    """Packed rows of the distinct keys by partition: the low 63 bits of each say which, the top bit of ``docs`` nothing more.
+def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and the number of each given one."""
+    order = np.lexsort((checks, keys))
+    a, b = keys[order], checks[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return a[new], b[new], number
 
-    ``docs`` has the smallest document of each key in this block and the largest.
-    """
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+
+def _ask(block_id: int, keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, parts: int):
+    """(partition, block, keys, checks, smallest document, largest) of the distinct pairs of key and check in each partition."""
+    order = np.lexsort((docs, checks, keys))
+    keys, checks, docs = keys[order], checks[order], docs[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]))) if len(keys) else np.empty(0, np.int64)
     last = np.append(first[1:], len(keys)) - 1
-    keys, least, most = keys[first], docs[first], docs[last] if len(keys) else docs
+    keys, checks, least, most = keys[first], checks[first], docs[first], docs[last] if len(keys) else docs
     part = (keys % np.uint64(parts)).astype(np.int32)
     by = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[by], np.arange(parts + 1))
-    for p in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
-        some = by[bounds[p] : bounds[p + 1]]
-        yield p, block_id, keys[some], least[some], most[some]
+    edges = np.flatnonzero(np.append(True, part[by][1:] != part[by][:-1])) if len(by) else np.empty(0, np.int64)
+    for begin, end in zip(edges.tolist(), np.append(edges[1:], len(by)).tolist()[: len(edges)], strict=True):
+        some = by[begin:end]
+        yield int(part[some[0]]), block_id, keys[some], checks[some], least[some], most[some]
 
 
 def _answers(reply: pd.DataFrame, keys: np.ndarray, parts: int) -> np.ndarray:
-    """The replied bit of each key, which are sorted and distinct."""
+    """The replied bit of each key, in the order of distinct pairs."""
     out = np.zeros(len(keys), bool)
     part = (keys % np.uint64(parts)).astype(np.int32)
     by = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[by], np.arange(parts + 1))
-    for p, bits in zip(reply["part"], reply["bits"], strict=True):
-        some = by[bounds[p] : bounds[p + 1]]
+    begin = np.searchsorted(part[by], reply["part"].to_numpy(np.int32))
+    end = np.searchsorted(part[by], reply["part"].to_numpy(np.int32), "right")
+    for at, to, bits in zip(begin.tolist(), end.tolist(), reply["bits"], strict=True):
+        some = by[at:to]
         out[some] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(some)).astype(bool)
     return out
 
@@ -174,19 +183,17 @@ def _meet_symbols(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _meet_windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Which windows a smaller document than the block's smallest holds."""
-    arrays = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-    docs = [np.frombuffer(d, np.int64) for d in pdf["docs"]]
-    keys, least = np.concatenate(arrays), np.concatenate(docs)
-    order = np.lexsort((least, keys))
-    keys, least = keys[order], least[order]
-    first = np.append(True, keys[1:] != keys[:-1])
-    keys, least = keys[first], least[first]
-    bits = [np.packbits(least[np.searchsorted(keys, a)] < d).tobytes() for a, d in zip(arrays, docs, strict=True)]
-    return pd.DataFrame({"block_id": pdf["block_id"], "part": int(key[0]), "bits": bits})
+    pairs = [np.frombuffer(k, np.uint64).reshape(2, -1) for k in pdf["keys"]]
+    docs = np.concatenate([np.frombuffer(d, np.int64) for d in pdf["docs"]])
+    keys, _, number = _distinct(*np.concatenate(pairs, axis=1))
+    least = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, docs)
+    earlier = np.split(least[number] < docs, np.cumsum([p.shape[1] for p in pairs])[:-1])
+    return pd.DataFrame({"block_id": pdf["block_id"], "part": int(key[0]), "bits": [np.packbits(x).tobytes() for x in earlier]})
 
 
 def _live_windows(block: Block, reply: pd.DataFrame, size: int, levels: int, parts: int):
-    """(starts, keys) of the windows whose every revealing symbol is shared."""
+    """(starts, keys, checks) of the windows whose every revealing symbol is shared."""
     low, high, key = _revealing(block, size, levels)
     distinct, inverse = np.unique(key, return_inverse=True)
     shared = _answers(reply, distinct, parts)[inverse]
@@ -198,7 +205,7 @@ def _live_windows(block: Block, reply: pd.DataFrame, size: int, levels: int, par
     settled = np.cumsum(change)[:n] > 0
     starts = block.window_starts(size)
     starts = starts[~settled[starts]]
-    return starts, Rolling(block.symbols).of(starts, starts + size)
+    return starts, Rolling(block.symbols).of(starts, starts + size), Rolling(block.checks, CHECK_BASE).of(starts, starts + size)
 
 
 def removed_words(docs: DataFrame, size: int = WINDOW, levels: int = LEVELS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -218,7 +225,7 @@ def removed_words(docs: DataFrame, size: int = WINDOW, levels: int = LEVELS, blo
             for row in batch.to_pylist():
                 block = Block(row)
                 low, _, key = _revealing(block, size, levels)
-                for p, b, k, least, most in _ask(row["block_id"], key, block.doc_ids[block.doc_of[low]], parts):
+                for p, b, k, _, least, most in _ask(row["block_id"], key, np.zeros_like(key), block.doc_ids[block.doc_of[low]], parts):
                     yield _batch(p, b, _short(k, parts).tobytes(), np.packbits(least != most).tobytes())
 
     revealed = stored(blocks.mapInArrow(ask_symbols, ASK_SCHEMA).groupBy("part").applyInPandas(_meet_symbols, REPLY_SCHEMA), "shared-symbols")
@@ -227,9 +234,9 @@ def removed_words(docs: DataFrame, size: int = WINDOW, levels: int = LEVELS, blo
         rows = []
         for row in block_pdf.to_dict("records"):
             block = Block(row)
-            starts, keys = _live_windows(block, reply, size, levels, parts)
-            for p, b, k, least, _ in _ask(row["block_id"], keys, block.doc_ids[block.doc_of[starts]], parts):
-                rows.append((p, b, k.tobytes(), least.tobytes()))
+            starts, keys, checks = _live_windows(block, reply, size, levels, parts)
+            for p, b, k, c, least, _ in _ask(row["block_id"], keys, checks, block.doc_ids[block.doc_of[starts]], parts):
+                rows.append((p, b, k.tobytes() + c.tobytes(), least.tobytes()))
         return pd.DataFrame(rows, columns=["part", "block_id", "keys", "docs"])
 
     asked = blocks.groupBy("block_id").cogroup(revealed.groupBy("block_id")).applyInPandas(ask_windows, ASK_SCHEMA)
@@ -248,8 +255,8 @@ def _batch(part: int, block_id: int, keys: bytes, docs: bytes) -> pa.RecordBatch
 
 
 def _remove(block: Block, reply: pd.DataFrame, size: int, levels: int, parts: int) -> pd.DataFrame:
-    starts, keys = _live_windows(block, reply[reply["round"] == 1], size, levels, parts)
-    distinct, inverse = np.unique(keys, return_inverse=True)
+    starts, keys, checks = _live_windows(block, reply[reply["round"] == 1], size, levels, parts)
+    distinct, _, inverse = _distinct(keys, checks)
     earlier = _answers(reply[reply["round"] == 2], distinct, parts)[inverse]
     doc = block.doc_ids[block.doc_of[starts]]
     least = np.full(len(distinct), np.iinfo(np.int64).max)

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lectern.llm import ctw, substring_dedup
@@ -152,3 +153,24 @@ def test_probabilities_sum_to_one():
         order = np.argsort(known)
         logs = ctw.string_logs(5, known[order], total[order], 4, fixed, rest)
         assert (10.0 ** logs[np.isin(known[order], every)]).sum() == pytest.approx(1, rel=1e-9)
+
+
+def test_fingerprints_that_collide():
+    """Windows whose first fingerprints have two bits left are told apart by the second ones."""
+    rng = np.random.default_rng(21)
+    blocks = [(rng.integers(0, 40, n).astype(np.uint64), np.sort(rng.integers(0, 30, n))) for n in (200, 90, 1)]
+    least = {}
+    for window, doc in blocks:
+        for w, d in zip(window.tolist(), doc.tolist(), strict=True):
+            least[w] = min(least.get(w, d), d)
+    pair = lambda window: (window & np.uint64(3), substring_dedup.mix(window))
+    asked = collections.defaultdict(list)
+    for i, (window, doc) in enumerate(blocks):
+        for part, block, keys, checks, low, _ in substring_dedup._ask(i, *pair(window), doc, 3):
+            asked[part].append((block, keys.tobytes() + checks.tobytes(), low.tobytes()))
+    replies = pd.concat([substring_dedup._meet_windows((p,), pd.DataFrame(rows, columns=["block_id", "keys", "docs"])) for p, rows in asked.items()])
+    for i, (window, doc) in enumerate(blocks):
+        keys, _, number = substring_dedup._distinct(*pair(window))
+        earlier = substring_dedup._answers(replies[replies["block_id"] == i], keys, 3)[number]
+        first = {w: min(d for v, d in zip(window.tolist(), doc.tolist(), strict=True) if v == w) for w in window.tolist()}
+        assert earlier.tolist() == [least[w] < first[w] for w in window.tolist()]
