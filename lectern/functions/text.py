@@ -113,10 +113,14 @@ def parse_citation(text: Column) -> dict[str, Column]:
     return {"book": part(1), "spine_idx": part(2).try_cast("long"), "para_idx": part(3).try_cast("long")}
 
 
+# Fixed value: a whole text in a code fence, of JSON or without a language.
+FENCED = r"(?s)^```(?:json)?\s*\n?(.*?)\n?```\s*$"
+
+
 def code_fence_body(text: Column) -> Column:
-    """What stands inside a surrounding code fence, or the text."""
-    inner = F.regexp_extract(text, r"(?s)^\s*```[A-Za-z]*\s*\n(.*?)\n?\s*```\s*$", 1)
-    return F.when(text.rlike(r"(?s)^\s*```"), inner).otherwise(text)
+    """What stands inside a code fence around the whole text, on one line or more; else the text as it is."""
+    bare = strip(text)
+    return F.when(bare.rlike(FENCED), F.regexp_extract(bare, FENCED, 1)).otherwise(text)
 
 
 # Fixed value: characters that a stored file name does not keep.

@@ -94,21 +94,10 @@ def pending(chapter: DataFrame, done: DataFrame, prompt_hash: str, schema_versio
     return chapter.where("kind <> 'excerpt'").join(made.distinct(), ["book_id", "chapter_idx"], "left_anti")
 
 
-RESPONSE = "digest_markdown string, entities array<struct<designator:string,node_kind:string,cite_para_id:long,attributes:array<struct<attr_kind:string,value:string,cite_para_id:long>>,aliases:array<struct<other_designator:string,edge_type:string,cite_para_id:long>>>>"
-
-
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """``responses`` with ``parsed`` and ``error``: all or nothing, null error for a well-formed one."""
-    r = responses.withColumn("parsed", F.from_json("response", RESPONSE))
-    p = F.col("parsed")
-    entity_bad = F.exists(p["entities"], lambda e: F.coalesce(e["designator"], F.lit("")).eqNullSafe("") | e["cite_para_id"].isNull())
-    error = F.when(p.isNull() | p["digest_markdown"].isNull(), "no digest").when(p["entities"].isNull(), "no entities").when(entity_bad, "bad entity")
-    return r.withColumn("error", error)
-
-
-def unresolved_aliases(parsed: DataFrame, registry: DataFrame) -> DataFrame:
-    """(book_id, other_designator) of aliases that name no known designator of their book."""
-    e = parsed.where("error is null").select("book_id", F.explode("parsed.entities").alias("e"))
+def unresolved_aliases(checked: DataFrame, registry: DataFrame) -> DataFrame:
+    """(book_id, designator) of aliases, in responses that count (``extraction.validated``), that name no known designator
+    of their book."""
+    e = checked.where("error is null").select("book_id", F.explode("entities").alias("e"))
     known = registry.select("book_id", "designator").unionByName(e.select("book_id", F.col("e.designator").alias("designator"))).distinct()
     alias = e.select("book_id", F.explode("e.aliases").alias("a")).select("book_id", F.col("a.other_designator").alias("designator")).distinct()
     return alias.join(known, ["book_id", "designator"], "left_anti")

@@ -126,11 +126,17 @@ def stripped_pages(spark, d):
     return D.table(spark, d, "pages").select("page_id", F.sha2(T.strip_html(F.col("html")), 256).alias("sha"))
 
 
-@query("SELECT doc_id, 'of ' || doc_id AS body FROM documents")
+@query(r"""SELECT doc_id, sha256(([text, trim(text, ' ' || chr(9) || chr(10) || chr(13)), text, '```json' || chr(10) || text, 'python' || chr(10) || 'of'])[doc_id % 5 + 1]) AS sha FROM
+(SELECT doc_id, replace(replace(coalesce(text, ''), '`', ''), chr(13), '') AS text FROM documents)""")
 def fenced_bodies(spark, d):
-    body = concat("'of ", "doc_id")
-    given = by_turn(F.col("doc_id"), body, concat("'```json\n", body, "'\n```\n"), concat("'  ```\n", body, "'\n```"))
-    return D.table(spark, d, "documents").select("doc_id", T.code_fence_body(given).alias("body"))
+    """Texts as they are, in a fence of JSON, in one on a line of its text, in one that is not closed, and in one of another language."""
+    text = F.translate(F.coalesce("text", F.lit("")), "`\r", "")
+    bare = F.regexp_replace(text, r"^[ \t\n]+|[ \t\n]+$", "")
+    k = F.col("doc_id") % 5
+    given = F.when(k == 0, text).when(k == 1, F.concat(F.lit("\n```json \n"), bare, F.lit("\n``` \n"))).when(k == 2, F.concat(F.lit("```json{"), text, F.lit("}```"))).when(k == 3, F.concat(F.lit("```json\n"), text)).otherwise(F.lit("```python\nof\n```"))
+    body = T.code_fence_body(given)
+    return D.table(spark, d, "documents").select("doc_id", F.sha2(F.when(k == 2, F.btrim(body, F.lit("{}"))).otherwise(body), 256).alias("sha"))
+
 
 
 ROMAN = " || ".join(f"(['', '{a}', '{a}{a}', '{a}{a}{a}', '{a}{b}', '{b}', '{b}{a}', '{b}{a}{a}', '{b}{a}{a}{a}', '{a}{c}'])[n // {u} % 10 + 1]" for u, a, b, c in ((100, "C", "D", "M"), (10, "X", "L", "C"), (1, "I", "V", "X")))

@@ -238,26 +238,6 @@ def digests_replaced(spark, d):
     return causal.replace_digests(old, new).select("book_id", "level", "chapter_idx", "part_label", "text")
 
 
-def responses(spark, d):
-    """A response for each document: well-formed, cut off, without entities, or with an entity without a name."""
-    k, s = F.col("doc_id"), F.col("source")
-    entity = lambda name: concat("'{\"designator\":\"", name, "'\",\"node_kind\":\"person\",\"cite_para_id\":", "doc_id", "',\"attributes\":[],\"aliases\":[{\"other_designator\":\"", F.when(k % 8 == 0, s).otherwise("nobody"), "'\",\"edge_type\":\"is\",\"cite_para_id\":1}]}")
-    whole = lambda name: concat("'{\"digest_markdown\":\"d\",\"entities\":[", entity(name), "']}")
-    text = F.when(k % 4 == 0, whole(s)).when(k % 4 == 1, F.substring(whole(s), 1, 30)).when(k % 4 == 2, '{"digest_markdown":"d"}').otherwise(whole(F.lit("")))
-    return D.table(spark, d, "documents").select(k.alias("book_id"), text.alias("response"))
-
-
-@query("SELECT doc_id AS book_id, ([NULL, 'no digest', 'no entities', 'bad entity'])[doc_id % 4 + 1] AS error FROM documents")
-def response_errors(spark, d):
-    return causal.parse_responses(responses(spark, d)).select("book_id", "error")
-
-
-@query("SELECT doc_id AS book_id, 'nobody' AS designator FROM documents WHERE doc_id % 8 = 4 AND doc_id % 3 > 0")
-def aliases_unresolved(spark, d):
-    known = D.books(spark, d).where("book_id % 3 = 0").select("book_id", F.lit("nobody").alias("designator"))
-    return causal.unresolved_aliases(causal.parse_responses(responses(spark, d)), known)
-
-
 # -- upkeep -----------------------------------------------------------------------------------
 
 

@@ -270,7 +270,8 @@ def test_text_functions(spark):
     assert f(T.exact_day(x), "2019-03") is None
     assert f(T.roman(x), 1994) == "MCMXCIV"
     assert f(T.top_genres(x), "Audiobook, A, ,B,C,D") == ["A", "B", "C"]
-    assert f(T.code_fence_body(x), "```json\n{}\n```") == "{}"
+    fenced = {"```json\n{}\n```": "{}", "```{}```": "{}", "```json {}```": "{}", "```json\n{}": "```json\n{}", " x ": " x ", "```python\n{}\n```": "python\n{}", "a\n```\n{}\n```": "a\n```\n{}\n```"}
+    assert {k: f(T.code_fence_body(x), k) for k in fenced} == fenced
     assert f(T.strip_html(x), "<p>a &amp; b</p>") == "a & b"
     assert f(T.word_count(x), " a  b ") == 2
     assert [one(spark, T.percent(F.col("a"), F.col("b")), a=a, b=b) for a, b in ((1, 8), (0, 0), (3, 8))] == [12, 0, 38]
@@ -314,12 +315,11 @@ def test_causal_text_raises_above_its_bound(spark):
             ask(k, bound).collect()
 
 
-def test_responses(spark):
-    good = '{"digest_markdown":"d","entities":[{"designator":"Fox","node_kind":"person","cite_para_id":1,"attributes":[],"aliases":[{"other_designator":"Wolf","edge_type":"is","cite_para_id":1}]}]}'
-    r = causal.parse_responses(spark.createDataFrame([(1, good), (2, "{"), (3, '{"digest_markdown":"d"}')], "book_id long, response string"))
-    assert {x["book_id"]: x["error"] for x in r.collect()} == {1: None, 2: "no digest", 3: "no entities"}
+def test_unresolved_aliases(spark):
+    rows = [(1, [("Fox", [("Wolf",), ("Bear",), ("Fox",)])], None), (1, None, "not JSON"), (2, [("Wolf", [])], None)]
+    checked = spark.createDataFrame(rows, "book_id long, entities array<struct<designator:string,aliases:array<struct<other_designator:string>>>>, error string")
     known = spark.createDataFrame([(1, "Bear")], "book_id long, designator string")
-    assert [x["designator"] for x in causal.unresolved_aliases(r, known).collect()] == ["Wolf"]
+    assert [tuple(x) for x in causal.unresolved_aliases(checked, known).collect()] == [(1, "Wolf")]
 
 
 def test_components_by_union_find(spark):
