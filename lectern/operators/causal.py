@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.components import components
+from lectern.operators.components import components, spanning_forest
 from lectern.tables import stored
 
 
@@ -110,3 +110,24 @@ def identity_components(edges: DataFrame, bound: int | None = None) -> DataFrame
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     found = components(e).withColumnRenamed("vertex", "node")
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def cast_as_read(nodes: DataFrame, edges: DataFrame, ceilings: DataFrame) -> DataFrame:
+    """(reader_id, book_id, node, component) of what every reader knows at once: nodes (book_id, node, seen) and the
+    components that edges (book_id, a, b, seen) make of them, each as of the reader's ceiling in the book.
+
+    All edges are thinned to a spanning forest first, whatever the number of readers; it is cut at each ceiling, so a
+    reader costs no more than the rows that are returned.  A component is called by its least node.  An edge counts where
+    both its nodes are known.
+    """
+    vertex = lambda node: F.struct("book_id", F.col(node).alias("node"))
+    first = nodes.groupBy("book_id", "node").agg(F.min("seen").alias("seen"))
+    known = lambda end: first.select("book_id", F.col("node").alias(end), F.col("seen").alias(f"seen_{end}"))
+    later = edges.join(known("a"), ["book_id", "a"]).join(known("b"), ["book_id", "b"])
+    whole = later.select(vertex("a").alias("a"), vertex("b").alias("b"), F.greatest("seen", "seen_a", "seen_b").alias("seen"))
+    forest = stored(spanning_forest(whole), "identity-forest").select(F.col("a.book_id").alias("book_id"), F.col("a.node").alias("a"), F.col("b.node").alias("b"), "seen")
+    of = lambda node: F.struct("reader_id", "book_id", F.col(node).alias("node"))
+    cut = forest.join(ceilings, "book_id").where(F.col("seen") <= F.col("ceiling_seq"))
+    found = components(cut.select(of("a").alias("a"), of("b").alias("b"))).select("vertex.reader_id", "vertex.book_id", "vertex.node", F.col("component.node").alias("component"))
+    seen = first.join(ceilings, "book_id").where(F.col("seen") <= F.col("ceiling_seq")).select("reader_id", "book_id", "node")
+    return seen.join(found, ["reader_id", "book_id", "node"], "left").select("reader_id", "book_id", "node", F.coalesce("component", "node").alias("component"))

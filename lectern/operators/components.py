@@ -39,3 +39,26 @@ def components(links: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(
         pairs.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
     )
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """``edges(a, b, seen)`` of a minimum spanning forest: cut at any bound on ``seen``, it joins what all edges join.
+
+    Every vertex, then every component, takes its least edge to another one; those are in the forest, what they join is
+    contracted, and of edges between the same two components the least is left.  Each round halves the components at
+    least.  Edges are ordered by (seen, a, b), so no round makes a circle.  Loops and repeated edges do no harm.
+    """
+    rows = edges.select("a", "b", "seen").where("a <> b").withColumns({"x": F.col("a"), "y": F.col("b")})
+    left, forest = stored(rows, "forest-edges"), None
+    while not left.isEmpty():
+        edge = F.struct("seen", "a", "b").alias("edge")
+        ends = left.select("x", edge, "y").unionByName(left.select(F.col("y").alias("x"), edge, F.col("x").alias("y")))
+        taken = stored(ends.groupBy("x").agg(F.min(F.struct("edge", "y")).alias("m")).select("x", "m.edge", "m.y"), "forest-round")
+        new = taken.select("edge.a", "edge.b", "edge.seen").distinct()
+        forest = new if forest is None else forest.unionByName(new)
+        names = components(taken.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        to = lambda old, name: names.select(F.col("vertex").alias(old), F.col("component").alias(name))  # noqa: B023, E731
+        joined = left.join(to("x", "x2"), "x").join(to("y", "y2"), "y").where("x2 <> y2")
+        pair = [F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y")]
+        left = stored(joined.groupBy(*pair).agg(F.min(edge).alias("e")).select("x", "y", "e.a", "e.b", "e.seen"), "forest-edges")
+    return forest if forest is not None else edges.select("a", "b", "seen").limit(0)

@@ -6,7 +6,10 @@ readers and books at once.  Nothing above a reader's ceiling reaches a result, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import schema
@@ -155,7 +158,14 @@ class BoundedCorpus:
         return out.select("reader_id", "entity", "book_id", F.coalesce("chapter", F.lit(NOT_YET_SEEN)).alias("chapter"), "global_seq")
 
     def search_regex(self, pattern: str, limit: int = SEARCH_LIMIT) -> DataFrame:
-        """First ``limit`` readable matches of each reader in order, with a snippet around the match."""
+        """First ``limit`` readable matches of each reader in order, with a snippet around the match.
+
+        Patterns are as in Python: classes are those of Unicode, named groups are ``(?P<name>..)``.  One that does not
+        compile matches nothing; ``invalid_regex`` tells why.
+        """
+        if invalid_regex(self._para.sparkSession, pattern):
+            pattern = NO_MATCH
+        pattern = unicode_regex(pattern)
         hits = self.readable.where(F.col("text").rlike(pattern))
         at = F.regexp_instr(F.col("text"), F.lit(pattern))
         found = F.length(F.regexp_substr(F.col("text"), F.lit(pattern)))
@@ -226,6 +236,29 @@ class BoundedCorpus:
         return p.select("reader_id", "book_id", "global_seq", fraction.alias("fraction"))
 
 
+#: A pattern that no text matches.
+NO_MATCH = r"[^\s\S]"
+
+
+def unicode_regex(pattern: str) -> str:
+    """A Python pattern for Java: Unicode classes, and names of groups in its notation; escaped signs stay as they are."""
+    forms = {"(?P<": "(?<", r"\Z": r"\z"}
+    out = re.sub(r"\\Z|\\.|\(\?P=(\w+)\)|\(\?P<", lambda m: f"\\k<{m[1]}>" if m[1] else forms.get(m[0], m[0]), pattern, flags=re.S)
+    return f"(?U){out}"
+
+
+def invalid_regex(spark: SparkSession, pattern: str) -> str | None:
+    """Why a pattern does not compile, in Python or as it is given to Java; null if it does."""
+    try:
+        re.compile(pattern)
+        spark._jvm.java.util.regex.Pattern.compile(unicode_regex(pattern))
+    except re.error as e:
+        return str(e)
+    except Py4JJavaError as e:
+        return str(e.java_exception.getDescription())
+    return None
+
+
 # Labels of named divisions, and of numbered chapters.
 NAMED_DIVISION = r"(?i)^\s*(prologue|epilogue|interlude\w*)\b"
 PRINTED_NUMBER = r"(?i)^\s*(?:chapter\s+)?(\d+)\b"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern import schema
@@ -234,15 +234,25 @@ def search_snippet(spark, d):
     return found.drop("score")
 
 
-@query(f"""{CORPUS}, h AS (SELECT reader_id, book_id, global_seq, chapter_label, text, regexp_extract(text, 'th[a-z]+tion') AS m FROM readable WHERE regexp_matches(text, 'th[a-z]+tion')),
+def regex_sql(pattern: str) -> str:
+    return f"""{CORPUS}, h AS (SELECT reader_id, book_id, global_seq, chapter_label, text, regexp_extract(text, '{pattern}') AS m FROM readable WHERE regexp_matches(text, '{pattern}')),
 p AS (SELECT *, strpos(text, m) AS a, greatest(strpos(text, m) - 60, 1) AS s FROM h), q AS (SELECT *, substr(text, s, a - s + length(m) + 60) AS piece FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY global_seq, book_id) AS nth FROM q)
 SELECT reader_id, book_id, global_seq, chapter_label, CASE WHEN s > 1 THEN '…' ELSE '' END || piece || CASE WHEN s + length(piece) - 1 < length(text) THEN '…' ELSE '' END AS snippet
-FROM r WHERE nth <= 40""")
+FROM r WHERE nth <= 40"""
+
+
+@query(regex_sql("th[a-z]+tion"))
 def search_regex(spark, d):
     return corpus(spark, d).search_regex("th[a-z]+tion")
 
 
+@query(regex_sql("[\\p{L}\\p{N}_]+ñ[\\p{L}\\p{N}_]+"))
+def search_regex_unicode(spark, d):
+    """Letters of all scripts are letters, and groups have names as in Python."""
+    return corpus(spark, d).search_regex(r"(?P<head>\w+)ñ(?P<tail>\w+)")
+
+
 @query(f"""{CORPUS}, l AS (SELECT *, lag(chapter_idx) OVER (PARTITION BY reader_id, book_id ORDER BY global_seq) AS was FROM readable)
 , a AS (SELECT reader_id, book_id, string_agg(CASE WHEN was IS DISTINCT FROM chapter_idx THEN '## ' || chapter_label || chr(10) ELSE '' END || para_idx || ' ' || text, chr(10) ORDER BY global_seq) AS context,
 count(*) AS n_paras, count(DISTINCT chapter_idx) AS n_chapters, max(global_seq) AS max_seq FROM l GROUP BY ALL)
@@ -605,6 +615,28 @@ def components_asof(spark, d):
     return causal.identity_components(edges)
 
 
+IDENTITY = f"""{CORPUS}, n AS (SELECT book_id, chapter_idx AS k, start_seq AS node, start_seq AS seen, end_seq, count(*) OVER (PARTITION BY book_id) AS n FROM chapter),
+e AS (SELECT x.book_id, x.node AS a, y.node AS b, z.end_seq AS seen FROM n x JOIN n y ON y.book_id = x.book_id AND y.k = (x.k * x.k + 3) % x.n JOIN n z ON z.book_id = x.book_id AND z.k = (x.k * 3 + 1) % x.n WHERE x.k % 5 < 4),
+p AS (SELECT j::BIGINT AS reader_id, book_id, max(end_seq) FILTER (k <= n * j // 3) AS ceiling_seq FROM n, (SELECT unnest([0, 1, 2, 3]) AS j) i GROUP BY ALL)"""
+
+
+@query(f"""{IDENTITY.replace('WITH', 'WITH RECURSIVE', 1)}, l1 AS (SELECT reader_id, e.book_id, a, b FROM e JOIN p ON p.book_id = e.book_id AND greatest(seen, a, b) <= ceiling_seq), l AS (SELECT * FROM l1 UNION ALL SELECT reader_id, book_id, b, a FROM l1),
+r AS (SELECT reader_id, n.book_id, node, node AS least FROM n JOIN p ON p.book_id = n.book_id AND seen <= ceiling_seq UNION SELECT r.reader_id, r.book_id, b, least FROM r JOIN l ON l.reader_id = r.reader_id AND l.book_id = r.book_id AND l.a = r.node WHERE least < b)
+SELECT reader_id, book_id, node, min(least) AS component FROM r WHERE EXISTS (SELECT 1 FROM n WHERE n.node = r.node AND seen <= (SELECT ceiling_seq FROM p WHERE p.reader_id = r.reader_id AND p.book_id = r.book_id)) GROUP BY ALL""")
+def cast_as_read(spark, d):
+    """Chapters as names, each known from its beginning, and links between them known from the end of some chapter, as four
+    readers know them."""
+    c = D.chapters(D.raw_paras(spark, d)).withColumn("n", F.count("*").over(Window.partitionBy("book_id")))
+    k, n = F.col("chapter_idx"), F.col("n")
+    nodes = c.select("book_id", F.col("start_seq").alias("node"), F.col("start_seq").alias("seen"))
+    at = lambda name, to: c.select("book_id", k.alias(f"{name}_idx"), F.col(to).alias(name))
+    edges = c.where(k % 5 < 4).select("book_id", F.col("start_seq").alias("a"), ((k * k + 3) % n).alias("b_idx"), ((k * 3 + 1) % n).alias("seen_idx"))
+    edges = edges.join(at("b", "start_seq"), ["book_id", "b_idx"]).join(at("seen", "end_seq"), ["book_id", "seen_idx"]).select("book_id", "a", "b", "seen")
+    readers = c.select("book_id", k, n, "end_seq", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    ceilings = readers.where(k <= F.floor(n * F.col("j") / 3)).groupBy(F.col("j").cast("long").alias("reader_id"), "book_id").agg(F.max("end_seq").alias("ceiling_seq"))
+    return causal.cast_as_read(nodes, edges, ceilings)
+
+
 @query()
 def page_paragraphs(spark, d):
     """Paragraphs of every page."""

@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import lexical, search
+from lectern.operators import lexical, retrieval, search
 from lectern.operators.lexical import LexicalIndex, Near, Phrase, has
 
 PARA = "book_id long, global_seq long, kind string, text string"
@@ -106,3 +106,21 @@ def test_folding(spark):
     for r in df.select("text", search.tokens(F.col("text")).alias("t")).collect():
         bare = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", r["text"]) if unicodedata.category(c) != "Mn")).lower()
         assert r["t"] == bare.replace("̇", "").split() == search.folded(r["text"])
+
+
+REGEX_TEXTS = ["naïve Ёж", "aa bb", "tab\there", "x=x", "plain", "12 ٣", "ends\n"]
+
+
+@pytest.mark.parametrize("pattern", [r"\w+ \w+", r"(?P<q>\w)=(?P=q)", r"\bЁ\w", r"\d \d", r"\s", r"^\w+$", r"n\Z", r"\\Z", r"(?i)ёЖ", "(", "[", r"(?P<q>a)(?P<q>b)", r"a{2,1}", r"(?<=a+)b"])
+def test_patterns_are_those_of_python(spark, pattern):
+    import re
+
+    df = spark.createDataFrame([(t,) for t in REGEX_TEXTS], "text string")
+    bad = retrieval.invalid_regex(spark, pattern)
+    try:
+        compiled = re.compile(pattern)
+    except re.error:
+        assert bad
+        return
+    assert bad is None
+    assert [r["text"] for r in df.where(F.col("text").rlike(retrieval.unicode_regex(pattern))).collect()] == [t for t in REGEX_TEXTS if compiled.search(t)]

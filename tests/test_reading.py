@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern import schema
 from lectern.functions import text as T
+from lectern.operators.components import spanning_forest
 from lectern.operators import causal, chapters, conversations, maintenance, progress, search, shelf
 from lectern.operators.retrieval import BoundedCorpus, printed_identity
 
@@ -322,6 +323,28 @@ def test_unresolved_aliases(spark):
     assert [tuple(x) for x in causal.unresolved_aliases(checked, known).collect()] == [(1, "Wolf")]
 
 
+def test_cast_of_all_readers(spark):
+    """The forest has one edge less than each component has nodes, and cuts at every ceiling give all edges' components."""
+    rng = random.Random(12)
+    nodes = [(b, v, rng.randrange(60)) for b in (1, 2, 3) for v in range(40)]
+    edges = [(b, rng.randrange(40), rng.randrange(40), rng.randrange(60)) for b in (1, 2) for _ in range(90)] + [(3, 5, 5, 1), (3, 1, 2, 7), (3, 1, 2, 7), (3, 2, 1, 9)]
+    ceilings = [(r, b, c) for b in (1, 2, 3) for r, c in enumerate((-1, 0, 5, 12, 30, 59, 90))]
+    frame = spark.createDataFrame
+    got = causal.cast_as_read(frame(nodes, "book_id long, node long, seen long"), frame(edges, "book_id long, a long, b long, seen long"), frame(ceilings, "reader_id long, book_id long, ceiling_seq long"))
+    want = set()
+    for r, b, c in ceilings:
+        name = {v: v for k, v, s in nodes if k == b and s <= c}
+        for _ in name:
+            for k, x, y, s in edges:
+                if k == b and s <= c and x in name and y in name:
+                    name[x] = name[y] = min(name[x], name[y])
+        want |= {(r, b, v, m) for v, m in name.items()}
+    assert {tuple(x) for x in got.collect()} == want
+    one = frame([e[1:] for e in edges if e[0] == 1], "a long, b long, seen long")
+    assert spanning_forest(one).count() == len({v for e in edges if e[0] == 1 for v in e[1:3] if e[1] != e[2]}) - 1
+    assert spanning_forest(one.limit(0)).collect() == []
+
+
 def test_components_by_union_find(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(80), rng.randrange(80), k) for k in range(60)] + [(k, k + 1, 5) for k in range(200, 240)]
