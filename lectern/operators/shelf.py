@@ -117,6 +117,47 @@ def upsert_shelf(shelf: DataFrame, fetched: DataFrame, shelf_name: str, truncate
     return kept.select(*cols)
 
 
+def usable_fetches(fetches: DataFrame) -> DataFrame:
+    """Fetches (fetch_id, sync_id, shelf, truncated, at, ok) of syncs that got every shelf: a partial sync counts for nothing."""
+    return fetches.join(fetches.where(~F.col("ok")).select("sync_id").distinct(), "sync_id", "left_anti")
+
+
+def replay_syncs(shelf: DataFrame, fetches: DataFrame, items: DataFrame) -> DataFrame:
+    """The shelf after all usable fetches in the order of ``at``, as if each went through ``upsert_shelf``.
+
+    ``items`` (fetch_id, review_id, the feed's columns, date_added) is what the fetches held.  A row stays until the next
+    complete fetch of its shelf that lacks it.  So no state is carried from fetch to fetch: each sighting of a review
+    knows the next complete fetch of its shelf from the log alone, which ends the row if no sighting comes before; what is
+    kept from the first sighting on (date_added, and all that enrichment owns) counts from the last ending.  Work is by
+    review, whatever the size of a shelf.
+    """
+    log = usable_fetches(fetches)
+    later = Window.partitionBy("shelf").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    log = log.withColumn("_ends", F.min(F.when(~F.col("truncated"), F.col("at"))).over(later))
+    ends = log.groupBy("shelf").agg(F.min(F.when(~F.col("truncated"), F.col("at"))).alias("_ends"))
+    feed = [*FEED_COLUMNS, "date_added"]
+    owned = [c for c in shelf.columns if c not in (*feed, "review_id")]
+    new = items.join(log.select("fetch_id", "at", "_ends"), "fetch_id").select("review_id", *feed, *[F.lit(None).cast(shelf.schema[c].dataType).alias(c) for c in owned], "at", "_ends")
+    old = shelf.join(ends, "shelf", "left").select("review_id", *feed, *owned, F.lit(None).cast(new.schema["at"].dataType).alias("at"), "_ends")
+    by = Window.partitionBy("review_id").orderBy(F.asc_nulls_first("at"))
+    seen = old.unionByName(new).withColumn("_next", F.lead("at").over(by))
+    gone = F.col("_ends").isNotNull() & (F.col("_next").isNull() | (F.col("_ends") < F.col("_next")))
+    runs = seen.withColumn("_gone", gone)
+    runs = runs.withColumn("_run", F.sum(F.col("_gone").cast("int")).over(by) - F.col("_gone").cast("int"))
+    within = Window.partitionBy("review_id", "_run").orderBy(F.asc_nulls_first("at"))
+    kept = runs.withColumns({c: F.first(c, ignorenulls=True).over(within) for c in ("date_added", *owned)})
+    return kept.where("_next is null and not _gone").select(*shelf.columns)
+
+
+def sync_reports(fetches: DataFrame, items: DataFrame) -> DataFrame:
+    """(sync_id, total_books, shelf_counts, truncated_shelves) of each usable sync: a JSON object and a JSON list, by shelf."""
+    n = items.groupBy("fetch_id").agg(F.count("*").alias("n"))
+    log = usable_fetches(fetches).join(n, "fetch_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = F.sort_array(F.collect_list(F.struct("shelf", "n")))
+    out = log.groupBy("sync_id").agg(F.sum("n").alias("total_books"), F.to_json(F.map_from_entries(one)).alias("shelf_counts"), F.to_json(F.sort_array(F.collect_set(F.when(F.col("truncated"), F.col("shelf"))))).alias("truncated_shelves"))
+    return out.select("sync_id", "total_books", "shelf_counts", "truncated_shelves")
+
+
 def apply_reviews(shelf: DataFrame, reviews: DataFrame) -> DataFrame:
     """Merge enrichment (review_id, date_started, date_read, date_added, read_count): started and count are set,
     date_read only fills a gap, date_added is replaced where given."""

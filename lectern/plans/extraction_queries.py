@@ -70,7 +70,18 @@ def response_errors(spark, d):
     return extraction.validated(given, _paragraphs(spark, d)).select("book_id", "chapter_idx", "error")
 
 
+_GIVEN: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def _given(spark, d) -> dict[str, DataFrame]:
+    """The tables of ``_made_up`` and the pass over them, once in an application."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _GIVEN:
+        _GIVEN[key] = _made_up(spark, d)
+    return _GIVEN[key]
+
+
+def _made_up(spark, d) -> dict[str, DataFrame]:
     """Two attempts at each chapter, what the books' registries hold, and the digests there are.
 
     Where book and chapter add up to a multiple of three the first attempt is cut off, to a multiple of six the second; to

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern import schema
 from lectern.operators import causal, maintenance, progress, shelf
 from lectern.operators import conversations as C
+from lectern.operators.snapshots import Snapshots
 from lectern.plans.queries import CITED, CORPUS, PAIR, PAIRS, UPLOAD, S, cited, corpus, uploads
 from lectern.plans.registry import query
 from lectern.plans.text_queries import concat
 from lectern.sources import driver_tables as D
+from lectern.tables import shared_dir
 
 SPOT = "spot AS (SELECT book_id, max(chapter_idx) AS k FROM chapter WHERE kind = 'body' AND NOT regexp_matches(label, '(?i)^\\s*part\\b') GROUP BY book_id)"
 
@@ -273,3 +278,92 @@ def books_deleted(spark, d):
         counted = t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         out = counted if out is None else out.unionByName(counted)
     return out
+
+
+# -- syncs and versions -------------------------------------------------------------------------
+
+FETCHES = """took AS (SELECT (j * 3 + k)::BIGINT AS fetch_id, j::BIGINT AS sync_id, ['read', 'to-read', 'currently-reading'][k + 1] AS shelf, (j + k) % 3 = 1 AS truncated, (100 + j * 10 + (k * 2 + j) % 3)::BIGINT AS moment, NOT (j = 3 AND k = 1) AS ok
+  FROM (SELECT unnest(range(6)) AS j) a, (SELECT unnest(range(3)) AS k) b),
+item AS (SELECT fetch_id, review_id, title || ' #' || sync_id AS title, num_pages, 'd' || sync_id AS date_added, s.shelf FROM
+  (SELECT review_id, title, num_pages, j, ['read', 'to-read', 'currently-reading'][((CASE WHEN (review_id * j) % 7 = 3 THEN 1 ELSE 0 END + CASE shelf.shelf WHEN 'read' THEN 0 WHEN 'to-read' THEN 1 ELSE 2 END) % 3) + 1] AS shelf FROM shelf, (SELECT unnest(range(6)) AS j) x WHERE (review_id + j) % 4 > 0) s
+  JOIN took f ON f.sync_id = j AND f.shelf = s.shelf),
+good AS (SELECT *, row_number() OVER (ORDER BY moment) AS step FROM took WHERE sync_id NOT IN (SELECT sync_id FROM took WHERE NOT ok))"""
+
+
+def _fetches(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The shelf, six syncs of three fetches each in shifting order, some cut short and one sync broken, and their items: three
+    of four reviews a time, some of them moved to the next shelf."""
+    s = D.shelf(spark, d)
+    names = F.array(F.lit("read"), F.lit("to-read"), F.lit("currently-reading"))
+    j, k = F.col("j"), F.col("k")
+    grid = spark.range(18).select(F.floor(F.col("id") / 3).alias("j"), (F.col("id") % 3).alias("k"))
+    fetches = grid.select((j * 3 + k).alias("fetch_id"), j.alias("sync_id"), F.get(names, k.cast("int")).alias("shelf"), ((j + k) % 3 == 1).alias("truncated"), (100 + j * 10 + (k * 2 + j) % 3).alias("at"), (~((j == 3) & (k == 1))).alias("ok"))
+    moved = F.when((F.col("review_id") * j) % 7 == 3, 1).otherwise(0) + F.when(F.col("shelf") == "read", 0).when(F.col("shelf") == "to-read", 1).otherwise(2)
+    seen = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(5)))).where((F.col("review_id") + j) % 4 > 0).withColumn("k", moved % 3)
+    items = seen.select(
+        (j * 3 + k).cast("long").alias("fetch_id"), "review_id", "shelf_book_id", F.concat("title", F.lit(" #"), j).alias("title"), "author", F.get(names, k).alias("shelf"), "num_pages", "published_year", "user_rating", "date_read", F.concat(F.lit("d"), j).alias("date_added")
+    )
+    return s, fetches, items
+
+
+@query(f"""WITH RECURSIVE {D.SHELF_SQL}, {FETCHES},
+st AS (SELECT 0::BIGINT AS step, review_id, shelf, title, date_added, date_started, true AS there FROM shelf
+  UNION ALL SELECT g.step, st.review_id, coalesce(i.shelf, st.shelf), coalesce(i.title, st.title), CASE WHEN i.review_id IS NOT NULL AND NOT there THEN i.date_added ELSE st.date_added END,
+    CASE WHEN i.review_id IS NOT NULL AND NOT there THEN NULL ELSE date_started END, i.review_id IS NOT NULL OR (there AND (truncated OR st.shelf <> g.shelf))
+  FROM st JOIN good g ON g.step = st.step + 1 LEFT JOIN item i ON i.fetch_id = g.fetch_id AND i.review_id = st.review_id)
+SELECT review_id, shelf, title, date_added, date_started FROM st WHERE there AND step = (SELECT max(step) FROM good)""")
+def sync_replay(spark, d):
+    """The shelf after a log of fetches; the twin takes one fetch after the other."""
+    return shelf.replay_syncs(*_fetches(spark, d)).select("review_id", "shelf", "title", "date_added", "date_started")
+
+
+@query(f"""WITH {D.SHELF_SQL}, {FETCHES}, n AS (SELECT g.sync_id, g.shelf, g.truncated, count(i.review_id) AS n FROM good g LEFT JOIN item i USING (fetch_id) GROUP BY ALL)
+SELECT sync_id, CAST(sum(n) AS BIGINT) AS total_books, '{{' || string_agg('"' || shelf || '":' || n, ',' ORDER BY shelf) || '}}' AS shelf_counts, '[' || coalesce(string_agg('"' || shelf || '"', ',' ORDER BY shelf) FILTER (truncated), '') || ']' AS truncated_shelves FROM n GROUP BY sync_id""")
+def sync_reports(spark, d):
+    _, fetches, items = _fetches(spark, d)
+    return shelf.sync_reports(fetches, items)
+
+
+def _versions(spark, d) -> Snapshots:
+    """Even books; then multiples of four again with half of their chapters, and odd multiples of three; then back to the first."""
+    store = Snapshots(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}")
+    raw = D.raw_paras(spark, d)
+    tables = {"book": D.books(spark, d).select("book_id", "title"), "chapter": D.chapters(raw).select("book_id", "chapter_idx", "kind"), "para": raw.select("book_id", "chapter_idx", "text")}
+    b = F.col("book_id")
+    store.commit({n: t.where(b % 2 == 0) for n, t in tables.items()})
+    again = {n: t.where((b % 4 == 0) | (b % 6 == 3)) for n, t in tables.items()}
+    again = {n: t if n == "book" else t.where(F.col("chapter_idx") % 2 == 0) for n, t in again.items()}
+    again["book"] = again["book"].withColumn("title", F.concat("title", F.lit(" again")))
+    store.commit(again, again["book"].select("book_id"))
+    store.rollback(1)
+    return store
+
+
+@query(f"""{CORPUS}, v AS (SELECT 1 AS version, book_id, title, false AS half FROM book WHERE book_id % 2 = 0 UNION ALL SELECT 2, book_id, CASE WHEN book_id % 4 = 2 THEN title ELSE title || ' again' END, book_id % 4 <> 2 FROM book WHERE book_id % 2 = 0 OR book_id % 6 = 3
+UNION ALL SELECT 3, book_id, title, false FROM book WHERE book_id % 2 = 0)
+SELECT version, v.book_id, title, (SELECT count(*) FROM chapter c WHERE c.book_id = v.book_id AND NOT (half AND chapter_idx % 2 = 1)) AS chapters, (SELECT count(*) FROM para1 p WHERE p.book_id = v.book_id AND NOT (half AND chapter_idx % 2 = 1)) AS paragraphs FROM v""")
+def table_versions(spark, d):
+    """What each version of the tables holds of each book."""
+    store, out = _versions(spark, d), None
+    for version in store.versions:
+        count = lambda name: store.table(name, version).groupBy("book_id").agg(F.count("*").alias(name))  # noqa: B023, E731
+        held = store.table("book", version).join(count("chapter"), "book_id", "left").join(count("para"), "book_id", "left")
+        rows = held.select(F.lit(version).alias("version"), "book_id", "title", F.coalesce("chapter", F.lit(0)).alias("chapters"), F.coalesce("para", F.lit(0)).alias("paragraphs"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""{CORPUS}, f AS (SELECT book_id, title, text, book_id % 3 > 0 AS held, book_id % 3 = 0 OR book_id % 5 = 0 AS asked FROM book JOIN documents ON doc_id = book_id WHERE text IS NOT NULL),
+n AS (SELECT book_id, count(DISTINCT chapter_idx) AS chapters, count(*) AS paragraphs, count_if(kind = 'excerpt') AS excerpt_paragraphs FROM para GROUP BY book_id),
+w AS (SELECT *, false AS skipped FROM f WHERE asked AND text NOT IN (SELECT text FROM f WHERE held) UNION ALL SELECT *, true FROM f WHERE held AND text IN (SELECT text FROM f WHERE asked))
+SELECT book_id, title, sha256(text) AS sha256, coalesce(chapters, 0) AS chapters, coalesce(paragraphs, 0) AS paragraphs, coalesce(excerpt_paragraphs, 0) AS excerpt_paragraphs, skipped FROM w LEFT JOIN n USING (book_id)""")
+def ingest_summary(spark, d):
+    """Two of three books are there; the others are asked for, and every fifth once more, and what is there by its text is skipped."""
+    store = Snapshots(spark, f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}")
+    para, chapter = D.paras(spark, d)
+    book = D.books(spark, d).join(D.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("book_id"), F.sha2("text", 256).alias("sha256")), "book_id")
+    tables = {"book": book.select("book_id", "title", "sha256"), "chapter": chapter.select("book_id", "chapter_idx"), "para": para.select("book_id", "kind", "text")}
+    b = F.col("book_id")
+    some = lambda ok: {n: t.join(book.where(ok).select("book_id"), "book_id", "left_semi") for n, t in tables.items()}
+    store.ingest(some(b % 3 > 0), force=True)
+    return store.ingest(some((b % 3 == 0) | (b % 5 == 0)))
