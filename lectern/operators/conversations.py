@@ -17,6 +17,22 @@ def turn_pairs(messages: DataFrame) -> DataFrame:
     return pairs.select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("ord"), F.col("text").alias("question"), "answer")
 
 
+def create(conversations: DataFrame, new: DataFrame) -> DataFrame:
+    """Conversations (conv_id, book_id, title, chapter_idx, created_at, updated_at) with empty new ones (conv_id, book_id,
+    chapter_idx, at), opened where their reader is.  An id that is taken already raises."""
+    taken = new.join(conversations.select("conv_id", F.lit(True).alias("_taken")), "conv_id", "left")
+    free = F.when(F.col("_taken"), F.raise_error(F.concat(F.lit("there is a conversation "), F.col("conv_id").cast("string"))).cast("string")).otherwise(F.lit(""))
+    opened = taken.select("conv_id", "book_id", free.alias("title"), "chapter_idx", F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+    return conversations.select(*opened.columns).unionByName(opened)
+
+
+def get(conversations: DataFrame, turns: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked conversations (conv_id) that exist, each with its number of turns."""
+    n = turns.groupBy("conv_id").agg(F.count("*").alias("turn_count"))
+    found = conversations.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").join(n, "conv_id", "left")
+    return found.select(*conversations.columns, F.coalesce("turn_count", F.lit(0)).alias("turn_count"))
+
+
 def summaries(conversations: DataFrame, turns: DataFrame) -> DataFrame:
     """All conversations with their number of turns and a title from the first question."""
     per = turns.groupBy("conv_id").agg(F.count("*").alias("turn_count"), F.min_by("question", "ord").alias("_q"))

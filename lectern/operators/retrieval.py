@@ -146,6 +146,16 @@ class BoundedCorpus:
         centre = ranked.join(cited.select(*keys).distinct(), keys).select("reader_id", "book_id", F.col("global_seq").alias("cited_seq"), F.explode(F.sequence(F.col("_nth") - window, F.col("_nth") + window)).alias("_nth"))
         return ranked.join(centre, ["reader_id", "book_id", "_nth"]).select("reader_id", "book_id", "cited_seq", "global_seq", "text")
 
+    def context_notes(self, cited: DataFrame, window: int = 3) -> DataFrame:
+        """(reader_id, book_id, cited_seq, marker) of each readable cited paragraph: where fewer than ``window`` follow it
+        because the book goes on above the ceiling, the label of the last chapter begun; else null."""
+        window = max(0, min(int(window), MAX_WINDOW))
+        by = Window.partitionBy("reader_id", "book_id")
+        later = self.readable.withColumn("_after", F.count("*").over(by) - F.row_number().over(by.orderBy("global_seq")))
+        keys = ["book_id", "spine_idx", "para_idx"]
+        centre = later.join(cited.select(*keys).distinct(), keys).join(self.truncation_markers(), ["reader_id", "book_id"], "left")
+        return centre.select("reader_id", "book_id", F.col("global_seq").alias("cited_seq"), F.when(F.col("_after") < window, F.col("marker")).alias("marker"))
+
     def first_seen(self, asked: DataFrame, index: LexicalIndex | None = None) -> DataFrame:
         """First readable paragraph that names each asked entity (reader_id, entity) as whole words; the same answer
         for absent and unread ones.  Names are matched as folded word phrases, in the index of all paragraphs."""
@@ -171,7 +181,7 @@ class BoundedCorpus:
         found = F.length(F.regexp_substr(F.col("text"), F.lit(pattern)))
         start = F.greatest(at - SNIPPET_CHARS, F.lit(1))
         piece = F.substr("text", start, at - start + found + SNIPPET_CHARS)
-        snippet = F.concat(F.when(start > 1, "…").otherwise(""), piece, F.when(start + F.length(piece) - 1 < F.length("text"), "…").otherwise(""))
+        snippet = F.concat(F.when(start > 1, "...").otherwise(""), piece, F.when(start + F.length(piece) - 1 < F.length("text"), "...").otherwise(""))
         nth = F.row_number().over(Window.partitionBy("reader_id").orderBy("global_seq", "book_id"))
         ranked = hits.select("reader_id", "book_id", "global_seq", "chapter_label", snippet.alias("snippet"), nth.alias("_nth"))
         return ranked.where(F.col("_nth") <= limit).drop("_nth")

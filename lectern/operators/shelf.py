@@ -206,6 +206,18 @@ def link_report(book: DataFrame, links: DataFrame, proposed: DataFrame) -> DataF
     return proposed.select("status").unionByName(before).agg(*[F.count_if(F.col("status") == k).alias(n) for n, k in kinds])
 
 
+def set_links(links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Links (book_id, shelf_book_id, source) with a person's choices (book_id, shelf_book_id) in place of whatever was there."""
+    kept = links.join(chosen.select("book_id"), "book_id", "left_anti")
+    return kept.select("book_id", "shelf_book_id", "source").unionByName(chosen.select("book_id", "shelf_book_id", F.lit("manual").alias("source")))
+
+
+def apply_proposed(links: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Links with those that ``propose_links`` found for books without one; a choice that is there stays."""
+    new = proposed.where("status = 'link'").select("book_id", F.col("candidate").alias("shelf_book_id"), F.lit("auto").alias("source"))
+    return links.select("book_id", "shelf_book_id", "source").unionByName(new.join(links.select("book_id"), "book_id", "left_anti"))
+
+
 def unlink(links: DataFrame, gone: DataFrame) -> DataFrame:
     """Links without those of the given books, manual or automatic."""
     return links.join(gone.select("book_id"), "book_id", "left_anti").select(*links.columns)

@@ -238,7 +238,7 @@ def regex_sql(pattern: str) -> str:
     return f"""{CORPUS}, h AS (SELECT reader_id, book_id, global_seq, chapter_label, text, regexp_extract(text, '{pattern}') AS m FROM readable WHERE regexp_matches(text, '{pattern}')),
 p AS (SELECT *, strpos(text, m) AS a, greatest(strpos(text, m) - 60, 1) AS s FROM h), q AS (SELECT *, substr(text, s, a - s + length(m) + 60) AS piece FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY global_seq, book_id) AS nth FROM q)
-SELECT reader_id, book_id, global_seq, chapter_label, CASE WHEN s > 1 THEN '…' ELSE '' END || piece || CASE WHEN s + length(piece) - 1 < length(text) THEN '…' ELSE '' END AS snippet
+SELECT reader_id, book_id, global_seq, chapter_label, CASE WHEN s > 1 THEN '...' ELSE '' END || piece || CASE WHEN s + length(piece) - 1 < length(text) THEN '...' ELSE '' END AS snippet
 FROM r WHERE nth <= 40"""
 
 

@@ -367,3 +367,36 @@ def ingest_summary(spark, d):
     some = lambda ok: {n: t.join(book.where(ok).select("book_id"), "book_id", "left_semi") for n, t in tables.items()}
     store.ingest(some(b % 3 > 0), force=True)
     return store.ingest(some((b % 3 == 0) | (b % 5 == 0)))
+
+
+@query(f"""{CORPUS}, cited AS ({CITED}), ranked AS (SELECT *, count(*) OVER (PARTITION BY reader_id, book_id) - row_number() OVER (PARTITION BY reader_id, book_id ORDER BY global_seq) AS after FROM readable),
+m AS (SELECT reader_id, c.book_id, arg_max(label, start_seq) FILTER (start_seq <= hi) AS marker FROM servable c JOIN ranges r USING (book_id) GROUP BY ALL HAVING bool_or(end_seq > hi))
+SELECT r.reader_id, r.book_id, global_seq AS cited_seq, CASE WHEN after < 3 THEN marker END AS marker FROM ranked r JOIN cited USING (book_id, spine_idx, para_idx) LEFT JOIN m ON m.reader_id = r.reader_id AND m.book_id = r.book_id""")
+def context_notes(spark, d):
+    return corpus(spark, d).context_notes(cited(spark, d), 3)
+
+
+@query(f"""{S}, {UPLOAD}, {PAIRS}, g AS (SELECT book_id, count(*) AS n, min(shelf_book_id) AS one FROM x GROUP BY book_id)
+SELECT book_id, CASE WHEN book_id % 5 = 0 THEN 'b' || (book_id % 50) ELSE one END AS shelf_book_id, CASE WHEN book_id % 5 = 0 THEN 'manual' ELSE 'auto' END AS source FROM up LEFT JOIN g USING (book_id) WHERE book_id % 5 = 0 OR n = 1""")
+def links_chosen(spark, d):
+    """Links found by title for all books, then a person's choice for every fifth, which a second automatic round leaves alone."""
+    books = uploads(spark, d).select("book_id", "title")
+    proposed = shelf.propose_links(books, D.shelf(spark, d))
+    none = proposed.limit(0).select("book_id", F.col("candidate").alias("shelf_book_id"), F.lit("").alias("source"))
+    k = F.col("book_id")
+    chosen = books.where(k % 5 == 0).select("book_id", F.concat(F.lit("b"), (k % 50).cast("string")).alias("shelf_book_id"))
+    return shelf.apply_proposed(shelf.set_links(shelf.apply_proposed(none, proposed), chosen), proposed)
+
+
+@query(f"""WITH {PAIR}, c AS (SELECT DISTINCT conv_id, conv_id % 7 AS book_id, 'kept' AS title, conv_id % 3 AS chapter_idx, 5::BIGINT AS created_at, 5::BIGINT AS updated_at FROM conversations
+UNION ALL SELECT DISTINCT conv_id + 1000000, conv_id % 11, '', conv_id % 2, 9, 9 FROM conversations WHERE conv_id % 4 = 0)
+SELECT c.*, (SELECT count(*) FROM t WHERE t.conv_id = c.conv_id) AS turn_count FROM c WHERE conv_id % 2 = 0""")
+def conv_opened(spark, d):
+    """New conversations beside those with turns, and what is found of the even ones and of as many that do not exist."""
+    m = D.table(spark, d, "conversations")
+    k, ids = F.col("conv_id"), m.select("conv_id").distinct()
+    held = ids.select("conv_id", (k % 7).alias("book_id"), F.lit("kept").alias("title"), (k % 3).alias("chapter_idx"), F.lit(5).cast("long").alias("created_at"), F.lit(5).cast("long").alias("updated_at"))
+    new = ids.where(k % 4 == 0).select((k + 1_000_000).alias("conv_id"), (k % 11).alias("book_id"), (k % 2).alias("chapter_idx"), F.lit(9).cast("long").alias("at"))
+    known = C.create(held, new)
+    asked = known.where(k % 2 == 0).select("conv_id").unionByName(ids.select((-1 - k).alias("conv_id")))
+    return C.get(known, C.turn_pairs(m), asked)
