@@ -210,7 +210,7 @@ def snippet_sql(found: str, sizes: list[int]) -> str:
     key = "reader_id, book_id, global_seq"
     worth = lambda begin: f"SELECT {key}, cand, begin0, moved, 999 * count(DISTINCT ip) + count(ip) + any_value(bonus) AS worth, arg_min(a, (a, ip)) AS fa, arg_max(z, (a, ip)) AS la FROM {begin}"
     return f"""{found.rsplit('SELECT', 1)[0]}, hit AS (SELECT *, a + size AS z, row_number() OVER (PARTITION BY {key} ORDER BY a, ip) AS nth FROM ({hits})),
-part AS (SELECT {key}, dl, {PIECES} AS pieces, CASE WHEN regexp_matches(text, '^[\p{{L}}\p{{N}}]') THEN 0 ELSE 1 END AS odd, text FROM best),
+part AS (SELECT {key}, dl, {PIECES} AS pieces, CASE WHEN regexp_matches(text, '^[\\p{{L}}\\p{{N}}]') THEN 0 ELSE 1 END AS odd, text FROM best),
 word AS (SELECT {key}, t, pieces[odd + 2 * t + 1] AS w, coalesce(CASE WHEN odd + 2 * t > 0 THEN pieces[odd + 2 * t] END, '') AS gap FROM (SELECT *, unnest(range(dl)) AS t FROM part)),
 sentence AS (SELECT {key}, t FROM word WHERE t = 0 OR regexp_matches(gap, '[.:][ \t\n\r]+$')),
 begins AS (SELECT h.{key.replace(', ', ', h.')}, 2 * nth AS cand, a AS begin0, 0 AS bonus, true AS moved FROM hit h
