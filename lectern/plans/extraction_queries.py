@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import causal, extraction
 from lectern.plans.registry import query
 from lectern.sources import driver_tables as D
+from lectern.tables import still_there
 
 CORPUS = D.corpus_sql()
 
@@ -74,9 +75,9 @@ _GIVEN: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def _given(spark, d) -> dict[str, DataFrame]:
-    """The tables of ``_made_up`` and the pass over them, once in an application."""
+    """The tables of ``_made_up`` and the pass over them, once in an application, and again if their files are gone."""
     key = spark.sparkContext.applicationId, d
-    if key not in _GIVEN:
+    if key not in _GIVEN or not still_there(_GIVEN[key]["checked"], _GIVEN[key]["passed"]):
         _GIVEN[key] = _made_up(spark, d)
     return _GIVEN[key]
 

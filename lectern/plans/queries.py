@@ -12,6 +12,7 @@ from lectern.operators.lexical import LexicalIndex, Near, Phrase, has
 from lectern.operators.retrieval import BoundedCorpus
 from lectern.plans.registry import query
 from lectern.sources import driver_tables as D
+from lectern.tables import still_there
 
 CORPUS = D.corpus_sql()
 
@@ -112,9 +113,9 @@ _INDEXES: dict[tuple[str, str], LexicalIndex] = {}
 
 
 def index(spark: SparkSession, d: str) -> LexicalIndex:
-    """The stored index of a folder's paragraphs, built once in an application."""
+    """The stored index of a folder's paragraphs, built once in an application, and again if its files are gone."""
     key = spark.sparkContext.applicationId, d
-    if key not in _INDEXES:
+    if key not in _INDEXES or not still_there(_INDEXES[key].lengths):
         _INDEXES[key] = LexicalIndex.build(D.paras(spark, d)[0])
     return _INDEXES[key]
 

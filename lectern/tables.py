@@ -38,3 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def still_there(*frames: DataFrame) -> bool:
+    """Whether the first files that the frames were planned over exist, for what is kept between queries of one application."""
+    for df in frames:
+        for name in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            if not path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(path):
+                return False
+    return True
