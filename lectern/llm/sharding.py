@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 ROW_BYTES = 16
+#: Text that a range stands for at most on average: a task then sorts some million narrow rows, whatever the input.
+RANGE_BYTES = 4 << 30
 KEY = np.dtype([("h", "<i8"), ("d", "<i8"), ("u", "<i8")])
 
 
@@ -60,8 +62,8 @@ def _with_range(keyed: DataFrame, splitters: np.ndarray) -> DataFrame:
         low = np.searchsorted(splitters["h"], keys["h"], "left")
         high = np.searchsorted(splitters["h"], keys["h"], "right")
         out = low.copy()
-        for i in np.flatnonzero(high > low):
-            out[i] = low[i] + np.searchsorted(splitters[low[i] : high[i]], keys[i : i + 1], "right")[0]
+        hot = high > low
+        out[hot] = np.searchsorted(splitters, keys[hot], "right")
         return pd.Series(out.astype(np.int32))
 
     return keyed.withColumn("rng", locate("h", "d", "u"))
@@ -73,13 +75,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16
     A record goes where its middle byte falls, so a shard's bytes differ from total / shards by at most
     half of the two records at its ends.  Null and empty texts weigh
     ``ROW_BYTES``; a null doc_id sorts first among equal texts.  An empty table gives an empty result.  The
-    driver holds samples, splitters and range sizes only: ``shards * ranges_per_shard * samples_per_range``
-    keys expected, whatever the input.
+    driver holds samples, splitters and range sizes only: ``samples_per_range`` keys expected for each of
+    ``shards * ranges_per_shard`` ranges, or of one for every RANGE_BYTES of a larger input (0.6 million keys at 100 TB).
     """
     spark = docs.sparkSession
     keyed = checkpointed(shard_keys(docs))
     total = keyed.agg(F.sum("size").alias("b")).collect()[0]["b"] or 0
-    n_ranges = shards * ranges_per_shard
+    n_ranges = max(shards * ranges_per_shard, -(-total // RANGE_BYTES))
     sample = _sample(keyed, n_ranges * samples_per_range, total)
     splitters = _quantiles(sample, n_ranges)
     share = total / n_ranges if total else 1

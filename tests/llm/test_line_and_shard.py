@@ -111,6 +111,14 @@ def test_shards(spark):
     check_shards(rows, sharding.shard_by_bytes(df, shards=10).collect(), 10)
 
 
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    """More ranges than asked for, as with a large input, keep the law; one text fills several of them."""
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 200)
+    rows = [(i, "one text" if i % 3 else f"text {i} " * (i % 17)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_shards(rows, sharding.shard_by_bytes(df, shards=3, ranges_per_shard=1).collect(), 3)
+
+
 def test_shards_of_one_text_and_of_nothing(spark):
     rows = [(7, "the same row")] * 500 + [(None, None)] * 20
     check_shards(rows, sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect(), 4)
