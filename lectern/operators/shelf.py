@@ -181,22 +181,39 @@ def _keyed(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, F.explode(T.title_keys(F.col("title"))).alias("key"))
 
 
+def _by_title(book: DataFrame, shelf: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(book_id, .., keys) with all title keys of each book, and (keys, shelf_book_id) of every distinct set of keys.
+
+    Books of the same keys have the same candidates, so these are found, counted and listed once for a set of keys,
+    however many books and shelf entries share a title.
+    """
+    own = F.sort_array(F.array_distinct(F.flatten(F.collect_list(T.title_keys(F.col("title")))))).alias("keys")
+    titled = book.groupBy("book_id", *columns).agg(own)
+    theirs = _keyed(shelf.select("shelf_book_id", "title"), "shelf_book_id").distinct()
+    kinds = titled.select("keys").distinct()
+    mates = kinds.select("keys", F.explode("keys").alias("key")).join(theirs, "key").select("keys", "shelf_book_id").distinct()
+    return titled, mates
+
+
 def propose_links(book: DataFrame, shelf: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(book_id, status link|no_match|ambiguous, n_candidates, candidate): books without a link by shared title keys."""
     todo = book if links is None else book.join(links.select("book_id"), "book_id", "left_anti")
-    keys = _keyed(shelf.select("shelf_book_id", "title"), "shelf_book_id").distinct()
-    mates = _keyed(todo, "book_id").join(keys, "key").select("book_id", "shelf_book_id").distinct()
-    found = mates.groupBy("book_id").agg(F.count("*").alias("n"), F.min("shelf_book_id").alias("one"))
+    titled, mates = _by_title(todo, shelf)
+    counted = mates.groupBy("keys").agg(F.count("*").alias("n"), F.min("shelf_book_id").alias("one"))
+    found = titled.join(counted, "keys").select("book_id", "n", "one")
     out = todo.select("book_id").join(found, "book_id", "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("book_id", F.when(n == 1, "link").when(n == 0, "no_match").otherwise("ambiguous").alias("status"), n.alias("n_candidates"), F.when(n == 1, F.col("one")).alias("candidate"))
 
 
-def link_candidates(book: DataFrame, shelf: DataFrame) -> DataFrame:
-    """(book_id, candidates): all shelf books, in order, that share a title key with a book that has more than one."""
-    keys = _keyed(shelf.select("shelf_book_id", "title"), "shelf_book_id").distinct()
-    mates = _keyed(book, "book_id").join(keys, "key").select("book_id", "shelf_book_id").distinct()
-    return mates.groupBy("book_id").agg(F.sort_array(F.collect_list("shelf_book_id")).alias("candidates")).where(F.size("candidates") > 1)
+def link_candidates(book: DataFrame, shelf: DataFrame, separator: str | None = None) -> DataFrame:
+    """(book_id, candidates): all shelf books, in order, that share a title key with a book that has more than one; a
+    list, or a text with a separator."""
+    titled, mates = _by_title(book, shelf)
+    listed = mates.groupBy("keys").agg(F.sort_array(F.collect_list("shelf_book_id")).alias("candidates")).where(F.size("candidates") > 1)
+    if separator is not None:
+        listed = listed.withColumn("candidates", F.array_join("candidates", separator))
+    return titled.join(listed, "keys").select("book_id", "candidates")
 
 
 def link_report(book: DataFrame, links: DataFrame, proposed: DataFrame) -> DataFrame:
@@ -268,11 +285,15 @@ def apply_links(links: DataFrame, proposed: DataFrame) -> DataFrame:
 def upload_matches(book: DataFrame, shelf: DataFrame) -> DataFrame:
     """(book_id, shelf_book_id?): the one shelf book an upload is: unique by title, else unique by a shared author word."""
     one = shelf.groupBy("shelf_book_id").agg(F.min_by(F.struct("author", "review_id"), F.struct(F.when(F.col("shelf").isin("read", "currently-reading"), 0).otherwise(1), "review_id")).alias("best"))
-    keys = _keyed(shelf.select("shelf_book_id", "title"), "shelf_book_id").distinct()
-    pairs = _keyed(book, "book_id", "author").join(keys, "key").select("book_id", "author", "shelf_book_id").distinct()
-    pairs = pairs.join(one.select("shelf_book_id", F.col("best.author").alias("their_author")), "shelf_book_id")
-    shared = F.exists(F.array_intersect(T.author_tokens(F.col("author")), T.author_tokens(F.col("their_author"))), lambda t: F.length(t) >= 2)
-    g = pairs.withColumn("_s", shared).groupBy("book_id").agg(F.count("*").alias("n"), F.min("shelf_book_id").alias("any"), F.count_if("_s").alias("m"), F.min(F.when(F.col("_s"), F.col("shelf_book_id"))).alias("by_author"))
+    titled, mates = _by_title(book, shelf, "author")
+    words = lambda c: F.sort_array(F.filter(T.author_tokens(F.col(c)), lambda t: F.length(t) >= 2))
+    theirs = mates.join(one.select("shelf_book_id", words("best.author").alias("theirs")), "shelf_book_id")
+    theirs = theirs.groupBy("keys", "theirs").agg(F.count("*").alias("k"), F.min("shelf_book_id").alias("least"))
+    titled = titled.withColumn("words", words("author"))
+    shared = F.arrays_overlap("words", "theirs")
+    kinds = titled.select("keys", "words").distinct().join(theirs, "keys")
+    kinds = kinds.groupBy("keys", "words").agg(F.sum("k").alias("n"), F.min("least").alias("any"), F.sum(F.when(shared, F.col("k"))).alias("m"), F.min(F.when(shared, F.col("least"))).alias("by_author"))
+    g = titled.join(kinds, ["keys", "words"]).groupBy("book_id").agg(F.sum("n").alias("n"), F.min("any").alias("any"), F.sum("m").alias("m"), F.min("by_author").alias("by_author"))
     pick = F.when(F.col("n") == 1, F.col("any")).when(F.col("m") == 1, F.col("by_author"))
     return book.select("book_id").join(g.select("book_id", pick.alias("shelf_book_id")), "book_id", "left")
 

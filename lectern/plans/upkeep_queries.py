@@ -83,7 +83,7 @@ def link_report(spark, d):
 
 @query(f"{S}, {UPLOAD}, {PAIRS} SELECT book_id, string_agg(shelf_book_id, ' ' ORDER BY shelf_book_id) AS candidates FROM (SELECT DISTINCT book_id, shelf_book_id FROM x) GROUP BY book_id HAVING count(*) > 1")
 def link_candidates(spark, d):
-    return shelf.link_candidates(uploads(spark, d), D.shelf(spark, d)).select("book_id", F.array_join("candidates", " ").alias("candidates"))
+    return shelf.link_candidates(uploads(spark, d), D.shelf(spark, d), " ")
 
 
 @query(f"WITH {LINKED} SELECT * FROM lk WHERE book_id % 3 <> 0")
