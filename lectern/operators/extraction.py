@@ -9,7 +9,11 @@ attributes and aliases are resolved by joins.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +51,14 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
 
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string, variant>").isNotNull()
+
+
+def _is_list(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
+
+
 def _field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
@@ -85,14 +97,14 @@ def digest_faults(markdown: Column, keys: tuple[str, ...]) -> list[Column]:
 
 
 def _heads(v: Column, keys: tuple[str, ...]) -> list[Column]:
-    return [_fault(v.isNull(), [0], "not JSON"), _fault(~_kind(v).startswith("OBJECT"), [1], "not an object"), _fault(_no_text(v, "digest_markdown"), [2], "digest_markdown: no text"), *digest_faults(_string(v, "digest_markdown"), keys)]
+    return [_fault(v.isNull(), [0], "not JSON"), _fault(~_is_object(v), [1], "not an object"), _fault(_no_text(v, "digest_markdown"), [2], "digest_markdown: no text"), *digest_faults(_string(v, "digest_markdown"), keys)]
 
 
 def _part(a: Column, i: Column, j: Column, order: int, part: str, texts: list[str], choice: tuple[str, tuple[str, ...]] | None) -> Column:
     """Faults of one attribute or alias."""
     path = ["entities[", i, f"].{part}[", j, "]"]
     at = lambda n: [10, i, order, j, n]
-    out = [_fault(~_kind(a).startswith("OBJECT"), at(0), *path, ": not an object")]
+    out = [_fault(~_is_object(a), at(0), *path, ": not an object")]
     out += [_fault(_no_text(a, t), at(1 + n), *path, f".{t}: no text") for n, t in enumerate(texts)]
     if choice:
         out.append(_fault(~F.coalesce(_string(a, choice[0]).isin(*choice[1]), F.lit(False)), at(5), *path, f".{choice[0]}: unknown"))
@@ -102,13 +114,13 @@ def _part(a: Column, i: Column, j: Column, order: int, part: str, texts: list[st
 def _entity_faults(e: Column, i: Column) -> Column:
     path, at = ["entities[", i, "]"], lambda n: [10, i, 0, n]
     own = [
-        _fault(~_kind(e).startswith("OBJECT"), at(0), *path, ": not an object"),
+        _fault(~_is_object(e), at(0), *path, ": not an object"),
         _fault(_no_text(e, "designator"), at(1), *path, ".designator: no text"),
         _fault(_no_text(e, "node_kind"), at(2), *path, ".node_kind: no text"),
         _fault(~F.coalesce(_string(e, "node_kind").isin(*NODE_KINDS), F.lit(False)), at(3), *path, ".node_kind: unknown"),
         _fault(_no_int(e, "cite_para_id"), at(4), *path, ".cite_para_id: no integer"),
     ]
-    lists = [_fault(_field(e, p).isNotNull() & ~_kind(_field(e, p)).startswith("ARRAY"), [10, i, n], *path, f".{p}: no list") for n, p in ((1, "attributes"), (2, "aliases"))]
+    lists = [_fault(_field(e, p).isNotNull() & ~_is_list(_field(e, p)), [10, i, n], *path, f".{p}: no list") for n, p in ((1, "attributes"), (2, "aliases"))]
     attributes = F.transform(_items(e, "attributes"), lambda a, j: _part(a, i, j, 1, "attributes", ["attr_kind", "value"], None))
     aliases = F.transform(_items(e, "aliases"), lambda a, j: _part(a, i, j, 2, "aliases", ["other_designator", "edge_type"], ("edge_type", EDGE_TYPES)))
     return F.concat(F.array(*own, *lists), F.flatten(attributes), F.flatten(aliases))
@@ -140,7 +152,7 @@ def validated(responses: DataFrame, para: DataFrame) -> DataFrame:
     key = ["book_id", "chapter_idx", "attempt"]
     v = F.col("_v")
     read = responses.select(*key, parsed_json(T.code_fence_body(F.col("response"))).alias("_v"))
-    no_list = _fault(~_kind(_field(v, "entities")).startswith("ARRAY"), [8], "entities: no list")
+    no_list = _fault(~_is_list(_field(v, "entities")), [8], "entities: no list")
     faults = F.concat(F.array(*_heads(v, CHAPTER_KEYS), no_list), F.flatten(F.transform(_items(v, "entities"), _entity_faults)))
     judged = read.select(
         *key,
@@ -168,6 +180,8 @@ def rollup_errors(responses: DataFrame) -> DataFrame:
 
 
 FOLDED = "book_id long, chapter_idx long, status string, attempt int, calls int, error string"
+FOLDED_ARROW = pa.schema([("book_id", pa.int64()), ("chapter_idx", pa.int64()), ("status", pa.string()), ("attempt", pa.int32()), ("calls", pa.int32()), ("error", pa.string())])
+ROWS_A_BATCH = 10_000
 
 
 def chapter_pass(chapter: DataFrame, checked: DataFrame, registry: DataFrame, done: DataFrame, prompt_hash: str, schema_version: int, resume: bool = True) -> DataFrame:
@@ -178,7 +192,8 @@ def chapter_pass(chapter: DataFrame, checked: DataFrame, registry: DataFrame, do
     digests there are.  A chapter whose digest is of this prompt and version is ``skipped``; else the first attempt that
     counts is taken and the chapter is ``done``, which an alias of a name that nobody declared prevents as a fault does.
     A chapter made again first forgets the names that were cited in it.  After two failures the chapter is ``failed``, and
-    the book's later ones are ``not reached``.  Names of one book are the state of its fold.
+    the book's later ones are ``not reached``.  Books are dealt out and sorted, known names first, and a task goes through
+    the rows of its books as they come: names of one book are the state of its fold, and nothing else of it is held.
     """
     made = done.groupBy("book_id", "chapter_idx").agg(F.bool_or((F.col("prompt_hash") == prompt_hash) & (F.col("schema_version") == schema_version)).alias("current"), F.lit(True).alias("stale"))
     names = F.transform("entities", lambda e: e["designator"])
@@ -188,32 +203,45 @@ def chapter_pass(chapter: DataFrame, checked: DataFrame, registry: DataFrame, do
     work = served.join(made, ["book_id", "chapter_idx"], "left").join(tries, ["book_id", "chapter_idx"], "left")
     work = work.select("book_id", "chapter_idx", "start_seq", (F.coalesce("current", F.lit(False)) & F.lit(resume)).alias("current"), F.coalesce("stale", F.lit(False)).alias("stale"), "attempt", "error", "declared", "wanted")
 
-    def fold(key: tuple, work: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        anchors = dict(zip(known["designator"], known["cited_in"], strict=True))
-        out, stopped = [], False
-        for (_, idx), rows in work.groupby(["start_seq", "chapter_idx"], sort=True):
-            current, stale = bool(rows["current"].iloc[0]), bool(rows["stale"].iloc[0])
-            if stopped or current:
-                out.append((key[0], idx, "not reached" if stopped else "skipped", None, 0, None))
-                continue
-            left = {n: c for n, c in anchors.items() if not stale or c != idx}
-            calls, error, taken = 0, "no response", None
-            for r in rows[rows["attempt"].notna()].sort_values("attempt").head(ATTEMPTS).itertuples():
-                calls, error = calls + 1, r.error
-                if error is None:
-                    allowed = left.keys() | set(r.declared)
-                    error = next((f"{w['path']}.other_designator: unknown" for w in r.wanted if w["name"] not in allowed), None)
-                if error is None:
-                    taken = int(r.attempt)
-                    anchors = left | {n: -1 for n in r.declared if n not in left}
-                    break
-            stopped = taken is None
-            out.append((key[0], idx, "failed" if stopped else "done", taken, calls, error))
-        return pd.DataFrame(out, columns=["book_id", "chapter_idx", "status", "attempt", "calls", "error"]).astype({"attempt": "Int32"})
-
-    names = registry.select(F.col("book_id").alias("of_book"), "designator", F.col("chapter_idx").alias("cited_in"))
-    folded = work.groupBy("book_id").cogroup(names.groupBy("of_book")).applyInPandas(fold, FOLDED)
-    return stored(folded, "chapter-pass")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for book, of_book in groupby((r for b in batches for r in b.to_pylist()), itemgetter("book_id")):
+            anchors, stopped = {}, False
+            for (start, idx), rows in groupby(of_book, itemgetter("start_seq", "chapter_idx")):
+                if start is None:
+                    anchors |= {r["designator"]: r["cited_in"] for r in rows if r["designator"] is not None}
+                    continue
+                rows = list(rows)
+                if stopped or rows[0]["current"]:
+                    out.append((book, idx, "not reached" if stopped else "skipped", None, 0, None))
+                    continue
+                left = {n: c for n, c in anchors.items() if c != idx} if rows[0]["stale"] else anchors
+                calls, error, taken = 0, "no response", None
+                for r in [r for r in rows if r["attempt"] is not None][:ATTEMPTS]:
+                    calls, error = calls + 1, r["error"]
+                    if error is None:
+                        declared = set(r["declared"])
+                        error = next((f"{w['path']}.other_designator: unknown" for w in r["wanted"] if w["name"] not in left and w["name"] not in declared), None)
+                    if error is None:
+                        taken = r["attempt"]
+                        anchors = left
+                        anchors.update((n, -1) for n in declared if n not in left)
+                        break
+                stopped = taken is None
+                out.append((book, idx, "failed" if stopped else "done", taken, calls, error))
+                if len(out) >= ROWS_A_BATCH:
+                    yield _folded(out)
+                    out = []
+        yield _folded(out)
+
+    names = registry.select("book_id", F.col("chapter_idx").alias("cited_in"), "designator")
+    both = work.unionByName(names, allowMissingColumns=True)
+    dealt = both.repartition("book_id").sortWithinPartitions("book_id", "start_seq", "chapter_idx", "attempt")
+    return stored(dealt.mapInArrow(fold, FOLDED), "chapter-pass")
+
+
+def _folded(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(FOLDED_ARROW.names, r, strict=True)) for r in rows], schema=FOLDED_ARROW)
 
 
 def _numbered(rows: DataFrame, order: list[str], after: Column | int) -> DataFrame:

@@ -41,3 +41,28 @@ def test_links_of_books_listed_twice(spark):
     assert found == {(1, "ambiguous", 2, None), (2, "link", 1, "y"), (3, "no_match", 0, None), (None, "no_match", 0, None)}
     assert {tuple(r) for r in shelf.link_candidates(books, entries, " ").collect()} == {(1, "x y")}
     assert {tuple(r) for r in shelf.upload_matches(books, entries).collect()} == {(1, "x"), (2, "y"), (3, None), (None, None)}
+
+
+@pytest.mark.parametrize("name", ["response_errors", "aliases_unresolved"])
+def test_responses_are_judged_in_many_tasks(spark, sf_dir, name):
+    """Rows of chapters are small, and the planner would judge all their responses in one task."""
+    from lectern.plans import extraction_queries as Q
+
+    Q._GIVEN.clear()
+    ran = stages_of(spark, lambda: noop(getattr(Q, name)(spark, sf_dir)))
+    assert max(s.numTasks() for s in ran if s.shuffleReadRecords()) >= 64
+
+
+def test_pass_of_many_books(spark):
+    """The pass goes through books in batches; 20,000 books of one chapter each take no group each."""
+    from lectern.operators import extraction as X
+
+    chapter = spark.range(20_000).selectExpr("id as book_id", "0L as chapter_idx", "id * 10 as start_seq", "id * 10 + 2 as end_seq", "'body' as kind")
+    said = "array(named_struct('designator', 'A', 'aliases', array(named_struct('other_designator', 'B', 'edge_type', 'stated', 'cite_para_id', id))))"
+    checked = spark.range(20_000).where("id % 2 = 0").selectExpr("id as book_id", "0L as chapter_idx", "1 as attempt", f"{said} as entities", "cast(null as string) as error")
+    registry = spark.range(20_000).where("id % 4 = 0").selectExpr("id as book_id", "'B' as designator", "5L as chapter_idx")
+    done = spark.range(0).selectExpr("id as book_id", "id as chapter_idx", "'' as prompt_hash", "1 as schema_version")
+    passed = X.chapter_pass(chapter, checked, registry, done, "now", 2)
+    got = {tuple(r) for r in passed.groupBy((F.col("book_id") % 4).alias("k"), "status", "attempt", "calls", "error").count().collect()}
+    unknown = "entities[0].aliases[0].other_designator: unknown"
+    assert got == {(0, "done", 1, 1, None, 5000), (2, "failed", None, 1, unknown, 5000), (1, "failed", None, 0, "no response", 5000), (3, "failed", None, 0, "no response", 5000)}
