@@ -66,3 +66,15 @@ def test_pass_of_many_books(spark):
     got = {tuple(r) for r in passed.groupBy((F.col("book_id") % 4).alias("k"), "status", "attempt", "calls", "error").count().collect()}
     unknown = "entities[0].aliases[0].other_designator: unknown"
     assert got == {(0, "done", 1, 1, None, 5000), (2, "failed", None, 1, unknown, 5000), (1, "failed", None, 0, "no response", 5000), (3, "failed", None, 0, "no response", 5000)}
+
+
+def test_index_moves_no_words(spark):
+    """The lexical index is written where its texts are read: no word is shuffled or spilled."""
+    from lectern.operators.lexical import LexicalIndex, Phrase
+
+    para = spark.range(2_000).selectExpr("id as book_id", "id as global_seq", "'body' as kind", "concat(repeat('red fox ', 50), 'den', id) as text")
+    built = []
+    ran = stages_of(spark, lambda: built.append(LexicalIndex.build(para)))
+    assert sum(s.shuffleWriteRecords() + s.memoryBytesSpilled() for s in ran) == 0
+    found = built[0].hits([Phrase.of("fox den1", prefix=True)]).where("n0 > 0")
+    assert {(r["book_id"], r["dl"], tuple(r["at0"])) for r in found.collect()} == {(i, 101, (99,)) for i in range(2_000) if str(i).startswith("1")}
