@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.tables import checkpointed, shared_dir, stored  # noqa: F401 - the operators' one source of helpers
+from lectern.tables import checkpointed, shared_dir, small_batches, stored  # noqa: F401 - the operators' one source of helpers
 
 #: Bytes of text that one block holds (the last document may go over).
 BLOCK_BYTES = 8 << 20
@@ -26,13 +26,6 @@ BLOCK_BYTES = 8 << 20
 BLOCK_SCHEMA = "block_id long, doc_ids binary, lens binary, tokens binary, words binary, word_lens binary, n_tokens long"
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Fewer rows an Arrow batch than Spark's default, as these rows are whole texts; a smaller setting is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows for what is written inside the block; then the caller's setting again."""

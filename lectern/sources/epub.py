@@ -22,7 +22,7 @@ from pyspark.sql import types as A
 
 from lectern import schema
 from lectern.functions.text import slug
-from lectern.tables import stored
+from lectern.tables import small_batches, stored
 
 from . import markup
 
@@ -44,6 +44,8 @@ PACKAGE_ROW = A.StructType(
 )
 #: Bytes of entries that an unzipping task gathers before it hands them on.
 CHUNK = 16 << 20
+#: Archives, or documents of archives, that a Python worker holds as rows of one batch.
+ARCHIVES_A_BATCH = 250
 
 
 @dataclass(frozen=True)
@@ -246,7 +248,9 @@ def _covers(entries: DataFrame, items: DataFrame, packages: DataFrame, order: Da
 
 
 def parse_books(files: DataFrame) -> Library:
-    """Tables of the archives in ``files`` (path, content, sha256), paths being unique."""
+    """Tables of the archives in ``files`` (path, content, sha256), paths being unique.  Python holds few archives, or few
+    documents, at once."""
+    small_batches(files.sparkSession, ARCHIVES_A_BATCH)
     packed = files.select("path", "content", "sha256")
     rows = stored(packed.mapInPandas(_unzip, ENTRY_ROW), "epub-entries")
     entries = rows.where("name is not null")

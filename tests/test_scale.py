@@ -78,3 +78,20 @@ def test_index_moves_no_words(spark):
     assert sum(s.shuffleWriteRecords() + s.memoryBytesSpilled() for s in ran) == 0
     found = built[0].hits([Phrase.of("fox den1", prefix=True)]).where("n0 > 0")
     assert {(r["book_id"], r["dl"], tuple(r["at0"])) for r in found.collect()} == {(i, 101, (99,)) for i in range(2_000) if str(i).startswith("1")}
+
+
+@pytest.mark.parametrize("name", ["page_paragraphs", "page_first_heading", "epub_paragraphs"])
+def test_python_holds_few_documents(spark, sf_dir, name):
+    """Whole archives and pages come to Python in small batches; a smaller setting is kept."""
+    from lectern.plans.catalogue import QUERIES
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, held in (("10000", 250), ("0", 250), ("100", 100)):
+            spark.conf.set(key, given)
+            if name != "epub_paragraphs" or given == "10000":
+                QUERIES[name](spark, sf_dir)
+                assert int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)
