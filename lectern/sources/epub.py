@@ -34,7 +34,7 @@ MIN_COVER_BYTES = 100
 
 CONTAINER, ENCRYPTION = "META-INF/container.xml", "META-INF/encryption.xml"
 INLINE_IMAGE = r"(?i)<(?:img\b[^>]*\bsrc|image\b[^>]*\bhref)\s*=\s*[\"']([^\"']+)"
-ENTRY_ROW = "path string, sha256 string, name string, content binary, error string"
+ENTRY_ROW = "path string, sha256 string, name string, content binary, error string, package boolean"
 _STRING = A.StringType()
 _ITEM = A.StructType([A.StructField(c, _STRING) for c in ("id", "name", "kind", "props")])
 _TARGET = A.StructType([A.StructField(c, _STRING) for c in ("name", "label")])
@@ -97,23 +97,36 @@ def natural_key(name: Column) -> Column:
     return F.zip_with(part(1), part(2), lambda t, d: F.struct(t.alias("t"), F.length(digits(d)).alias("n"), digits(d).alias("d")))
 
 
+def _rootfile(container) -> str | None:
+    root = _root(container)
+    return None if root is None else next((e.get("full-path") for e in _find(root, "rootfile") if e.get("full-path")), None)
+
+
+def _entry(archive: zipfile.ZipFile, name: str) -> tuple[bytes | None, str | None]:
+    try:
+        return archive.read(name), None
+    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, EOFError, ValueError) as e:
+        return None, f"unreadable entry: {e}"
+
+
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of ENTRY_ROW; a file that is no archive, or an entry that can't be read, gives a row with an error."""
-    columns = ["path", "sha256", "name", "content", "error"]
+    """Rows of ENTRY_ROW: one without a name for each file, with an error where it is no archive, and one for each entry, with
+    an error where it can't be read.  The package document is marked here, so no content is shuffled to find it."""
+    columns = ["path", "sha256", "name", "content", "error", "package"]
     for pdf in batches:
         rows, size = [], 0
         for path, sha, content in zip(pdf["path"], pdf["sha256"], pdf["content"], strict=True):
             try:
                 archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
             except zipfile.BadZipFile:
-                rows.append((path, sha, None, None, "not a zip file"))
+                rows.append((path, sha, None, None, "not a zip file", False))
                 continue
-            for name in dict.fromkeys(archive.namelist()):
-                try:
-                    data, error = archive.read(name), None
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, EOFError, ValueError) as e:
-                    data, error = None, f"unreadable entry: {e}"
-                rows.append((path, sha, name, data, error))
+            rows.append((path, sha, None, None, None, False))
+            names = dict.fromkeys(archive.namelist())
+            package = _rootfile(_entry(archive, CONTAINER)[0]) if CONTAINER in names else None
+            for name in names:
+                data, error = _entry(archive, name)
+                rows.append((path, sha, name, data, error, name == package))
                 size += len(data or b"")
                 if size >= CHUNK:
                     yield pd.DataFrame(rows, columns=columns)
@@ -122,15 +135,6 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-@F.pandas_udf(_STRING)
-def _rootfile(container: pd.Series) -> pd.Series:
-    def one(content):
-        root = _root(content)
-        return None if root is None else next((e.get("full-path") for e in _find(root, "rootfile") if e.get("full-path")), None)
-
-    return container.map(one)
-
-
 def _number(text: str | None) -> float | None:
     try:
         return float(text) if text is not None else None
@@ -228,13 +232,12 @@ def _reading_order(names: DataFrame, items: DataFrame, spine: DataFrame) -> Data
     return ranked.select("path", "sequence_tier", nth.cast("long").alias("spine_idx"), "name")
 
 
-def _covers(entries: DataFrame, items: DataFrame, packages: DataFrame, order: DataFrame) -> DataFrame:
-    """(path, cover): by EPUB 3 property, by meta tag, by name, else the first image of the first document."""
+def _covers(entries: DataFrame, items: DataFrame, packages: DataFrame, inline: DataFrame) -> DataFrame:
+    """(path, cover): by EPUB 3 property, by meta tag, by name, else the first image of the first document (``inline``: path, name,
+    href)."""
     images = items.where(F.startswith("kind", F.lit("image/")))
     in_id, in_name = (F.contains(F.lower(c), F.lit("cover")) for c in ("id", "name"))
     rank = F.struct((~in_id).alias("a"), F.length("name").alias("b"), F.col("name").alias("c"))
-    first = order.where("spine_idx = 0").join(entries.select("path", "name", "content"), ["path", "name"])
-    inline = first.select("path", "name", F.regexp_extract(_text(F.col("content")), INLINE_IMAGE, 1).alias("href"))
     ladder = (
         items.where(F.array_contains(F.split("props", r"\s+"), "cover-image")).groupBy("path").agg(F.lit("C1").alias("tier"), F.min_by("name", "pos").alias("name"))
         .union(images.join(packages.select("path", F.col("cover_id").alias("id")), ["path", "id"]).groupBy("path").agg(F.lit("C2"), F.max_by("name", "pos")))
@@ -255,8 +258,7 @@ def parse_books(files: DataFrame) -> Library:
     rows = stored(packed.mapInPandas(_unzip, ENTRY_ROW), "epub-entries")
     entries = rows.where("name is not null")
     names = entries.select("path", "name")
-    container = entries.where(F.col("name") == CONTAINER).select("path", _rootfile(F.col("content")).alias("name"))
-    package = entries.join(container.where("name is not null"), ["path", "name"]).select("path", _package("name", "content").alias("p")).select("path", "p.*")
+    package = entries.where("package").select("path", _package("name", "content").alias("p")).select("path", "p.*")
     packages = stored(package.where("items is not null"), "epub-packages")
     items = packages.select("path", F.posexplode("items").alias("pos", "i")).select("path", "pos", "i.*")
     spine = packages.select("path", F.posexplode("spine").alias("pos", "id"))
@@ -268,14 +270,16 @@ def parse_books(files: DataFrame) -> Library:
 
     pages = order.join(entries.select("path", "name", "content"), ["path", "name"])
     html = pages.select("path", "sequence_tier", "spine_idx", "name", _text(F.col("content")).alias("html"))
-    parsed = html.select("path", "sequence_tier", "spine_idx", "name", markup.first_heading("html").alias("heading"), markup.paragraphs("html").alias("paras"))
-    parsed = stored(parsed, "epub-documents")
+    image = F.when(F.col("spine_idx") == 0, F.regexp_extract("html", INLINE_IMAGE, 1)).alias("image")
+    parsed = html.select("path", "sequence_tier", "spine_idx", "name", image, markup.headed_paragraphs("html").alias("t"))
+    parsed = stored(parsed.select("path", "sequence_tier", "spine_idx", "name", "image", "t.*"), "epub-documents")
+    inline = parsed.where("spine_idx = 0").select("path", "name", F.col("image").alias("href"))
 
     size = parsed.groupBy("path").agg(F.first("sequence_tier").alias("sequence_tier"), F.max("spine_idx").alias("_last"), F.max(F.size("paras")).alias("_paras"))
-    broken = rows.groupBy("path", "sha256").agg(F.min(F.when(F.col("name").isNull(), F.col("error"))).alias("_zip"))
     unread = rows.where("name is not null and error is not null").join(order, ["path", "name"], "left_semi").groupBy("path").agg(F.min("error").alias("_entry"))
     has = lambda df, c: df.select("path", F.lit(True).alias(c))
-    state = files.select("path", "sha256").join(broken.drop("sha256"), "path", "left").join(has(packages, "_package"), "path", "left")
+    archives = rows.where("name is null").select("path", "sha256", F.col("error").alias("_zip"))
+    state = archives.join(has(packages, "_package"), "path", "left")
     state = state.join(size, "path", "left").join(has(locked, "_locked"), "path", "left").join(unread, "path", "left")
     error = (
         F.when(F.col("_zip").isNotNull(), F.col("_zip"))
@@ -289,7 +293,7 @@ def parse_books(files: DataFrame) -> Library:
     good = state.where("error is null").select("path")
 
     about = packages.select("path", F.coalesce("title", F.lit("Untitled")).alias("title"), "author", "series").join(good, "path", "left_semi")
-    book = state.join(about, "path", "left").join(_covers(entries, items, packages, order).join(good, "path", "left_semi"), "path", "left")
+    book = state.join(about, "path", "left").join(_covers(entries, items, packages, inline).join(good, "path", "left_semi"), "path", "left")
     document = parsed.join(good, "path", "left_semi")
     ncx = F.col("kind") == NCX_TYPE
     nav = F.array_contains(F.split("props", r"\s+"), "nav") | ((F.col("kind") == CONTENT_TYPES[0]) & F.endswith(F.lower("name"), F.lit("nav.xhtml")))

@@ -90,6 +90,23 @@ def test_reading_order(spark, tmp_path):
     }
 
 
+def test_archives_are_read_once(spark):
+    """No table of a library reads, or makes, an archive a second time; one without entries is a book with an error."""
+    made = spark.sparkContext.accumulator(0)
+    whole, none = make_epub(docs=(("Chapter 1", ["one"]),)), b"PK\x05\x06" + bytes(18)
+
+    def archive(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf.assign(path=pdf["id"].astype(str), content=[none if i == 3 else whole for i in pdf["id"]])[["path", "content"]]
+
+    files = spark.range(20).mapInPandas(archive, "path string, content binary").withColumn("sha256", F.sha2("content", 256))
+    library = epub.parse_books(files)
+    assert {(r["path"], r["error"], r["title"]) for r in library.book.collect()} == {(str(i), "no package document" if i == 3 else None, None if i == 3 else "A Book") for i in range(20)}
+    assert library.document.count() == 19 and library.para.where("text = 'one'").count() == 19
+    assert made.value == 20
+
+
 @pytest.mark.parametrize(("base", "href", "path"), [("OEBPS", "a%20b.html#x", "OEBPS/a b.html"), ("", "../../x", "x"), ("a/b", "./../c", "a/c")])
 def test_hrefs(base, href, path):
     assert epub.resolve_href(base, href) == path
