@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.components import components, spanning_forest
@@ -72,12 +72,17 @@ def digest_rollup(digests: DataFrame) -> DataFrame:
 
 
 def servable_digests(digests: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The coarsest digests (book_id, level, lo, hi) that lie whole below a reader's ceiling: book, else parts, else chapters."""
+    """The coarsest digests (book_id, level, lo, hi) that lie whole below a reader's ceiling: book, else parts, else chapters.
+
+    A digest lies in a coarser one if the greatest end of those that begin no later reaches its end, so no digest meets another.
+    """
     rank = F.when(F.col("level") == "book", 3).when(F.col("level") == "part", 2).otherwise(1)
     ok = digests.join(ranges, "book_id").where(F.col("hi") <= F.col("ceiling")).withColumn("_rank", rank)
-    cover = ok.select("reader_id", "book_id", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("_rank").alias("_over"))
-    covered = ok.join(cover, ["reader_id", "book_id"]).where("_over > _rank and _lo <= lo and hi <= _hi").select("reader_id", "book_id", "level", "lo", "hi").distinct()
-    return ok.join(covered, ["reader_id", "book_id", "level", "lo", "hi"], "left_anti").drop("_rank", "ceiling")
+    begun = Window.partitionBy("reader_id", "book_id").orderBy("lo").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = lambda least: F.max(F.when((F.col("_rank") >= least) & F.col("lo").isNotNull(), F.col("hi"))).over(begun)
+    over = ok.withColumns({"_part": reach(2), "_book": reach(3)})
+    covered = F.when(F.col("_rank") == 1, F.col("hi") <= F.col("_part")).when(F.col("_rank") == 2, F.col("hi") <= F.col("_book"))
+    return over.where(~F.coalesce(covered & F.col("lo").isNotNull(), F.lit(False))).drop("_rank", "ceiling", "_part", "_book")
 
 
 def replace_digests(digests: DataFrame, new: DataFrame) -> DataFrame:

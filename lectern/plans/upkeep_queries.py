@@ -220,8 +220,8 @@ DIGEST = """c AS (SELECT book_id, chapter_idx, part_label, start_seq AS lo, end_
 dg AS (SELECT book_id, 'chapter' AS level, 1 AS rk, lo, hi FROM c UNION ALL SELECT book_id, 'part', 2, min(lo), max(hi) FROM c GROUP BY book_id, part_label UNION ALL SELECT book_id, 'book', 3, min(lo), max(hi) FROM c GROUP BY book_id)"""
 
 
-def digests(spark, d):
-    c = D.chapters(D.raw_paras(spark, d)).where("kind = 'body'").select("book_id", "chapter_idx", "part_label", F.col("start_seq").alias("lo"), F.col("end_seq").alias("hi"), F.col("label").alias("text"))
+def digests(chapter):
+    c = chapter.where("kind = 'body'").select("book_id", "chapter_idx", "part_label", F.col("start_seq").alias("lo"), F.col("end_seq").alias("hi"), F.col("label").alias("text"))
     up = causal.digest_rollup(c).select("book_id", "level", F.lit(None).cast("long").alias("chapter_idx"), "part_label", "lo", "hi", "text")
     return c.select("book_id", F.lit("chapter").alias("level"), "chapter_idx", "part_label", "lo", "hi", "text").unionByName(up)
 
@@ -229,8 +229,9 @@ def digests(spark, d):
 @query(f"""{CORPUS}, {DIGEST}, ok AS (SELECT r.reader_id, dg.* FROM dg JOIN ranges r ON dg.book_id = r.book_id AND dg.hi <= r.hi)
 SELECT reader_id, book_id, level, lo, hi FROM ok a WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.book_id = a.book_id AND b.reader_id = a.reader_id AND b.rk > a.rk AND b.lo <= a.lo AND a.hi <= b.hi)""")
 def digests_served(spark, d):
-    r = corpus(spark, d).ranges.select("reader_id", "book_id", F.col("hi").alias("ceiling"))
-    return causal.servable_digests(digests(spark, d).select("book_id", "level", "lo", "hi"), r).select("reader_id", "book_id", "level", "lo", "hi")
+    tables = D.paras(spark, d)
+    r = corpus(spark, d, tables).ranges.select("reader_id", "book_id", F.col("hi").alias("ceiling"))
+    return causal.servable_digests(digests(tables[1]).select("book_id", "level", "lo", "hi"), r).select("reader_id", "book_id", "level", "lo", "hi")
 
 
 @query(f"""{CORPUS}, c AS (SELECT book_id, chapter_idx, part_label, label FROM chapter WHERE kind = 'body')
@@ -238,7 +239,7 @@ SELECT book_id, 'chapter' AS level, chapter_idx, part_label, CASE WHEN chapter_i
 UNION ALL SELECT book_id, 'part', NULL, part_label, string_agg(label, chr(10) ORDER BY chapter_idx) FROM c GROUP BY book_id, part_label UNION ALL SELECT DISTINCT book_id, 'book', NULL, NULL, 'whole' FROM c""")
 def digests_replaced(spark, d):
     """New digests of even chapters and of every book; a missing chapter or part matches a missing one."""
-    old = digests(spark, d)
+    old = digests(D.paras(spark, d)[1])
     new = old.where("level = 'chapter' and chapter_idx % 2 = 0").withColumn("text", F.lit("new")).unionByName(old.where("level = 'book'").withColumn("text", F.lit("whole")))
     return causal.replace_digests(old, new).select("book_id", "level", "chapter_idx", "part_label", "text")
 
