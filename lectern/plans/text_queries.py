@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -12,6 +13,7 @@ from lectern.plans.queries import PAIR, S
 from lectern.plans.registry import query
 from lectern.sources import driver_tables as D
 from lectern.sources import feeds
+from lectern.tables import stored
 
 
 def concat(*parts):
@@ -225,7 +227,7 @@ fit AS (SELECT book_id FROM n WHERE n > 2 AND book_id % 3 = 0 OR n > 1 AND book_
 def _part_contents(spark, d):
     """Contents that name a part twice for each document but the first two, a part for each, or parts out of order."""
     k, i = F.col("book_id"), F.col("spine_idx")
-    docs = D.raw_paras(spark, d).select("book_id", "spine_idx").distinct()
+    docs = stored(D.raw_paras(spark, d).select("book_id", "spine_idx").distinct(), "documents-of-books")
     label = F.when((k % 3 == 0) & (i < 1), concat("'Chapter ", "spine_idx")).otherwise(concat("'PART ", "spine_idx", "': x"))
     one = docs.select("book_id", F.when(k % 3 == 2, -i).otherwise(2 * i).alias("entry_idx"), "spine_idx", label.alias("label"))
     again = one.where(k % 3 == 0).select("book_id", (F.col("entry_idx") + 1).alias("entry_idx"), "spine_idx", F.when(i > 0, "Part Nine").otherwise("x").alias("label"))
@@ -242,9 +244,9 @@ def toc_parts(spark, d):
 def label_ladder(spark, d):
     """Contents are kept from covering the books by further documents without entries."""
     docs, toc = _part_contents(spark, d)
-    many = docs.groupBy("book_id").agg(F.count("*").alias("n"))
-    more = docs.join(many.where("n > 1"), "book_id").select("book_id", F.explode(F.array("spine_idx", F.col("spine_idx") + 10_000, F.col("spine_idx") + 20_000)).alias("spine_idx"))
-    all_docs = more.unionByName(docs.join(many.where("n = 1"), "book_id").select("book_id", "spine_idx"))
+    more = F.array("spine_idx", F.col("spine_idx") + 10_000, F.col("spine_idx") + 20_000)
+    counted = docs.withColumn("n", F.count("*").over(Window.partitionBy("book_id")))
+    all_docs = counted.select("book_id", F.explode(F.when(F.col("n") > 1, more).otherwise(F.array("spine_idx"))).alias("spine_idx"))
     return chapters.label_ladder(all_docs.withColumns({"heading": F.lit(None).cast("string"), "first_block": F.lit("text")}), toc)
 
 
