@@ -95,3 +95,52 @@ def test_python_holds_few_documents(spark, sf_dir, name):
                 assert int(spark.conf.get(key)) == held
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("name", ["cast_as_read", "digests_replaced"])
+def test_documents_are_cut_once(spark, sf_dir, monkeypatch, name):
+    """Chapters of all documents are written once and read from there, however often a query needs them."""
+    from lectern.plans.catalogue import QUERIES
+    from lectern.sources import driver_tables as D
+
+    whole, read = D.table(spark, sf_dir, "documents"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    monkeypatch.setattr(D, "table", lambda *_: whole.mapInPandas(counted, whole.schema))
+    noop(QUERIES[name](spark, sf_dir))
+    assert read.value == whole.count()
+
+
+@pytest.mark.parametrize("name", ["chapters_read_pct", "digests_served", "label_ladder"])
+def test_memory_of_one_task(spark, sf_dir, name):
+    """No stage holds the sorts and tables of a dozen joins and aggregates at once."""
+    from lectern.plans.catalogue import QUERIES
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        ran = stages_of(spark, lambda: noop(QUERIES[name](spark, sf_dir)))
+    finally:
+        spark.conf.set(key, before)
+    peak = max(s.peakExecutionMemory() / s.numTasks() for s in ran) / 2**20
+    assert peak < 250, peak
+
+
+def test_digests_in_coarser_ones(spark):
+    """A digest goes only if one coarser begins no later and ends no earlier, of the same reader and book."""
+    from lectern.operators import causal
+
+    rows = [(1, "book", 0, 100), (1, "part", 0, 40), (1, "part", 41, 90), (1, "chapter", 0, 9), (1, "chapter", 35, 45), (1, "chapter", 41, 90), (2, "chapter", 0, 9), (1, "chapter", None, 5)]
+    digests = spark.createDataFrame(rows, "book_id long, level string, lo long, hi long")
+    ranges = spark.createDataFrame([(7, 1, 95), (8, 1, 100), (7, 2, 100), (9, 1, 8)], "reader_id long, book_id long, ceiling long")
+    got = {tuple(r) for r in causal.servable_digests(digests, ranges).select("reader_id", "book_id", "level", "lo", "hi").collect()}
+    part = {(7, 1, "part", 0, 40), (7, 1, "part", 41, 90), (7, 1, "chapter", 35, 45)}
+    none = {(r, 1, "chapter", None, 5) for r in (7, 8, 9)}
+    assert got == part | none | {(8, 1, "book", 0, 100), (7, 2, "chapter", 0, 9)}
+
+
