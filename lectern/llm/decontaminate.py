@@ -10,6 +10,7 @@ and chance meetings of placeholders are not.  Windows of equal plain words alway
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import string
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, binary_column, checkpointed, chunks, give_back, mix, small_batches, stored
+from .common import binary_column, checkpointed, chunks, give_back, mix, small_batches, stored
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Plain words that the template of a text shorter than a window needs, so that placeholders alone match nothing.
@@ -42,16 +43,25 @@ UNITS = set(
 )
 SENTENCE_END = frozenset(".!?:")
 PLAIN, NUM, UNIT, TITLE = 0, 1, 2, 3
+#: Kinds of the words of letters that are listed.
+LISTED = dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBER_WORDS, NUM)
 
 
 def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode(), 5)
+    return xxhash.xxh64_intdigest(word, 5)
 
 
 @functools.lru_cache(maxsize=100_000)
 def _describe(word: str) -> tuple[tuple[int, int, bool], ...]:
     """(hash, kind, ends a sentence) of the tokens in a raw word: none, one, or a number and its unit."""
     bare = word.strip(string.punctuation)
+    if bare.isalpha():  # most words: letters, and marks around them
+        ends = not word.endswith(bare) and not SENTENCE_END.isdisjoint(word[word.rfind(bare) + len(bare) :])
+        plain = bare.lower()
+        kind = LISTED.get(plain, PLAIN)
+        if kind == PLAIN and plain != bare and bare.istitle() and len(bare) > 1 and bare[1:].islower():
+            kind = TITLE
+        return ((_hash(plain), kind, ends),)
     if bare and not (bare[0].isalnum() and bare[-1].isalnum()):
         kept = [i for i, c in enumerate(bare) if c.isalnum()]
         bare = bare[kept[0] : kept[-1] + 1] if kept else ""
@@ -79,24 +89,25 @@ def windows(texts: list[str], size: int, bits: np.ndarray | None = None) -> tupl
 
     ``slots`` has a row of ``size`` value hashes, 0 where the word is plain.
     """
-    vocab = Numbering()
-    coded, tokens = [], []
-    for text in texts:
-        words = text.split()
-        coded.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
-    described = [_describe(w) for w in vocab]
-    counts = np.fromiter(map(len, described), np.int64, len(described))
-    for d in described:
-        tokens += d
+    split = [text.split() for text in texts]
+    words = list(itertools.chain.from_iterable(split))
+    vocab = dict(zip(dict.fromkeys(words), itertools.count()))
+    # Lower-cased words of letters, most of all, make numbers only: a tuple for each would keep the collector busy.
+    easy = np.array([w.islower() and w.isalpha() for w in vocab], bool)
+    letters, others = list(itertools.compress(vocab, easy)), list(map(_describe, itertools.compress(vocab, ~easy)))
+    counts = np.ones(len(vocab), np.int64)
+    counts[~easy] = np.fromiter(map(len, others), np.int64, len(others))
+    one, tokens = np.repeat(easy, counts), list(itertools.chain.from_iterable(others))
+    value, kind, ends = np.empty(len(one), np.uint64), np.empty(len(one), np.int8), np.zeros(len(one), bool)
+    value[one], kind[one] = np.fromiter(map(_hash, letters), np.uint64, len(letters)), [LISTED.get(w, PLAIN) for w in letters]
+    value[~one], kind[~one], ends[~one] = np.array([t[0] for t in tokens], np.uint64), [t[1] for t in tokens], [t[2] for t in tokens]
     starts = np.cumsum(counts) - counts
-    flat = np.concatenate([*coded, np.empty(0, np.int64)])
-    owner = np.repeat(np.arange(len(texts)), [len(c) for c in coded])
+    flat = np.fromiter(map(vocab.__getitem__, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
     per = counts[flat]
     index = np.repeat(starts[flat] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
     owner = np.repeat(owner, per)
-    value = np.array([t[0] for t in tokens], np.uint64)[index] if tokens else np.empty(0, np.uint64)
-    kind = np.array([t[1] for t in tokens], np.int8)[index] if tokens else np.empty(0, np.int8)
-    ends = np.array([t[2] for t in tokens], bool)[index] if tokens else np.empty(0, bool)
+    value, kind, ends = value[index], kind[index], ends[index]
     n = len(value)
     lens = np.bincount(owner, minlength=len(texts)) if n else np.zeros(len(texts), np.int64)
     first = np.cumsum(lens) - lens
@@ -120,7 +131,7 @@ def windows(texts: list[str], size: int, bits: np.ndarray | None = None) -> tupl
             values[:, :length] = np.where(slots[at] if slots.ndim == 1 else slots[keep], value[at], 0)
         out.append((owner[begin], begin - first[owner[begin]], h, values))
 
-    for begin, length in ((whole, size), *((first[i : i + 1], int(lens[i])) for i in np.flatnonzero((lens > 0) & (lens < size)))):
+    for begin, length in ((whole, size), *((first[lens == k], k) for k in range(1, size))):
         if not len(begin):
             continue
         put(begin, length, _roll(plain, begin, length, 2 * length), None)

@@ -144,3 +144,17 @@ def test_digests_in_coarser_ones(spark):
     assert got == part | none | {(8, 1, "book", 0, 100), (7, 2, "chapter", 0, 9)}
 
 
+def test_plain_words_are_not_described_one_by_one(monkeypatch):
+    """Lower-cased words of letters go straight into arrays, and give the windows that their description gives."""
+    from lectern.llm import decontaminate as M
+
+    texts = ["twelve red apples cost seven dollars in the old town", "five miles", "", "Anna ran 12 km. Bob Ray ran 7km over grüne x-ray hills"]
+    rows = lambda: sorted((int(o), int(p), int(h), tuple(map(int, s))) for o, p, h, s in zip(*M.windows(texts, 5), strict=True))
+    described, describe = [], M._describe.__wrapped__
+    monkeypatch.setattr(M, "_describe", lambda w: described.append(w) or describe(w))
+    ours = rows()
+    assert set(described) == {"Anna", "12", "km.", "Bob", "Ray", "7km", "x-ray"}
+    for word in ("twelve", "miles", "grüne", "ran"):
+        kind = M.NUM if word in M.NUMBER_WORDS else M.UNIT if word in M.UNITS else M.PLAIN
+        assert describe(word) == ((M._hash(word), kind, False),)
+    assert {(o, p) for o, p, _, _ in ours if o == 1} == {(1, 0)} and sum(o == 0 and any(s) for o, _, _, s in ours) == 6
