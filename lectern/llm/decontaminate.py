@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, checkpointed, chunks, give_back, mix, small_batches, stored
+from .common import binary_column, checkpointed, chunks, give_back, mix, ragged, small_batches, stored
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Plain words that the template of a text shorter than a window needs, so that placeholders alone match nothing.
 LEAST_PLAIN = 3
-#: Bits of the filter of benchmark windows that documents are held against before the join: 8 MB, whatever the benchmark.
+#: Bits of the filter of benchmark windows and words that documents are held against before the join: 8 MB, whatever the benchmark.
 FILTER_BITS, FILTER_CHUNK = 26, 15
 BATCH_BYTES = 1 << 20
 
@@ -51,9 +51,8 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word, 5)
 
 
-@functools.lru_cache(maxsize=100_000)
-def _describe(word: str) -> tuple[tuple[int, int, bool], ...]:
-    """(hash, kind, ends a sentence) of the tokens in a raw word: none, one, or a number and its unit."""
+def _tokens(word: str) -> tuple[tuple[str, int, bool], ...]:
+    """(lower-cased word, kind, ends a sentence) of the tokens in a raw word: none, one, or a number and its unit."""
     bare = word.strip(string.punctuation)
     if bare.isalpha():  # most words: letters, and marks around them
         ends = not word.endswith(bare) and not SENTENCE_END.isdisjoint(word[word.rfind(bare) + len(bare) :])
@@ -61,7 +60,7 @@ def _describe(word: str) -> tuple[tuple[int, int, bool], ...]:
         kind = LISTED.get(plain, PLAIN)
         if kind == PLAIN and plain != bare and bare.istitle() and len(bare) > 1 and bare[1:].islower():
             kind = TITLE
-        return ((_hash(plain), kind, ends),)
+        return ((plain, kind, ends),)
     if bare and not (bare[0].isalnum() and bare[-1].isalnum()):
         kept = [i for i, c in enumerate(bare) if c.isalnum()]
         bare = bare[kept[0] : kept[-1] + 1] if kept else ""
@@ -73,53 +72,108 @@ def _describe(word: str) -> tuple[tuple[int, int, bool], ...]:
     if not bare.isalpha() and NUMBER.fullmatch(plain) or plain in NUMBER_WORDS:
         kind = NUM
     elif not bare.isalpha() and (both := NUMBER_UNIT.fullmatch(plain)) and both[2] in UNITS:
-        return ((_hash(both[1]), NUM, False), (_hash(both[2]), UNIT, ends))
+        return ((both[1], NUM, False), (both[2], UNIT, ends))
     elif plain in UNITS:
         kind = UNIT
     elif bare.istitle() and len(bare) > 1 and bare[1:].islower():
         kind = TITLE
-    return ((_hash(plain), kind, ends),)
+    return ((plain, kind, ends),)
+
+
+@functools.lru_cache(maxsize=100_000)
+def _describe(word: str) -> tuple[tuple[int, int, bool], ...]:
+    """The tokens of a raw word, each with its hash instead of the word."""
+    return tuple((_hash(plain), kind, ends) for plain, kind, ends in _tokens(word))
+
+
+#: What a character is; each code point is looked up when it first occurs.
+SPACE, LETTER, CAPITAL, MARK, STOP, OTHER, UNSEEN = 1, 2, 4, 8, 16, 32, 64
+CHARACTERS = np.full(0x110000, UNSEEN, np.uint8)
+
+
+def _character(c: str) -> int:
+    if c.isspace():
+        return SPACE
+    if c.isalpha():
+        return LETTER if c.islower() and c.lower() == c else CAPITAL
+    return (MARK | STOP if c in SENTENCE_END else MARK) if c in string.punctuation else OTHER
+
+
+def _cut(text: str) -> tuple[np.ndarray, ...]:
+    """(begin, end, what, raw, letters) of the words of ``text.split()``, found in the array of its characters.
+
+    ``what`` joins the flags of a word's characters; without OTHER the word is letters and marks after them, or either alone;
+    letters other than lower-cased ones are CAPITAL.  ``raw`` is a hash of the word, ``letters`` one of its lower-cased letters,
+    the same as ``raw`` of a word of these alone.
+    """
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    what = CHARACTERS[points]
+    if (what == UNSEEN).any():
+        new = np.unique(points[what == UNSEEN])
+        CHARACTERS[new] = [_character(chr(c)) for c in new.tolist()]
+        what = CHARACTERS[points]
+    solid = np.zeros(len(points) + 2, bool)
+    solid[1:-1] = what != SPACE
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    begin, end = edges[::2], edges[1::2]
+    if not len(begin):
+        return begin, end, what[:0], np.empty(0, np.uint64), np.empty(0, np.uint64)
+    letter = what == LETTER
+    what[1:][(what[1:] & (LETTER | CAPITAL) > 0) & (what[:-1] & MARK > 0)] |= OTHER  # marks before letters
+    place = np.arange(len(points))
+    place[begin[0] :] -= np.repeat(begin, np.diff(begin, append=len(points)))
+    part = mix(points.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
+    part[~solid[1:-1]] = 0
+    raw = np.add.reduceat(part, begin)
+    part[~letter] = 0
+    return begin, end, np.bitwise_or.reduceat(what, begin) & ~np.uint8(SPACE), mix(raw), mix(np.add.reduceat(part, begin))
 
 
 def windows(texts: list[str], size: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(text index, position, hash, slots) of all plain and template windows; a shorter text is one window.
 
     A capitalised word that opens a sentence is read both as a word and as a name, in all combinations.  With
-    ``bits``, only windows whose hash is in that bitmap.
+    ``bits``, only windows whose hash is in that bitmap, as are the hashes of the words that items hold and of the listed
+    ones: no window is put together over any other lower-cased word.
 
     ``slots`` has a row of ``size`` value hashes, 0 where the word is plain.
     """
-    split = [text.split() for text in texts]
-    words = list(itertools.chain.from_iterable(split))
-    vocab = dict(zip(dict.fromkeys(words), itertools.count()))
+    text = "\n".join(texts)
+    begin, end, what, raw, letters = _cut(text)
+    upto = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in texts)]))  # words before each text, and all
+    idle = (what & (LETTER | CAPITAL | OTHER) == LETTER) & ~_sifted(letters, bits)  # one plain word that no item holds
+    idle |= _between(idle, upto, what, size)
+    _, at, number = np.unique(raw[~idle], return_index=True, return_inverse=True)
+    vocab = [text[i:j] for i, j in zip(begin[~idle][at].tolist(), end[~idle][at].tolist())]
     # Lower-cased words of letters, most of all, make numbers only: a tuple for each would keep the collector busy.
     easy = np.array([w.islower() and w.isalpha() for w in vocab], bool)
-    letters, others = list(itertools.compress(vocab, easy)), list(map(_describe, itertools.compress(vocab, ~easy)))
-    counts = np.ones(len(vocab), np.int64)
-    counts[~easy] = np.fromiter(map(len, others), np.int64, len(others))
-    one, tokens = np.repeat(easy, counts), list(itertools.chain.from_iterable(others))
+    plainly, others = list(itertools.compress(vocab, easy.tolist())), list(map(_describe, itertools.compress(vocab, (~easy).tolist())))
+    counts = np.ones(len(vocab) + 2, np.int64)  # the last two are idle words, the second of them at the end of a sentence
+    counts[:-2][~easy] = np.fromiter(map(len, others), np.int64, len(others))
+    one, tokens = np.repeat(np.append(easy, [False, False]), counts), [*itertools.chain.from_iterable(others), (0, PLAIN, False), (0, PLAIN, True)]
     value, kind, ends = np.empty(len(one), np.uint64), np.empty(len(one), np.int8), np.zeros(len(one), bool)
-    value[one], kind[one] = np.fromiter(map(_hash, letters), np.uint64, len(letters)), [LISTED.get(w, PLAIN) for w in letters]
+    value[one], kind[one] = np.fromiter(map(_hash, plainly), np.uint64, len(plainly)), [LISTED.get(w, PLAIN) for w in plainly]
     value[~one], kind[~one], ends[~one] = np.array([t[0] for t in tokens], np.uint64), [t[1] for t in tokens], [t[2] for t in tokens]
     starts = np.cumsum(counts) - counts
-    flat = np.fromiter(map(vocab.__getitem__, words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+    flat = len(vocab) + (what & STOP > 0)
+    flat[~idle] = number
     per = counts[flat]
-    index = np.repeat(starts[flat] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
-    owner = np.repeat(owner, per)
-    value, kind, ends = value[index], kind[index], ends[index]
-    n = len(value)
-    lens = np.bincount(owner, minlength=len(texts)) if n else np.zeros(len(texts), np.int64)
-    first = np.cumsum(lens) - lens
-    opens = np.ones(n, bool)
-    opens[1:] = ends[:-1] | (owner[1:] != owner[:-1])
-    after_number = np.zeros(n, bool)
-    after_number[1:] = (kind[:-1] == NUM) & (owner[1:] == owner[:-1])
+    index = ragged(starts[flat], per)
+    n = len(index)
+    stop = np.append(0, np.cumsum(per))[upto]
+    first, lens = stop[:-1], np.diff(stop)
+    live = index < len(one) - 2
+    whole = np.ones(n, bool)
+    for k in range(1, size):
+        whole[stop[1:][lens >= k] - k] = False
+    begins = [(begin[_within(live, begin, k) == k], k) for begin, k in ((np.flatnonzero(whole), size), *((first[lens == k], k) for k in range(1, size)))]
+    plain, value, kind, ends = mix(value)[index], value[index], kind[index], ends[index]
+    opens, after_number = np.ones(n, bool), np.zeros(n, bool)
+    opens[1:], after_number[1:] = ends[:-1], kind[:-1] == NUM
+    opens[first[lens > 0]], after_number[first[lens > 0]] = True, False
     slot = (kind == NUM) | ((kind == UNIT) & after_number) | ((kind == TITLE) & ~opens)
     either = (kind == TITLE) & opens  # a name or any word: windows are made with both readings
-    plain = mix(value)
     typed = kind.astype(np.uint64) + np.uint64(1)
-    whole = np.flatnonzero(np.arange(n) - first[owner] + size <= lens[owner])
     out = []
 
     def put(begin: np.ndarray, length: int, h: np.ndarray, slots: np.ndarray | None):
@@ -129,9 +183,10 @@ def windows(texts: list[str], size: int, bits: np.ndarray | None = None) -> tupl
         if slots is not None:
             at = begin[:, None] + np.arange(length)
             values[:, :length] = np.where(slots[at] if slots.ndim == 1 else slots[keep], value[at], 0)
-        out.append((owner[begin], begin - first[owner[begin]], h, values))
+        owner = np.searchsorted(stop[1:], begin, "right")
+        out.append((owner, begin - first[owner], h, values))
 
-    for begin, length in ((whole, size), *((first[lens == k], k) for k in range(1, size))):
+    for begin, length in begins:
         if not len(begin):
             continue
         put(begin, length, _roll(plain, begin, length, 2 * length), None)
@@ -155,6 +210,18 @@ def windows(texts: list[str], size: int, bits: np.ndarray | None = None) -> tupl
     return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
 
 
+def _between(idle: np.ndarray, upto: np.ndarray, what: np.ndarray, size: int) -> np.ndarray:
+    """Words of letters among too few that are not idle for a window: one token each, in no window, unless all of a short text."""
+    opens = idle.copy()
+    opens[upto[:-1][np.diff(upto) > 0]] = True
+    run = np.cumsum(opens)
+    other = what & OTHER > 0  # up to two tokens
+    few = (np.bincount(run, ~idle) + np.bincount(run, other) < size)[run]
+    busy = np.append(0, np.cumsum(~idle))[upto]
+    full = np.repeat(np.diff(busy) == np.diff(upto), np.diff(upto))
+    return few & ~full & ~other & (what & (LETTER | CAPITAL) > 0)
+
+
 def _within(flags: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
     """How many of the ``length`` flags from each begin are set."""
     upto = np.append(0, np.cumsum(flags, dtype=np.int32))
@@ -206,10 +273,30 @@ def _window_rows(df: DataFrame, size: int, sieve=None) -> DataFrame:
     return df.mapInArrow(run, HIT_SCHEMA)
 
 
-def _sieve(items: DataFrame) -> bytes:
-    """A bitmap of the leading bits of all window hashes: 2**FILTER_BITS bits, in chunks, whatever the benchmark."""
+def held_words(texts: list[str]) -> np.ndarray:
+    """Hashes, as ``_cut`` makes them, of the words that windows of these texts hold, and of the listed words."""
+    held = {plain for text in texts for word in set(text.split()) for plain, _, _ in _tokens(word)}
+    return _cut("\n".join(held.union(LISTED)))[3]
+
+
+def _word_rows(items: DataFrame) -> DataFrame:
+    """The hashes of ``held_words`` as rows, of all texts of a two-column table (id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [(t or b"").decode() for t in binary_column(batch.column(1))]
+            for chunk in chunks(texts, map(len, texts), BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(held_words(chunk).view(np.int64))], names=["h"])
+        give_back()
+
+    small_batches(items.sparkSession)
+    return items.mapInArrow(run, "h long")
+
+
+def _sieve(hashes: DataFrame) -> bytes:
+    """A bitmap of the leading bits of all hashes of windows and words: 2**FILTER_BITS bits, in chunks, whatever the benchmark."""
     at = F.expr(f"shiftrightunsigned(h, {64 - FILTER_BITS})")
-    bits = items.select(at.alias("at")).distinct().select((F.col("at") % (1 << FILTER_CHUNK)).alias("bit"), F.shiftright("at", FILTER_CHUNK).alias("chunk"))
+    bits = hashes.select(at.alias("at")).distinct().select((F.col("at") % (1 << FILTER_CHUNK)).alias("bit"), F.shiftright("at", FILTER_CHUNK).alias("chunk"))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(1 << FILTER_CHUNK, np.uint8)
@@ -233,7 +320,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sim
     """
     items = benchmark.where("item_id is not null and text is not null").selectExpr("cast(item_id as long) id", "text").distinct()
     theirs = checkpointed(_window_rows(items, size))
-    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(theirs))
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(theirs.select("h").unionByName(_word_rows(items))))
     ours = checkpointed(_window_rows(docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as long) id", "text"), size, sieve))
     totals = theirs.groupBy("id").agg(F.countDistinct("pos").alias("n_windows")).withColumnRenamed("id", "item_id")
     blank = F.forall("slots", lambda s: s != 0)

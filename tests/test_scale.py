@@ -158,3 +158,49 @@ def test_plain_words_are_not_described_one_by_one(monkeypatch):
         kind = M.NUM if word in M.NUMBER_WORDS else M.UNIT if word in M.UNITS else M.PLAIN
         assert describe(word) == ((M._hash(word), kind, False),)
     assert {(o, p) for o, p, _, _ in ours if o == 1} == {(1, 0)} and sum(o == 0 and any(s) for o, _, _, s in ours) == 6
+
+
+def test_windows_are_made_of_words_that_items_hold(monkeypatch):
+    """With the bitmap, windows over words that no item holds are not put together; those that items hold are all found."""
+    import random
+
+    import numpy as np
+
+    from lectern.llm import decontaminate as M
+
+    def found(texts, items, bits):
+        rows = zip(*M.windows(texts, 5, bits), strict=True)
+        return sorted((int(o), int(p), int(h), tuple(map(int, s))) for o, p, h, s in rows if int(h) in items)
+
+    rng = random.Random(3)
+    odd = ["five", "miles", "7", "12 km", "5kg", "3.5l", "-", "...", "x-ray", "(red)", "Anna", "Bob.", "Ümit", "İx", "ΟΔΟΣ", "οδος", "straße", "end.", "what?!", "red…", "kg", "BIG", "a\u0301b", "of\u00a0the", "to\x1cbe", "the", "old", "town,"]
+    items = [" ".join(rng.choices(odd, k=rng.randrange(1, 30))) for _ in range(60)] + ["The old town of red apples has Anna, and 5 kg of salt."]
+    filler = ["".join(rng.choices("abcdefgh", k=7)) + rng.choice(["", "", ",", "."]) for _ in range(5000)]
+    texts = ["", " ", "- -", "Bob. five", *items]
+    for _ in range(300):
+        words = rng.choices(filler, k=rng.randrange(60)) + rng.choice(items).split() + rng.choices([*filler[:20], *odd], k=12)
+        texts.append(rng.choice([" ", "\n", " \t"]).join(words))
+    hashes = M.windows(items, 5)[2]
+    flags = np.zeros(1 << M.FILTER_BITS, np.uint8)
+    flags[(np.append(hashes, M.held_words(items)) >> np.uint64(64 - M.FILTER_BITS)).astype(np.int64)] = 1
+    bits = np.packbits(flags, bitorder="little")
+    every = set(hashes.tolist())
+    ours = found(texts, every, bits)
+    assert ours == found(texts, every, None) and len(ours) > 3000
+
+    mixed, count = M._mixed, []
+    monkeypatch.setattr(M, "_mixed", lambda columns, n, seed: count.append(n) or mixed(columns, n, seed))
+    assert not found([" ".join(filler)], every, bits) and sum(count) < 50
+
+
+def test_words_are_cut_as_split_does():
+    from lectern.llm import decontaminate as M
+
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    for text in ["", " ", "a", " a", "a ", "".join(f"w{i}{s}" for i, s in enumerate(spaces)), "".join(spaces) + "é😀 x", "\ufeffa\u200bb c"]:
+        begin, end, what, raw, letters = M._cut(text)
+        words = text.split()
+        assert [text[i:j] for i, j in zip(begin, end)] == words and len(set(raw.tolist())) == len(set(words))
+    _, _, what, raw, letters = M._cut("word word, word?! Word wo-rd (word) -- 7")
+    assert [int(w) & M.OTHER > 0 for w in what] == [False, False, False, False, True, True, False, True]
+    assert letters[0] == raw[0] == letters[1] == letters[2] != raw[1] and [int(w) & M.STOP > 0 for w in what[:3]] == [False, False, True]
